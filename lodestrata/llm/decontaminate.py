@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,7 @@ def build_index(docs: DataFrame, vocabulary, text: str = "text", key: str = "doc
             n_words, terms, ends, positions = [], [], [], []
             for text_ in batch.column(1).to_pylist():
                 tokens = words(text_)
-                ids = np.fromiter((find(w, -1) for w in tokens), np.int32, len(tokens))
+                ids = np.fromiter(map(find, tokens, repeat(-1)), np.int32, len(tokens))
                 at = np.flatnonzero(ids >= 0).astype(np.int32)
                 found = ids[at]
                 by_term = np.argsort(found, kind="stable")
@@ -159,16 +160,24 @@ def _search(index: DataFrame, key: str, query) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, windows, by_rarest = query.value
-        anchors = np.array(sorted(by_rarest), np.int32)
+        anchor = np.zeros(max(by_rarest, default=0) + 1, bool)
+        anchor[list(by_rarest)] = True
         for batch in batches:
             hits, found = [], []
             offsets = [batch.column(i).offsets.to_numpy() for i in (2, 3, 4)]
             flats = [batch.column(i).values.to_numpy(zero_copy_only=False) for i in (2, 3, 4)]
+            # The places of the rarest terms in all rows at once; rows without one have no window.
+            at_anchor = np.flatnonzero((flats[0] < len(anchor)) & anchor[np.minimum(flats[0], len(anchor) - 1)])
+            edges = np.searchsorted(at_anchor, offsets[0])
             for r in range(len(batch)):
+                if edges[r] == edges[r + 1]:
+                    hits.append(np.zeros(0, np.int32))
+                    found.append([])
+                    continue
                 terms, ends, positions = (f[o[r] : o[r + 1]] for f, o in zip(flats, offsets, strict=True))
                 postings, own, spans = Postings(terms, ends, positions), set(), []
-                for anchor in terms[np.isin(terms, anchors, assume_unique=True)] if len(anchors) else ():
-                    for w in by_rarest[int(anchor)]:
+                for term in flats[0][at_anchor[edges[r] : edges[r + 1]]].tolist():
+                    for w in by_rarest[term]:
                         window, order, items = windows[w]
                         at = phrase_starts(postings, window, order)
                         if len(at):
