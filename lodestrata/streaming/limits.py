@@ -7,40 +7,34 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestrata.operators.activity import Bucket
 
-STATE = StructType([StructField("tokens", DoubleType()), StructField("reserve", DoubleType()), StructField("last", DoubleType())])
+IDLE_MS = 600_000
 
 
-class Limiter(StatefulProcessor):
-    """One token bucket a client; state that is idle for idle_ms goes."""
+def limited(stream: DataFrame, client: str, ts: str, event: str, per_minute: float, burst: float, idle_ms: int = IDLE_MS) -> DataFrame:
+    """(client, event, decision) of a stream of requests: one token bucket a client, kept as state.
 
-    def __init__(self, per_minute: float, burst: float, idle_ms: int = 600_000) -> None:
-        self.per_minute, self.burst, self.idle_ms = per_minute, burst, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", STATE, self.idle_ms)
+    A trigger's requests of a client are taken in time order. State that has been idle for idle_ms goes, which
+    a full bucket does not notice.
+    """
+    kind = stream.schema[client].dataType.simpleString()
+    rows = stream.select(F.col(client).alias("client"), F.col(event).cast("long").alias("event"), F.unix_micros(ts).alias("us"))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        kept = self.state.get() if self.state.exists() else None
-        bucket = Bucket(self.per_minute, self.burst, *kept) if kept else Bucket(self.per_minute, self.burst)
-        part = pd.concat(list(rows)).sort_values(["us", "event"])
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        bucket = Bucket(per_minute, burst, *state.get) if state.exists else Bucket(per_minute, burst)
+        part = pd.concat(list(parts)).sort_values(["us", "event"])
         decisions = [bucket.take(us / 1e6) for us in part["us"]]
-        self.state.update((bucket.tokens, bucket.reserve, bucket.last))
+        state.update((bucket.tokens, bucket.reserve, bucket.last))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"client": [key[0]] * len(part), "event": part["event"].to_numpy(), "decision": decisions})
 
-    def close(self) -> None:
-        pass
-
-
-def limited(stream: DataFrame, client: str, ts: str, event: str, per_minute: float, burst: float) -> DataFrame:
-    """(client, event, decision) of a stream of requests."""
-    kind = stream.schema[client].dataType.simpleString()
-    rows = stream.select(F.col(client).alias("client"), F.col(event).cast("long").alias("event"), F.unix_micros(ts).alias("us"))
-    return rows.groupBy("client").transformWithStateInPandas(Limiter(per_minute, burst), f"client {kind}, event long, decision string", "Append", "ProcessingTime")
+    return rows.groupBy("client").applyInPandasWithState(step, f"client {kind}, event long, decision string", "tokens double, reserve double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def window_counts(events: DataFrame, ts: str, by: list[str], width: str = "60 seconds", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
