@@ -68,7 +68,7 @@ def short_clock(seconds: Column) -> Column:
 
 def file_size(size: Column) -> Column:
     """Bytes, KB or MB with one decimal."""
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, F.format_string("%.1f KB", size / 1024)).otherwise(F.format_string("%.1f MB", size / (1 << 20)))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, F.format_string("%.1f KB", F.bround(size / 1024, 1))).otherwise(F.format_string("%.1f MB", F.bround(size / (1 << 20), 1)))
 
 
 def file_url(path: Column, base: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.queries import activity, archive, conversation, relational, search, text
+from lodestrata.queries import activity, archive, conversation, evidence, jobs, relational, search, text
 from lodestrata.queries.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "activity", "archive", "conversation", "relational", "search", "text"]
+__all__ = ["ORACLES", "QUERIES", "activity", "archive", "conversation", "evidence", "jobs", "relational", "search", "text"]

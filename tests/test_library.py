@@ -255,3 +255,39 @@ def test_retrieval_follows_the_list_model(spark):
         paths = {"DOC_0": "/p0", "DOC_1": "f1"}
         want = [(i, c, o, paths.get(c.rsplit("_P", 1)[0], "")) for i, (c, o) in enumerate(list(every.items())[:14], 1)]
         assert sorted(got[k]) == want
+
+
+def test_tools():
+    from lodestrata.operators.tools import Registry, checked_filter, checked_parameters
+
+    r = Registry()
+    r.add("add", {"required": ["a"], "properties": {"a": {"type": "integer"}, "b": {"type": "integer"}}}, lambda a, b=1: a // b)
+    assert r.dispatch("add", {"a": 4, "b": 2}) == {"success": True, "result": 2}
+    assert r.dispatch("add", {"a": True}) == {"success": False, "error": "a is not integer"}
+    assert r.dispatch("add", {"c": 1})["error"] == "a is missing; c is unknown" and "unknown tool" in r.dispatch("x", {})["error"]
+    assert r.dispatch("add", {"a": 1, "b": 0})["error"].startswith("ZeroDivisionError")
+    assert checked_filter({"title": None}) is None and checked_filter({"created_date": "2024-01-31"})
+    for bad in ({"query": " "}, {"query": "x", "max_chunks": 51}, {"query": "x", "user_id": "a b"}, {"query": "x", "k": 1}):
+        with pytest.raises(ValueError):
+            checked_parameters(bad)
+    with pytest.raises(ValueError):
+        checked_filter({"created_date": "31.1.2024"})
+
+
+def test_ingest(spark):
+    from lodestrata.plans.ingest import from_document_files, ingest
+
+    r = random.Random(2)
+    words = [f"word{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, f"# Title {i}\nAuthors: Ann B\n\n" + " ".join(r.choice(words) for _ in range(40)) + ".", f"f{i}.pdf") for i in range(6)] + [(9, None, None)], "doc_id long, text string, file_name string")
+    a = ingest(docs, threshold=0.1)
+    meta = {m.file_name: m for m in a.metadata.collect()}
+    assert meta["f0.pdf"].author == "Ann B" or meta["f0.pdf"].title.startswith("Title")
+    chunks = a.chunks.collect()
+    assert len(chunks) == 6 and {c.document_id for c in chunks} == {m.document_id for m in meta.values() if m.file_name}
+    edges = a.similar.collect()
+    seq = {c.chunk_id: c.seq for c in chunks}
+    assert edges and all(seq[e.dst] < seq[e.src] for e in edges)
+    files = spark.createDataFrame([(("t", None, None, None, None, None, None, "f", None, None), [(None, 2, " x ", None)])], "document_metadata struct<title string, path string, author string, created_date string, source_type string, language string, total_pages string, file_name string, tags array<string>, extra_metadata map<string,string>>, chunks array<struct<page_number int, chunk_index int, paragraph_text string, timestamp string>>")
+    row = from_document_files(files).first()
+    assert row.chunk_id.endswith("_P01_C02") and row.text == "x"

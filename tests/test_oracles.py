@@ -1,12 +1,14 @@
 """Every query with SQL against DuckDB over the same files."""
 
+import os
+
 import duckdb
 import pandas as pd
 import pytest
 
 from lodestrata.queries import ORACLES, QUERIES
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
