@@ -105,6 +105,43 @@ class Bucket:
         return "rejected"
 
 
+class QueuedBucket(Bucket):
+    """A bucket with a first-in, first-out queue: a request waits for its tokens if that ends within `timeout`
+    seconds and fewer than `size` requests wait."""
+
+    def __init__(self, per_minute: float, burst: float, size: int = 100, timeout: float = 30.0) -> None:
+        super().__init__(per_minute, burst)
+        self.size, self.timeout, self.served = size, timeout, []
+
+    def take_or_wait(self, now: float, weight: float = 1.0) -> tuple[str, float]:
+        """Decision and the seconds waited: allowed, burst, queued, timeout or rejected."""
+        self.served = [t for t in self.served if t > now]
+        if not self.served and (taken := self.take(now, weight)) != "rejected":
+            return taken, 0.0
+        if len(self.served) >= self.size:
+            return "rejected", 0.0
+        ready = max(now, self.last or now) + max(0.0, weight - self.tokens) / (self.per_minute / 60)
+        if ready - now > self.timeout:
+            return "timeout", 0.0
+        # The tokens that arrive until then are spent; later requests wait behind this one.
+        self.tokens, self.last = 0.0, ready
+        self.served.append(ready)
+        return "queued", ready - now
+
+
+def cascade(tier: Column, client_type: Column, fallback: Column) -> Column:
+    """The first limiter that knows the client decides; without any, requests pass."""
+    return F.coalesce(tier, client_type, fallback, F.lit("allowed"))
+
+
+def exempt(path: Column, prefixes: tuple[str, ...] = ("/health", "/metrics", "/docs")) -> Column:
+    """Paths that no limit applies to."""
+    out = F.lit(False)
+    for p in prefixes:
+        out = out | path.startswith(p)
+    return out
+
+
 def rate_limited(events: DataFrame, client: str, ts: str, event: str, per_minute: float, burst: float) -> DataFrame:
     """(client, event, decision, tokens, reserve) of a stored log: the batch form of the streaming limiter.
 

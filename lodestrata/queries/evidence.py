@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions import ids, text, vectors
+from lodestrata.functions import ids, images, text, vectors
 from lodestrata.operators import models, search
 from lodestrata.queries import fixtures as X
 from lodestrata.queries.registry import query
 from lodestrata.queries.search import _with
-from lodestrata.sources.tables import first_by, table
+from lodestrata.sources.tables import first_by, table, upsert
 
 
 @query(_with(X.CHUNKS, "tok AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS t FROM chunks), c AS (SELECT chunk_id, CAST(CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64 AS INTEGER) AS bucket, count(*) AS n FROM tok GROUP BY ALL)") + "SELECT chunk_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)), 6) AS weight FROM c")
@@ -182,3 +182,47 @@ def a21_evidence_summary(spark: SparkSession, folder: str) -> DataFrame:
 def f3_structure(spark: SparkSession, folder: str) -> DataFrame:
     t = F.col("text")
     return table(spark, folder, "documents").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), t.rlike(text.TABLE).alias("has_table"), t.rlike(r"(?m)^#{1,6}\s+").alias("has_heading"), t.rlike(text.IMAGE).alias("has_image"))
+
+
+@query("SELECT doc_id, 'a ![c' || doc_id || '](f.png) b <!-- image -->' AS markdown FROM documents")
+def f19_placed_images(spark: SparkSession, folder: str) -> DataFrame:
+    image = F.array(F.struct(F.concat(F.lit("c"), F.col("doc_id")).alias("caption"), F.lit("f.png").alias("path")))
+    return table(spark, folder, "documents").select("doc_id", images.with_images(F.lit("a <!-- image --> b <!-- image -->"), image).alias("markdown"))
+
+
+@query("SELECT doc_id, '![x](d/a.png)' || chr(10) || chr(10) || '**[Image Analysis]:** seen ' || doc_id || ' ![y](b.png)' AS markdown FROM documents")
+def f20_image_analyses(spark: SparkSession, folder: str) -> DataFrame:
+    known = F.create_map(F.lit("a.png"), F.concat(F.lit("seen "), F.col("doc_id")))
+    return table(spark, folder, "documents").select("doc_id", images.with_analyses(F.lit("![x](d/a.png) ![y](b.png)"), known).alias("markdown"))
+
+
+@query("SELECT doc_id, '![x](' || CASE WHEN doc_id % 2 = 0 THEN 'd\\' ELSE 'e/f/' END || 'n' || doc_id % 7 || '.png)' AS reference, CASE WHEN doc_id % 7 < 5 THEN 'caption ' || doc_id % 7 END AS caption FROM documents")
+def j13_captioned_references(spark: SparkSession, folder: str) -> DataFrame:
+    name = F.concat(F.when(F.col("doc_id") % 2 == 0, "d\\").otherwise("e/f/"), F.lit("n"), (F.col("doc_id") % 7).cast("string"), F.lit(".png"))
+    docs = table(spark, folder, "documents").select("doc_id", F.concat(F.lit("see ![x]("), name, F.lit(") here")).alias("text"))
+    known = spark.range(5).select(F.format_string("/store/n%d.png", "id").alias("path"), F.format_string("caption %d", "id").alias("caption"))
+    return images.captioned_references(docs, known)
+
+
+@query("SELECT path, min(source) AS source, count(*) AS n FROM (SELECT 'p' || page_id % 40 AS path, 'extracted' AS source FROM pages UNION ALL SELECT 'p' || page_id % 30, 'standalone' FROM pages UNION ALL SELECT 'p' || page_id % 60, 'ocr' FROM pages) GROUP BY path")
+def u7_image_sources(spark: SparkSession, folder: str) -> DataFrame:
+    p, out = table(spark, folder, "pages"), None
+    for n, source in ((40, "extracted"), (30, "standalone"), (60, "ocr")):
+        one = p.select(F.concat(F.lit("p"), F.col("page_id") % n).alias("path"), F.lit(source).alias("source"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("path").agg(F.min("source").alias("source"), F.count("*").alias("n"))
+
+
+@query("SELECT src, dst, type, max(confidence) AS confidence FROM (SELECT user_id % 50 AS src, event_id % 50 AS dst, CASE event_type WHEN 'click' THEN 'ELABORATES' WHEN 'view' THEN 'CONTRADICTS' ELSE upper(event_type) END AS type, value AS confidence FROM events) WHERE type IN ('CONTRADICTS', 'ELABORATES', 'DEPENDS_ON') GROUP BY ALL")
+def k9_typed_edge_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges of known types only; of repeated ones the highest confidence is kept, here as the version."""
+    kind = F.when(F.col("event_type") == "click", "ELABORATES").when(F.col("event_type") == "view", "CONTRADICTS").otherwise(F.upper("event_type"))
+    edges = table(spark, folder, "events").select((F.col("user_id") % 50).alias("src"), (F.col("event_id") % 50).alias("dst"), kind.alias("type"), F.col("value").alias("confidence"))
+    good = edges.filter(F.col("type").isin("CONTRADICTS", "ELABORATES", "DEPENDS_ON")).withColumn("version", F.col("confidence"))
+    return upsert(good.limit(0), good, ["src", "dst", "type"], "version").drop("version")
+
+
+@query(_with(X.VECTORS, X.SIMILAR) + "SELECT count(*) AS n_edges, count(DISTINCT src) AS n_sources, round(avg(score), 6) AS avg_score, max(score) AS max_score, round(count(*) / count(DISTINCT src), 6) AS edges_a_source FROM alike")
+def a9_edge_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    e = X.similar(spark, folder)
+    return e.agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_sources"), F.round(F.avg("score"), 6).alias("avg_score"), F.max("score").alias("max_score"), F.round(F.try_divide(F.count("*"), F.countDistinct("src")), 6).alias("edges_a_source"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators import activity as A
 from lodestrata.queries.registry import query
 from lodestrata.sources.tables import table
 
@@ -75,3 +76,24 @@ def f32_event_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     line = F.concat(F.lit("**Speaker "), (F.col("event_id") % 2 + 1).cast("string"), F.lit("** ["), F.col("event_id").cast("string"), F.lit("] "), F.col("event_type"))
     listed = F.array_sort(F.collect_list(F.struct("event_id", line.alias("line"))))
     return table(spark, folder, "events").groupBy("user_id").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("transcript"))
+
+
+@query("SELECT event_type AS phase, CAST(user_id AS VARCHAR) AS file, max('code ' || event_id % 3) AS error FROM events WHERE value < 5 GROUP BY ALL")
+def a12_failure_report(spark: SparkSession, folder: str) -> DataFrame:
+    """{phase: {file: error}} as a map a phase, listed again for comparison."""
+    failed = table(spark, folder, "events").filter("value < 5").groupBy(F.col("event_type").alias("phase"), F.col("user_id").cast("string").alias("file")).agg(F.max(F.concat(F.lit("code "), F.col("event_id") % 3)).alias("error"))
+    report = failed.groupBy("phase").agg(F.map_from_entries(F.collect_list(F.struct("file", "error"))).alias("errors"))
+    return report.select("phase", F.explode("errors").alias("file", "error"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'allowed' WHEN user_id % 3 = 0 THEN 'burst' WHEN event_id % 2 = 0 THEN 'rejected' ELSE 'allowed' END AS decision, event_id % 4 = 0 AS is_exempt FROM events")
+def r7_limiter_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    u, n = F.col("user_id"), F.col("event_id")
+    path = F.when(n % 4 == 0, "/health/x").otherwise("/api/health")
+    decision = A.cascade(F.when(u % 5 == 0, "allowed"), F.when(u % 3 == 0, "burst"), F.when(n % 2 == 0, "rejected"))
+    return table(spark, folder, "events").select("event_id", decision.alias("decision"), A.exempt(path).alias("is_exempt"))
+
+
+@query("SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS INTEGER) AS rank FROM events")
+def w12_rank_log(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")).alias("rank"))

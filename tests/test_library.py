@@ -291,3 +291,40 @@ def test_ingest(spark):
     files = spark.createDataFrame([(("t", None, None, None, None, None, None, "f", None, None), [(None, 2, " x ", None)])], "document_metadata struct<title string, path string, author string, created_date string, source_type string, language string, total_pages string, file_name string, tags array<string>, extra_metadata map<string,string>>, chunks array<struct<page_number int, chunk_index int, paragraph_text string, timestamp string>>")
     row = from_document_files(files).first()
     assert row.chunk_id.endswith("_P01_C02") and row.text == "x"
+
+
+@given(st.lists(st.floats(0, 20), max_size=80), st.integers(1, 5), st.floats(1, 60))
+@LOOSE
+def test_queue_serves_in_order_within_limits(steps, size, timeout):
+    b, now, last, held = activity.QueuedBucket(6, 1, size, timeout), 0.0, 0.0, []
+    for wait in steps:
+        now += wait
+        decision, waited = b.take_or_wait(now)
+        assert decision in ("allowed", "burst", "queued", "timeout", "rejected") and 0 <= waited <= timeout + 1e-9
+        if decision == "queued":
+            held = [t for t in held if t > now] + [now + waited]
+            assert now + waited >= last - 1e-9 and len(held) <= size
+            last = now + waited
+
+
+def test_sinks(spark, tmp_path):
+    from lodestrata.sources import sinks
+
+    log = str(tmp_path / "log")
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, text string")
+    for _ in range(2):
+        sinks.append_log(rows, log)
+    (tmp_path / "log" / "broken.json").write_text("{oops\n")
+    assert sinks.read_log(spark, log, "id int, text string").count() == 4
+    progress = spark.createDataFrame([("b", "p", "f", "failed", "e", 1), ("b", "p", "f", "completed", None, 2), ("b", "p", "g", "failed", "e", 1)], "batch_id string, phase string, file string, status string, error string, ts int")
+    sinks.mark_progress(spark, str(tmp_path / "progress"), progress)
+    assert sorted((r.file, r.status) for r in sinks.read_progress(spark, str(tmp_path / "progress")).collect()) == [("f", "completed"), ("g", "failed")]
+    sinks.write_documents(rows, str(tmp_path / "docs"))
+    assert spark.read.json(str(tmp_path / "docs")).count() == 2
+    seen = []
+    rows.repartition(2).write.json(str(tmp_path / "queue"))
+    sinks.job_queue(spark, str(tmp_path / "queue"), "id int, text string", lambda df, n: seen.append([r.id for r in df.collect()]), str(tmp_path / "state")).awaitTermination(60)
+    assert sorted(x for part in seen for x in part) == [1, 2]
+    a = spark.createDataFrame([("/x/one.pdf",)], "path string")
+    b = spark.createDataFrame([("/y/one.pdf",), ("/y/two.pdf",)], "path string")
+    assert [r.path for r in sinks.new_files(a, b).collect()] == ["/y/two.pdf"]
