@@ -31,16 +31,15 @@ from lodestrata.llm.common import stage
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def words(text: str | None) -> list[str]:
-    """Words of a text with A-Z as a-z."""
-    return WORD.findall(text.translate(_LOWER) if not text.isascii() else text.lower()) if text else []
+def words(text: bytes | None) -> list[bytes]:
+    """Words of a UTF-8 text with A-Z as a-z: bytes from 0x80 on belong to words, and bytes.lower() is ASCII's."""
+    return WORD.findall(text.lower()) if text else []
 
 
-def _vocabulary(items: list[tuple]) -> dict[str, int]:
+def _vocabulary(items: list[tuple]) -> dict[bytes, int]:
     terms = sorted({w for _, tokens in items for w in tokens})
     return {w: i for i, w in enumerate(terms)}
 
@@ -56,7 +55,7 @@ def build_index(docs: DataFrame, vocabulary, text: str = "text", key: str = "doc
         find = vocabulary.value.get
         for batch in batches:
             n_words, terms, ends, positions = [], [], [], []
-            for text_ in batch.column(1).to_pylist():
+            for text_ in batch.column(1).cast(pa.binary()).to_pylist():
                 tokens = words(text_)
                 ids = np.fromiter(map(find, tokens, repeat(-1)), np.int32, len(tokens))
                 at = np.flatnonzero(ids >= 0).astype(np.int32)
@@ -175,10 +174,12 @@ def _search(index: DataFrame, key: str, query) -> DataFrame:
                     found.append([])
                     continue
                 terms, ends, positions = (f[o[r] : o[r + 1]] for f, o in zip(flats, offsets, strict=True))
-                postings, own, spans = Postings(terms, ends, positions), set(), []
+                postings, own, spans, there = Postings(terms, ends, positions), set(), [], set(terms.tolist())
                 for term in flats[0][at_anchor[edges[r] : edges[r + 1]]].tolist():
                     for w in by_rarest[term]:
                         window, order, items = windows[w]
+                        if not there.issuperset(window):  # a list is empty
+                            continue
                         at = phrase_starts(postings, window, order)
                         if len(at):
                             own.update(items)
@@ -211,7 +212,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
     found = []
     for b in range(n):
         rows = items.filter(part == b).select(F.col(item_key).cast("string").alias("i"), F.col(item_text).alias("t")).collect()  # one bounded block
-        block = [(r["i"], words(r["t"])) for r in rows if r["i"] is not None]
+        block = [(r["i"], words((r["t"] or "").encode())) for r in rows if r["i"] is not None]
         vocabulary = _vocabulary(block)
         named = source.withColumn("__key", F.struct("__key", "__row")) if n > 1 else source
         index = stage(build_index(named, spark.sparkContext.broadcast(vocabulary), "__text", "__key"), "postings")
@@ -231,7 +232,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
 def find_near(docs: DataFrame, phrases: dict[str, str], span: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Proximity matches: (key, phrase, position) where all words of a phrase stand within span words."""
     spark = docs.sparkSession
-    tokens = {name: words(phrase) for name, phrase in phrases.items()}
+    tokens = {name: words(phrase.encode()) for name, phrase in phrases.items()}
     vocabulary = _vocabulary(list(tokens.items()))
     index = build_index(docs, spark.sparkContext.broadcast(vocabulary), text, key)
     wanted = {name: [vocabulary[w] for w in ws] for name, ws in tokens.items()}
