@@ -28,6 +28,7 @@ VERSION = "WARC/1.1\r\n"
 BREAK = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+BROADCAST_ROWS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -50,13 +51,16 @@ def records(pages: DataFrame, page: str = "page_id", url: str = "url", payload:
     """One text row a record, without the line breaks that end it.
 
     Payloads meet by digest: groups are reduced to their largest id before the join, and only groups of two
-    or more take part, so a payload that a third of the rows share is one row on that side.
+    or more take part, so a payload that a third of the rows share is one row on that side. Up to
+    BROADCAST_ROWS such groups are broadcast, which leaves the payloads where they are.
     """
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(page).cast("long").alias("page"), F.regexp_replace(F.regexp_replace(F.col(url), "\r", "%0D"), "\n", "%0A").alias("url"), body.alias("body"), F.sha1(body.cast("binary")).alias("sha1"), F.octet_length(body).cast("long").alias("bytes"))
     narrow = pages.select(F.col(page).cast("long").alias("page"), F.sha1(body.cast("binary")).alias("sha1"), F.octet_length(body).alias("bytes"))
     groups = narrow.filter(F.col("bytes") >= least).groupBy("sha1").agg(F.max("page").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(groups, "sha1", "left")
+    groups = stage(groups, "payloads")
+    # Few shared payloads go to the pages; many meet them by digest.
+    rows = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, "sha1", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first"))
     digest = base32(F.col("sha1"))
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
