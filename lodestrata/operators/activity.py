@@ -42,7 +42,7 @@ def pending(files: DataFrame, completed: DataFrame, failed: DataFrame, key: str,
     """Files not completed, the failed ones first, then by position."""
     rest = files.join(completed.select(key).distinct(), key, "left_anti")
     marked = rest.join(failed.select(key).distinct().withColumn("is_failed", F.lit(True)), key, "left").withColumn("is_failed", F.coalesce("is_failed", F.lit(False)))
-    return marked.withColumn("place", F.row_number().over(Window.orderBy(F.desc("is_failed"), position)))
+    return marked.orderBy(F.desc("is_failed"), position)
 
 
 def speakers(segments: DataFrame, by: str, start: str, end: str, gap: float = 2.0) -> DataFrame:

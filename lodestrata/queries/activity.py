@@ -135,10 +135,10 @@ def f41_sigmoids(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", F.round(vectors.sigmoid((F.col("value") - 50) / 25), 6).alias("p"))
 
 
-@query("WITH f AS (SELECT DISTINCT user_id FROM events), c AS (SELECT DISTINCT user_id FROM events WHERE value > 199), x AS (SELECT DISTINCT user_id FROM events WHERE value < 0.2) SELECT user_id, user_id IN (SELECT user_id FROM x) AS is_failed, CAST(row_number() OVER (ORDER BY user_id IN (SELECT user_id FROM x) DESC, user_id) AS INTEGER) AS place FROM f WHERE user_id NOT IN (SELECT user_id FROM c)")
+@query("WITH f AS (SELECT DISTINCT user_id FROM events), c AS (SELECT DISTINCT user_id FROM events WHERE value > 199), x AS (SELECT DISTINCT user_id FROM events WHERE value < 0.2) SELECT user_id, user_id IN (SELECT user_id FROM x) AS is_failed FROM f WHERE user_id NOT IN (SELECT user_id FROM c)")
 def j16_pending_files(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
-    return A.pending(e.select("user_id").distinct(), e.filter("value > 199"), e.filter("value < 0.2"), "user_id", "user_id").select("user_id", "is_failed", "place")
+    return A.pending(e.select("user_id").distinct(), e.filter("value > 199"), e.filter("value < 0.2"), "user_id", "user_id").select("user_id", "is_failed")
 
 
 @query(f"WITH {BASE} SELECT user_id, event_type, min(us) AS started, max(us) AS ended, round((max(us) - min(us)) / 1e6, 6) AS seconds FROM e GROUP BY ALL")

@@ -60,6 +60,16 @@ def p6_knn_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return search.knn(X.probes(spark, folder), X.vectors(spark, folder), threshold=0.3)
 
 
+@query()
+def j1_knn_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same search through an index; its recall is measured in the tests."""
+    from lodestrata.operators import vector_index as V
+
+    v = X.vectors(spark, folder)
+    centres = V.cell_centres(v)
+    return V.search_index(X.probes(spark, folder), V.indexed(v, centres), centres)
+
+
 @query(
     _with(X.VECTORS, X.PROBES, X.METADATA)
     + """SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
