@@ -52,10 +52,12 @@ def with_known_ends(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return edges.join(known.withColumnRenamed("chunk_id", "src"), "src", "left_semi").join(known.withColumnRenamed("chunk_id", "dst"), "dst", "left_semi")
 
 
-def undirected(edges: DataFrame, score: str) -> DataFrame:
-    """(node, neighbour, score) both ways; where both directions exist the higher score stays."""
-    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("neighbour"), score).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("neighbour"), score))
-    return both.filter(F.col(score).isNotNull()).groupBy("node", "neighbour").agg(F.max(score).alias(score))
+def undirected(edges: DataFrame, score: str, also: list[str] | None = None) -> DataFrame:
+    """(node, neighbour, *also, score) both ways; where both directions exist the higher score stays."""
+    also = also or []
+    ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("neighbour")), F.struct(F.col("dst").alias("node"), F.col("src").alias("neighbour"))))
+    both = edges.filter(F.col(score).isNotNull()).select(ends.alias("e"), *also, score).select("e.*", *also, score)
+    return both.groupBy("node", "neighbour", *also).agg(F.max(score).alias(score))
 
 
 def neighbours(anchors: DataFrame, edges: DataFrame, n: int, score: str = "score", least: float = 0.0) -> DataFrame:

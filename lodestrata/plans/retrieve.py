@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.ids import chunk_document, chunk_page
-from lodestrata.operators.graph import TYPES, adjacent, neighbours
-from lodestrata.operators.search import bm25, knn, metadata_filter
+from lodestrata.operators.graph import TYPES, adjacent, neighbours, undirected
+from lodestrata.operators.search import bm25, knn, metadata_filter, top_k
 from lodestrata.sources.tables import first_by
 
 
@@ -62,6 +62,8 @@ def retrieve(queries: DataFrame, stores: Stores, settings: Settings | None = Non
     hits = by_vector.select("query_id", "chunk_id", F.lit(0).alias("part"), "rank", "score", F.lit("vector_search").alias("origin")).unionByName(
         by_word.select("query_id", "chunk_id", F.lit(1).alias("part"), "rank", F.lit(1.0).alias("score"), F.lit("keyword_search").alias("origin"))
     )
+    # A few rows a question that several stages read: kept, and recomputed from their lineage if lost.
+    hits = hits.persist()
     place = [F.col("part"), F.col("rank")]
     seeds = hits.filter(((F.col("part") == 0) & (F.col("rank") <= s.vector_top)) | ((F.col("part") == 1) & (F.col("rank") <= s.keyword_top)))
     seeds = ordered_distinct(seeds, place).select("query_id", F.col("chunk_id").alias("node"), F.col("rank").alias("seed"))
@@ -73,16 +75,20 @@ def retrieve(queries: DataFrame, stores: Stores, settings: Settings | None = Non
     around = around.select("query_id", "chunk_id", F.lit(2).alias("part"), "rank", "score", F.lit("graph_a").alias("origin"))
 
     ranked = ordered_distinct(hits.unionByName(around), place).filter(F.col("rank") <= s.reranked)
-    ranked = ranked.withColumn("origin", F.when(F.col("rank") == 1, "anchor").otherwise(F.col("origin"))).withColumn("part", F.lit(0))
+    ranked = ranked.withColumn("origin", F.when(F.col("rank") == 1, "anchor").otherwise(F.col("origin"))).withColumn("part", F.lit(0)).persist()
     anchor = ranked.filter("rank = 1").select("query_id", "chunk_id")
 
     context = adjacent(anchor, stores.chunks, s.context)
     context = context.select("query_id", "chunk_id", F.lit(1).alias("part"), (F.col("offset") + s.context).alias("rank"), F.lit(0.0).alias("score"), F.lit("context").alias("origin"))
     every = ranked.unionByName(context)
     nodes = anchor.select("query_id", F.col("chunk_id").alias("node"))
-    for i, (kind, n) in enumerate(s.graph_b.items()):
-        found = neighbours(nodes, stores.typed.filter(F.col("type") == kind), n, "confidence")
-        every = every.unionByName(found.select("query_id", F.col("neighbour").alias("chunk_id"), F.lit(2 + i).alias("part"), "rank", F.col("confidence").alias("score"), F.lit(f"probe_{kind.lower()}").alias("origin")))
+    # All types at once: the best of each type, then the types in their order.
+    kinds = list(s.graph_b)
+    linked = nodes.join(undirected(stores.typed.filter(F.col("type").isin(kinds)), "confidence", ["type"]), "node")
+    most = F.create_map(*[F.lit(x) for kind, n in s.graph_b.items() for x in (kind, n)])
+    probes = top_k(linked, ["query_id", "type"], max(s.graph_b.values(), default=0), "neighbour", "confidence").filter(F.col("rank") <= F.element_at(most, F.col("type")))
+    part = F.array_position(F.array(*map(F.lit, kinds)), F.col("type")).cast("int") + 1
+    every = every.unionByName(probes.select("query_id", F.col("neighbour").alias("chunk_id"), part.alias("part"), "rank", F.col("confidence").alias("score"), F.concat(F.lit("probe_"), F.lower("type")).alias("origin")))
 
     final = ordered_distinct(every, place).filter(F.col("rank") <= s.final)
     texts = stores.chunks.select("chunk_id", "document_id", "page_number", "text")
