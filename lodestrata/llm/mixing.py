@@ -26,7 +26,7 @@ from lodestrata.llm.common import partitions
 
 BLOCK_ROWS = 16
 FRAME = 1024
-CELL_ROWS = 5_000
+CELL_ROWS = 1_000
 MAX_SOURCES = 100_000
 TEMPERATURE = 0.7
 
