@@ -22,7 +22,7 @@ from lodestrata.llm.common import stage
 SHARDS = 24
 ATOMS = 1 << 16
 OVERHEAD = 8
-CELL_ROWS = 5_000
+CELL_ROWS = 1_000
 
 
 def cut_points(sizes: Column, shards: int) -> Column:
