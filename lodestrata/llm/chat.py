@@ -78,15 +78,18 @@ def depths(calls: DataFrame) -> DataFrame:
     """(id, depth) for calls (id, after): how many calls come before; null in and after a cycle."""
     known = calls.select("id").filter("id is not null").distinct()
     links = calls.select("id", "after").filter("id is not null").groupBy("id").agg(F.min("after").alias("after"))
-    links = links.join(known.withColumnRenamed("id", "after").withColumn("there", F.lit(True)), "after", "left")
-    now = links.select("id", F.when(F.col("there"), F.col("after")).alias("after"))
+    after = links.filter("after is not null").join(known.withColumnRenamed("id", "after"), "after").select("id", "after")
+    now = known.join(after, "id", "left")
     now = stage(now.withColumn("depth", F.when(F.col("after").isNull(), 0).otherwise(1).cast("long")), "depths")
     rounds = max(1, int(now.count()).bit_length()) + 1
     for _ in range(rounds):
         if now.filter("after is not null").isEmpty():
             break
+        # Calls whose chain has ended stay out of the join; their null keys would meet in one task.
+        ended, going = now.filter("after is null"), now.filter("after is not null")
         ahead = now.select(F.col("id").alias("after"), F.col("after").alias("further"), F.col("depth").alias("more"))
-        now = stage(now.join(ahead, "after", "left").select("id", F.col("further").alias("after"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depths")
+        moved = going.join(ahead, "after").select("id", F.col("further").alias("after"), (F.col("depth") + F.col("more")).alias("depth"))
+        now = stage(ended.unionByName(moved), "depths")
     return now.select("id", F.when(F.col("after").isNull(), F.col("depth")).alias("depth"))
 
 
