@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text
+from lodestrata.queries import fixtures as X
 from lodestrata.queries.registry import query
 from lodestrata.sources import tables as S
 
@@ -96,3 +97,40 @@ def a2_table_counts(spark: SparkSession, folder: str) -> DataFrame:
         one = S.table(spark, folder, name).agg(F.lit(name).alias("store"), F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(f"WITH {X.CHUNKS} SELECT chunk_id, text FROM chunks WHERE chunk_id = 'DOC_3_P01_C01'")
+def s13_paragraph(spark: SparkSession, folder: str) -> DataFrame:
+    return X.chunks(spark, folder).filter("chunk_id = 'DOC_3_P01_C01'").select("chunk_id", "text")
+
+
+@query(f"WITH {X.METADATA} SELECT * FROM meta WHERE document_id = 'DOC_3'")
+def s15_document_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    return X.metadata(spark, folder).filter("document_id = 'DOC_3'")
+
+
+@query(f"WITH {X.METADATA} SELECT document_id, title, source_type FROM meta ORDER BY document_id LIMIT 10000")
+def s16_metadata_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """The listing's cap of 10,000 records is its contract."""
+    return X.metadata(spark, folder).select("document_id", "title", "source_type").orderBy("document_id").limit(10_000)
+
+
+@query(f"WITH {X.VECTORS} SELECT chunk_id, document_id, CAST(max(page_number) AS INTEGER) AS page_number FROM vectors GROUP BY ALL")
+def k5_merged_vertices(spark: SparkSession, folder: str) -> DataFrame:
+    v = X.vectors(spark, folder).select("chunk_id", "document_id", "page_number", F.lit(1).alias("version"))
+    return S.upsert(v.filter("page_number < 3"), v.filter("page_number > 1"), ["chunk_id"], "version").select("chunk_id", "document_id", "page_number")
+
+
+@query(f"WITH {X.METADATA} SELECT document_id, title FROM meta WHERE document_id NOT IN (SELECT printf('DOC_%d', item_id) FROM benchmark)")
+def k10_deleted_sources(spark: SparkSession, folder: str) -> DataFrame:
+    gone = S.table(spark, folder, "benchmark").select(F.format_string("DOC_%d", "item_id").alias("document_id"))
+    return S.delete(X.metadata(spark, folder), gone, ["document_id"]).select("document_id", "title")
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT unnest(['data: token', 'data: done']) AS line, page_id FROM pages), (SELECT 1) t, LATERAL (SELECT replace(line, 'data: ', '') AS kind) GROUP BY kind")
+def r12_event_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Event-stream text cut into lines, each a JSON event."""
+    body = F.concat(F.lit('data: {"type": "token", "n": '), F.col("page_id"), F.lit('}\n\ndata: {"type": "done"}\n\n: comment\n'))
+    lines = _pages(spark, folder).select(F.explode(F.split(body, "\n")).alias("line")).filter("line like 'data: %'")
+    event = F.from_json(F.substring("line", 7, 10_000), "type string, n long")
+    return lines.groupBy(event["type"].alias("kind")).agg(F.count("*").alias("n"))

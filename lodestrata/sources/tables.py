@@ -54,11 +54,15 @@ def scan_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
     return files.select("path", "length", "modificationTime", category(F.col("path")).alias("category"))
 
 
-def category(name: Column) -> Column:
+def category(name: Column, mime: Column | None = None) -> Column:
+    """By extension, else by the MIME type's main part, else unknown."""
     ext = extension(name)
     out = F.when(F.lit(False), "")
     for kind, known in CATEGORIES.items():
         out = out.when(ext.isin(*known), kind)
+    if mime is not None:
+        for start, kind in (("image/", "image"), ("audio/", "audio"), ("video/", "audio"), ("text/", "document"), ("application/pdf", "document")):
+            out = out.when(mime.startswith(start), kind)
     return out.otherwise("unknown")
 
 
