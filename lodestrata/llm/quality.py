@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(bags, found.label.to_numpy(np.float32))
 
 
-def score(docs: DataFrame, net: GatedAttention | float, text: str = "text", keep: list[str] | None = None, pass_text: bool = False) -> DataFrame:
+def score(docs: DataFrame, net: GatedAttention | float, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns in keep, then the score of each whole text."""
     keep = [*(keep or [])]
     source = docs.select(*keep, F.col(text).alias("__text"))
