@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns of tokens, running lines, headings, tables and images.
 TOKEN = r"[\p{L}\p{N}]+"
 NOISE = (r"(?m)^Page \d+ of \d+$", r"(?m)^\d+$", r"(?m)^-\s*\d+\s*-$")
 HEADING = r"(?m)^(#{1,6})\s+(.+)$"
