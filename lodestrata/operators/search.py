@@ -13,6 +13,7 @@ from lodestrata.functions.text import tokens
 
 K1, B = 1.2, 0.75
 QUERY_BLOCK = 4096
+TERM_LIMIT = 20_000
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -29,17 +30,21 @@ def corpus_statistics(chunks: DataFrame, text: str = "text") -> DataFrame:
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = 12, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """Top k texts for each query (query_id, terms array<string>): (query_id, key, score, rank).
 
-    Only the queries' terms are counted in a text: the tokens are cut down to them before they are exploded,
-    so what is shuffled follows the matches, not the corpus. Scores are rounded to six decimals and ties go
+    Only the queries' terms are counted in a text: the tokens are cut down to them (a hash set of at most
+    TERM_LIMIT terms, else a join) before anything is shuffled, so shuffles follow the matches. Scores are rounded to six decimals and ties go
     by key.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     words = asked.select("term").distinct()
-    wanted = words.agg(F.collect_set("term").alias("wanted"))
+    listed = [r["term"] for r in words.limit(TERM_LIMIT + 1).collect()]  # bounded; larger batches are joined
     counted = chunks.select(key, tokens(F.col(text)).alias("t"))
-    held = counted.join(F.broadcast(wanted)).select(key, F.size("t").alias("dl"), F.explode(F.filter("t", lambda x: F.array_contains("wanted", x))).alias("term"))
+    if len(listed) <= TERM_LIMIT:
+        held = counted.select(key, F.size("t").alias("dl"), F.explode(F.filter("t", lambda x: x.isin(listed))).alias("term"))
+    else:
+        held = counted.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).join(words, "term", "left_semi")
     found = held.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
-    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
+    # Counted through tf, so both uses of `found` are one exchange and the texts are tokenised once for them.
+    frequency = found.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
     size = corpus_statistics(chunks, text)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
