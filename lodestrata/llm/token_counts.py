@@ -5,7 +5,7 @@ change in the number of emitted tokens, which may be negative where a byte lets
 is a node of the trie automaton of all tokens (the longest tail of the input that begins a token) and, for
 each place in that tail, the token that the encoding of the input up to there ends with; that is all a later
 byte can depend on. States and transitions are made when first reached and kept, so the table holds what the
-texts use. The last byte of a piece is a symbol of its own, as the vocabulary's tokens end words.
+texts use; between two pieces a table of STATES states is emptied, so memory is bounded. The last byte of a piece is a symbol of its own, as the vocabulary's tokens end words.
 
 Texts are cut into chunks of CHUNK code points by Spark. ASCII white space resets the transducer, so a
 chunk's state map is one of two kinds: (whole,) for a chunk without white space, or (head, count, tail):
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 LIMIT = 2048
 MEMO = 400_000
+STATES = 200_000
 SPACE = " \t\n\v\f\r"
 _SPLIT = re.compile(f"[{SPACE}]+")
 
@@ -67,11 +68,16 @@ class CountTransducer:
             if self.merged(parts) == [token]:
                 self.tokens[parts] = token
                 self.prefixes.update(parts[:i] for i in range(1, len(parts) + 1))
+        self.reset()
+
+    def reset(self) -> None:
+        """Start with the state before a piece alone: its empty tail, no last token."""
         # A state: the tail (longest suffix of the input that begins a token) and the last token at each of its places.
         self.states: dict[tuple, int] = {((), (None,)): 0}
         self.keys: list[tuple] = [((), (None,))]
         self.moves: list[dict[int, tuple[int, int]]] = [{}]
         self.counts: list[tuple[int, ...]] = [(0,)]
+        self.fits.clear()
 
     def merged(self, parts: tuple) -> list[str]:
         """The encoding of a symbol sequence: lowest-ranked pair first, leftmost among equals."""
@@ -130,6 +136,8 @@ class CountTransducer:
 
     def count(self, piece: bytes) -> int:
         """Tokens of one piece: the sum over the transitions that it takes."""
+        if len(self.keys) >= STATES or len(self.fits) >= 4 * STATES:
+            self.reset()
         moves, state, total = self.moves, 0, 0
         for symbol in (*piece[:-1], piece[-1] + 256):
             step = moves[state].get(symbol)
