@@ -114,6 +114,32 @@ def test_spanning_links_match_pairs():
     assert {frozenset(i for i in range(60) if top(i) == t) for t in map(top, range(60))} == want
 
 
+def test_chains_in_one_bucket(spark):
+    """A-B and B-C are alike, A-C not: every pair of a bucket counts, also where neither text leads it."""
+    import numpy as np
+
+    rows = []
+    for i in range(40):
+        w = [f"w{i}x{j}" for j in range(104)]
+        w2 = [f"p{i}x{j}" for j in range(10)] + w[10:]
+        rows += [" ".join(w), " ".join(w2), " ".join(w2[:-10] + [f"q{i}x{j}" for j in range(10)])]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    named = d.select(F.xxhash64("text").alias("node"), F.col("doc_id").alias("doc"), "text")
+    none = spark.sparkContext.broadcast(weighted_minhash.Idf(np.zeros(0, np.uint64), np.zeros(0)))
+    key = {r.doc: r.bands[0] for r in weighted_minhash._sign(named, none, 1, 1).collect()}
+    node = {r.doc: r.node for r in named.select("doc", "node").collect()}
+    want, led = {}, 0
+    for a in range(0, 120, 3):
+        up = {x: x for x in range(a, a + 3)}
+        for x, y in ((a, a + 1), (a + 1, a + 2)):
+            if key[x] == key[y]:
+                up = {z: up[x] if t == up[y] else t for z, t in up.items()}
+        want |= up
+        led += len({key[x] for x in up}) == 1 and min(up, key=node.get) != a + 1
+    assert led > 5
+    assert {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(d, bands=1, rows=1).collect()} == want
+
+
 def test_weighted_samples_estimate_similarity():
     import numpy as np
 
