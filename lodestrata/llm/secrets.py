@@ -1,10 +1,11 @@
 """Secret scanning: fixed patterns, and novelty against a primed zstandard compressor.
 
 Patterns find assignments, access keys and long hexadecimal runs. Besides, each string of CANDIDATE
-characters in a sensitive context (a credential word shortly before it) is measured by its marginal
-compressed bytes: how much longer the surrounding text becomes, compressed with a dictionary of common
-identifiers, when the string is put in. Words, identifiers and repeats cost little; keys do not compress.
-Strings with a digit whose marginal bytes reach NOVELTY a character are reported as `novel`.
+characters in a sensitive context (it begins at most REACH characters after a credential word) is measured,
+whole, by its marginal compressed bytes: how much longer the surrounding text becomes, compressed with a
+dictionary of common identifiers, when the string is put in. Identifiers and repeats cost little; keys do not
+compress. Strings with a digit whose marginal bytes reach NOVELTY a character are reported as `novel`; long
+words of prose reach it too, so strings without a digit are left out, keys of letters alone among them.
 
 Spans are in code points, end exclusive. Defined cases: null counts as the empty text, which has no spans;
 repeated rows each get a row. Equal texts have equal spans.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +31,8 @@ LEVEL = 3
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
+LEAST = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST},}}")
 CONTEXT = re.compile(r"pass(?:word|wd|phrase)?|secret|token|api_?key|credential|private_?key|bearer|auth", re.IGNORECASE | re.ASCII)
 REACH = 40
 _DIGIT = re.compile("[0-9]")
@@ -82,16 +85,19 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 def novel_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """Incompressible strings in a sensitive context, apart from the base spans."""
     out: dict[int, int] = {}
+    runs: list[tuple[int, int]] | None = None
     for c in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, c.end(), min(len(text), c.end() + REACH + 512)):
-            if m.start() > c.end() + REACH:
+        if runs is None:
+            runs = [m.span() for m in CANDIDATE.finditer(text)]
+        for i in range(bisect_right(runs, c.end(), key=lambda run: run[1]), len(runs)):
+            start, b = runs[i]
+            if start > c.end() + REACH:
                 break
-            a, b = m.span()
-            if any(x < b and a < y for x, _, y in base):
-                break
-            if a not in out and _DIGIT.search(text, a, b) and novelty(text, a, b) >= NOVELTY:
+            a = max(start, c.end())  # a run that the context word is part of counts from the word's end
+            if a in out or b - a < LEAST or any(x < b and a < y for x, _, y in base):
+                continue
+            if _DIGIT.search(text, a, b) and novelty(text, a, b) >= NOVELTY:
                 out[a] = b
-            break
     return [(a, "novel", b) for a, b in sorted(out.items())]
 
 

@@ -317,6 +317,16 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan(docs, keep=["doc_id"]).count() == docs.count()
 
 
+def test_every_candidate_is_measured_whole():
+    r = random.Random(9)
+    make = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    key, long = "Zq7" + make(37), make(900)
+    for text, want in ((f'credential_rotation_policy = "{key}"', [key]), (f"Authorization: Bearer {long} end", [long]), (f"bearer deadbeefdeadbeef00 {key}", [key]), (f"credential {key} {long}", [key]), (f"auth {key[:20]} {key[20:]}", [key[:20], key[20:]])):
+        spans = secrets.novel_spans(text, secrets.base_spans(text))
+        starts = [text.index(w) for w in want if text.index(w) <= 60]
+        assert [(a, text[a:b]) for a, _, b in spans] == list(zip(starts, want, strict=True))
+
+
 def test_mixing(spark, docs, empty):
     out = mixing.mix(docs, block_rows=2).collect()
     assert len(out) == docs.count() and len({r.position for r in out}) == len(out)
