@@ -1,15 +1,18 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's rows form blocks of `block_rows`. In a frame of Q slots a source of weight p/Q owns p blocks; its
-k-th block is released at floor(k Q / p) and due at ceil((k + 1) Q / p). Earliest deadline first over unit
-slots meets every deadline, so after any slot each source is less than one block away from its weight. The
-schedule repeats with the frame: only one frame is ever computed, and the slot of any block of any source
-follows from it. A source that has run out leaves its later slots unused, which keeps the others' mutual
-proportions.
+A source's rows form blocks of `block_rows`. With target weight w (a share of all weights, kept as a whole
+number over their sum, so nothing is rounded) its k-th block is released at floor(k / w) and due at
+ceil((k + 1) / w). Earliest deadline first over unit slots meets every deadline, so after any slot each
+source is less than one block away from its weight, however long the table. A source that has run out leaves
+its later slots unused, which keeps the others' mutual proportions.
+
+The schedule is made in one task, as a stream, until the last block of every source has its slot: a slot
+depends on all before it. Its length is the largest number of blocks over weight of a source; a very small
+weight with many rows makes it long.
 
 Ranks inside a source come from cells of about `cell_rows` rows by the id's hash, so a source with a third
-of all rows is split. Only a row a source (at most MAX_SOURCES) reaches the driver, and the frame's rows are
-broadcast: their number depends on the sources, not on the rows.
+of all rows is split. Each cell gets the slots of its blocks as one list. Only a row a source (at most
+MAX_SOURCES) reaches the driver.
 
 Defined cases: a null source is a source of its own; empty texts are rows like others; repeated rows each
 get a place; sources of weight 0 or without a weight are not placed. An empty table gives no rows.
@@ -18,66 +21,75 @@ get a place; sources of weight 0 or without a weight are not placed. An empty ta
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
+from collections.abc import Iterator
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import partitions
 
 BLOCK_ROWS = 16
-FRAME = 1024
 CELL_ROWS = 1_000
 MAX_SOURCES = 100_000
 TEMPERATURE = 0.7
 
 
-def shares(weights: dict[str, float], frame: int = FRAME) -> tuple[dict[str, int], int]:
-    """Whole blocks a frame for each source, by largest remainder, one at least; and the frame's length."""
-    weights = {k: float(w) for k, w in weights.items() if w and w > 0}
-    while frame < 8 * len(weights):
-        frame *= 2
-    total = sum(weights.values())
-    exact = {k: w / total * frame for k, w in weights.items()}
-    out = {k: max(1, int(x)) for k, x in exact.items()}
-    rest = frame - sum(out.values())
-    by_rest = sorted(exact, key=lambda k: (out[k] - exact[k], k))
-    while rest > 0:
-        for k in by_rest[:rest]:
-            out[k] += 1
-        rest = frame - sum(out.values())
-    while rest < 0:  # small weights were raised to one block; the largest give way
-        k = max(out, key=lambda k: (out[k], k))
-        out[k] -= 1
-        rest += 1
-    return out, frame
-
-
-def edf_frame(blocks: dict[str, int], frame: int) -> list[tuple[str, int, int, int, int]]:
-    """(source, k, slot, release, deadline) for one frame: of the released blocks the one due first runs."""
-    arrivals: list[tuple[int, int, str, int]] = []
-    for s, p in blocks.items():
-        arrivals += [(k * frame // p, -(-(k + 1) * frame // p), s, k) for k in range(p)]
-    arrivals.sort()
-    ready: list[tuple[int, str, int, int]] = []
-    out, i = [], 0
-    for slot in range(frame):
-        while i < len(arrivals) and arrivals[i][0] <= slot:
-            release, due, s, k = arrivals[i]
-            heapq.heappush(ready, (due, s, k, release))
-            i += 1
-        if ready:
-            due, s, k, release = heapq.heappop(ready)
-            if slot >= due:
-                raise AssertionError(f"block {k} of {s} misses its deadline {due}")
-            out.append((s, k, slot, release, due))
-    return out
+def shares(weights: dict[str, float]) -> tuple[dict[str, int], int]:
+    """Each source's weight as a whole number, and their sum; the ratios are exact (0.3 is three tenths)."""
+    ratios = {k: Fraction(repr(float(w))) for k, w in weights.items() if w and w > 0}
+    common = math.lcm(*(x.denominator for x in ratios.values()))
+    out = {k: int(x * common) for k, x in ratios.items()}
+    least = math.gcd(*out.values()) or 1
+    out = {k: n // least for k, n in out.items()}
+    return out, sum(out.values())
+
+
+def edf(parts: dict[str, int], total: int, blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, k, slot, release, deadline) of the first `blocks` blocks of each source, by slot.
+
+    Of the released blocks the one due first runs; sources that have run out go on taking their slots.
+    """
+    due = lambda s, k: -(-(k + 1) * total // parts[s])
+    ready = [(due(s, 0), s, 0, 0) for s in parts]
+    heapq.heapify(ready)
+    waiting: list[tuple[int, int, str, int]] = []
+    left, slot = sum(blocks[s] for s in parts), 0
+    while left:
+        while waiting and waiting[0][0] <= slot:
+            release, end, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (end, s, k, release))
+        end, s, k, release = heapq.heappop(ready)
+        if slot >= end:
+            raise AssertionError(f"block {k} of {s} misses its deadline {end}")
+        if k < blocks[s]:
+            left -= 1
+            yield s, k, slot, release, end
+        heapq.heappush(waiting, ((k + 1) * total // parts[s], due(s, k + 1), s, k + 1))
+        slot += 1
+
+
+def _schedule(spark: SparkSession, parts: dict[str, int], total: int, blocks: dict[str, int]) -> DataFrame:
+    """(s, block, at, release, due) for every block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for rows in itertools.batched(edf(parts, total, blocks), 10_000):
+                    columns = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(next(columns), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["s", "block", "at", "release", "due"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "s string, block long, at long, release long, due long")
 
 
 def _name(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("s:"), F.col(source).cast("string")), F.lit("n"))
 
 
-def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", order: str = "doc_id", block_rows: int = BLOCK_ROWS, frame: int = FRAME, cell_rows: int = CELL_ROWS, length: int | None = None) -> DataFrame:
+def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", order: str = "doc_id", block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS, length: int | None = None) -> DataFrame:
     """df's columns in struct `row`, with block, release, deadline, slot, position and chosen.
 
     weights: by source; by default each source's row count to the power TEMPERATURE. length: slots of the
@@ -93,26 +105,26 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: s
     else:
         named = {"n" if k is None else f"s:{k}": w for k, w in weights.items()}
         wanted = {s: named[s] for s in there if named.get(s, 0) > 0}
-    blocks, frame = shares(wanted, frame) if wanted else ({}, frame)
+    parts, total = shares(wanted)
     length = length if length is not None else -(-sum(there.values()) // block_rows)
-    table = [(s, k, slot, release, due, blocks[s], -(-there[s] // cell_rows)) for s, k, slot, release, due in edf_frame(blocks, frame)]
-    slots = spark.createDataFrame(table, "s string, k long, at long, release long, due long, per_frame long, cells long")
+    slots = _schedule(spark, parts, total, {s: -(-there[s] // block_rows) for s in parts})
 
-    per_source = slots.select("s", "per_frame", "cells").distinct()
+    per_source = spark.createDataFrame([(s, -(-there[s] // cell_rows)) for s in parts], "s string, cells long")
     salt = F.xxhash64(F.col(order).cast("string"))
     place = lambda frame_: frame_.join(F.broadcast(per_source), "s").withColumn("cell", F.pmod("salt", F.col("cells")))
     narrow = place(df.select(_name(source).alias("s"), salt.alias("salt")))
     before = Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = narrow.groupBy("s", "cell").count().select("s", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    offsets = narrow.groupBy("s", "cell").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    blocks = F.sequence(F.floor(F.col("before") / block_rows), F.floor((F.col("before") + F.col("count") - 1) / block_rows))
+    timed = offsets.select("s", "cell", "before", F.explode(blocks).alias("block")).join(slots, ["s", "block"])
+    timed = timed.groupBy("s", "cell").agg(F.min("before").alias("before"), F.min("block").alias("first"), F.sort_array(F.collect_list(F.struct("block", "at", "release", "due"))).alias("slots"))
     rows = place(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), _name(source).alias("s"), salt.alias("salt"), F.col(order).alias("order")))
     within = Window.partitionBy("s", "cell").orderBy("salt", "order")
-    ranked = rows.join(offsets, ["s", "cell"]).withColumn("rank", F.col("before") + F.row_number().over(within) - 1)
-    ranked = ranked.withColumn("block", F.floor(F.col("rank") / block_rows)).withColumn("turn", F.floor(F.col("block") / F.col("per_frame"))).withColumn("k", F.pmod("block", F.col("per_frame")))
-    dated = ranked.join(F.broadcast(slots.select("s", "k", "at", "release", "due")), ["s", "k"])
-    start = F.col("turn") * frame
-    slot = start + F.col("at")
-    return dated.select(
-        "row", "block", (start + F.col("release")).alias("release"), (start + F.col("due")).alias("deadline"), slot.alias("slot"),
+    ranked = rows.withColumn("within", F.row_number().over(within) - 1).join(timed, ["s", "cell"]).withColumn("rank", F.col("before") + F.col("within"))
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") / block_rows)).withColumn("own", F.element_at("slots", (F.col("block") - F.col("first") + 1).cast("int")))
+    slot = F.col("own.at")
+    return ranked.select(
+        "row", "block", F.col("own.release").alias("release"), F.col("own.due").alias("deadline"), slot.alias("slot"),
         (slot * block_rows + F.pmod("rank", F.lit(block_rows))).alias("position"), (slot < length).alias("chosen"),
     )
 

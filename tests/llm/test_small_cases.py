@@ -351,6 +351,19 @@ def test_mixing(spark, docs, empty):
     assert again == {(r.row.doc_id, r.position) for r in rows}
 
 
+def test_mixing_keeps_target_weights_over_many_slots(spark):
+    """Thirds are no whole number of 1024ths, and 0.0001 is less than one: 6,000 blocks, each by its own weight."""
+    d = spark.range(6000).select(F.col("id").alias("doc_id"), F.expr("elt(id % 3 + 1, 'a', 'b', 'c')").alias("source"))
+    d = d.unionByName(spark.createDataFrame([(6000, "d")], "doc_id long, source string"))
+    weights = {"a": 0.3333, "b": 0.3333, "c": 0.3333, "d": 0.0001}
+    done = Counter()
+    for r in sorted(mixing.mix(d, weights, block_rows=1, cell_rows=100).collect(), key=lambda r: r.slot):
+        done[r.row.source] += 1
+        for name in "abc" if r.slot < 5900 else "":  # until the first runs out
+            assert abs(done[name] - (r.slot + 1) * weights[name]) < 1.001
+    assert done == {"a": 2000, "b": 2000, "c": 2000, "d": 1}
+
+
 def test_warc(spark):
     import base64
 
