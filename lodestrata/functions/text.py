@@ -50,9 +50,9 @@ def language(text: Column, sample: int = 1000) -> Column:
 
 
 def first_words(text: Column, n: int = 30) -> Column:
-    """The first n words, with an ellipsis where more follow."""
+    """The stripped text, or its first n words where it has more."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.when(F.size(words) > n, F.concat(F.array_join(F.slice(words, 1, n), " "), F.lit("..."))).otherwise(F.array_join(words, " "))
+    return F.when(F.size(words) > n, F.array_join(F.slice(words, 1, n), " ")).otherwise(F.regexp_replace(text, r"^\s+|\s+$", ""))
 
 
 def clock(seconds: Column) -> Column:
@@ -61,6 +61,12 @@ def clock(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor((s % 3600) / 60), s % 60)
 
 
+def audio_clock(markdown: Column, chunk_index: Column) -> Column:
+    """The [HH:MM:SS] of a transcript with the chunk's number, from 1; 00:00:00 where there is none."""
+    marks = F.regexp_extract_all(markdown, F.lit(r"\[(\d{2}:\d{2}:\d{2})\]"), F.lit(1))
+    return F.coalesce(F.get(marks, chunk_index - 1), F.lit("00:00:00"))
+
+
 def short_clock(seconds: Column) -> Column:
     """m:ss of a number of seconds."""
     s = F.floor(seconds).cast("long")
@@ -68,8 +74,17 @@ def short_clock(seconds: Column) -> Column:
 
 
 def file_size(size: Column) -> Column:
-    """Bytes, KB or MB with one decimal."""
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, F.format_string("%.1f KB", F.bround(size / 1024, 1))).otherwise(F.format_string("%.1f MB", F.bround(size / (1 << 20), 1)))
+    """The size in the largest unit of which it has one, B to TB, with one decimal."""
+    units = ("B", "KB", "MB", "GB", "TB")
+    shown = lambda i: F.format_string(f"%.1f {units[i]}", F.bround(size / float(1024**i), 1))
+    return reduce(lambda out, i: out.when(size < 1024 ** (i + 1), shown(i)), range(1, 4), F.when(size < 1024, shown(0))).otherwise(shown(4))
+
+
+def duration(seconds: Column) -> Column:
+    """1h 2m 3s, 2m 3s or 3s."""
+    s = F.floor(seconds).cast("long")
+    hours, minutes, rest = F.floor(s / 3600), F.floor((s % 3600) / 60), s % 60
+    return F.when(hours > 0, F.format_string("%dh %dm %ds", hours, minutes, rest)).when(minutes > 0, F.format_string("%dm %ds", minutes, rest)).otherwise(F.format_string("%ds", rest))
 
 
 def file_url(path: Column, base: str) -> Column:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import clock, duration
+from lodestrata.functions.vectors import reset_seconds
+
 
 def session_titles(messages: DataFrame, session: str, order: str, text: str, role: str, most: int = 50) -> DataFrame:
     """(session, title): the first user message, cut to `most` characters with an ellipsis."""
@@ -53,12 +57,138 @@ def speakers(segments: DataFrame, by: str, start: str, end: str, gap: float = 2.
     return turns.withColumn("speaker", (F.col("__turn") % 2 + 1).cast("int")).drop("__pause", "__turn")
 
 
+def transcripts(segments: DataFrame, file: str, start: str, end: str, text: str, language: str = "en", model: str = "whisper", gap: float = 2.0) -> DataFrame:
+    """(file, markdown): a header and the segments in order, a line naming each new speaker before its words."""
+    spoken = speakers(segments, file, start, end, gap)
+    order = Window.partitionBy(file).orderBy(start)
+    named = F.concat(F.lit("Speaker "), F.col("speaker").cast("string"))
+    change = F.when(F.coalesce(F.lag("speaker").over(order) != F.col("speaker"), F.lit(True)), F.concat(F.lit("\n**"), named, F.lit(":**\n\n"))).otherwise("")
+    line = F.concat(change, F.lit("["), clock(F.col(start)), F.lit("] "), F.trim(F.col(text)))
+    listed = spoken.select(file, F.col(start).alias("__at"), F.col(end).alias("__end"), line.alias("__line"))
+    one = listed.groupBy(file).agg(F.max_by("__end", "__at").alias("__seconds"), F.array_sort(F.collect_list(F.struct("__at", "__line"))).alias("__lines"))
+    head = F.concat(
+        F.lit("# Audio Transcription: "), F.col(file).cast("string"), F.lit("\n\n**Duration:** "), duration(F.col("__seconds")),
+        F.lit(f"\n**Language:** {language}\n**Model:** {model}\n\n---\n\n"),
+    )
+    return one.select(file, F.concat(head, F.array_join(F.transform("__lines", lambda x: x["__line"]), "\n")).alias("markdown"))
+
+
 def at_moment(moments: DataFrame, shots: DataFrame, by: str, time: str, start: str, end: str) -> DataFrame:
-    """Each moment with the shot that contains it (start <= t < end), else the last shot."""
-    last = shots.groupBy(by).agg(F.max_by("shot", start).alias("last_shot"))
-    hit = moments.join(shots, by).filter((F.col(start) <= F.col(time)) & (F.col(time) < F.col(end)))
-    hit = hit.groupBy(by, time).agg(F.min_by("shot", start).alias("shot"))
-    return moments.join(hit, [by, time], "left").join(last, by, "left").withColumn("shot", F.coalesce("shot", "last_shot")).drop("last_shot")
+    """Each moment with the shot that contains it (start <= t < end), else the last shot; shots do not overlap.
+
+    Shots and moments are merged in time order, and a moment takes the latest shot that has begun: no pairs of
+    the two are made, and each row is sorted once.
+    """
+    a = shots.select(by, F.col(start).alias("__t"), F.lit(0).alias("__kind"), F.struct("shot", F.col(end).alias("end")).alias("__shot"))
+    b = moments.select(by, F.col(time).alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast(a.schema["__shot"].dataType).alias("__shot"))
+    order = Window.partitionBy(by).orderBy("__t", "__kind")
+    begun = F.last("__shot", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last("__shot", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    placed = a.unionByName(b).select(by, "__t", "__kind", begun.alias("__begun"), last.alias("__last")).filter("__kind = 1")
+    inside = F.col("__begun").isNotNull() & (F.col("__t") < F.col("__begun.end"))
+    return placed.select(by, F.col("__t").alias(time), F.when(inside, F.col("__begun.shot")).otherwise(F.col("__last.shot")).alias("shot"))
+
+
+# Requests a minute and bursts by tier and by kind of client, of the others, and paths without a limit.
+TIERS = {"free": (60, 5), "premium": (300, 30), "enterprise": (1000, 100)}
+DEFAULT_TIER = "free"
+CLIENT_TYPES = {"ip_based": (100, 10), "session_based": (200, 20), "api_key_based": (500, 50)}
+FALLBACK = (100, 10)
+EXEMPT = ("/docs", "/redoc", "/openapi.json", "/health", "/metrics")
+
+
+def tier_limits(tier: Column, tiers: dict[str, tuple[int, int]] | None = None, default: str = DEFAULT_TIER) -> Column:
+    """struct(per_minute, burst) of a tier; unknown and missing tiers have the default's."""
+    known = tiers or TIERS
+    out = F.when(F.lit(False), _limits(known[default]))
+    for name, pair in known.items():
+        out = out.when(tier == name, _limits(pair))
+    return out.otherwise(_limits(known[default]))
+
+
+def _limits(pair: tuple[int, int]) -> Column:
+    return F.struct(F.lit(float(pair[0])).alias("per_minute"), F.lit(float(pair[1])).alias("burst"))
+
+
+def limiter(tier: Column, client_type: Column, tiers: dict[str, tuple[int, int]] | None = None) -> Column:
+    """struct(limiter, per_minute, burst): that of the tier (the default tier where none is named), else that of the
+    kind of client, else the fallback."""
+    asked = F.coalesce(F.nullif(tier, F.lit("")), F.lit(DEFAULT_TIER))
+    named = lambda name, pair: F.struct(F.lit(name).alias("limiter"), F.lit(float(pair[0])).alias("per_minute"), F.lit(float(pair[1])).alias("burst"))
+    out = F.when(F.lit(False), named("fallback", FALLBACK))
+    for name, pair in (TIERS if tiers is None else tiers).items():
+        out = out.when(asked == name, named(f"tier:{name}", pair))
+    for name, pair in CLIENT_TYPES.items():
+        out = out.when(client_type == name, named(f"type:{name}", pair))
+    return out.otherwise(named("fallback", FALLBACK))
+
+
+def limited_requests(requests: DataFrame, denied: list[str], allowed: list[str], tiers: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """The limits in front of a service, for a log (request long, ts, path, ip, client, tier, client_type).
+
+    (request, decision, limit, remaining, reset, retry_after): exempt paths and allowed addresses pass, denied
+    ones are blocked, and each client of a limiter has a bucket of its own. remaining is whole tokens and burst
+    tokens; reset the seconds until the bucket is full; retry_after is set where the request is turned away or
+    nothing remains.
+    """
+    access = ip_access(F.col("ip"), denied, allowed)
+    by = limiter(F.col("tier"), F.col("client_type"), tiers)
+    rows = requests.withColumn("__by", by).withColumn("__pass", F.when(exempt(F.col("path")), "exempt").when(access == "blocked", "blocked").when(access == "whitelisted", "whitelisted"))
+    free = rows.filter(F.col("__pass").isNotNull()).select("request", F.col("__pass").alias("decision"), *[F.lit(None).cast(t).alias(c) for c, t in (("limit", "int"), ("remaining", "int"), ("reset", "double"), ("retry_after", "int"))])
+    held = rows.filter(F.col("__pass").isNull()).select(
+        F.concat_ws("|", "__by.limiter", F.coalesce("client", F.lit("unknown"))).alias("client"), F.col("request").alias("event"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        F.col("__by.per_minute").alias("per_minute"), F.col("__by.burst").alias("burst"),
+    )
+    taken = _through_buckets(held, "string")
+    remaining = (F.floor("tokens") + F.floor("reserve")).cast("int")
+    reset = reset_seconds(F.col("tokens"), F.col("per_minute"))
+    wait = F.when(F.col("decision") == "rejected", F.greatest(F.lit(1), F.floor(reset).cast("int"))).when(remaining <= 0, F.floor(reset).cast("int"))
+    counted = taken.select(F.col("event").alias("request"), "decision", F.col("per_minute").cast("int").alias("limit"), remaining.alias("remaining"), F.round(reset, 6).alias("reset"), wait.alias("retry_after"))
+    return counted.unionByName(free)
+
+
+# Errors by severity, and stages in which any error is severe.
+CRITICAL = ("DatabaseError", "ConnectionError", "MemoryError", "SystemError", "OSError")
+HIGH = ("TimeoutError", "LLMCommandError", "ToolExecutionError", "ValidationError", "ConfigurationError")
+MEDIUM = ("RateLimitExceededError", "IngestionError", "FileAccessError")
+SEVERE_STAGES = ("query_generation", "final_assembly")
+
+
+def severity(error: Column, stage: Column) -> Column:
+    """critical, high, medium or low."""
+    high = error.isin(*HIGH) | F.coalesce(stage.isin(*SEVERE_STAGES), F.lit(False))
+    return F.when(error.isin(*CRITICAL), "critical").when(high, "high").when(error.isin(*MEDIUM), "medium").otherwise("low")
+
+
+def builder_statistics(chunks: DataFrame, by: str, candidates: str, score: str, success: Column, us: str) -> DataFrame:
+    """Chunks, candidates, mean score, share of successes and chunks a second of each builder."""
+    seconds = (F.max(us) - F.min(us)) / 1e6
+    return chunks.groupBy(by).agg(
+        F.count("*").alias("n_chunks"), F.sum(candidates).cast("long").alias("n_candidates"), F.round(F.avg(score), 6).alias("avg_score"),
+        F.round(F.coalesce(F.try_divide(F.count_if(success), F.count("*")), F.lit(0.0)), 6).alias("success_rate"), F.round(F.try_divide(F.count("*"), seconds), 6).alias("per_second"),
+    )
+
+
+def client_statistics(requests: DataFrame, client: str, us: str, now: Column, window_seconds: int = 60) -> DataFrame:
+    """(client, recent, n): requests in the window that ends now, and all."""
+    return requests.groupBy(client).agg(F.count_if(F.col(us) >= now - window_seconds * 1_000_000).alias("recent"), F.count("*").alias("n"))
+
+
+def failure_report(progress: DataFrame, phase: str, file: str, error: Column) -> DataFrame:
+    """(phase, file, error): a row a failed file of each phase, its last error."""
+    return progress.groupBy(F.col(phase).alias("phase"), F.col(file).cast("string").alias("file")).agg(F.max(error).alias("error"))
+
+
+# A job's states, ended ones last.
+STATES = ("queued", "processing", "completed", "failed")
+
+
+def job_states(events: DataFrame, job: str, state: str, order: list[str]) -> DataFrame:
+    """(job, state, n_events) from (job, state) events: the last state, but an ended job stays as it ended first."""
+    place = F.struct(*order)
+    ended = F.when(F.col(state).isin("completed", "failed"), place)
+    found = events.filter(F.col(state).isin(*STATES)).groupBy(job).agg(F.min_by(state, ended).alias("__end"), F.max_by(state, place).alias("__last"), F.count("*").alias("n_events"))
+    return found.select(job, F.coalesce("__end", "__last").alias("state"), "n_events")
 
 
 def ip_access(ip: Column, denied: list[str], allowed: list[str]) -> Column:
@@ -109,9 +239,9 @@ class QueuedBucket(Bucket):
     """A bucket with a first-in, first-out queue: a request waits for its tokens if that ends within `timeout`
     seconds and fewer than `size` requests wait."""
 
-    def __init__(self, per_minute: float, burst: float, size: int = 100, timeout: float = 30.0) -> None:
-        super().__init__(per_minute, burst)
-        self.size, self.timeout, self.served = size, timeout, []
+    def __init__(self, per_minute: float, burst: float, size: int = 100, timeout: float = 30.0, *held, served: list[float] | None = None) -> None:
+        super().__init__(per_minute, burst, *held)
+        self.size, self.timeout, self.served = size, timeout, served or []
 
     def take_or_wait(self, now: float, weight: float = 1.0) -> tuple[str, float]:
         """Decision and the seconds waited: allowed, burst, queued, timeout or rejected."""
@@ -129,17 +259,9 @@ class QueuedBucket(Bucket):
         return "queued", ready - now
 
 
-def cascade(tier: Column, client_type: Column, fallback: Column) -> Column:
-    """The first limiter that knows the client decides; without any, requests pass."""
-    return F.coalesce(tier, client_type, fallback, F.lit("allowed"))
-
-
-def exempt(path: Column, prefixes: tuple[str, ...] = ("/health", "/metrics", "/docs")) -> Column:
+def exempt(path: Column, prefixes: tuple[str, ...] = EXEMPT) -> Column:
     """Paths that no limit applies to."""
-    out = F.lit(False)
-    for p in prefixes:
-        out = out | path.startswith(p)
-    return out
+    return reduce(lambda a, b: a | b, [path.startswith(p) for p in prefixes])
 
 
 def rate_limited(events: DataFrame, client: str, ts: str, event: str, per_minute: float, burst: float) -> DataFrame:
@@ -148,19 +270,47 @@ def rate_limited(events: DataFrame, client: str, ts: str, event: str, per_minute
     A client's requests are streamed in time order through one bucket; memory holds one Arrow batch.
     """
     kind = events.schema[client].dataType.simpleString()
-    rows = events.select(F.col(client).alias("client"), F.col(event).cast("long").alias("event"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    rows = events.select(
+        F.col(client).alias("client"), F.col(event).cast("long").alias("event"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.lit(float(per_minute)).alias("per_minute"), F.lit(float(burst)).alias("burst")
+    )
+    return _through_buckets(rows, kind).drop("per_minute")
+
+
+def _through_buckets(rows: DataFrame, kind: str) -> DataFrame:
+    """(client, event, decision, tokens, reserve, per_minute) for (client, event, us, per_minute, burst); a bucket a client."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, bucket = None, Bucket(per_minute, burst)
+        now, bucket = None, None
         for part in parts:
             out = []
-            for who, us in zip(part["client"], part["us"], strict=True):
-                if now is None or who != now:
+            for who, us, per_minute, burst in zip(part["client"], part["us"], part["per_minute"], part["burst"], strict=True):
+                if bucket is None or who != now:
                     now, bucket = who, Bucket(per_minute, burst)
                 out.append((bucket.take(us / 1e6), round(bucket.tokens, 6), round(bucket.reserve, 6)))
-            yield pd.DataFrame({"client": part["client"], "event": part["event"], "decision": [o[0] for o in out], "tokens": [o[1] for o in out], "reserve": [o[2] for o in out]})
+            yield pd.DataFrame({"client": part["client"], "event": part["event"], "decision": [o[0] for o in out], "tokens": [o[1] for o in out], "reserve": [o[2] for o in out], "per_minute": part["per_minute"]})
+
+    schema = f"client {kind}, event long, decision string, tokens double, reserve double, per_minute double"
+    return rows.repartition("client").sortWithinPartitions("client", "us", "event").mapInPandas(run, schema)
+
+
+def queued_requests(events: DataFrame, client: str, ts: str, event: str, per_minute: float, burst: float, size: int = 100, timeout: float = 30.0) -> DataFrame:
+    """(client, event, decision, waited) of a stored log with a queue in front of the bucket: a request that finds no
+    token waits behind the earlier ones, if its turn comes within `timeout` seconds and fewer than `size` wait."""
+    kind = events.schema[client].dataType.simpleString()
+    rows = events.select(F.col(client).alias("client"), F.col(event).cast("long").alias("event"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, bucket = None, None
+        for part in parts:
+            out = []
+            for who, us in zip(part["client"], part["us"], strict=True):
+                if bucket is None or who != now:
+                    now, bucket = who, QueuedBucket(per_minute, burst, size, timeout)
+                out.append(bucket.take_or_wait(us / 1e6))
+            yield pd.DataFrame({"client": part["client"], "event": part["event"], "decision": [o[0] for o in out], "waited": [round(o[1], 6) for o in out]})
 
-    return rows.repartition("client").sortWithinPartitions("client", "us", "event").mapInPandas(run, f"client {kind}, event long, decision string, tokens double, reserve double")
+    ordered = rows.repartition("client").sortWithinPartitions("client", "us", "event")
+    return ordered.mapInPandas(run, f"client {kind}, event long, decision string, waited double")
 
 
 def recent_requests(events: DataFrame, client: str, ts: str, seconds: int = 60) -> DataFrame:

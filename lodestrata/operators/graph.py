@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.answers import verdict
 from lodestrata.functions.vectors import first_best, softmax
 from lodestrata.operators.search import knn, top_k
 
@@ -40,6 +43,30 @@ def gated(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.filter((F.col("relation") != "unrelated") & (F.col("confidence") >= least))
 
 
+def valid_candidates(candidates: DataFrame, key: str, text: str, asked: Column) -> DataFrame:
+    """Candidates with an id other than the asked one's and a text that is not blank."""
+    return candidates.filter(F.col(key).isNotNull() & (F.col(key) != asked) & (F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0))
+
+
+REJUDGED, PROMPT_CHARS = 0.99, 400
+
+
+def rejudged(pairs: DataFrame, least: float, judge: Callable[[Column, Column], Column]) -> DataFrame:
+    """All pairs (id, text_a, text_b, relation, confidence) in the order of their ids, the weak ones judged again.
+
+    judge: a column function of both texts' first 400 characters (the prompt's size) that gives a reply; only
+    pairs below `least` are sent to it. A reply that names a relation decides with a confidence of 0.99, any
+    other leaves the pair as it was.
+    """
+    weak = F.col("confidence") < least
+    asked = pairs.filter(weak)
+    reply = judge(F.substring("text_a", 1, PROMPT_CHARS), F.substring("text_b", 1, PROMPT_CHARS))
+    said = verdict(reply, F.lit(None).cast("string"))
+    again = asked.withColumn("__said", said)
+    again = again.withColumn("relation", F.coalesce("__said", "relation")).withColumn("confidence", F.when(F.col("__said").isNotNull(), REJUDGED).otherwise(F.col("confidence"))).drop("__said")
+    return pairs.filter(~weak | F.col("confidence").isNull()).unionByName(again).orderBy("id")
+
+
 def typed_edges(pairs: DataFrame, least: float, per_type: int) -> DataFrame:
     """(src, dst, type, confidence, rank): the best pairs of each source and type. Pairs carry their own ids."""
     kept = gated(pairs, least).select("src", "dst", F.upper("relation").alias("type"), "confidence")

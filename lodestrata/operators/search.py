@@ -119,3 +119,14 @@ def metadata_filter(metadata: DataFrame, filters: dict[str, str | None]) -> Data
     for k, v in clauses.items():
         out = out.filter(token_filter(v, k) if k in ("title", "author") else F.col(k) == v)
     return out.select("document_id").distinct()
+
+
+def tagged(rows: DataFrame, asked: dict[str, str | list[str] | None]) -> DataFrame:
+    """Rows that satisfy every clause: a column's value, or every asked tag in its array; nulls ask nothing."""
+    out = rows
+    for column, value in asked.items():
+        if isinstance(value, list):
+            out = out.filter(F.size(F.array_except(F.array(*map(F.lit, value)), F.col(column))) == 0) if value else out
+        elif value is not None:
+            out = out.filter(F.col(column) == value)
+    return out

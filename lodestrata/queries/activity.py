@@ -45,7 +45,13 @@ def r4_user_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("user_id", "started", "n")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {BASE}, seq AS (SELECT event_id, user_id, us::DOUBLE / 1e6 AS t, (1.0::DOUBLE / 720) AS pm, 2.0::DOUBLE AS bu, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM e),
+r AS (SELECT event_id, user_id, n, t, 'burst' AS decision, pm AS tok, bu - 1 AS res FROM seq WHERE n = 1
+  UNION ALL SELECT event_id, user_id, n, t, CASE WHEN f >= 1 THEN 'allowed' WHEN g >= 1 THEN 'burst' ELSE 'rejected' END, CASE WHEN f >= 1 THEN f - 1 ELSE f END, CASE WHEN f < 1 AND g >= 1 THEN g - 1 ELSE g END
+  FROM (SELECT s.event_id, s.user_id, s.n, s.t, least(s.pm, r.tok + greatest(0.0, s.t - r.t) * s.pm / 60) AS f, least(s.bu, r.res + greatest(0.0, s.t - r.t) * s.bu / 600) AS g FROM r JOIN seq s ON s.user_id = r.user_id AND s.n = r.n + 1))
+SELECT user_id AS client, event_id AS event, decision, round(tok, 6) AS tokens, round(res, 6) AS reserve FROM r"""
+)
 def r1_rate_limited(spark: SparkSession, folder: str) -> DataFrame:
     return A.rate_limited(_events(spark, folder), "user_id", "ts", "event_id", per_minute=1.0 / 720, burst=2)
 
@@ -146,7 +152,21 @@ def w13_stage_durations(spark: SparkSession, folder: str) -> DataFrame:
     return _events(spark, folder).groupBy("user_id", "event_type").agg(F.min("us").alias("started"), F.max("us").alias("ended"), F.round((F.max("us") - F.min("us")) / 1e6, 6).alias("seconds"))
 
 
-@query("SELECT event_type, CASE WHEN event_type IN ('error', 'purchase') THEN 'high' WHEN event_type = 'click' THEN 'medium' ELSE 'low' END AS severity, count(*) AS n FROM events GROUP BY ALL")
+_ERRORS = (
+    "DatabaseError", "ConnectionError", "MemoryError", "SystemError", "OSError", "TimeoutError", "LLMCommandError", "ToolExecutionError", "ValidationError", "ConfigurationError",
+    "RateLimitExceededError", "IngestionError", "FileAccessError", "KeyError",
+)
+_STAGES = ("query_generation", "vector_search", "final_assembly", None)
+
+
+@query(
+    "WITH x AS (SELECT [" + ", ".join(repr(x) for x in _ERRORS) + "][event_id % 14 + 1] AS error, CASE user_id % 4 WHEN 0 THEN 'query_generation' WHEN 1 THEN 'vector_search' WHEN 2 THEN 'final_assembly' END AS stage FROM events) "
+    "SELECT error, stage, CASE WHEN error IN ('DatabaseError', 'ConnectionError', 'MemoryError', 'SystemError', 'OSError') THEN 'critical' "
+    "WHEN error IN ('TimeoutError', 'LLMCommandError', 'ToolExecutionError', 'ValidationError', 'ConfigurationError') OR stage = 'query_generation' OR stage = 'final_assembly' THEN 'high' "
+    "WHEN error IN ('RateLimitExceededError', 'IngestionError', 'FileAccessError') THEN 'medium' ELSE 'low' END AS severity, count(*) AS n FROM x GROUP BY ALL"
+)
 def m22_severities(spark: SparkSession, folder: str) -> DataFrame:
-    kind = F.col("event_type")
-    return table(spark, folder, "events").groupBy("event_type", F.when(kind.isin("error", "purchase"), "high").when(kind == "click", "medium").otherwise("low").alias("severity")).agg(F.count("*").alias("n"))
+    error = F.element_at(F.array(*map(F.lit, _ERRORS)), (F.col("event_id") % 14 + 1).cast("int"))
+    stage = F.element_at(F.array(*[F.lit(x).cast("string") for x in _STAGES]), (F.col("user_id") % 4 + 1).cast("int"))
+    e = table(spark, folder, "events").select(error.alias("error"), stage.alias("stage"))
+    return e.groupBy("error", "stage", A.severity(F.col("error"), F.col("stage")).alias("severity")).agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text
+from lodestrata.operators import models
 from lodestrata.queries import fixtures as X
 from lodestrata.queries.registry import query
 from lodestrata.sources import tables as S
@@ -18,24 +19,71 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
 EXT = r"lower(regexp_extract(url, '(\.[A-Za-z0-9]+)(?:[?#].*)?$', 1))"
 
 
-def _case(categories: dict[str, tuple[str, ...]]) -> str:
-    return "CASE " + " ".join(f"WHEN {EXT} IN ({', '.join(repr(e) for e in known)}) THEN '{kind}'" for kind, known in categories.items()) + " ELSE 'unknown' END"
+def _case(known: dict[str, str], other: str) -> str:
+    return "CASE " + " ".join(f"WHEN {EXT} IN ({names}) THEN '{kind}'" for kind, names in known.items()) + f" ELSE '{other}' END"
+
+
+# Written by hand from the rules, not from the library's constants.
+_CATEGORY = _case(
+    {
+        "document": "'.pdf', '.docx', '.doc', '.pptx', '.ppt', '.xlsx', '.xls', '.csv', '.html', '.htm'",
+        "audio": "'.mp3', '.wav', '.m4a', '.flac'",
+        "image": "'.jpg', '.jpeg', '.png', '.webp'",
+    },
+    "unknown",
+)
+_FOLDER = _case(
+    {
+        "PDF": "'.pdf'", "WORD": "'.docx', '.doc'", "PPT": "'.pptx', '.ppt'", "EXCEL": "'.xlsx', '.xls', '.csv'", "HTML": "'.html', '.htm'",
+        "AUDIO": "'.mp3', '.wav', '.m4a', '.flac'", "IMAGES": "'.jpg', '.jpeg', '.png', '.webp'",
+    },
+    "OTHER",
+)
+_SOURCE = _case(
+    {
+        "pdf": "'.pdf'", "docx": "'.docx', '.doc'", "pptx": "'.pptx', '.ppt'", "xlsx": "'.xlsx', '.xls', '.csv'", "web": "'.html', '.htm'",
+        "audio": "'.mp3', '.wav', '.m4a', '.flac'", "image": "'.jpg', '.jpeg', '.png', '.webp'",
+    },
+    "unknown",
+)
+#: The pages' addresses, most without an extension, with one of these put behind by number.
+_ENDINGS = ("", ".md", ".PPT", ".xls", ".csv", ".docx", ".ogg", ".flac", ".webp", ".gif", ".Mp3", ".jpeg", ".txt", ".pdf", ".xlsx", ".png")
+_NAMED = "named AS (SELECT page_id, url || [" + ", ".join(repr(e) for e in _ENDINGS) + "][page_id % 16 + 1] AS url FROM pages)"
+
+
+def _named_pages(spark: SparkSession, folder: str) -> DataFrame:
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("page_id") % 16 + 1).cast("int"))
+    return _pages(spark, folder).select("page_id", F.concat("url", ending).alias("url"))
+
+
+@query(f"WITH {_NAMED} SELECT page_id, {EXT} AS ext, {_CATEGORY} AS category, {_FOLDER} AS folder_type, {_SOURCE} AS source_type FROM named")
+def s8_page_categories(spark: SparkSession, folder: str) -> DataFrame:
+    url = F.col("url")
+    return _named_pages(spark, folder).select("page_id", text.extension(url).alias("ext"), S.category(url).alias("category"), S.folder_type(url).alias("folder_type"), S.source_type(url).alias("source_type"))
 
 
-@query(f"SELECT page_id, {EXT} AS ext, {_case(S.CATEGORIES)} AS category FROM pages")
-def s8_page_categories(spark: SparkSession, folder: str) -> DataFrame:
-    return _pages(spark, folder).select("page_id", text.extension(F.col("url")).alias("ext"), S.category(F.col("url")).alias("category"))
+_MIMES = ("application/msword", "text/html", "text/plain", "audio/x-m4a", "audio/ogg", "video/mp4", "image/webp", "image/gif")
+
+
+@query(
+    "WITH named AS (SELECT page_id, [" + ", ".join(repr(m) for m in _MIMES) + "][page_id % 8 + 1] AS mime, CASE WHEN page_id % 3 = 0 THEN 'x.wav' ELSE 'x.bin' END AS name FROM pages) "
+    "SELECT page_id, CASE WHEN name = 'x.wav' THEN 'audio' WHEN mime IN ('application/msword', 'text/html') THEN 'document' WHEN mime = 'audio/x-m4a' THEN 'audio' WHEN mime = 'image/webp' THEN 'image' ELSE 'unknown' END AS category FROM named"
+)
+def s7_mime_categories(spark: SparkSession, folder: str) -> DataFrame:
+    """The extension decides; the MIME type where it is unknown."""
+    mime = F.element_at(F.array(*map(F.lit, _MIMES)), (F.col("page_id") % 8 + 1).cast("int"))
+    name = F.when(F.col("page_id") % 3 == 0, "x.wav").otherwise("x.bin")
+    return _pages(spark, folder).select("page_id", S.category(name, mime).alias("category"))
 
 
-@query(f"SELECT category, count(*) AS n FROM (SELECT {_case(S.CATEGORIES)} AS category FROM pages) GROUP BY category")
+@query(f"WITH {_NAMED} SELECT category, count(*) AS n FROM (SELECT {_CATEGORY} AS category FROM named) GROUP BY category")
 def a22_pages_by_category(spark: SparkSession, folder: str) -> DataFrame:
-    return _pages(spark, folder).groupBy(S.category(F.col("url")).alias("category")).agg(F.count("*").alias("n"))
+    return _named_pages(spark, folder).groupBy(S.category(F.col("url")).alias("category")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT page_id, {EXT} IN ({', '.join(repr(e) for e in S.UPLOADS)}) AND NOT contains(url, '..') AS accepted FROM pages")
+@query(f"WITH {_NAMED} SELECT page_id, {EXT} IN ('.pdf', '.docx', '.pptx', '.xlsx', '.mp3', '.wav', '.jpg', '.png') AND NOT contains(url, '..') AS accepted FROM named")
 def s9_upload_check(spark: SparkSession, folder: str) -> DataFrame:
-    good = text.extension(F.col("url")).isin(*S.UPLOADS) & ~F.contains("url", F.lit(".."))
-    return _pages(spark, folder).select("page_id", good.alias("accepted"))
+    return _named_pages(spark, folder).select("page_id", S.uploadable(F.col("url")).alias("accepted"))
 
 
 @query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<p[ >]')) AS BIGINT) AS paragraphs, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM pages")
@@ -43,7 +91,14 @@ def f3_page_structure(spark: SparkSession, folder: str) -> DataFrame:
     return _pages(spark, folder).select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<p[ >]"), F.lit(0))).cast("long").alias("paragraphs"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"))
 
 
-@query()
+# RE2 has no back references: each of the four elements is its own branch.
+_PAGE_TEXT = r"""WITH cut AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>|<footer\b.*?</footer>|<!--.*?-->', ' ', 'g'),
+  '(?i)<br\s*/?>|</(p|div|h[1-6]|li|tr|article)>', chr(10), 'g') AS t FROM pages),
+bare AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(t, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM cut)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' *\n[ \n]*', chr(10), 'g'), '^\s+', ''), '\s+$', '') AS text FROM bare"""
+
+
+@query(_PAGE_TEXT)
 def s10_page_texts(spark: SparkSession, folder: str) -> DataFrame:
     return _pages(spark, folder).select("page_id", text.html_text(F.col("html")).alias("text"))
 
@@ -53,9 +108,16 @@ def f22_file_urls(spark: SparkSession, folder: str) -> DataFrame:
     return _pages(spark, folder).select("page_id", text.file_url(F.replace("url", F.lit("http:/"), F.lit("")), "https://h/").alias("file_url"))
 
 
-@query("SELECT page_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) ELSE printf('%.1f MB', n / 1048576) END AS size FROM (SELECT page_id, strlen(html) AS n FROM pages)")
+_SIZED = "sized AS (SELECT page_id, strlen(html) * CASE page_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1024 WHEN 3 THEN 1048576 ELSE 4294967296 END AS n FROM pages)"
+
+
+@query(
+    f"WITH {_SIZED} SELECT page_id, CASE WHEN n < 1024 THEN printf('%.1f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) "
+    "WHEN n < 1099511627776 THEN printf('%.1f GB', n / 1073741824) ELSE printf('%.1f TB', n / 1099511627776) END AS size FROM sized"
+)
 def f36_file_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return _pages(spark, folder).select("page_id", text.file_size(F.octet_length("html")).alias("size"))
+    factor = F.element_at(F.array(*[F.lit(x).cast("long") for x in (1, 0, 1024, 1 << 20, 1 << 32)]), (F.col("page_id") % 5 + 1).cast("int"))
+    return _pages(spark, folder).select("page_id", text.file_size(F.octet_length("html").cast("long") * factor).alias("size"))
 
 
 @query("SELECT page_id, 'fig/' || page_id || '.png' AS images FROM pages")
@@ -64,12 +126,12 @@ def f17_image_paths(spark: SparkSession, folder: str) -> DataFrame:
     return _pages(spark, folder).select("page_id", F.array_join(text.image_paths(marked), ",").alias("images"))
 
 
-UPSERT = """stored AS (SELECT doc_id, lang, source, 1 AS version FROM documents WHERE doc_id % 3 <> 0), fresh AS (SELECT doc_id, upper(lang) AS lang, source, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 2 END AS version FROM documents WHERE doc_id % 2 = 0)"""
+UPSERT = """stored AS (SELECT doc_id, lang, source, 1 AS version FROM documents WHERE doc_id % 3 <> 0), fresh AS (SELECT doc_id, upper(lang) AS lang, source, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 2 END AS version FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0)"""
 
 
 def _stored(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     d = S.table(spark, folder, "documents")
-    return d.filter("doc_id % 3 <> 0").select("doc_id", "lang", "source", F.lit(1).alias("version")), d.filter("doc_id % 2 = 0").select("doc_id", F.upper("lang").alias("lang"), "source", F.when(F.col("doc_id") % 5 == 0, 0).otherwise(2).alias("version"))
+    return d.filter("doc_id % 3 <> 0").select("doc_id", "lang", "source", F.lit(1).alias("version")), d.filter("doc_id % 2 = 0 or doc_id % 3 = 0").select("doc_id", F.upper("lang").alias("lang"), "source", F.when(F.col("doc_id") % 5 == 0, 0).otherwise(2).alias("version"))
 
 
 @query(f"WITH {UPSERT} SELECT doc_id, lang, source, version FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY version DESC, n DESC) AS r FROM (SELECT *, 0 AS n FROM stored UNION ALL SELECT *, 1 FROM fresh)) WHERE r = 1")
@@ -83,11 +145,15 @@ def k10_deleted_documents(spark: SparkSession, folder: str) -> DataFrame:
     return S.delete(stored, fresh, ["doc_id"])
 
 
-@query("SELECT e.vec_id, CASE WHEN e.vec_id % 3 = 0 THEN 'hit' ELSE 'miss' END AS cache FROM embeddings e")
+@query(
+    "WITH cache AS (SELECT DISTINCT 'embedding:doc:' || substr(sha256('search_document: ' || text), 1, 16) AS k FROM documents JOIN labels USING (doc_id)) "
+    "SELECT doc_id, CASE WHEN 'embedding:doc:' || substr(sha256('search_document: ' || text), 1, 16) IN (SELECT k FROM cache) THEN 'hit' ELSE 'miss' END AS cache FROM documents"
+)
 def k19_cache_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    e = S.table(spark, folder, "embeddings").select("vec_id")
-    cached = e.filter("vec_id % 3 = 0").withColumn("there", F.lit(True))
-    return e.join(cached, "vec_id", "left").select("vec_id", F.when(F.col("there"), "hit").otherwise("miss").alias("cache"))
+    """The texts of labelled documents are in the cache; a lookup goes by the key of the text."""
+    d = S.table(spark, folder, "documents").select("doc_id", "text")
+    known = models.cache_rows(d.join(S.table(spark, folder, "labels").select("doc_id"), "doc_id", "left_semi").withColumn("embedding", F.array(F.lit(1.0))))
+    return models.cached(d, known).select("doc_id", F.when(F.col("hit"), "hit").otherwise("miss").alias("cache"))
 
 
 @query("SELECT 'documents' AS store, count(*) AS n FROM documents UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'conversations', count(*) FROM conversations")

@@ -53,11 +53,11 @@ def w9_speaker_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 def _marked(spark: SparkSession, folder: str) -> DataFrame:
     """Assistant turns with thinking, a heading, links and a tool call put in."""
-    link = F.concat(F.lit(" <link>http://h/a"), F.col("turn").cast("string"), F.lit(".PNG</link> and [x](http://h/d.pdf) <link>http://h/d.pdf</link> <link>http://h/z.bin</link>"))
-    return _messages(spark, folder).filter("role = 'assistant'").withColumn("answer", F.concat(F.lit("<think> step "), F.col("turn").cast("string"), F.lit("</think>\n\n\n\n"), F.substring("text", 1, 200), link))
+    link = F.concat(F.lit(" <link>http://h/a"), F.col("turn").cast("string"), F.lit(".PNG</link> and ![x](http://h/d.pdf) [y](http://h/no.png) <link>http://h/d.pdf</link> <link>http://h/z.svg</link>"))
+    return _messages(spark, folder).filter("role = 'assistant'").withColumn("answer", F.concat(F.lit("<think> step "), F.col("turn").cast("string"), F.lit("</think>\n\n\n\n"), F.col("text"), link))
 
 
-MARKED = "marked AS (SELECT conv_id, turn, '<think> step ' || turn || '</think>' || repeat(chr(10), 4) || substr(text, 1, 200) || ' <link>http://h/a' || turn || '.PNG</link> and [x](http://h/d.pdf) <link>http://h/d.pdf</link> <link>http://h/z.bin</link>' AS answer FROM conversations WHERE role = 'assistant')"
+MARKED = "marked AS (SELECT conv_id, turn, '<think> step ' || turn || '</think>' || repeat(chr(10), 4) || text || ' <link>http://h/a' || turn || '.PNG</link> and ![x](http://h/d.pdf) [y](http://h/no.png) <link>http://h/d.pdf</link> <link>http://h/z.svg</link>' AS answer FROM conversations WHERE role = 'assistant')"
 
 
 @query(f"WITH {MARKED} SELECT conv_id, turn, 'http://h/a' || turn || '.PNG' AS images, 'http://h/d.pdf' AS documents FROM marked")
@@ -72,8 +72,14 @@ def f24_thinking(spark: SparkSession, folder: str) -> DataFrame:
     return _marked(spark, folder).select("conv_id", "turn", s["main"].alias("main"), s["thinking"].alias("thinking"))
 
 
-@query()
+_CLEAN = (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(answer, '<think>.*?</think>', '', 'gis'), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '^\\s+', ''), '\\s+$', '')"
+)
+
+
+@query(f"WITH {MARKED} SELECT conv_id, turn, {_CLEAN} AS answer FROM marked")
 def f25_cleaned_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """A tagged and a bare tool call are put around each answer and must go; the answer itself stays."""
     call = F.lit('{"name": "rag_retrieval", "arguments": {"query": "a {b}", "n": {"x": 1}}}')
     return _marked(spark, folder).select("conv_id", "turn", answers.cleaned(F.concat(F.lit("<tool_call>x</tool_call>"), F.col("answer"), call)).alias("answer"))
 

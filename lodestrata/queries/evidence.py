@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions import ids, images, text, vectors
-from lodestrata.operators import models, search
+from lodestrata.functions import answers, ids, images, text, vectors
+from lodestrata.operators import graph, models, search
 from lodestrata.queries import fixtures as X
 from lodestrata.queries.registry import query
 from lodestrata.queries.search import _with
-from lodestrata.sources.tables import first_by, table, upsert
+from lodestrata.sources.tables import archive_kind, first_by, table, upsert
 
 
 @query(_with(X.CHUNKS, "tok AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS t FROM chunks), c AS (SELECT chunk_id, CAST(CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64 AS INTEGER) AS bucket, count(*) AS n FROM tok GROUP BY ALL)") + "SELECT chunk_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)), 6) AS weight FROM c")
@@ -64,32 +64,62 @@ def j8_source_attribution(spark: SparkSession, folder: str) -> DataFrame:
     return cited.groupBy("answer").agg(F.array_join(F.array_sort(F.collect_set("file_name")), ",").alias("sources"))
 
 
-@query(_with(X.CHUNKS) + "SELECT chunk_id, CAST(coalesce(nullif(CASE WHEN seq % 2 = 0 THEN 0 ELSE page_number END, 0), page_number) AS INTEGER) AS page, CASE WHEN seq % 4 = 0 THEN 'contradicts' WHEN seq % 4 = 1 THEN 'context' ELSE 'supports' END AS relation FROM chunks")
+@query(
+    _with(X.CHUNKS)
+    + "SELECT chunk_id, CAST(coalesce(nullif(CASE WHEN seq % 2 = 0 THEN 0 ELSE page_number END, 0), page_number) AS INTEGER) AS page, "
+    "CASE seq % 5 WHEN 0 THEN 'contradicts' WHEN 1 THEN 'context' ELSE 'supports' END AS relation FROM chunks"
+)
 def p17_recovered_pages(spark: SparkSession, folder: str) -> DataFrame:
     c = X.chunks(spark, folder)
     lost = F.when(F.col("seq") % 2 == 0, 0).otherwise(F.col("page_number"))
-    origin = F.element_at(F.array(*map(F.lit, ("probe_contradicts", "context", "anchor", "graph_a"))), (F.col("seq") % 4 + 1).cast("int"))
-    relation = F.when(F.contains(origin, F.lit("contradicts")), "contradicts").when(F.contains(origin, F.lit("context")), "context").otherwise("supports")
-    return c.select("chunk_id", F.coalesce(F.nullif(lost, F.lit(0)), ids.chunk_page(F.col("chunk_id")), F.lit(1)).cast("int").alias("page"), relation.alias("relation"))
+    origin = F.element_at(F.array(*map(F.lit, ("probe_contradicts", "context", "anchor", "graph_a", "wider context"))), (F.col("seq") % 5 + 1).cast("int"))
+    return c.select("chunk_id", F.coalesce(F.nullif(lost, F.lit(0)), ids.chunk_page(F.col("chunk_id")), F.lit(1)).cast("int").alias("page"), answers.relation(origin).alias("relation"))
 
 
-@query("SELECT doc_id, CASE source WHEN 'src1' THEN 'video' WHEN 'src2' THEN 'audio' WHEN 'src3' THEN 'image' ELSE 'document' END AS kind FROM documents")
+@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'video' WHEN 1 THEN 'video' WHEN 2 THEN 'photo' WHEN 3 THEN 'photo' ELSE 'report' END AS kind FROM documents")
 def p20_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    name = F.concat(F.lit("f"), F.element_at(F.create_map(*map(F.lit, ("src1", ".MP4", "src2", ".wav", "src3", ".Jpg"))), F.col("source")))
-    kind = F.when(name.rlike(r"(?i)\.(mp4|mov|mkv|webm)$"), "video").when(name.rlike(r"(?i)\.(mp3|wav|m4a|flac)$"), "audio").when(name.rlike(r"(?i)\.(png|jpe?g|webp|tiff?)$"), "image").otherwise("document")
-    return table(spark, folder, "documents").select("doc_id", kind.alias("kind"))
+    name = F.element_at(F.array(*map(F.lit, ("a.MP4", "b.c.webm", "x.Jpg", "y.jpeg", "z.wav", "mp4.tiff"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(spark, folder, "documents").select("doc_id", archive_kind(name).alias("kind"))
 
 
-@query("SELECT doc_id FROM documents WHERE source = 'src4' AND lang = 'en' AND list_has_all(regexp_extract_all(lower(text), '[a-z]+'), ['the', 'and'])")
+_TAGS = "[lang, source, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END]"
+
+
+@query(
+    "SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT p.vec_id AS query_id, v.vec_id, CAST(v.vec_id AS VARCHAR) AS chunk_id, "
+    "round(list_dot_product(p.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings p, (SELECT e.vec_id, e.embedding FROM embeddings e JOIN documents ON doc_id = vec_id "
+    f"WHERE list_has_all({_TAGS}, ['en', 'even'])) v WHERE p.vec_id % 20 = 0)) WHERE rank <= 12"
+)
 def p4_tagged_documents(spark: SparkSession, folder: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    return table(spark, folder, "documents").filter((F.col("source") == "src4") & (F.col("lang") == "en") & F.forall(F.array(F.lit("the"), F.lit("and")), lambda t: F.array_contains(words, t))).select("doc_id")
+    """Vector search among the rows that have every asked tag."""
+    tags = F.array("lang", "source", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd"))
+    tagged = table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), tags.alias("tags"))
+    rows = table(spark, folder, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("chunk_id"), "embedding").join(tagged, "vec_id")
+    found = search.knn(X.probes(spark, folder), search.tagged(rows, {"tags": ["en", "even"]}))
+    return found.select("query_id", F.col("chunk_id").cast("long").alias("vec_id"), "score", "rank")
+
+
+_ORIGIN = "['anchor', 'relation', 'probe_supports', 'graph_a', 'probe_depends', 'context', NULL][doc_id % 7 + 1]"
 
 
-@query("SELECT doc_id, length(trim(text)) > 0 AND n_chars >= 0 AND source IN ('src0', 'src1', 'src2') AS valid FROM documents")
+@query(
+    f"SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'page' WHEN {_ORIGIN} IS NULL OR {_ORIGIN} = 'graph_a' THEN 'origin' WHEN doc_id % 8 = 7 THEN 'confidence' END AS problem FROM documents"
+)
 def p13_validated_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    good = (F.length(F.trim("text")) > 0) & (F.col("n_chars") >= 0) & F.col("source").isin("src0", "src1", "src2")
-    return table(spark, folder, "documents").select("doc_id", good.alias("valid"))
+    """What is wrong with output chunks made from the documents: page, origin or confidence."""
+    n = F.col("doc_id")
+    origin = F.element_at(F.array(*[F.lit(x).cast("string") for x in ("anchor", "relation", "probe_supports", "graph_a", "probe_depends", "context", None)]), (n % 7 + 1).cast("int"))
+    problem = answers.chunk_problem((n % 10 * -1 + 8).cast("int"), origin, n % 8 / 6.0, F.col("text"))
+    return table(spark, folder, "documents").select("doc_id", problem.alias("problem"))
+
+
+@query("SELECT doc_id FROM documents WHERE trim(text) <> '' AND doc_id <> (SELECT max(doc_id) FROM documents) AND n_chars > 100")
+def p10_valid_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates with an id, a text that is not blank, and another chunk than the one that asks."""
+    d = table(spark, folder, "documents")
+    asked = d.agg(F.max("doc_id").alias("asked"))
+    good = graph.valid_candidates(d.filter("n_chars > 100").join(F.broadcast(asked)), "doc_id", "text", F.col("asked"))
+    return good.select("doc_id")
 
 
 @query(_with(X.CHUNKS) + "SELECT document_id, count(*) AS n, bool_and(p IS NULL OR (page_number, chunk_index) > (p, i)) AS in_order FROM (SELECT *, lag(page_number) OVER w AS p, lag(chunk_index) OVER w AS i FROM chunks WINDOW w AS (PARTITION BY document_id ORDER BY seq)) GROUP BY document_id")
@@ -114,7 +144,7 @@ def f58_document_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("SELECT doc_id, i AS chunk_index, coalesce(nullif(p, ''), '') AS paragraph FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE doc_id % 10 < 10)")
+@query("SELECT doc_id, i AS chunk_index, coalesce(nullif(p, ''), '') AS paragraph FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)")
 def f64_positions(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "paragraph"))
     return rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("chunk_index"), "paragraph")
@@ -132,33 +162,32 @@ def f43_first_best_labels(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select("vec_id", p.alias("p")).select("vec_id", vectors.first_best(F.col("p"), ["entailment", "neutral", "contradiction", "other"]).alias("label"), F.round(F.array_max("p"), 6).alias("p"))
 
 
-CAPTIONS = ((r"(?i)chart|graph|plot", "chart"), (r"(?i)table", "table"), (r"(?i)diagram|flow", "diagram"), (r"(?i)photo", "photo"))
-
-
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'chart' WHEN doc_id % 5 = 1 THEN 'table' WHEN doc_id % 5 = 2 THEN 'diagram' WHEN doc_id % 5 = 3 THEN 'photo' ELSE 'figure' END AS image_type FROM documents")
+@query("SELECT doc_id, ['chart', 'table', 'diagram', 'figure', 'graph', 'table', 'figure'][doc_id % 7 + 1] AS image_type FROM documents")
 def f18_image_types(spark: SparkSession, folder: str) -> DataFrame:
-    caption = F.element_at(F.array(*map(F.lit, ("A Plot of a table", "Table 3", "work FLOW", "Photo", "Something"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    kind = reduce(lambda c, p: c.when(caption.rlike(p[0]), p[1]), CAPTIONS[1:], F.when(caption.rlike(CAPTIONS[0][0]), CAPTIONS[0][1])).otherwise("figure")
-    return table(spark, folder, "documents").select("doc_id", kind.alias("image_type"))
+    made = ("A Chart of graphs", "Table 3 and a diagram", "the DIAGRAM and chart", "Photo plot", "graph of a figure", "table", None)
+    caption = F.element_at(F.array(*[F.lit(x).cast("string") for x in made]), (F.col("doc_id") % 7 + 1).cast("int"))
+    return table(spark, folder, "documents").select("doc_id", images.image_type(caption).alias("image_type"))
 
 
-@query("SELECT doc_id, 'Figure ' || doc_id || ': lines below' AS caption FROM documents WHERE doc_id % 3 <> 2")
+@query(
+    "SELECT doc_id, n AS image, 'FIGURE ' || (doc_id + n) AS label FROM documents, (VALUES (0), (1)) t(n) WHERE (n = 0 AND doc_id % 3 <> 2) OR n = 1"
+)
 def j14_figure_captions(spark: SparkSession, folder: str) -> DataFrame:
-    """A figure's place and the first caption line of the nine lines after it."""
-    gap = F.element_at(F.array(F.lit(2), F.lit(8), F.lit(12)), (F.col("doc_id") % 3 + 1).cast("int"))
-    body = F.concat(F.lit("a\n<!-- image -->"), F.repeat(F.lit("\nx"), gap), F.lit("\nFigure "), F.col("doc_id"), F.lit(": lines below\nend"))
-    lines = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split(body, "\n")).alias("pos", "line"))
-    figures = lines.filter("line = '<!-- image -->'").select("doc_id", F.col("pos").alias("at"))
-    near = figures.join(lines.filter("line like 'Figure %'"), "doc_id").filter((F.col("pos") > F.col("at")) & (F.col("pos") <= F.col("at") + 9))
-    return near.groupBy("doc_id", "at").agg(F.min_by("line", "pos").alias("caption")).select("doc_id", "caption")
+    """Two placeholders before and after each whole text; the first one's caption is 2, 8 or 12 lines below it."""
+    n = F.col("doc_id")
+    gap = F.element_at(F.array(F.lit(2), F.lit(8), F.lit(12)), (n % 3 + 1).cast("int"))
+    label = lambda i: F.concat(F.lit("\n FIGURE "), n + i, F.lit(": lines below"))
+    body = F.concat(F.lit("a\n <!-- image --> "), F.repeat(F.lit("\nx"), gap), label(0), F.lit("\n"), F.col("text"), F.lit("\n<!-- image -->\ny"), label(1))
+    found = table(spark, folder, "documents").select("doc_id", F.inline(images.figure_labels(body)))
+    return found.select("doc_id", F.col("image").cast("int").alias("image"), "label")
 
 
-@query("SELECT doc_id, i AS chunk_index, CASE WHEN i <= 2 THEN printf('00:0%d:05', i) ELSE '00:00:00' END AS clock FROM documents, (VALUES (1), (2), (3)) t(i)")
+@query("SELECT doc_id, i AS chunk_index, CASE WHEN i <= 2 THEN printf('0%d:01:05', doc_id % 10) ELSE '00:00:00' END AS clock FROM documents, (VALUES (1), (2), (3)) t(i)")
 def j18_audio_timestamps(spark: SparkSession, folder: str) -> DataFrame:
     """A chunk's timestamp is the one of its number in the transcript, 00:00:00 where there is none."""
-    marks = F.regexp_extract_all(F.lit("[00:01:05] a [00:02:05] b"), F.lit(r"\[(\d{2}:\d{2}:\d{2})\]"), F.lit(1))
-    rows = table(spark, folder, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("chunk_index"))
-    return rows.select("doc_id", "chunk_index", F.coalesce(F.get(marks, F.col("chunk_index") - 1), F.lit("00:00:00")).alias("clock"))
+    mark = F.format_string("[%02d:01:05]", F.col("doc_id") % 10)
+    rows = table(spark, folder, "documents").select("doc_id", F.concat(mark, F.lit(" "), F.col("text"), F.lit("\n"), mark).alias("markdown"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("chunk_index"))
+    return rows.select("doc_id", "chunk_index", text.audio_clock(F.col("markdown"), F.col("chunk_index")).alias("clock"))
 
 
 ROUTES = {"water": ("river", "the", "lake"), "words": ("and", "that"), "other": ("of",)}
@@ -184,23 +213,33 @@ def f3_structure(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), t.rlike(text.TABLE).alias("has_table"), t.rlike(r"(?m)^#{1,6}\s+").alias("has_heading"), t.rlike(text.IMAGE).alias("has_image"))
 
 
-@query("SELECT doc_id, 'a ![c' || doc_id || '](f.png) b <!-- image -->' AS markdown FROM documents")
+@query("SELECT doc_id, '![c' || doc_id || '](f.png) ' || text || ' <!-- image -->' AS markdown FROM documents")
 def f19_placed_images(spark: SparkSession, folder: str) -> DataFrame:
     image = F.array(F.struct(F.concat(F.lit("c"), F.col("doc_id")).alias("caption"), F.lit("f.png").alias("path")))
-    return table(spark, folder, "documents").select("doc_id", images.with_images(F.lit("a <!-- image --> b <!-- image -->"), image).alias("markdown"))
+    body = F.concat(F.lit("<!-- image --> "), F.col("text"), F.lit(" <!-- image -->"))
+    return table(spark, folder, "documents").select("doc_id", images.with_images(body, image).alias("markdown"))
 
 
-@query("SELECT doc_id, '![x](d/a.png)' || chr(10) || chr(10) || '**[Image Analysis]:** seen ' || doc_id || ' ![y](b.png)' AS markdown FROM documents")
+@query(
+    "SELECT doc_id, '![x](figures/a.png)' || chr(10) || chr(10) || '**[Image Analysis]:** cost $1 \\ ' || doc_id || chr(10) || ' ' || text || ' ![y](b.png) ![z](./figures/c.png)' || chr(10) || chr(10) || '**[Image Analysis]:** third' || chr(10) AS markdown FROM documents"
+)
 def f20_image_analyses(spark: SparkSession, folder: str) -> DataFrame:
-    known = F.create_map(F.lit("a.png"), F.concat(F.lit("seen "), F.col("doc_id")))
-    return table(spark, folder, "documents").select("doc_id", images.with_analyses(F.lit("![x](d/a.png) ![y](b.png)"), known).alias("markdown"))
+    """Three images are known: one by folder and name, one without an analysis, one by ./folder and name."""
+    one = lambda path, analysis: F.struct(F.lit(path).alias("path"), analysis.cast("string").alias("analysis"))
+    known = F.array(one("/out/figures/a.png", F.concat(F.lit("cost $1 \\ "), F.col("doc_id"))), one("/out/figures/b.png", F.lit(None)), one("/out/figures/c.png", F.lit("third")))
+    body = F.concat(F.lit("![x](figures/a.png) "), F.col("text"), F.lit(" ![y](b.png) ![z](./figures/c.png)"))
+    return table(spark, folder, "documents").select("doc_id", images.with_analyses(body, known).alias("markdown"))
 
 
-@query("SELECT doc_id, '![x](' || CASE WHEN doc_id % 2 = 0 THEN 'd\\' ELSE 'e/f/' END || 'n' || doc_id % 7 || '.png)' AS reference, CASE WHEN doc_id % 7 < 5 THEN 'caption ' || doc_id % 7 END AS caption FROM documents")
+@query(
+    "SELECT doc_id, '![x](' || CASE WHEN doc_id % 2 = 0 THEN 'd\\' ELSE 'e/f/' END || 'n' || doc_id % 7 || '.png)' AS reference, CASE WHEN doc_id % 7 < 5 THEN CASE WHEN doc_id % 2 = 0 THEN 'caption d ' ELSE 'caption ' END || doc_id % 7 END AS caption FROM documents"
+)
 def j13_captioned_references(spark: SparkSession, folder: str) -> DataFrame:
+    """Images of two folders have the same names: the folder decides where the reference has it."""
     name = F.concat(F.when(F.col("doc_id") % 2 == 0, "d\\").otherwise("e/f/"), F.lit("n"), (F.col("doc_id") % 7).cast("string"), F.lit(".png"))
-    docs = table(spark, folder, "documents").select("doc_id", F.concat(F.lit("see ![x]("), name, F.lit(") here")).alias("text"))
-    known = spark.range(5).select(F.format_string("/store/n%d.png", "id").alias("path"), F.format_string("caption %d", "id").alias("caption"))
+    docs = table(spark, folder, "documents").select("doc_id", F.concat(F.col("text"), F.lit(" see ![x]("), name, F.lit(") here")).alias("text"))
+    known = spark.range(5).select(F.format_string("/a/n%d.png", "id").alias("path"), F.format_string("caption %d", "id").alias("caption"))
+    known = known.unionByName(spark.range(5).select(F.format_string("/store/d/n%d.png", "id").alias("path"), F.format_string("caption d %d", "id").alias("caption")))
     return images.captioned_references(docs, known)
 
 

@@ -18,8 +18,8 @@ CHUNKS = f"chunks AS (SELECT doc_id AS seq, {_NUMBERS.format('doc_id')}, text, l
 VECTORS = f"vectors AS (SELECT vec_id AS seq, {_NUMBERS.format('vec_id')}, embedding, label FROM embeddings)"
 METADATA = """meta AS (SELECT printf('DOC_%d', n) AS document_id, printf('Volume %d of %s', n, source) AS title, CASE WHEN n % 7 = 0 THEN NULL ELSE printf('/archive/%s/DOC_%d.md', source, n) END AS path,
   printf('Author %d', n % 11) AS author, printf('2024-%02d-%02d', n % 12 + 1, n % 28 + 1) AS created_date, source AS source_type, lang AS language, CASE WHEN n % 3 = 0 THEN '' ELSE printf('DOC_%d.pdf', n) END AS file_name
-  FROM (SELECT doc_id // 5 AS n, source, lang FROM documents WHERE doc_id % 5 = 0))"""
-QUESTIONS = "questions AS (SELECT item_id AS query_id, text, list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 1, 3) AS terms FROM benchmark)"
+  FROM (SELECT doc_id // 5 AS n, arg_min(source, doc_id) AS source, arg_min(lang, doc_id) AS lang FROM documents GROUP BY ALL))"""
+QUESTIONS = "questions AS (SELECT item_id AS query_id, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS terms FROM benchmark)"
 PROBES = "probes AS (SELECT vec_id AS query_id, vec_id AS seq, embedding FROM embeddings WHERE vec_id % 20 = 0)"
 
 
@@ -41,7 +41,7 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def metadata(spark: SparkSession, folder: str) -> DataFrame:
     n = F.floor(F.col("doc_id") / 5)
-    docs = table(spark, folder, "documents").filter("doc_id % 5 = 0").select(n.alias("n"), "source", "lang")
+    docs = table(spark, folder, "documents").groupBy(n.alias("n")).agg(F.min_by("source", "doc_id").alias("source"), F.min_by("lang", "doc_id").alias("lang"))
     return docs.select(
         F.format_string("DOC_%d", "n").alias("document_id"), F.format_string("Volume %d of %s", "n", "source").alias("title"), F.when(F.col("n") % 7 != 0, F.format_string("/archive/%s/DOC_%d.md", "source", "n")).alias("path"),
         F.format_string("Author %d", F.col("n") % 11).alias("author"), F.format_string("2024-%02d-%02d", F.col("n") % 12 + 1, F.col("n") % 28 + 1).alias("created_date"),
@@ -52,7 +52,7 @@ def metadata(spark: SparkSession, folder: str) -> DataFrame:
 def questions(spark: SparkSession, folder: str) -> DataFrame:
     from lodestrata.functions.text import tokens
 
-    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.slice(tokens(F.col("text")), 1, 3).alias("terms"))
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text", tokens(F.col("text")).alias("terms"))
 
 
 def probes(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.answers import prompts
 from lodestrata.functions.ids import cache_key, chunk_document, chunk_id, chunk_index, chunk_page, document_id, point_id, prefixed
 from lodestrata.functions.vectors import normalised, sigmoid
 from lodestrata.operators import graph, search
@@ -240,12 +241,12 @@ def f7_parsed_chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("chunk_id", chunk_document(c).alias("document_id"), chunk_page(c).alias("page"), chunk_index(c).alias("idx"))
 
 
-@query("SELECT doc_id, 'DOC_' || substr(sha1(concat(CASE WHEN doc_id % 3 = 0 THEN 'None' ELSE printf('f%d.pdf', doc_id) END, CASE WHEN doc_id % 4 = 0 THEN 'None' ELSE '2024-01-01' END, substr(text, 1, 20))), 1, 16) AS document_id FROM documents")
+@query("SELECT doc_id, 'DOC_' || substr(sha1(concat(CASE WHEN doc_id % 3 = 0 THEN 'None' ELSE printf('f%d.pdf', doc_id) END, CASE WHEN doc_id % 4 = 0 THEN 'None' ELSE '2024-01-01' END, text)), 1, 16) AS document_id FROM documents")
 def f47_document_ids(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents")
     name = F.when(F.col("doc_id") % 3 != 0, F.format_string("f%d.pdf", "doc_id"))
     made = F.when(F.col("doc_id") % 4 != 0, F.lit("2024-01-01"))
-    return d.select("doc_id", document_id(name, made, F.substring("text", 1, 20)).alias("document_id"))
+    return d.select("doc_id", document_id(name, made, F.col("text")).alias("document_id"))
 
 
 @query("SELECT doc_id, 'embedding:query:' || substr(sha256('search_query: ' || text), 1, 16) AS as_query, 'embedding:doc:' || substr(sha256('search_document: ' || text), 1, 16) AS as_document FROM documents")
@@ -350,11 +351,20 @@ def p15_coerced_origins(spark: SparkSession, folder: str) -> DataFrame:
     return m12_retrieval(spark, folder).groupBy("query_id", kind.alias("origin")).agg(F.count("*").alias("n"), F.min_by("confidence", positive).alias("first_confidence"))
 
 
-@query("SELECT query_id, string_agg(printf('[%d] Document: %s | Page: %d | Origin: %s | Confidence: %.2f', rank, document_id, page_number, origin, confidence) || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM (" + FLAGSHIP + ") GROUP BY query_id")
-def f23_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    from lodestrata.functions.answers import context_block
+_SHOWN = (
+    "'--- Chunk ' || rank || ' ---' || chr(10) || 'Document: ' || CASE WHEN document_path = '' THEN 'unknown' ELSE 'http://h/api/files/' || ltrim(document_path, '/') END || chr(10) || 'Page: ' || page_number || chr(10) || 'Origin: ' || origin "
+    "|| chr(10) || printf('Confidence: %.2f', confidence) || chr(10) || 'Content: ' || text || chr(10)"
+)
+
 
-    return context_block(m12_retrieval(spark, folder))
+@query(
+    _with("benched AS (SELECT item_id AS query_id, text AS question FROM benchmark)", "found AS (" + FLAGSHIP + ")", "parts AS (SELECT query_id, string_agg(" + _SHOWN + ", chr(10) ORDER BY rank) AS chunks FROM found GROUP BY query_id)")
+    + "SELECT query_id, 'Base.' || chr(10) || chr(10) || 'User Query: ' || question || chr(10) || chr(10) || 'Retrieved Context:' || coalesce(chr(10) || chunks, '') AS prompt FROM benched JOIN parts USING (query_id)"
+)
+def f23_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    asked = X.questions(spark, folder).select("query_id", "text")
+    found = m12_retrieval(spark, folder)
+    return prompts(found, asked.join(found.select("query_id").distinct(), "query_id", "left_semi"), "Base.", "http://h/")
 
 
 def filtered_retrieval(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import ids, metadata, text
 from lodestrata.operators.chunking import chunked
+from lodestrata.operators.models import summary
 from lodestrata.queries.registry import query
 from lodestrata.sources.tables import table
 
@@ -43,9 +44,9 @@ def f12_languages(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).select("doc_id", text.language(F.col("text")).alias("language"))
 
 
-@query(r"SELECT doc_id, CASE WHEN len(w) > 30 THEN array_to_string(w[1:30], ' ') || '...' ELSE array_to_string(w, ' ') END AS summary FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents)")
+@query(r"SELECT doc_id, CASE WHEN len(w) > 30 THEN array_to_string(w[1:30], ' ') WHEN len(w) = 0 THEN '[Summary unavailable]' ELSE t END AS summary FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS t, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents)")
 def f33_summaries(spark: SparkSession, folder: str) -> DataFrame:
-    return _docs(spark, folder).select("doc_id", text.first_words(F.col("text")).alias("summary"))
+    return _docs(spark, folder).select("doc_id", summary(F.col("text")).alias("summary"))
 
 
 # Documents have no headings and no blank lines, so a document is one block: whole if it has at most 250 words,
@@ -100,10 +101,16 @@ def f38_dates(spark: SparkSession, folder: str) -> DataFrame:
     return _headed(spark, folder).select("doc_id", metadata.found_date(F.col("text")).alias("found"))
 
 
-@query("SELECT doc_id, printf('10.%d/abc.%d', 1000 + doc_id, doc_id) AS doi, 'Annals of Things' AS journal, 'Department of Deep Learning' AS affiliations FROM documents")
+@query(
+    r"""WITH l AS (SELECT doc_id, list_slice(string_split(text, chr(10)), 1, 50 - 9) AS ls FROM documents),
+n AS (SELECT doc_id, list_filter(ls, lambda x: regexp_matches(x, '(?i)University|Institute|Laboratory|College|Department')) AS hit FROM l),
+c AS (SELECT doc_id, list_filter(list_transform(hit, lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^[0-9*†‡§¶#]+', ''), '^\s+', ''), '\s+$', '')), lambda x: length(x) > 10) AS own FROM n)
+SELECT doc_id, printf('10.%d/abc.%d', 1000 + doc_id, doc_id) AS doi, 'Annals of Things' AS journal, array_to_string(list_slice(list_concat(['Department of Deep Learning'], own), 1, 3), ', ') AS affiliations FROM c"""
+)
 def f15_extra_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    only = _headed(spark, folder).withColumn("text", F.substring_index("text", "## Next", 1))
-    return only.select("doc_id", metadata.doi(F.col("text")).alias("doi"), metadata.journal(F.col("text")).alias("journal"), metadata.affiliations(F.col("text")).alias("affiliations"))
+    """The made front page of nine lines stands before each whole text; the rules read their fifty lines."""
+    h = _headed(spark, folder)
+    return h.select("doc_id", metadata.doi(F.col("text")).alias("doi"), metadata.journal(F.col("text")).alias("journal"), metadata.affiliations(F.col("text")).alias("affiliations"))
 
 
 @query("SELECT doc_id, 'Great Lake Great Lake River' AS abstract FROM documents")
@@ -128,19 +135,55 @@ def f13_keywords(spark: SparkSession, folder: str) -> DataFrame:
     return metadata.keywords(_docs(spark, folder).select("doc_id", "text"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_distinct_ordered[1:10], ',') AS tags FROM (SELECT doc_id, list_transform(list_sort(list_transform(list_distinct(w), lambda x: list_position(w, x))), lambda p: w[p]) AS list_distinct_ordered FROM (SELECT doc_id, list_transform(regexp_extract_all(substr(text, 1, 300), '[A-Za-z]+'), lambda x: lower(x)) AS w FROM documents))")
+_PROCESSED = r"""WITH w AS (SELECT doc_id, lang, regexp_extract_all(text, '[A-Za-z]+') AS all_words FROM documents),
+t AS (SELECT doc_id, lang, list_transform(list_slice(list_concat(list_slice(all_words, 1, 8), [' The ', '', 'beyond the tenth']), 1, 10), lambda x: lower(trim(x))) AS l FROM w)
+SELECT doc_id, 'Report ' || doc_id AS title, 'Ann Bee; C. Dee' AS authors, CASE WHEN doc_id % 2 = 0 THEN '2021-03-05' ELSE '1999-01-01' END AS created_date, CASE WHEN doc_id % 3 = 0 THEN 'en' ELSE lang END AS language,
+  array_to_string(list_filter(l, lambda x, i: x <> '' AND list_position(l, x) = i), ',') AS tags FROM t"""
+
+
+@query(_PROCESSED)
 def f16_tags(spark: SparkSession, folder: str) -> DataFrame:
-    raw = F.regexp_extract_all(F.substring("text", 1, 300), F.lit("[A-Za-z]+"), F.lit(0))
-    return _docs(spark, folder).select("doc_id", F.array_join(metadata.tags(raw), ",").alias("tags"))
+    """Metadata as a model might give it, made regular; the tags are the text's words and three more."""
+    n = F.col("doc_id")
+    words = F.concat(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 8), F.array(F.lit(" The "), F.lit(""), F.lit("beyond the tenth")))
+    raw = F.struct(
+        F.concat(F.lit("Report "), n, F.lit("*†# ")).alias("title"), F.array(F.lit("Ann Bee¹*"), F.lit(" C. Dee 2"), F.lit("§")).alias("authors"), F.when(n % 2 == 0, "March 5, 2021").otherwise("in 1999").alias("created_date"),
+        F.when(n % 3 == 0, "english").otherwise(F.col("lang")).alias("language"), words.alias("tags"), F.create_map().cast("map<string,string>").alias("extra_metadata"),
+    )
+    p = metadata.processed(raw, F.lit("f.pdf"))
+    return _docs(spark, folder).select("doc_id", p.alias("p")).select("doc_id", "p.title", F.array_join("p.authors", "; ").alias("authors"), "p.created_date", "p.language", F.array_join("p.tags", ",").alias("tags"))
 
 
-@query("SELECT doc_id, 'Volume ' || doc_id AS title, lang AS language, CASE WHEN source = 'src0' THEN 'audio' ELSE source END AS source_type, CAST(length(text) AS BIGINT) AS n, CASE WHEN source = 'src0' THEN '00:00:00' END AS \"timestamp\", CASE WHEN source <> 'src0' THEN 1 END AS page FROM documents")
+@query(
+    "SELECT doc_id, CASE WHEN source <> 'src0' THEN CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 7 END END AS page_number, CASE WHEN source = 'src0' THEN CASE WHEN doc_id % 3 = 0 THEN '00:01:02' WHEN doc_id % 4 = 0 THEN '00:00:00' ELSE '7' END END AS \"timestamp\", "
+    "CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 3 END AS chunk_index, text AS paragraph_text, CASE WHEN doc_id % 6 = 0 THEN 'Chunk missing required field summary' WHEN text = '' THEN 'Chunk missing required field paragraph_text' END AS problem FROM documents"
+)
 def f59_normalised_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    audio = F.col("source") == "src0"
-    return _docs(spark, folder).select(
-        "doc_id", F.concat(F.lit("Volume "), F.col("doc_id")).alias("title"), F.col("lang").alias("language"), F.when(audio, "audio").otherwise(F.col("source")).alias("source_type"),
-        F.length("text").cast("long").alias("n"), F.when(audio, "00:00:00").alias("timestamp"), F.when(~audio, 1).alias("page"),
+    """Chunks with a time for audio and a page otherwise, and what they lack."""
+    n = F.col("doc_id")
+    chunk = F.struct(
+        F.when(n % 4 != 0, 7).alias("page_number"), F.when(n % 3 == 0, "00:01:02").alias("timestamp"), F.when(n % 5 != 0, 3).alias("chunk_index"),
+        F.col("text").alias("paragraph_text"), F.when(n % 6 != 0, "s").alias("summary"),
+    )
+    kind = F.when(F.col("source") == "src0", "audio").otherwise(F.col("source"))
+    c = _docs(spark, folder).select("doc_id", metadata.normalised_chunk(chunk, kind).alias("c"))
+    return c.select("doc_id", "c.page_number", "c.timestamp", "c.chunk_index", "c.paragraph_text", "c.problem")
+
+
+@query(
+    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'f' || doc_id ELSE 'Report' END AS title, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Ann, Bob' END AS author, coalesce(lang, 'en') AS language, "
+    "CASE WHEN doc_id % 4 = 0 THEN '12' WHEN doc_id % 4 = 1 THEN '9' END AS total_pages, 'cpu' AS device, CAST(n_chars AS VARCHAR) AS chunk_count FROM documents"
+)
+def f58_document_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """The metadata section of a document record, with its nested defaults."""
+    n = F.col("doc_id")
+    raw = F.struct(
+        F.when(n % 2 != 0, "Report").alias("title"), F.when(n % 3 != 0, F.array(F.lit("Ann"), F.lit("Bob"))).alias("authors"), F.lit(None).cast("string").alias("created_date"), F.col("lang").alias("language"),
+        F.array().cast("array<string>").alias("tags"), F.when(n % 4 == 0, "12").alias("total_pages"), F.when(n % 4 < 2, F.create_map(F.lit("total_pages"), F.lit("9"))).alias("extra_metadata"),
     )
+    built = metadata.document_metadata(raw, F.lit("/a/f"), F.lit("pdf"), F.concat(F.lit("f"), n), device="cpu", chunk_count=F.col("n_chars"))
+    d = _docs(spark, folder).select("doc_id", built.alias("m"))
+    return d.select("doc_id", "m.title", "m.author", "m.language", "m.total_pages", F.col("m.extra_metadata")["processing_device"].alias("device"), F.col("m.extra_metadata")["chunk_count"].alias("chunk_count"))
 
 
 @query("SELECT source, lang, count(*) AS n, count(DISTINCT text) AS n_texts, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY source, lang")
@@ -160,10 +203,11 @@ def j17_unlabelled(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).select("doc_id").join(table(spark, folder, "labels"), "doc_id", "left_anti")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'search_query: ' || substr(text, 1, 50) ELSE 'search_query: ' || substr(text, 1, 50) END AS q FROM documents")
+@query("SELECT doc_id, 'search_query: ' || text AS q FROM documents")
 def f8_prefixes(spark: SparkSession, folder: str) -> DataFrame:
-    short = F.substring("text", 1, 50)
-    mixed = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("search_document: "), short)).otherwise(F.concat(F.lit("search_query: "), short))
+    """Whole texts, a third with each prefix already there and a third without one."""
+    n = F.col("doc_id") % 3
+    mixed = F.when(n == 0, F.concat(F.lit("search_document: "), F.col("text"))).when(n == 1, F.concat(F.lit("search_query: "), F.col("text"))).otherwise(F.col("text"))
     return _docs(spark, folder).select("doc_id", ids.prefixed(mixed, query=True).alias("q"))
 
 

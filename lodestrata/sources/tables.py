@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import mimetypes
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,13 +20,46 @@ METADATA = T.StructType(
 )
 DOCUMENT = T.StructType([T.StructField("document_metadata", METADATA), T.StructField("chunks", T.ArrayType(CHUNK_INPUT)), T.StructField("_corrupt_record", TEXT)])
 
-# Extensions by category, and the ones that uploads may have.
+# Extensions by category, their archive folders and source types, MIME types, and what uploads may be.
 CATEGORIES = {
-    "document": (".pdf", ".docx", ".doc", ".pptx", ".xlsx", ".html", ".htm", ".md", ".txt"),
-    "audio": (".mp3", ".wav", ".m4a", ".flac", ".ogg", ".mp4", ".mkv", ".mov"),
-    "image": (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff", ".webp"),
+    "document": (".pdf", ".docx", ".doc", ".pptx", ".ppt", ".xlsx", ".xls", ".csv", ".html", ".htm"),
+    "audio": (".mp3", ".wav", ".m4a", ".flac"),
+    "image": (".jpg", ".jpeg", ".png", ".webp"),
+}
+FOLDERS = {
+    "PDF": (".pdf",),
+    "WORD": (".docx", ".doc"),
+    "PPT": (".pptx", ".ppt"),
+    "EXCEL": (".xlsx", ".xls", ".csv"),
+    "HTML": (".html", ".htm"),
+    "AUDIO": (".mp3", ".wav", ".m4a", ".flac"),
+    "IMAGES": (".jpg", ".jpeg", ".png", ".webp"),
+}
+SOURCE_TYPES = {
+    "pdf": (".pdf",),
+    "docx": (".docx", ".doc"),
+    "pptx": (".pptx", ".ppt"),
+    "xlsx": (".xlsx", ".xls", ".csv"),
+    "web": (".html", ".htm"),
+    "audio": (".mp3", ".wav", ".m4a", ".flac"),
+    "image": (".jpg", ".jpeg", ".png", ".webp"),
 }
-UPLOADS = (".pdf", ".docx", ".txt", ".md", ".mp3", ".wav", ".png", ".jpg")
+MIME_CATEGORIES = {
+    "document": (
+        "application/pdf",
+        "application/msword",
+        "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+        "application/vnd.ms-powerpoint",
+        "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+        "application/vnd.ms-excel",
+        "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+        "text/csv",
+        "text/html",
+    ),
+    "audio": ("audio/mpeg", "audio/mp3", "audio/wav", "audio/x-wav", "audio/mp4", "audio/x-m4a", "audio/flac"),
+    "image": ("image/jpeg", "image/png", "image/webp"),
+}
+UPLOADS = (".pdf", ".docx", ".pptx", ".xlsx", ".mp3", ".wav", ".jpg", ".png")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,22 +84,60 @@ def validated(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.filter("reason is null").drop("reason"), judged.filter("reason is not null")
 
 
-def scan_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Files of a folder with size and category; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
-    return files.select("path", "length", "modificationTime", category(F.col("path")).alias("category"))
+def scan_files(spark: SparkSession, path: str, recursive: bool = True, pattern: str = "*") -> DataFrame:
+    """Files of a folder by path, with size, MIME type, category and archive folder; contents are not read.
 
+    One row a file, in the order of their paths (a listing, not the files' data).
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).load(path)
+    name = F.col("path")
+    mime = mime_type(name)
+    return files.select("path", "length", "modificationTime", mime.alias("mime_type"), category(name, mime).alias("category"), folder_type(name).alias("folder_type")).orderBy("path")
 
-def category(name: Column, mime: Column | None = None) -> Column:
-    """By extension, else by the MIME type's main part, else unknown."""
+
+def _by_extension(name: Column, known: dict[str, tuple[str, ...]], other: str) -> Column:
     ext = extension(name)
     out = F.when(F.lit(False), "")
-    for kind, known in CATEGORIES.items():
-        out = out.when(ext.isin(*known), kind)
-    if mime is not None:
-        for start, kind in (("image/", "image"), ("audio/", "audio"), ("video/", "audio"), ("text/", "document"), ("application/pdf", "document")):
-            out = out.when(mime.startswith(start), kind)
-    return out.otherwise("unknown")
+    for kind, extensions in known.items():
+        out = out.when(ext.isin(*extensions), kind)
+    return out.otherwise(other)
+
+
+def mime_type(name: Column) -> Column:
+    """MIME type that the platform's table gives for the extension, or null."""
+    known = F.create_map(*[F.lit(x) for pair in sorted(mimetypes.types_map.items()) for x in pair])
+    return F.try_element_at(known, extension(name))
+
+
+def category(name: Column, mime: Column | None = None) -> Column:
+    """By extension, else by the MIME type, else unknown."""
+    found = _by_extension(name, CATEGORIES, "unknown")
+    if mime is None:
+        return found
+    other = F.when(F.lit(False), "")
+    for kind, types in MIME_CATEGORIES.items():
+        other = other.when(mime.isin(*types), kind)
+    return F.when(found != "unknown", found).otherwise(other.otherwise("unknown"))
+
+
+def folder_type(name: Column) -> Column:
+    """Archive folder of a file, OTHER for unknown extensions."""
+    return _by_extension(name, FOLDERS, "OTHER")
+
+
+def source_type(name: Column) -> Column:
+    """Source type of a file, unknown for unknown extensions."""
+    return _by_extension(name, SOURCE_TYPES, "unknown")
+
+
+def uploadable(name: Column) -> Column:
+    """Whether an upload of this name is taken: a known extension and no way out of its folder."""
+    return extension(name).isin(*UPLOADS) & ~F.contains(name, F.lit(".."))
+
+
+def archive_kind(name: Column) -> Column:
+    """video, photo or report, by the name's ending."""
+    return F.when(name.rlike(r"(?i)\.(mp4|mkv|mov|webm)$"), "video").when(name.rlike(r"(?i)\.(jpe?g|png|webp)$"), "photo").otherwise("report")
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -78,6 +152,13 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str], version: str) ->
     return newest.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*stored.columns)
 
 
+def checked_upsert(stored: DataFrame, new: DataFrame, keys: list[str], version: str, required: list[str]) -> DataFrame:
+    """upsert, all or nothing: the job fails if a new row lacks a key or a required value."""
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in (*keys, *required)])
+    problem = F.concat(F.lit("row without a required value: "), F.to_json(F.struct(*keys)))
+    return upsert(stored, new.filter(F.when(missing, F.raise_error(problem).cast("boolean")).otherwise(True)), keys, version)
+
+
 def delete(stored: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return stored.join(gone.select(*keys).distinct(), keys, "left_anti")
 

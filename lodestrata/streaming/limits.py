@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestrata.operators.activity import Bucket
+from lodestrata.operators.activity import Bucket, QueuedBucket
 
 IDLE_MS = 600_000
 
@@ -37,6 +37,31 @@ def limited(stream: DataFrame, client: str, ts: str, event: str, per_minute: flo
     return rows.groupBy("client").applyInPandasWithState(step, f"client {kind}, event long, decision string", "tokens double, reserve double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def queued(stream: DataFrame, client: str, ts: str, event: str, per_minute: float, burst: float, size: int = 100, timeout: float = 30.0, idle_ms: int = IDLE_MS) -> DataFrame:
+    """(client, event, decision, waited) of a stream: the bucket with its queue, kept as state.
+
+    A request's turn follows from those before it, so its wait is known when it arrives and no timer is needed:
+    the state holds the turns that are still to come.
+    """
+    kind = stream.schema[client].dataType.simpleString()
+    rows = stream.select(F.col(client).alias("client"), F.col(event).cast("long").alias("event"), F.unix_micros(ts).alias("us"))
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        tokens, reserve, last, served = state.get if state.exists else (None, None, None, [])
+        bucket = QueuedBucket(per_minute, burst, size, timeout, tokens, reserve, last, served=list(served))
+        part = pd.concat(list(parts)).sort_values(["us", "event"])
+        found = [bucket.take_or_wait(us / 1e6) for us in part["us"]]
+        state.update((bucket.tokens, bucket.reserve, bucket.last, bucket.served))
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({"client": [key[0]] * len(part), "event": part["event"].to_numpy(), "decision": [d for d, _ in found], "waited": [round(w, 6) for _, w in found]})
+
+    schema = f"client {kind}, event long, decision string, waited double"
+    return rows.groupBy("client").applyInPandasWithState(step, schema, "tokens double, reserve double, last double, served array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def window_counts(events: DataFrame, ts: str, by: list[str], width: str = "60 seconds", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Events by event-time window; rows later than `late` are dropped in a stream."""
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
