@@ -1,267 +1,342 @@
-"""Benchmark decontamination with a positional inverted index.
-
-Training texts are tokenised once into a positional index that Spark stores as a table, sharded by document:
-one row a document with its test-vocabulary terms, ascending, and each term's ascending positions. Document
-frequencies over all rows give the rarest terms. A search takes the posting list of a window's rarest term,
-shifts it by the term's offset, and intersects it with the shifted lists of the other terms from rare to
-frequent, so a common passage or word costs only the postings it really has. Exact phrases need every term
-at its offset; proximity matches need the terms within a span, in any order.
-
-The test set is searched in blocks of bounded size (BLOCK_WORDS), each broadcast, so a large test set means
-more passes, never a larger broadcast.
-
-Defined cases: null and wordless texts have no words and are never contaminated; a null or wordless item has
-no window and never occurs; repeated items and documents each count on their own row; an item of one to
-twelve words is one window of its length. An empty table on either side gives no hits.
+"""Benchmark decontamination with a distributed positional inverted index.
+
+`build_index` stores the postings of every training word once, as a table that serves any test set: texts are
+taken in shards of a few MB, and a row is the posting list of one term in one shard, ascending positions that
+count the shard's words through, with one place left free between documents. So a term in a third of all
+documents is many short lists, none of which grows with the corpus, and building needs no shuffle. A directory
+row a shard has its documents' keys and word counts. Terms are 64-bit hashes of words.
+
+A search takes the test set in blocks of about BLOCK_WORDS words, whose terms and window starts are broadcast as
+arrays. The lists of the asked terms meet by shard, the only shuffle; there each window's lists, shifted by the
+offsets of their terms, are intersected from the rarest to the most frequent, for all windows at once and at most
+STEP starts at a time. Exact phrases need every term at its offset; proximity matches need the terms within a
+span, in any order.
+
+Defined cases: null and wordless texts have no words and are never contaminated; a wordless or null item text has
+no window. Rows of one item id are one item; items of null id hit words like others, but are neither counted nor
+listed. Repeated documents are judged row by row, also those of equal id or null id. An item of one to twelve
+words is one window of its length. Very long texts are a shard of their own and are searched whole. An empty table
+on either side gives no hits. Further columns of either table, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
-from itertools import repeat
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import stage
+from lodestrata.llm import shingles as S
+from lodestrata.llm.common import partitions, stage
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-
-
-def words(text: bytes | None) -> list[bytes]:
-    """Words of a UTF-8 text with A-Z as a-z: bytes from 0x80 on belong to words, and bytes.lower() is ASCII's."""
-    return WORD.findall(text.lower()) if text else []
+STEP = 2_000_000
 
 
-def _vocabulary(items: list[tuple]) -> dict[bytes, int]:
-    terms = sorted({w for _, tokens in items for w in tokens})
-    return {w: i for i, w in enumerate(terms)}
+def _binary(parts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """One value for each run of an int32 array."""
+    offsets = np.concatenate(([0], ends)).astype(np.int32) * np.int32(4)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(parts, np.int32))])
 
 
-def build_index(docs: DataFrame, vocabulary, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Positional postings of the terms of a broadcast vocabulary, one row a document.
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(shard, term, df, places, keys, words): posting lists (keys and words null), and a directory row a shard.
 
-    (key, n_words, terms array<int> ascending, ends array<int>, positions array<int>): term i's positions
-    stand between ends[i-1] and ends[i].
+    Directory rows have a null term, the documents' keys in order and their numbers of words. Stage the result:
+    shards are named by task, so they are only stable once they are written.
     """
+    kind = docs.select(F.col(key).alias("key")).schema["key"].dataType
+    whole = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = vocabulary.value.get
+        names = ["shard", "term", "df", "places", "keys", "words"]
+        shard = TaskContext.get().partitionId() << 32
         for batch in batches:
-            n_words, terms, ends, positions = [], [], [], []
-            for text_ in batch.column(1).cast(pa.binary()).to_pylist():
-                tokens = words(text_)
-                ids = np.fromiter(map(find, tokens, repeat(-1)), np.int32, len(tokens))
-                at = np.flatnonzero(ids >= 0).astype(np.int32)
-                found = ids[at]
-                by_term = np.argsort(found, kind="stable")
-                found = found[by_term]
-                last = np.flatnonzero(np.append(found[1:] != found[:-1], True)) if len(found) else np.zeros(0, np.int64)
-                n_words.append(len(tokens))
-                terms.append(found[last])
-                ends.append((last + 1).astype(np.int32))
-                positions.append(at[by_term])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), *(_lists(x) for x in (terms, ends, positions))], names=[key, "n_words", "terms", "ends", "positions"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_words long, terms array<int>, ends array<int>, positions array<int>")
-
-
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    lengths = np.array([0, *map(len, parts)], np.int64)
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(flat.astype(np.int32), pa.int32()))
+            for lo, hi, data, offsets in S.blocks(batch.column(1)):
+                word, doc = S.words(data, offsets)
+                counts = np.bincount(doc, minlength=hi - lo).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard]), pa.array([None], pa.int64()), pa.array([hi - lo], pa.int32()), pa.array([None], pa.binary()), keys, _binary(counts, np.array([hi - lo]))], names=names
+                )
+                if len(word):
+                    order = np.argsort(word, kind="stable")
+                    term, place, owner = word[order], order + doc[order], doc[order]
+                    first = np.concatenate(([True], term[1:] != term[:-1]))
+                    begin = np.flatnonzero(first)
+                    fresh = first | np.concatenate(([True], owner[1:] != owner[:-1]))
+                    n = len(begin)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(n, shard)), pa.array(term[begin].view(np.int64)), pa.array(np.add.reduceat(fresh, begin, dtype=np.int32)),
+                            _binary(place, np.append(begin[1:], len(place))), pa.nulls(n, keys.type), pa.nulls(n, pa.binary()),
+                        ],
+                        names=names,
+                    )
+                shard += 1
+
+    from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+
+    schema = StructType(
+        [StructField("shard", LongType()), StructField("term", LongType()), StructField("df", IntegerType()), StructField("places", BinaryType()), StructField("keys", ArrayType(kind)), StructField("words", BinaryType())]
+    )
+    return whole.mapInArrow(run, schema)
 
 
 def document_frequencies(index: DataFrame) -> DataFrame:
-    """(term, df, cf): documents and occurrences of each indexed term, counted over the whole index."""
+    """(term, df, cf): documents and occurrences of each term, counted over the whole index."""
+    lists = index.filter("term is not null")
+    return lists.groupBy("term").agg(F.sum("df").alias("df"), F.sum((F.octet_length("places") / 4).cast("long")).alias("cf"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs = times = np.zeros(0, np.int64)
-        for batch in batches:
-            terms = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            if not len(terms):
+
+@dataclass
+class Windows:
+    """The windows of a block of test items, as arrays.
+
+    tokens: the items' words one after the other, as numbers into terms (ascending hashes). Of equal windows one
+    stands for all: start and size in tokens, and its items between ends[i-1] and ends[i] of owners.
+    """
+
+    terms: np.ndarray
+    tokens: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    owners: np.ndarray
+    ends: np.ndarray
+    names: list[str | None]
+
+
+def windows_of(names: list[str | None], texts: list[str | None], width: int = WINDOW) -> Windows:
+    column = pa.array([t or "" for t in texts], pa.large_string())
+    parts = [S.words(data, offsets) for _, _, data, offsets in S.blocks(column)]
+    firsts = [lo for lo, *_ in S.blocks(column)]
+    word = np.concatenate([w for w, _ in parts]) if parts else np.zeros(0, np.uint64)
+    item = np.concatenate([d + lo for (_, d), lo in zip(parts, firsts, strict=True)]) if parts else np.zeros(0, np.int64)
+    terms, tokens = np.unique(word.view(np.int64), return_inverse=True)
+    counts = np.bincount(item, minlength=len(texts))
+    begin = np.cumsum(counts) - counts
+    each = np.where(counts > 0, np.maximum(1, counts - width + 1), 0)
+    own = np.repeat(np.arange(len(texts)), each)
+    start = begin[own] + np.arange(len(own)) - np.repeat(np.cumsum(each) - each, each)
+    size = np.minimum(counts[own], width)
+    # Windows by a hash of their words and size; ties in it would need two windows of equal 64-bit hash.
+    value = S.mix(size.astype(np.uint64))
+    for j in range(width):
+        has = j < size
+        value[has] = S.mix(value[has] * np.uint64(31) + word[start[has] + j])
+    _, first, same = np.unique(value, return_index=True, return_inverse=True)
+    pairs = np.unique(np.stack([same.ravel(), own], 1), axis=0) if len(own) else np.zeros((0, 2), np.int64)
+    ends = np.cumsum(np.bincount(pairs[:, 0], minlength=len(first)))
+    return Windows(terms, tokens.ravel().astype(np.int32), start[first], size[first], pairs[:, 1], ends, names)
+
+
+class Shard:
+    """The posting lists of one shard for a test set's terms, and its documents."""
+
+    def __init__(self, keys, counts: np.ndarray, n_terms: int) -> None:
+        self.keys, self.counts = keys, counts
+        self.begin = np.cumsum(counts.astype(np.int64) + 1) - counts - 1
+        self.end = int(self.begin[-1] + counts[-1]) + 1 if len(counts) else 0
+        self.held: list[tuple[int, np.ndarray]] = []
+        self.n = np.zeros(n_terms, np.int64)
+
+    def add(self, term: int, places: np.ndarray) -> None:
+        self.held.append((term, places))
+        self.n[term] = len(places)
+
+    def lists(self) -> tuple[np.ndarray, np.ndarray]:
+        """All lists in one, by term, then place, and where each term's begins."""
+        self.held.sort(key=lambda h: h[0])
+        first = np.cumsum(self.n) - self.n
+        return (np.concatenate([p for _, p in self.held]) if self.held else np.zeros(0, np.int32)).astype(np.int64), first
+
+    def phrases(self, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place) of every occurrence: shifted lists intersected from the rarest on."""
+        places, first = self.lists()
+        lacking = np.concatenate(([0], np.cumsum(self.n[windows.tokens] == 0)))
+        alive = np.flatnonzero(lacking[windows.start + windows.size] == lacking[windows.start])
+        keyed = np.repeat(np.arange(len(self.n)), self.n) * self.end + places  # ascending, as the lists are
+        found_w, found_p = [], []
+        for size in np.unique(windows.size[alive]).tolist():
+            which = alive[windows.size[alive] == size]
+            terms = windows.tokens[windows.start[which][:, None] + np.arange(size)].astype(np.int64)
+            order = np.argsort(self.n[terms], axis=1, kind="stable")
+            anchor = terms[np.arange(len(which)), order[:, 0]]
+            load = np.cumsum(self.n[anchor])
+            lo = 0
+            while lo < len(which):
+                hi = max(lo + 1, int(np.searchsorted(load, (load[lo - 1] if lo else 0) + STEP, "right")))
+                n = self.n[anchor[lo:hi]]
+                row = np.repeat(np.arange(lo, hi), n)
+                at = places[np.repeat(first[anchor[lo:hi]], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] - order[row, 0]
+                for j in range(1, size):
+                    if not len(at):
+                        break
+                    offset = order[row, j]
+                    asked = at + offset
+                    wanted = terms[row, offset] * self.end + asked
+                    i = np.minimum(np.searchsorted(keyed, wanted), len(keyed) - 1)
+                    both = (keyed[i] == wanted) & (asked >= 0) & (asked < self.end)
+                    row, at = row[both], at[both]
+                inside = (at >= 0) & (at + size <= self.end)
+                found_w.append(which[row[inside]])
+                found_p.append(at[inside])
+                lo = hi
+        none = np.zeros(0, np.int64)
+        return (np.concatenate(found_w), np.concatenate(found_p)) if found_w else (none, none)
+
+    def document_of(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, place, "right") - 1
+
+    def near(self, terms: list[int], span: int) -> np.ndarray:
+        """Places of the rarest term around which each term occurs within `span` words of the same document."""
+        held = dict(self.held)
+        lists = sorted((held.get(t, np.zeros(0, np.int32)).astype(np.int64) for t in dict.fromkeys(terms)), key=len)
+        at = lists[0] if lists else np.zeros(0, np.int64)
+        for other in lists[1:]:
+            if not len(at) or not len(other):
+                return np.zeros(0, np.int64)
+            i = np.searchsorted(other, at)
+            ok = np.zeros(len(at), bool)
+            for neighbour in (other[np.minimum(i, len(other) - 1)], other[np.maximum(i - 1, 0)]):
+                ok |= (np.abs(neighbour - at) <= span) & (self.document_of(neighbour) == self.document_of(at))
+            at = at[ok]
+        return at
+
+
+def _shards(batches: Iterator[pa.RecordBatch], terms: np.ndarray) -> Iterator[Shard]:
+    """Shards from rows (shard, term, places, keys, words) in the order of shard and term, directory rows first."""
+    now, shard = None, None
+    for batch in batches:
+        lists = batch.column(3)
+        for r, (name, term, places, words) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True)):
+            if shard is None or name != now:
+                if shard is not None:
+                    yield shard
+                now, shard = name, Shard(lists[r].values, np.frombuffer(words, np.int32), len(terms))
                 continue
-            counts = []
-            for ends in batch.column(1).to_pylist():
-                counts += np.diff([0, *ends]).tolist()
-            size = max(len(docs), int(terms.max()) + 1)
-            docs = np.bincount(terms, minlength=size) + np.pad(docs, (0, size - len(docs)))
-            times = np.bincount(terms, np.array(counts, np.float64), size).astype(np.int64) + np.pad(times, (0, size - len(times)))
-        seen = np.flatnonzero(docs)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(docs[seen], pa.int64()), pa.array(times[seen], pa.int64())], names=["term", "df", "cf"])
-
-    parts = index.select("terms", "ends").mapInArrow(run, "term int, df long, cf long")
-    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
-
-
-class Postings:
-    """The posting lists of one document's index row."""
-
-    def __init__(self, terms: np.ndarray, ends: np.ndarray, positions: np.ndarray) -> None:
-        self.terms, self.ends, self.positions = terms, ends, positions
-
-    def of(self, term: int) -> np.ndarray:
-        i = int(np.searchsorted(self.terms, term))
-        if i == len(self.terms) or self.terms[i] != term:
-            return self.positions[:0]
-        return self.positions[self.ends[i - 1] if i else 0 : self.ends[i]]
-
-
-def phrase_starts(postings: Postings, window: list[int], rare_first: list[int]) -> np.ndarray:
-    """Positions at which the whole window occurs: shifted lists intersected from the rarest term on."""
-    at = postings.of(window[rare_first[0]]) - rare_first[0]
-    for j in rare_first[1:]:
-        if not len(at):
-            break
-        at = at[np.isin(at, postings.of(window[j]) - j, assume_unique=True)]
-    return at
-
-
-def proximity_starts(postings: Postings, terms: list[int], span: int) -> np.ndarray:
-    """Positions of the rarest term around which every term occurs within `span` words."""
-    lists = sorted((postings.of(t) for t in dict.fromkeys(terms)), key=len)
-    if not lists or not len(lists[0]):
-        return np.zeros(0, np.int32)
-    at = lists[0]
-    for other in lists[1:]:
-        if not len(other):
-            return other
-        i = np.searchsorted(other, at)
-        near = np.minimum(np.abs(other[np.minimum(i, len(other) - 1)] - at), np.abs(other[np.maximum(i - 1, 0)] - at))
-        at = at[near <= span]
-    return at
-
-
-def _windows(items: list[tuple[str, list[int]]], frequency: dict[int, int], width: int) -> tuple[list[tuple], dict[int, list[int]]]:
-    """Distinct windows as (terms, order from rare to frequent, items), and the windows by their rarest term."""
-    owners: dict[tuple, set[int]] = {}
-    for n, (_, ids) in enumerate(items):
-        for i in range(max(1, len(ids) - width + 1) if ids else 0):
-            owners.setdefault(tuple(ids[i : i + width]), set()).add(n)
-    windows, by_rarest = [], {}
-    for terms, own in owners.items():
-        order = sorted(range(len(terms)), key=lambda j: (frequency.get(terms[j], 0), terms[j], j))
-        if frequency.get(terms[order[0]], 0):  # a term without postings: the window occurs nowhere
-            by_rarest.setdefault(terms[order[0]], []).append(len(windows))
-            windows.append((terms, order, sorted(own)))
-    return windows, by_rarest
-
-
-def _search(index: DataFrame, key: str, query) -> DataFrame:
-    """(key, n_words, items array<string>, hits array<int>: hit word positions) for one block of items."""
+            shard.add(int(np.searchsorted(terms, term)), np.frombuffer(places, np.int32))
+    if shard is not None:
+        yield shard
+
+
+def _gathered(index: DataFrame, terms: np.ndarray) -> DataFrame:
+    """The directory and the asked terms' lists, shards together and in order."""
+    spark = index.sparkSession
+    asked = spark.createDataFrame(pa.table({"term": pa.array(terms, pa.int64())})) if len(terms) else spark.createDataFrame([], "term long")
+    lists = index.filter("term is not null").join(F.broadcast(asked), "term", "left_semi")  # as many as a block's words at most
+    rows = lists.unionByName(index.filter("term is null")).select("shard", "term", "places", "keys", "words")
+    return rows.repartition(partitions(spark), "shard").sortWithinPartitions("shard", F.col("term").asc_nulls_first())
+
+
+def _key_type(index: DataFrame) -> str:
+    return index.schema["keys"].dataType.elementType.simpleString()
+
+
+def search(index: DataFrame, query: Windows) -> DataFrame:
+    """(shard, number, key, n_words, items array<string>, hits array<int>, hit_null boolean) for every document."""
+    shared = index.sparkSession.sparkContext.broadcast(query)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, windows, by_rarest = query.value
-        anchor = np.zeros(max(by_rarest, default=0) + 1, bool)
-        anchor[list(by_rarest)] = True
-        for batch in batches:
-            hits, found = [], []
-            offsets = [batch.column(i).offsets.to_numpy() for i in (2, 3, 4)]
-            flats = [batch.column(i).values.to_numpy(zero_copy_only=False) for i in (2, 3, 4)]
-            # The places of the rarest terms in all rows at once; rows without one have no window.
-            at_anchor = np.flatnonzero((flats[0] < len(anchor)) & anchor[np.minimum(flats[0], len(anchor) - 1)])
-            edges = np.searchsorted(at_anchor, offsets[0])
-            for r in range(len(batch)):
-                if edges[r] == edges[r + 1]:
-                    hits.append(np.zeros(0, np.int32))
-                    found.append([])
-                    continue
-                terms, ends, positions = (f[o[r] : o[r + 1]] for f, o in zip(flats, offsets, strict=True))
-                postings, own, spans, there = Postings(terms, ends, positions), set(), [], set(terms.tolist())
-                for term in flats[0][at_anchor[edges[r] : edges[r + 1]]].tolist():
-                    for w in by_rarest[term]:
-                        window, order, items = windows[w]
-                        if not there.issuperset(window):  # a list is empty
-                            continue
-                        at = phrase_starts(postings, window, order)
-                        if len(at):
-                            own.update(items)
-                            spans.append((at[:, None] + np.arange(len(window))).ravel())
-                hits.append(np.unique(np.concatenate(spans)).astype(np.int32) if spans else np.zeros(0, np.int32))
-                found.append([names[i] for i in own])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string())), _lists(hits)], names=[key, "n_words", "items", "hits"])
-
-    kind = index.schema[key].dataType.simpleString()
-    return index.select(key, "n_words", "terms", "ends", "positions").mapInArrow(run, f"`{key}` {kind}, n_words long, items array<string>, hits array<int>")
-
-
-def item_blocks(items: DataFrame, item_key: str, text: str, block_words: int) -> int:
+        windows = shared.value
+        for shard in _shards(batches, windows.terms):
+            m = len(shard.counts)
+            window, place = shard.phrases(windows)
+            doc = shard.document_of(place)
+            # Words under any occurrence: runs opened and closed along the shard's places.
+            open_ = np.bincount(place, minlength=shard.end + 1) - np.bincount(place + windows.size[window], minlength=shard.end + 1) if len(place) else np.zeros(shard.end + 1, np.int64)
+            hit = np.flatnonzero(np.cumsum(open_) > 0)
+            owner = shard.document_of(hit)
+            hits = _lists(hit - shard.begin[owner], np.bincount(owner, minlength=m))
+            low = np.where(window > 0, windows.ends[window - 1], 0)
+            n = windows.ends[window] - low
+            item = windows.owners[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] if len(n) else np.zeros(0, np.int64)
+            pairs = np.unique(np.repeat(doc, n) * len(windows.names) + item) if len(item) else np.zeros(0, np.int64)
+            d, i = pairs // max(1, len(windows.names)), pairs % max(1, len(windows.names))
+            known = np.array([windows.names[x] is not None for x in i.tolist()], bool)
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(d[known], minlength=m))))
+            items = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([windows.names[x] for x in i[known].tolist()], pa.string()))
+            yield pa.RecordBatch.from_arrays([shard.keys, pa.array(shard.counts.astype(np.int64)), items, hits], names=["key", "n_words", "items", "hits"])
+
+    kind = _key_type(index)
+    return _gathered(index, query.terms).mapInArrow(run, f"key {kind}, n_words long, items array<string>, hits array<int>")
+
+
+def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(flat, pa.int32()))
+
+
+def item_blocks(items: DataFrame, text: str, block_words: int) -> int:
     """Number of blocks so that each has about block_words words, from one aggregate over the test set."""
     total = items.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)))).first()[0] or 0
     return 1 + int(total) // (4 * block_words)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_contamination(
+    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WINDOW, block_words: int = BLOCK_WORDS
+) -> DataFrame:
     """(key, n_words, items array<string>, hits array<int>) a document row: occurring items and hit positions.
 
     A document word inside any occurrence of a window is hit.
     """
-    spark = docs.sparkSession
-    n = item_blocks(items, item_key, item_text, block_words)
-    part = F.pmod(F.xxhash64(F.col(item_key).cast("string")), F.lit(n))
-    source = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    if n > 1:
-        source = source.withColumn("__row", F.monotonically_increasing_id())
+    n = item_blocks(items, item_text, block_words)
+    part = F.pmod(F.xxhash64(F.col(item_key).cast("string"), F.col(item_text)), F.lit(n))
+    row = F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"))
+    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text")) if n == 1 else docs.select(row.alias("key"), F.col(text).alias("text"))
+    # Staged once: rows get their numbers when the index is written, and each block of items reads that table.
+    index = stage(build_index(source, "key", "text"), "postings")
     found = []
     for b in range(n):
         rows = items.filter(part == b).select(F.col(item_key).cast("string").alias("i"), F.col(item_text).alias("t")).collect()  # one bounded block
-        block = [(r["i"], words((r["t"] or "").encode())) for r in rows if r["i"] is not None]
-        vocabulary = _vocabulary(block)
-        named = source.withColumn("__key", F.struct("__key", "__row")) if n > 1 else source
-        index = stage(build_index(named, spark.sparkContext.broadcast(vocabulary), "__text", "__key"), "postings")
-        frequency = {r["term"]: r["df"] for r in document_frequencies(index).collect()}  # a row a test term of this block
-        ids = [(name, [vocabulary[w] for w in tokens]) for name, tokens in block]
-        windows, by_rarest = _windows(ids, frequency, width)
-        found.append(_search(index, "__key", spark.sparkContext.broadcast(([name for name, _ in block], windows, by_rarest))))
+        found.append(search(index, windows_of([r["i"] for r in rows], [r["t"] for r in rows], width)))
     if n == 1:
-        return found[0].withColumnRenamed("__key", key)
+        return found[0].select(F.col("key").alias(key), "n_words", F.array_distinct("items").alias("items"), "hits")
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    merged = every.groupBy("__key").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
-    return merged.select(F.col("__key.__key").alias(key), "n_words", "items", "hits")
+    merged = every.groupBy("key").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
+    return merged.select(F.col("key.key").alias(key), "n_words", "items", "hits")
 
 
 def find_near(docs: DataFrame, phrases: dict[str, str], span: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Proximity matches: (key, phrase, position) where all words of a phrase stand within span words."""
-    spark = docs.sparkSession
-    tokens = {name: words(phrase.encode()) for name, phrase in phrases.items()}
-    vocabulary = _vocabulary(list(tokens.items()))
-    index = build_index(docs, spark.sparkContext.broadcast(vocabulary), text, key)
-    wanted = {name: [vocabulary[w] for w in ws] for name, ws in tokens.items()}
-    kind = index.schema[key].dataType.simpleString()
+    """Proximity matches: (key, phrase, position) where all words of a phrase stand within span words of its rarest."""
+    names = list(phrases)
+    query = windows_of(names, [phrases[n] for n in names], 1)
+    column = pa.array([phrases[n] for n in names], pa.large_string())
+    wanted = {}
+    for lo, hi, data, offsets in S.blocks(column):
+        word, owner = S.words(data, offsets)
+        number = np.searchsorted(query.terms, word.view(np.int64))
+        for i in range(lo, hi):
+            wanted[names[i]] = number[owner == i - lo].tolist()
+    index = stage(build_index(docs, key, text), "postings")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, name_, at_ = [], [], []
-            lists = [batch.column(i).to_pylist() for i in (1, 2, 3)]
-            for r, parts in enumerate(zip(*lists, strict=True)):
-                postings = Postings(*(np.array(x, np.int32) for x in parts))
-                for name, terms in wanted.items():
-                    for p in proximity_starts(postings, terms, span).tolist():
-                        row.append(r)
-                        name_.append(name)
-                        at_.append(p)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(name_, pa.string()), pa.array(at_, pa.int64())], names=[key, "phrase", "position"])
+        for shard in _shards(batches, query.terms):
+            row, phrase, position = [], [], []
+            for name, terms in wanted.items():
+                at = shard.near(terms, span)
+                doc = shard.document_of(at)
+                row += doc.tolist()
+                position += (at - shard.begin[doc]).tolist()
+                phrase += [name] * len(at)
+            yield pa.RecordBatch.from_arrays([shard.keys.take(pa.array(row, pa.int64())), pa.array(phrase, pa.string()), pa.array(position, pa.int64())], names=[key, "phrase", "position"])
 
-    return index.select(key, "terms", "ends", "positions").mapInArrow(run, f"`{key}` {kind}, phrase string, position long")
+    return _gathered(index, query.terms).mapInArrow(run, f"`{key}` {_key_type(index)}, phrase string, position long")
 
 
 def contamination_digest(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (a hit, and a twentieth of the words hit)."""
     found = find_contamination(docs, items, **names)
     n_hit = F.size("hits").cast("long")
-    item_list = F.array_sort(F.array_distinct("items"))
     return found.select(
         names.get("key", "doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(item_list, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 

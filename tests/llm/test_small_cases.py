@@ -258,8 +258,32 @@ def test_decontamination(spark, docs, empty):
     kept = decontaminate.decontaminate(docs, bench)
     assert kept.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((r.doc_id, r.text) for r in docs.collect() if not expected(r.text)[4])
-    near = decontaminate.find_near(docs, {"p": "two one"}, 3).collect()
-    assert {r.doc_id for r in near} == {7, 8}
+    near = decontaminate.find_near(docs, {"p": "two one", "q": "gamma1 beta2", "none": "nowhere one"}, 3).collect()
+    assert {r.doc_id for r in near if r.phrase == "p"} == {7, 8} and not [r for r in near if r.phrase == "none"]
+    for r in near:
+        w = [WORD.findall(low(t)) for t in texts() if t]
+        ends = {"p": {"two", "one"}, "q": {"gamma1", "beta2"}}[r.phrase]
+        assert any(r.position < len(x) and x[r.position] in ends and ends <= set(x[max(0, r.position - 3) : r.position + 4]) for x in w)
+
+
+def test_decontamination_items_without_and_of_one_id(spark):
+    """Null ids hit but are not counted; rows of one id are one item; windows do not cross documents."""
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha"), (3, "beta gamma")], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(None, "alpha beta"), ("x", "gamma"), ("x", "delta"), ("y", "alpha beta")], "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.contamination_digest(docs, bench).collect()}
+    digest = lambda ids: hashlib.sha256(ids.encode()).hexdigest()
+    assert got == {1: (4, 4, 2, digest("x,y")), 2: (1, 0, 0, digest("")), 3: (2, 1, 1, digest("x"))}
+
+
+def test_index_holds_every_word(spark, docs):
+    import numpy as np
+
+    index = decontaminate.stage(decontaminate.build_index(docs), "postings")
+    counted = decontaminate.document_frequencies(index).agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.count("*").alias("n")).first()
+    words_ = [WORD.findall(low(r.text or "")) for r in docs.collect()]
+    assert counted.cf == sum(map(len, words_)) and counted.df == sum(len(set(w)) for w in words_) and counted.n == len({x for w in words_ for x in w})
+    lists = [np.frombuffer(r.places, np.int32) for r in index.filter("term is not null").collect()]
+    assert all((np.diff(p) > 0).all() for p in lists)
 
 
 def test_token_counts(docs, empty):
