@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns: each operator on small tables."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -422,23 +423,94 @@ def test_warc_chain_across_splits(spark, tmp_path):
     assert sorted(r.page_id for r in rows) == list(range(300)) and all(r.digest_matches for r in rows)
 
 
+CALLS = "conversation long, id string, after string, name string, arguments string"
+RESULTS = "conversation long, id string, content string"
+
+
 def test_chat(spark):
     calls = [(1, "a", None, "ask", '{"turn": 1, "prompt": "x"}'), (1, "b", "a", "ask", '{"prompt": "", "turn": 1.0}'), (1, "c", "b", "ask", "{bad"), (2, "p", "q", "ask", None), (2, "q", "p", "other", "{}"), (2, "r", "q", "ask", "{}"), (3, None, None, "ask", "{}"), (1, "a", None, "ask", '{"turn": 1, "prompt": "x"}')]
     results = [(1, "a", "done"), (1, "zz", "lost"), (1, "b", None), (1, "a", "done")]
-    c = spark.createDataFrame(calls, "conversation long, id string, after string, name string, arguments string")
-    r = spark.createDataFrame(results, "conversation long, id string, content string")
-    out = {x.id: x for x in chat.link_tool_calls(c, r, chat.SCHEMAS).collect()}
-    assert len(out) == 8
+    rows = chat.link_tool_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), chat.SCHEMAS).collect()
+    out = {x.id: x for x in rows if x.state != "repeat"}
+    assert len(rows) == 10 and len(out) == 8
+    assert [x.id for x in rows if x.state == "repeat"] == ["a", "a"]
     assert [out[k].depth for k in "abc"] == [0, 1, 2] and out["p"].depth is None
     assert {k: x.state for k, x in out.items()} == {"a": "linked", "b": "linked", "c": "missing", "p": "cycle", "q": "cycle", "r": "cycle", None: "missing", "zz": "orphan"}
     assert out["a"].valid and out["b"].problems == "$.prompt: length 0" and out["c"].problems == "not JSON" and out["q"].problems == "unknown tool"
-    assert out["a"].line == '{"after":null,"call":{"arguments":{"prompt":"x","turn":1},"name":"ask"},"depth":0,"id":"a","result":"done","state":"linked"}'
-    deep = spark.range(500).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.expr("if(id % 2 = 0, 'user', 'assistant')").alias("role"), F.col("id").cast("string").alias("text"))
+    assert out["a"].line == '{"after":[],"call":{"arguments":{"prompt":"x","turn":1},"name":"ask"},"depth":0,"id":"a","position":0,"result":"done","state":"linked"}'
+    deep = spark.range(500).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.expr("if(id % 2 = 0, 'user', 'assistant')").alias("role"), F.col("id").cast("string").alias("text"), F.lit("x").alias("state"), F.lit(1).alias("key"))
     found = {x.id: x for x in chat.format_conversations(deep).collect()}
-    assert len(found) == 250 and all(x.state == "linked" and x.depth == int(k.split("-")[1]) // 2 for k, x in found.items())
+    assert len(found) == 250 and all(x.state == "linked" and x.depth == x.position == int(k.split("-")[1]) // 2 for k, x in found.items())
     assert chat.format_conversations(deep.limit(0)).count() == 0
 
 
+def test_chat_takes_any_arguments(spark):
+    """Text that is not JSON, too deep, too large or not Unicode neither ends the job nor is lost."""
+    given_ = ['{"a": NaN}', '{"a": 1e400}', '{"a": -Infinity}', '{"prompt": "\\ud800", "turn": 1}', "[" * 200_000, "", '"' + "x" * 2_000_000 + '"', "1" * 5000, '{"turn": 1' + "0" * 400 + ', "prompt": "x"}', "[" * 900 + "]" * 900]
+    calls = [(1, str(i), None, "ask", a) for i, a in enumerate(given_)]
+    results = [(1, "0", "x" * 1_000_000), (None, "0", "of no conversation"), (2, None, None), (1, "1", "")]
+    rows = chat.link_tool_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), chat.SCHEMAS).collect()
+    out = {x.id: x for x in rows if x.conversation == 1}
+    assert len(out) == len(given_) and len(rows) == len(given_) + 2
+    for i in (0, 1, 2, 4, 5, 7):
+        assert not out[str(i)].valid and json.loads(out[str(i)].line)["call"]["arguments"] == given_[i]
+    assert out["3"].valid and "\\ud800" in out["3"].line and out["8"].valid
+    assert out["6"].problems == "$: not object" and out["4"].problems in ("nested too deeply", "not JSON")
+    assert len(json.loads(out["0"].line)["result"]) == 1_000_000 and json.loads(out["1"].line)["result"] == ""
+    assert {(x.conversation, x.id, x.state) for x in rows if x.conversation != 1} == {(None, "0", "orphan"), (2, None, "orphan")}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chat_against_brute_force(spark, seed):
+    """Random call graphs of several conversations that share identifiers, with cycles, repeats and lost results."""
+    r = random.Random(seed)
+    calls, results = [], []
+    for conv in (1, 2, None):
+        ids = [f"i{k}" for k in range(25)]
+        for k, name in enumerate(ids):
+            earlier = r.sample(ids[:k], min(k, r.choice((0, 1, 1, 1, 2, 3))))
+            after = earlier + (["nowhere"] if r.random() < 0.1 else []) + ([r.choice(ids)] if r.random() < 0.04 else [])
+            calls.append((conv, name, after, "ask", '{"turn":%d,"prompt":"x"}' % k))
+            if r.random() < 0.1:
+                calls.append((conv, name, [], "ask", '{"turn":%d,"prompt":"y"}' % k))
+            results += [(conv, name, f"done {conv} {k} {n}") for n in range(r.choice((0, 1, 1, 1, 2)))]
+        results.append((conv, "lost", "x"))
+    calls.append((1, None, ["i0"], "ask", "{}"))
+    r.shuffle(calls)
+    c = spark.createDataFrame(calls, "conversation long, id string, after array<string>, name string, arguments string").repartition(3)
+    got = chat.link_tool_calls(c, spark.createDataFrame(results, RESULTS), chat.SCHEMAS, cell_rows=4).collect()
+
+    best = {}
+    for conv, name, after, tool, arguments in calls:
+        if name is not None:
+            row = (sorted(set(after)), tool, arguments)
+            best[conv, name] = min(best.get((conv, name), row), row)
+    answer = {}
+    for conv, name, content in results:
+        answer[conv, name] = min(answer.get((conv, name), content), content)
+
+    def depth(node, seen=()):
+        if node in seen:
+            return None
+        found = [depth((node[0], p), (*seen, node)) for p in best[node][0] if (node[0], p) in best]
+        return None if None in found else 1 + max(found, default=-1)
+
+    want = Counter()
+    for node, (after, _, _) in best.items():
+        d = depth(node)
+        want[*node, d, "cycle" if d is None else "linked" if node in answer else "missing", answer.get(node)] += 1
+    want.update((*node, None, "orphan", content) for node, content in answer.items() if node not in best)
+    spare = len([1 for x in calls if x[1] is not None]) - len(best) + len(results) - len(answer)
+    main = [x for x in got if x.state != "repeat" and x.id is not None]
+    assert Counter((x.conversation, x.id, x.depth, x.state, json.loads(x.line)["result"]) for x in main) == want
+    assert sum(x.state == "repeat" for x in got) == spare and sum(x.id is None for x in got) == 1
+    for conv in (1, 2, None):
+        own = sorted((x.position, x.depth, x.id) for x in main if x.conversation == conv and x.depth is not None)
+        assert [p for p, _, _ in own] == list(range(len(own))) and [d for _, d, _ in own] == sorted(d for _, d, _ in own)
+        place = {name: p for p, _, name in own}
+        assert all(place[p] < place[name] for name in place for p in best[conv, name][0] if p in place)
+
+
 def test_quality(spark, docs, empty):
     good = " ".join(["The whole river and lake were calm, and the small boats came home before night."] * 3)
     bad = " ".join(["BUY!!! NOW$$$ ***CHEAP*** ###"] * 8)
