@@ -1,22 +1,27 @@
 """Secret scanning: fixed patterns, and novelty against a primed zstandard compressor.
 
-Patterns find assignments, access keys and long hexadecimal runs. Besides, each string of CANDIDATE
-characters in a sensitive context (it begins at most REACH characters after a credential word) is measured,
-whole, by its marginal compressed bytes: how much longer the surrounding text becomes, compressed with a
-dictionary of common identifiers, when the string is put in. Identifiers and repeats cost little; keys do not
-compress. Strings with a digit whose marginal bytes reach NOVELTY a character are reported as `novel`; long
-words of prose reach it too, so strings without a digit are left out, keys of letters alone among them.
-
-Spans are in code points, end exclusive. Defined cases: null counts as the empty text, which has no spans;
-repeated rows each get a row. Equal texts have equal spans.
+Patterns find assignments, access keys and long hexadecimal runs. Besides, each string of CANDIDATE characters in a
+sensitive context is measured, whole, by its marginal compressed bytes: how much longer the surrounding text
+becomes, compressed with a dictionary of common identifiers, when the string is put in. Identifiers and repeats
+cost little; keys do not compress. The context is a credential word that ends at most REACH characters before the
+string or begins at most REACH after it on the same line. A string without such a word around it that holds
+credential words itself is cut at them, and its parts are measured. So each character is measured at most twice.
+
+Strings whose marginal bytes reach NOVELTY a character are reported as `novel` if they have a digit or LETTERS
+letters in a row; rare words of prose reach it too, so shorter strings of letters alone are left out.
+
+Spans are in code points, end exclusive. Defined cases: null counts as the empty text, which has no spans; an empty
+table gives no rows; repeated rows each get a row. Equal texts have equal spans; spans of one start are ordered by
+kind as listed. Very long texts and strings are read whole. Columns to keep may have any name but those of the
+result; further columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -35,7 +40,8 @@ LEAST = 12
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST},}}")
 CONTEXT = re.compile(r"pass(?:word|wd|phrase)?|secret|token|api_?key|credential|private_?key|bearer|auth", re.IGNORECASE | re.ASCII)
 REACH = 40
-_DIGIT = re.compile("[0-9]")
+LETTERS = 32
+_TELLING = re.compile(rf"[0-9]|[A-Za-z]{{{LETTERS}}}")
 
 # Identifiers that are common in code and configuration next to credentials.
 IDENTIFIERS = (
@@ -82,23 +88,50 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
 
 
+def _clear_of(base: list[tuple[int, str, int]]) -> Callable[[int, int], bool]:
+    """Whether a span touches none of the base spans."""
+    merged: list[list[int]] = []
+    for a, _, b in base:
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    starts = [a for a, _ in merged]
+
+    def clear(a: int, b: int) -> bool:
+        i = bisect_left(starts, b)
+        return i == 0 or merged[i - 1][1] <= a
+
+    return clear
+
+
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Strings in a sensitive context, in order."""
+    words = [m.span() for m in CONTEXT.finditer(text)]
+    if not words:
+        return
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        i, j = bisect_right(ends, a), bisect_left(starts, b)
+        before = i > 0 and a - ends[i - 1] <= REACH
+        after = j < len(words) and starts[j] - b <= REACH and "\n" not in text[b : starts[j]]
+        if before or after:
+            yield a, b
+            continue
+        if i == j:
+            continue
+        # Credential words inside: what stands between them, the first of which may begin before the string.
+        edges = [a, *(x for span in words[i:j] for x in span), b]
+        for x, y in zip(edges[::2], edges[1::2], strict=True):
+            if y - x >= LEAST:
+                yield x, y
+
+
 def novel_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """Incompressible strings in a sensitive context, apart from the base spans."""
-    out: dict[int, int] = {}
-    runs: list[tuple[int, int]] | None = None
-    for c in CONTEXT.finditer(text):
-        if runs is None:
-            runs = [m.span() for m in CANDIDATE.finditer(text)]
-        for i in range(bisect_right(runs, c.end(), key=lambda run: run[1]), len(runs)):
-            start, b = runs[i]
-            if start > c.end() + REACH:
-                break
-            a = max(start, c.end())  # a run that the context word is part of counts from the word's end
-            if a in out or b - a < LEAST or any(x < b and a < y for x, _, y in base):
-                continue
-            if _DIGIT.search(text, a, b) and novelty(text, a, b) >= NOVELTY:
-                out[a] = b
-    return [(a, "novel", b) for a, b in sorted(out.items())]
+    clear = _clear_of(base)
+    return [(a, "novel", b) for a, b in candidates(text) if clear(a, b) and _TELLING.search(text, a, b) and novelty(text, a, b) >= NOVELTY]
 
 
 def _joined(spans: list[tuple[int, str, int]]) -> str:

@@ -342,14 +342,53 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan(docs, keep=["doc_id"]).count() == docs.count()
 
 
-def test_every_candidate_is_measured_whole():
-    r = random.Random(9)
-    make = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
-    key, long = "Zq7" + make(37), make(900)
-    for text, want in ((f'credential_rotation_policy = "{key}"', [key]), (f"Authorization: Bearer {long} end", [long]), (f"bearer deadbeefdeadbeef00 {key}", [key]), (f"credential {key} {long}", [key]), (f"auth {key[:20]} {key[20:]}", [key[:20], key[20:]])):
-        spans = secrets.novel_spans(text, secrets.base_spans(text))
-        starts = [text.index(w) for w in want if text.index(w) <= 60]
-        assert [(a, text[a:b]) for a, _, b in spans] == list(zip(starts, want, strict=True))
+def test_even_shards_beside_a_hot_text(spark):
+    """One text with 30 % of the bytes fills a shard; the others share the rest evenly, not greedily."""
+    r = random.Random(8)
+    small = ["".join(r.choice("abcdefgh ") for _ in range(r.randrange(60, 140))) for _ in range(2000)]
+    rows = [(i, t) for i, t in enumerate(small)] + [(9999, "z" * int(sum(map(len, small)) * 3 / 7))]
+    out = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    sizes = sorted(x.b for x in out)
+    rest = sum(sizes[:-1]) / 23
+    assert len(sizes) == 24 and 0.85 * rest < sizes[0] and sizes[-2] < 1.15 * rest
+
+
+def test_novel_strings_against_brute_force():
+    """Every string in context, whole, on both sides, by a plain loop over the definition."""
+    r = random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key = lambda n, of: "".join(r.choice(of) for _ in range(n))
+    made = ["the", "auth", "token", "credential", "is", "=", "\n", "# api key", "straightforwardly", "é", "Bearer", "secret: abcdefabcdef12", "document.getElementById2", "x" * 70]
+    for _ in range(150):
+        text = " ".join(r.choice([*made, key(40, letters + "0123456789"), key(60, letters), "my_token/" + key(30, letters + "0123456789")]) for _ in range(r.randrange(1, 14)))
+        base = secrets.base_spans(text)
+        words_ = [m.span() for m in secrets.CONTEXT.finditer(text)]
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=.-]{12,}", text):
+            a, b = m.span()
+            around = any(y <= a <= y + 40 for _, y in words_) or any(b <= x <= b + 40 and "\n" not in text[b:x] for x, _ in words_)
+            spans = [(a, b)]
+            if not around:
+                cut = sorted((x, y) for x, y in words_ if x < b and y > a)
+                edges = [a] + [e for w in cut for e in w] + [b]
+                spans = [(x, y) for x, y in zip(edges[::2], edges[1::2], strict=True) if y - x >= 12] if cut else []
+            for x, y in spans:
+                free = not any(p < y and x < q for p, _, q in base)
+                if free and re.search("[0-9]|[A-Za-z]{32}", text[x:y]) and secrets.novelty(text, x, y) >= secrets.NOVELTY:
+                    want.append((x, "novel", y))
+        assert secrets.novel_spans(text, base) == want
+
+
+def test_long_and_lettered_secrets():
+    r = random.Random(1)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    long, alone = "".join(r.choice(letters + "0123456789") for _ in range(5000)), "".join(r.choice(letters) for _ in range(60))
+    forty = long[:40]
+    for text, spans in (
+        (f"credential is {long} end", [(14, 5014)]), (f"auth placeholder-word {forty} x", [(22, 62)]), (f"bearer {alone}", [(7, 67)]), (f'x = "{forty}"  # api key', []),
+        (f'x = "{forty}"  # api_key', [(5, 45)]), ("notwithstanding token straightforwardly tokenization of internationalization", []), (f'credential_rotation_policy = "{forty}"', [(30, 70)]),
+    ):
+        assert [(a, b) for a, _, b in secrets.novel_spans(text, secrets.base_spans(text))] == spans
 
 
 def test_mixing(spark, docs, empty):
