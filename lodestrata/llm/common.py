@@ -15,9 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (local runs)."""
+    """The folder in spark.checkpoint.dir. Unset, it is a temporary one on a local master, and an error on a cluster,
+    whose executors would each write to a disk of their own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is not set: staged tables need a folder that all executors of {master} share")
         path = tempfile.mkdtemp(prefix="lodestrata-")
         spark.conf.set("spark.checkpoint.dir", path)
         atexit.register(shutil.rmtree, path, ignore_errors=True)
