@@ -6,13 +6,17 @@ word repeats and distinct words. The network is h = tanh(W x + b) for each passa
 a = softmax(w . (tanh(V h) * sigmoid(U h))), z = sum a h, score = sigmoid(c . z + d), learned from document
 labels only. Labels, language, source and id are never inputs of a score.
 
-Encoding and scoring run in Spark tasks over every document. The weights are fitted on the driver, on at
-most SAMPLE labelled documents (the smallest by a hash of the id, a documented bound) of which passages of
-at most BAG statistics vectors each leave the executors, so what reaches the driver does not grow.
-
-Defined cases: null counts as the empty text, one passage of zeros, and is scored like any other. Equal texts
-score alike. Repeated rows each get a row. Without usable labels of both kinds every score is 1.0 or 0.0, as
-the only label there is (1.0 without any). Labels of a repeated document are averaged.
+Encoding and scoring run in Spark tasks over every document. The weights are fitted on the driver, on a sample of
+labelled rows bounded by documented parameters: in the order of a hash of the id, rows of at most ROW_PASSAGES
+passages are taken as long as they are SAMPLE rows and PASSAGES passages at most. Every passage of a taken row is
+used; its statistics vectors are what leaves the executors, so what reaches the driver does not grow.
+
+Defined cases: null counts as the empty text, one passage of zeros, and is scored like any other. Equal texts score
+alike; very long ones are scored whole. Ids may be of any type; they match labels by their text form. Repeated rows
+each get a row; labels of a repeated id are averaged, and in training an id counts once. Rows or labels without an
+id are not trained on; ties in the order of hashes go by id. Without usable labels of both kinds every score is 1.0
+or 0.0, as the only label there is (1.0 without any). An empty table gives no rows. Further columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -20,16 +24,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm import shingles as S
 
 PASSAGE = 1024
 SAMPLE = 12_000
-BAG = 24
+PASSAGES = 48_000
+ROW_PASSAGES = 4_000
 HIDDEN = 32
 ATTENTION = 16
 THRESHOLD = 0.3
@@ -190,26 +194,34 @@ def held_out(key: str = "doc_id") -> F.Column:
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> GatedAttention | float:
-    """Fit on at most `sample` labelled documents that are not held out; a constant if there is one label only."""
+def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int, passages: int) -> DataFrame:
+    """(__key, __label) of the rows to fit on."""
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.avg(label).alias("__label"))
-    usable = known.filter(~held_out(key)).select(F.col(key).cast("long").alias("__key"), "__label")
-    chosen = usable.orderBy(F.xxhash64("__key"), "__key").limit(sample)
-    rows = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__key")
+    usable = known.filter(~held_out(key)).select(F.col(key).cast("string").alias("__key"), "__label")
+    chosen = usable.orderBy(F.xxhash64("__key"), "__key").limit(2 * sample)  # some have no document
+    pieces = F.greatest(F.lit(1), F.floor((F.coalesce(F.octet_length(text), F.lit(0)) + PASSAGE // 2) / PASSAGE))
+    sized = docs.select(F.col(key).cast("string").alias("__key"), pieces.alias("__n")).join(F.broadcast(chosen), "__key").groupBy("__key").agg(F.max("__n").alias("__n"), F.first("__label").alias("__label"))
+    order = Window.orderBy(F.xxhash64("__key"), "__key")  # over the bounded sample alone
+    placed = sized.filter(F.col("__n") <= ROW_PASSAGES).withColumn("__sum", F.sum("__n").over(order)).withColumn("__rank", F.row_number().over(order))
+    return placed.filter((F.col("__sum") <= passages) & (F.col("__rank") <= sample)).select("__key", "__label")
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, passages: int = PASSAGES) -> GatedAttention | float:
+    """Fit on the sample of labelled documents that are not held out; a constant if there is one label only."""
+    chosen = _sample(docs, labels, key, text, label, sample, passages)
+    rows = docs.select(F.col(key).cast("string").alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = []
             for _, _, data, offsets in S.blocks(batch.column(1)):
                 x, first = encode(data, offsets)
-                for a, b in zip(first[:-1], first[1:], strict=True):
-                    at = np.unique(np.linspace(a, b - 1, min(b - a, BAG)).astype(int))
-                    vectors.append(x[at].astype(np.float32).tobytes())
+                vectors += [x[a:b].astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(vectors, pa.binary())], names=["key", "label", "x"])
 
-    # A repeated document enters once: of equal ids one row, so the sample bound also bounds the rows.
-    encoded = rows.select("__key", "__text", "__label").mapInArrow(run, "key long, label double, x binary")
-    found = encoded.groupBy("key").agg(F.min(F.struct("x", "label")).alias("v")).select("key", "v.x", "v.label").orderBy("key").limit(sample).toPandas()
+    # A repeated document enters once: of equal ids the row of most passages, so the bounds hold.
+    encoded = rows.select("__key", "__text", "__label").mapInArrow(run, "key string, label double, x binary")
+    found = encoded.groupBy("key").agg(F.max(F.struct(F.octet_length("x").alias("n"), "x", "label")).alias("v")).select("key", "v.x", "v.label").orderBy("key").toPandas()
     if found.empty or found.label.round().nunique() < 2:
         return float(found.label.mean().round()) if len(found) else 1.0
     bags = [np.frombuffer(x, np.float32).reshape(-1, FEATURES) for x in found.x]

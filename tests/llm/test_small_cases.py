@@ -566,3 +566,75 @@ def test_quality(spark, docs, empty):
     assert quality.score_documents(docs, labels.limit(0)).filter("score <> 1").count() == 0
     assert quality.score_documents(empty.select("doc_id", "text"), labels).count() == 0
     assert quality.keep_good(docs, labels).columns == docs.columns
+
+
+def test_gated_attention_by_plain_loops():
+    """Forward pass bag by bag and passage by passage; gradients against differences of the loss."""
+    import math
+
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(9, quality.FEATURES)).astype(np.float32)
+    first = np.array([0, 1, 4, 9])
+    net = quality.GatedAttention(x.mean(0), x.std(0) + 1e-3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    p = net.p
+    for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+        rows = [np.tanh(np.clip((v - net.mean) / net.scale, -6, 6) @ p["W"] + p["b"]) for v in x[a:b]]
+        gate = [math.exp(sum(p["w"][j] * math.tanh(h @ p["V"][:, j]) / (1 + math.exp(-(h @ p["U"][:, j]))) for j in range(quality.ATTENTION))) for h in rows]
+        z = sum(g * h for g, h in zip(gate, rows, strict=True)) / sum(gate)
+        assert math.isclose(net.forward(x, first)["score"][i], 1 / (1 + math.exp(-(z @ p["c"] + p["d"][0]))), rel_tol=1e-6)
+    label, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+    loss = lambda: -(weight * (label * np.log(s := net.forward(x, first)["score"]) + (1 - label) * np.log(1 - s))).sum() / weight.sum()
+    grads = net.gradients(net.forward(x, first), first, label, weight)
+    for name, g in grads.items():
+        flat = p[name].reshape(-1)
+        for at in r.choice(len(flat), min(6, len(flat)), replace=False):
+            held, step = flat[at], 1e-5
+            flat[at] = held + step
+            up = loss()
+            flat[at] = held - step
+            down = loss()
+            flat[at] = held
+            assert abs((up - down) / (2 * step) - g.reshape(-1)[at]) < 2e-4
+
+
+def test_quality_learns_from_every_passage_and_any_id(spark):
+    """A text of a hundred passages counts in full; ids are strings; held-out labels are met."""
+    good = "The whole river and lake were calm, and the small boats came home before night. "
+    bad = "BUY!!! NOW$$$ ***CHEAP*** ### "
+    rows = [(f"id-{i}", (good * 13 * 100 if i == 4 else good * 6) if i % 2 else bad * 20, i % 2) for i in range(200)]
+    d = spark.createDataFrame([(i, t, 0.5, "x") for i, t, _ in rows] + [("long", (bad * 35 + good) * 100, 0.5, "x")], "doc_id string, text string, score double, __label string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id string, quality int")
+    out = {r.doc_id: r for r in quality.score_documents(d, labels).collect()}
+    held = [i for i, _, _ in rows if out[i].held_out]
+    assert held and all(out[i].predicted == q for i, _, q in rows)
+    sizes = [r["n"] for r in quality._sample(d, labels, "doc_id", "text", "quality", 50, 300).join(d.selectExpr("doc_id as __key", "greatest(1, floor((length(text) + 512) / 1024)) as n"), "__key").collect()]
+    assert 0 < len(sizes) <= 50 and sum(sizes) <= 300
+
+
+def test_held_out_accuracy_on_the_test_tables(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    met = quality.score_documents(docs, labels).filter("held_out").join(labels, "doc_id").collect()
+    assert len(met) > 50 and sum(r.predicted == r.quality for r in met) / len(met) >= 0.95
+
+
+def test_near_duplicates_with_text_ids(spark, docs):
+    named = docs.select(F.concat(F.lit("k"), "doc_id").alias("doc_id"), "text")
+    by_number = {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(docs.filter("doc_id is not null and doc_id <> 7")).collect()}
+    by_name = {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(named.filter("doc_id is not null and doc_id <> 'k7'")).collect()}
+    groups = lambda found: {frozenset(str(i).strip("k") for i in found if found[i] == c) for c in found.values()}
+    assert groups(by_number) == groups(by_name)
+    assert weighted_minhash.drop_near_duplicates(named).columns == ["doc_id", "text"]
+
+
+def test_shared_folder_is_no_local_one_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lodestrata.llm import common
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        common.shared_dir(cluster)
