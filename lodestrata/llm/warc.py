@@ -11,8 +11,9 @@ are shuffled, and only the pieces of a payload that contains a version line are
 
 Defined cases: a null payload is empty; null ids and addresses have no header line and read back as null;
 line breaks in an address are percent-encoded. Of records with equal payloads the one with the largest id is
-the response (rows that repeat it are responses too); if no id is known, all are. An empty table gives no
-archive rows.
+the response (rows that repeat it are responses too); if no id is known, all are. Empty and very long payloads are
+records like others, and each is read whole by one task. An empty table gives no archive rows. Further columns of the
+pages, whatever their names, are not written.
 """
 
 from __future__ import annotations
@@ -142,11 +143,17 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _joined(spark: SparkSession, path: str, broken: DataFrame) -> DataFrame:
-    """(file, start, sha1_joined) of records whose payload holds version lines: their pieces put together."""
+    """(file, start, sha1_joined) of records whose payload holds version lines: their pieces put together.
+
+    A piece belongs to the last broken record that has begun before it in its file, if that has not ended: found in
+    one ordered pass over each file with such records.
+    """
     pieces = _pieces(spark, path).withColumn("length", F.octet_length("value").cast("long"))
     placed = _offsets(pieces.join(broken.select("file").distinct(), "file", "left_semi"), ["value"])
-    records = broken.select("file", F.col("start").alias("record"), "next", "head_bytes", "content")
-    inside = placed.join(records, "file").filter((F.col("start") >= F.col("record")) & (F.col("start") < F.col("next")))
+    begins = broken.select("file", "start", F.struct(F.col("start").alias("record"), "next", "head_bytes", "content").alias("begins"))
+    so_far = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    owned = placed.join(begins, ["file", "start"], "left").withColumn("of", F.last("begins", ignorenulls=True).over(so_far))
+    inside = owned.filter(F.col("start") < F.col("of.next")).select("file", "start", "value", "of.record", "of.head_bytes", "of.content")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "value"))), lambda p: p["value"]), VERSION)
     whole = inside.groupBy("file", "record", "head_bytes", "content").agg(text.alias("text"))
     body = F.substring(F.col("text").cast("binary"), (F.col("head_bytes") + 1).cast("int"), F.col("content").cast("int"))
