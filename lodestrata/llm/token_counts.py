@@ -7,15 +7,19 @@ each place in that tail, the token that the encoding of the input up to there en
 byte can depend on. States and transitions are made when first reached and kept, so the table holds what the
 texts use; between two pieces a table of STATES states is emptied, so memory is bounded. The last byte of a piece is a symbol of its own, as the vocabulary's tokens end words.
 
-Texts are cut into chunks of CHUNK code points by Spark. ASCII white space resets the transducer, so a
-chunk's state map is one of two kinds: (whole,) for a chunk without white space, or (head, count, tail):
-whatever state it is entered in, only the head is read in that state, and it is left in that of the tail.
-Maps compose associatively, and a scan over a text's chunks gives its count, whatever its length.
-
-Words are normalised as the tokenizer file says (NFC, lower case) and split by its pattern. Special strings
-inside a text are one token each, the library's default.
-
-Defined cases: null counts as empty, with no tokens; repeated rows each get a row.
+Texts of more than CHUNK code points are cut into chunks in one pass, and the chunks are dealt over all tasks. ASCII
+white space resets the transducer, so a chunk's map is one of two kinds: (whole,) for a chunk without white space, or
+(head, count, tail): whatever state it is entered in, only the head is read in that state, and it is left in that of
+the tail. The open ends are kept as text, not as states, since the normaliser and the splitting pattern in front of
+the transducer need it. Maps compose associatively; they are composed in LEVELS rounds of FAN neighbours at a time, a
+parallel prefix scan of which only the last value, a text's count, is wanted. A single word of many chunks is put
+together by its last task.
+
+Words are normalised as the tokenizer file says (NFC, lower case) and split by its pattern. Special strings inside a
+text are one token each, the library's default. The file's content is broadcast, so executors need not see its path.
+
+Defined cases: null counts as empty, with no tokens; an empty table gives no rows; repeated rows each get a row; equal
+texts have equal counts. Columns to keep may have any name but those of the result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -24,13 +28,17 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.common import partitions
+
 CHUNK = 1 << 16
+FAN, LEVELS = 64, 3
 LIMIT = 2048
 MEMO = 400_000
 STATES = 200_000
@@ -149,14 +157,13 @@ class CountTransducer:
 
 
 class TokenCounter:
-    """Counts for words (white-space-free strings) and chunks of one tokenizer file."""
+    """Counts for words (white-space-free strings) and chunks; source: the tokenizer file's content."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, source: str) -> None:
+        spec = json.loads(source)
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"] or spec["model"]["type"] != "BPE":
-            raise ValueError(f"{path}: not a lower-casing byte-pair file with word ends")
+            raise ValueError("not a lower-casing byte-pair file with word ends")
         self.transducer = CountTransducer(spec)
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], regex.V0)
         special = [t["content"] for t in spec["added_tokens"]]
@@ -220,47 +227,94 @@ class TokenCounter:
 def token_counts(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
     """The columns in keep, with n_bytes and n_tokens of every text.
 
-    Long texts become several rows of one chunk each, next to each other in their partition; the scan over
-    them runs as they stream by, so memory holds one Arrow batch. No shuffle.
+    Texts of one chunk are counted where they are read, without a shuffle. Only the chunks of longer ones are dealt.
     """
     keep = keep or []
+    with open(path, encoding="utf-8") as f:
+        source = df.sparkSession.sparkContext.broadcast(f.read())
     whole = F.coalesce(F.col(text), F.lit(""))
-    starts = F.sequence(F.lit(1), F.greatest(F.char_length(whole), F.lit(1)), F.lit(chunk))
-    rows = df.select(*keep, whole.alias("__text"), F.octet_length(whole).cast("long").alias("__bytes"), starts.alias("__starts"))
-    rows = rows.select(*keep, "__text", "__bytes", F.explode("__starts").alias("__start"))
-    last = F.col("__start") + chunk > F.char_length("__text")
-    part = F.when((F.col("__start") == 1) & last, F.col("__text")).otherwise(F.substring("__text", F.col("__start"), F.lit(chunk)))
-    rows = rows.select(*keep, "__bytes", (F.col("__start") == 1).alias("__first"), last.alias("__last"), part.alias("__part"))
+    rows = df.select(*keep, F.octet_length(whole).cast("long").alias("__bytes"), whole.alias("__text"))
+    long = F.char_length("__text") > chunk
     k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, running = _counter(path), ("",)
+        counter = _counter(source.value)
         for batch in batches:
-            ends, counts = [], []
-            for i, (first, last, part) in enumerate(zip(*(batch.column(k + j).to_pylist() for j in (1, 2, 3)), strict=True)):
-                if first and last:
-                    ends.append(i)
-                    counts.append(counter.text(part))
-                    continue
-                running = counter.chunk_map(part) if first else counter.compose(running, counter.chunk_map(part))
-                if last:
-                    ends.append(i)
-                    counts.append(counter.finish(running))
-            at = pa.array(ends, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(k + 1)), pa.array(counts, pa.int64())], names=[*keep, "n_bytes", "n_tokens"])
+            counts = [counter.text(t) for t in batch.column(k + 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k + 1)), pa.array(counts, pa.int64())], names=[*keep, "n_bytes", "n_tokens"])
 
     fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
-    return rows.mapInArrow(run, f"{fields}n_bytes long, n_tokens long")
+    short = rows.filter(~long).mapInArrow(run, f"{fields}n_bytes long, n_tokens long")
+    return short.unionByName(_in_chunks(rows.filter(long), source, keep, chunk))
+
+
+MAP = "whole boolean, head string, count long, tail string"
+
+
+def _in_chunks(rows: DataFrame, source, keep: list[str], chunk: int) -> DataFrame:
+    """token_counts of texts (keep, __bytes, __text) of more than one chunk."""
+    spark = rows.sparkSession
+    # Rows get their numbers before they are cut and dealt; what is kept of a row goes with its first chunk.
+    held = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("__bytes").alias("bytes"))
+    named = rows.select(F.monotonically_increasing_id().alias("row"), held.alias("held"), "__text")
+    kind = named.schema["held"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, t in enumerate(batch.column(2)):
+                body = t.as_py()
+                parts = [body[i : i + chunk] for i in range(0, len(body), chunk)]
+                n = len(parts)
+                first = pa.concat_arrays([batch.column(1).slice(r, 1), pa.nulls(n - 1, batch.column(1).type)])
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[r].as_py()] * n, pa.int64()), pa.array(range(n), pa.int64()), first, pa.array(parts, pa.string())], names=["row", "no", "held", "part"])
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(source.value)
+        for batch in batches:
+            yield _maps(batch, [counter.chunk_map(p) for p in batch.column(3).to_pylist()])
+
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(source.value)
+        for batch in batches:
+            out = []
+            for listed in batch.column(3).to_pylist():
+                maps = [(m["head"],) if m["whole"] else (m["head"], m["count"], m["tail"]) for m in listed]
+                out.append(reduce(counter.compose, maps))
+            yield _maps(batch, out)
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(source.value)
+        for batch in batches:
+            maps = zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True)
+            counts = [counter.finish((head,) if whole else (head, n, tail)) for whole, head, n, tail in maps]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["held", "n_tokens"])
+
+    schema = f"row long, no long, held {kind}, {MAP}"
+    dealt = named.mapInArrow(cut, f"row long, no long, held {kind}, part string").repartition(partitions(spark), "row", "no")
+    maps = dealt.mapInArrow(mapped, schema)
+    for _ in range(LEVELS):
+        one = F.struct("no", "whole", "head", "count", "tail")
+        near = maps.groupBy("row", F.floor(F.col("no") / FAN).alias("next")).agg(F.first("held", ignorenulls=True).alias("held"), F.array_sort(F.collect_list(one)).alias("maps"))
+        maps = near.select("row", F.col("next").alias("no"), "held", "maps").mapInArrow(composed, schema)
+    out = maps.select("held", "whole", "head", "count", "tail").mapInArrow(finished, f"held {kind}, n_tokens long")
+    return out.select(*[F.col(f"held.k{i}").alias(c) for i, c in enumerate(keep)], F.col("held.bytes").alias("n_bytes"), "n_tokens")
+
+
+def _maps(batch: pa.RecordBatch, maps: list[tuple]) -> pa.RecordBatch:
+    """Rows (row, no, held) of a batch with their maps."""
+    whole = [len(m) == 1 for m in maps]
+    columns = [pa.array(whole), pa.array([m[0] for m in maps], pa.string()), pa.array([0 if w else m[1] for w, m in zip(whole, maps, strict=True)], pa.int64()), pa.array(["" if w else m[2] for w, m in zip(whole, maps, strict=True)], pa.string())]
+    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], names=["row", "no", "held", "whole", "head", "count", "tail"])
 
 
 _counters: dict[str, TokenCounter] = {}
 
 
-def _counter(path: str) -> TokenCounter:
+def _counter(source: str) -> TokenCounter:
     """One compiled transducer a Python worker and file."""
-    if path not in _counters:
-        _counters[path] = TokenCounter(path)
-    return _counters[path]
+    if source not in _counters:
+        _counters[source] = TokenCounter(source)
+    return _counters[source]
 
 
 def over_limit(df: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
