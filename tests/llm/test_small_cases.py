@@ -141,6 +141,34 @@ def test_chains_in_one_bucket(spark):
     assert {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(d, bands=1, rows=1).collect()} == want
 
 
+def test_units_hold_every_pair_of_two_classes(spark, monkeypatch):
+    """A family of edited texts around 0.8, one bucket, tiny blocks: the same classes as all pairs give."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    body = []
+    for _ in range(40):
+        w = list(base)
+        for _ in range(r.choice((0, 1, 1, 2, 3))):
+            w[r.randrange(len(w))] = f"x{r.randrange(30)}"
+        body.append(" ".join(w))
+    d = spark.createDataFrame(list(enumerate(body)), "doc_id long, text string")
+    grams = [Counter(tuple(t.split()[i : i + 5]) for i in range(56)) for t in body]
+    frequency = Counter(g for c in grams for g in c)
+    weigh = {g: weighted_minhash.idf_weight(n / len(body)) for g, n in frequency.items()}
+    total = lambda c: sum(weigh[g] * n for g, n in c.items())
+    up = list(range(len(body)))
+    top = lambda x: x if up[x] == x else top(up[x])
+    for i in range(len(body)):
+        for j in range(i):
+            if total(grams[i] & grams[j]) >= 0.8 * total(grams[i] | grams[j]) - 1e-9 and top(i) != top(j):
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    want = {frozenset(i for i in range(len(body)) if top(i) == c) for c in map(top, range(len(body)))}
+    for rows in (3, 512):
+        monkeypatch.setattr(weighted_minhash, "BLOCK_ROWS", rows)
+        found = {x.doc_id: x.class_id for x in weighted_minhash.near_duplicates(d, bands=60, rows=1).collect()}
+        assert {frozenset(i for i in found if found[i] == c) for c in found.values()} == want
+
+
 def test_weighted_samples_estimate_similarity():
     import numpy as np
 
