@@ -13,13 +13,30 @@ from lodestrata.functions.text import tokens
 
 K1, B = 1.2, 0.75
 QUERY_BLOCK = 4096
-TERM_LIMIT = 20_000
+BLOCK_TEXTS = 1000
+TERM_BUCKETS = 64
+PIECE_ROWS = 1000
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(term, key, tf, dl): term frequencies and the text's length in tokens."""
-    listed = chunks.select(key, tokens(F.col(text)).alias("t"))
-    return listed.select(key, F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    """(term, key, tf, dl): term frequencies and the text's length in tokens, counted within each text: no shuffle."""
+    kind = chunks.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = batch.column(1)
+            ends = listed.offsets.to_numpy()
+            length = np.diff(ends)
+            coded = listed.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+            if not len(coded):
+                continue
+            terms = coded.dictionary
+            pair, times = np.unique(np.repeat(np.arange(len(batch)), length) * len(terms) + coded.indices.to_numpy(), return_counts=True)
+            row, code = pair // len(terms), pair % len(terms)
+            yield pa.RecordBatch.from_arrays([terms.take(pa.array(code)), batch.column(0).take(pa.array(row)), pa.array(times.astype(np.int64)), pa.array(length[row].astype(np.int64))], names=["term", key, "tf", "dl"])
+
+    listed = chunks.select(key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("t"))
+    return listed.mapInArrow(run, f"term string, `{key}` {kind}, tf long, dl long")
 
 
 def corpus_statistics(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -28,29 +45,86 @@ def corpus_statistics(chunks: DataFrame, text: str = "text") -> DataFrame:
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = 12, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """Top k texts for each query (query_id, terms array<string>): (query_id, key, score, rank).
+    """Top k texts for each query (query_id, terms array<string>), from the texts themselves: see bm25_postings.
 
-    Only the queries' terms are counted in a text: the tokens are cut down to them (a hash set of at most
-    TERM_LIMIT terms, else a join) before anything is shuffled, so shuffles follow the matches. Scores are rounded to six decimals and ties go
-    by key.
+    For many batches of questions store the postings instead; here every batch reads and counts all texts twice.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    words = asked.select("term").distinct()
-    listed = [r["term"] for r in words.limit(TERM_LIMIT + 1).collect()]  # bounded; larger batches are joined
-    counted = chunks.select(key, tokens(F.col(text)).alias("t"))
-    if len(listed) <= TERM_LIMIT:
-        held = counted.select(key, F.size("t").alias("dl"), F.explode(F.filter("t", lambda x: x.isin(listed))).alias("term"))
-    else:
-        held = counted.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).join(words, "term", "left_semi")
-    found = held.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
-    # Counted through tf, so both uses of `found` are one exchange and the texts are tokenised once for them.
-    frequency = found.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
-    size = corpus_statistics(chunks, text)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weights = found.join(frequency, "term").join(F.broadcast(size)).select("term", key, (idf * gain).alias("w"))
-    scored = asked.join(weights, "term").groupBy("query_id", key).agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_k(scored, ["query_id"], k, key)
+    size = corpus_statistics(chunks, text).first()
+    return bm25_postings(queries, postings(chunks, key, text), size["n"], size["avgdl"] or 1.0, k, key)
+
+
+def bm25_postings(queries: DataFrame, index: DataFrame, n: int, avgdl: float, k: int = 12, key: str = "chunk_id") -> DataFrame:
+    """Top k texts for each query, from postings (term, key, tf, dl[, bucket]): (query_id, key, score, rank).
+
+    Only the asked terms' lists are read (those of their buckets, where the index has them), and each goes once to
+    the tasks of its texts, however many queries ask for the term. A task holds BLOCK_TEXTS texts' scores for all
+    queries of a block as a matrix and gives out the best k a query. Queries come in blocks of QUERY_BLOCK. Scores
+    are rounded to six decimals and ties go by key.
+    """
+    spark = index.sparkSession
+    total, found = queries.count(), None
+    blocks = max(1, -(-total // QUERY_BLOCK))
+    kind, key_kind = queries.schema["query_id"].dataType.simpleString(), index.schema[key].dataType.simpleString()
+    for b in range(blocks):
+        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.array_distinct("terms").alias("terms")).toPandas()  # bounded by the block size
+        asking: dict[str, list[int]] = {}
+        for q, terms in enumerate(part["terms"]):
+            for t in terms if terms is not None else ():
+                asking.setdefault(t, []).append(q)
+        if not asking:
+            continue
+        names = sorted(asking)
+        asked = spark.createDataFrame(pa.table({"term": names, "at": pa.array(range(len(names)), pa.int32())}))
+        lists = index
+        if "bucket" in index.columns:
+            wanted = asked.select(F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")).distinct().collect()
+            lists = lists.filter(F.col("bucket").isin([r[0] for r in wanted]))
+        lists = lists.select("term", key, "tf", "dl").join(F.broadcast(asked), "term")
+        df = {r["at"]: r["df"] for r in lists.groupBy("at").agg(F.count("*").alias("df")).collect()}  # a row an asked term
+        idf = np.array([np.log(1 + (n - df.get(i, 0) + 0.5) / (df.get(i, 0) + 0.5)) for i in range(len(names))])
+        shared = spark.sparkContext.broadcast((pa.array(part["query_id"]), [np.array(asking[t]) for t in names], idf))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, queries_of, idf = shared.value
+            now, held = None, []
+            for batch in batches:
+                block = batch.column(0).to_numpy()
+                edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)] if len(block) else [0]
+                for a, z in zip(edges[:-1], edges[1:], strict=True):
+                    if held and block[a] != now:
+                        yield _best(held, ids, queries_of, idf, avgdl, k, key)
+                        held = []
+                    now = block[a]
+                    held.append(batch.slice(a, z - a))
+            if held:
+                yield _best(held, ids, queries_of, idf, avgdl, k, key)
+
+        texts = F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // BLOCK_TEXTS)))).cast("int")
+        rows = lists.select(texts.alias("block"), "at", key, "tf", "dl").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions("block", key)
+        hits = rows.mapInArrow(run, f"query_id {kind}, `{key}` {key_kind}, score double")
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return spark.createDataFrame([], f"query_id {kind}, `{key}` {key_kind}, score double, rank int")
+    return top_k(found, ["query_id"], k, key)
+
+
+def _best(parts: list[pa.RecordBatch], ids: pa.Array, queries_of: list[np.ndarray], idf: np.ndarray, avgdl: float, k: int, key: str) -> pa.RecordBatch:
+    """The best k texts of a block for each query, those that tie with the last one too. Rows come sorted by text."""
+    table = pa.Table.from_batches(parts).combine_chunks()
+    at, tf, dl = (table.column(c).to_numpy() for c in ("at", "tf", "dl"))
+    coded = table.column(key).combine_chunks().dictionary_encode()
+    text = coded.indices.to_numpy()
+    gain = idf[at] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)))
+    scores = np.zeros((len(ids), len(coded.dictionary)))
+    order = np.argsort(at, kind="stable")
+    edges = [0, *(np.flatnonzero(np.diff(at[order])) + 1).tolist(), len(order)]
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        rows = order[a:z]
+        scores[np.ix_(queries_of[at[rows[0]]], text[rows])] += gain[rows]
+    scores = np.round(scores, 6)
+    least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.zeros(len(scores))
+    q, t = np.nonzero((scores >= least[:, None]) & (scores > 0))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(q)), coded.dictionary.take(pa.array(t)), pa.array(scores[q, t])], names=["query_id", key, "score"])
 
 
 def top_k(scored: DataFrame, by: list[str], k: int, key: str, score: str = "score") -> DataFrame:
@@ -59,12 +133,48 @@ def top_k(scored: DataFrame, by: list[str], k: int, key: str, score: str = "scor
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+class Best:
+    """The best k scores of each query so far, with their keys; scores that tie with the k-th one stay."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.least = k, np.full(n, -np.inf)
+        self.query, self.score, self.key = [], [], []
+        self.size = 0
+
+    def add(self, who: np.ndarray, scores: np.ndarray, keys: pa.Array) -> None:
+        """scores: a row for each query in who, a column for each key."""
+        q, c = np.nonzero((scores >= self.least[who][:, None]) & (scores > -np.inf))
+        self.query.append(who[q])
+        self.score.append(scores[q, c])
+        self.key.append(keys.take(pa.array(c)))
+        self.size += len(q)
+        if self.size > 4 * self.k * len(self.least) + 10_000:
+            self._cut()
+
+    def _cut(self) -> None:
+        query, score, key = np.concatenate(self.query), np.concatenate(self.score), pa.concat_arrays(self.key)
+        order = np.lexsort((-score, query))
+        query, score = query[order], score[order]
+        first = np.searchsorted(query, np.arange(len(self.least)))
+        last = np.append(first[1:], len(query))
+        full = last - first >= self.k
+        self.least[full] = score[first[full] + self.k - 1]
+        kept = score >= self.least[query]
+        self.query, self.score, self.key = [query[kept]], [score[kept]], [key.take(pa.array(order[kept]))]
+        self.size = int(kept.sum())
+
+    def rows(self, names: pa.Array) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            self._cut()
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(self.query[0])), self.key[0], pa.array(self.score[0])], names=["query_id", "chunk_id", "score"])
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 12, older_only: bool = False, threshold: float = 0.0) -> DataFrame:
     """Exact nearest neighbours by inner product: (query_id, chunk_id, score, rank).
 
     queries: (query_id, embedding[, seq]); corpus: (chunk_id, embedding[, seq]). Queries are taken in blocks
-    of QUERY_BLOCK, each broadcast as a matrix; a task multiplies its Arrow batches by it and keeps the best k
-    a query and batch. older_only: a query sees only rows of smaller seq. threshold: a least score, if above 0.
+    of QUERY_BLOCK, each broadcast as a matrix; a task multiplies its rows by it, PIECE_ROWS at a
+    time, and gives out the best k a query. older_only: a query sees only rows of smaller seq. threshold: a least score, if above 0.
     """
     spark = corpus.sparkSession
     asked = ["query_id", "embedding", *(["seq"] if older_only else [])]
@@ -80,18 +190,18 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 12, older_only: bool = F
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, matrix, age = shared.value
+            best = Best(len(names), k)
             for batch in batches:
-                if not len(batch) or not len(names):
-                    continue
-                vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
-                scores = np.round(matrix @ vectors.T, 6)
-                if age is not None:
-                    scores[batch.column(2).to_numpy()[None, :] >= age[:, None]] = -np.inf
-                if threshold > 0:
-                    scores[scores < threshold] = -np.inf
-                least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
-                q, c = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column(0).take(pa.array(c)), pa.array(scores[q, c])], names=["query_id", "chunk_id", "score"])
+                for lo in range(0, len(batch) if len(names) else 0, PIECE_ROWS):
+                    piece = batch.slice(lo, PIECE_ROWS)
+                    rows = piece.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(piece), -1)
+                    scores = np.round(matrix @ rows.T, 6)
+                    if age is not None:
+                        scores[piece.column(2).to_numpy()[None, :] >= age[:, None]] = -np.inf
+                    if threshold > 0:
+                        scores[scores < threshold] = -np.inf
+                    best.add(np.arange(len(names)), scores, piece.column(0))
+            yield from best.rows(names)
 
         kind = queries.schema["query_id"].dataType.simpleString()
         hits = corpus.select(*there).mapInArrow(run, f"query_id {kind}, chunk_id string, score double")

@@ -6,6 +6,8 @@ implied by row order. The whole plan is one DataFrame until its caller acts on i
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.ids import chunk_document, chunk_page
 from lodestrata.operators.graph import TYPES, adjacent, neighbours, undirected
-from lodestrata.operators.search import bm25, knn, metadata_filter, top_k
+from lodestrata.operators.search import bm25, bm25_postings, knn, metadata_filter, top_k
+from lodestrata.sources.stores import shared_folder
 from lodestrata.sources.tables import first_by
 
 
@@ -33,13 +36,22 @@ class Settings:
 
 @dataclass
 class Stores:
-    """chunks(chunk_id, document_id, page_number, chunk_index, text), vectors(chunk_id, document_id, embedding), similar(src, dst, score), typed(src, dst, type, confidence), metadata(document_id, path, file_name, ...)."""
+    """chunks(chunk_id, document_id, page_number, chunk_index, text), vectors(chunk_id, document_id, embedding),
+    similar(src, dst, score), typed(src, dst, type, confidence), metadata(document_id, path, file_name, ...).
+
+    postings(term, chunk_id, tf, dl[, bucket]) and statistics (texts, mean length): where they are stored, keyword
+    search reads the asked terms' lists, else it counts the texts. nearest: a search through an index in place of
+    the exact one, (queries, k) -> (query_id, chunk_id, score, rank); questions with filters are searched exactly.
+    """
 
     chunks: DataFrame
     vectors: DataFrame
     similar: DataFrame
     typed: DataFrame
     metadata: DataFrame
+    postings: DataFrame | None = None
+    statistics: tuple[int, float] | None = None
+    nearest: Callable[[DataFrame, int], DataFrame] | None = None
 
 
 def ordered_distinct(rows: DataFrame, order: list[Column]) -> DataFrame:
@@ -48,13 +60,20 @@ def ordered_distinct(rows: DataFrame, order: list[Column]) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """rows, written to the shared folder and read again."""
+    path = f"{shared_folder(rows.sparkSession)}/lodestrata/hits-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def retrieve(queries: DataFrame, stores: Stores, settings: Settings | None = None) -> DataFrame:
     """queries (query_id, embedding, terms) -> (query_id, rank, chunk_id, document_id, page_number, document_path, text, origin, confidence)."""
     s = settings or Settings()
     allowed = metadata_filter(stores.metadata, s.filters)
     vectors = stores.vectors if allowed is None else stores.vectors.join(allowed, "document_id", "left_semi")
-    by_vector = knn(queries, vectors, s.vector_k)
-    by_word = bm25(queries, stores.chunks, s.keyword_k)
+    by_vector = knn(queries, vectors, s.vector_k) if stores.nearest is None or allowed is not None else stores.nearest(queries, s.vector_k)
+    by_word = bm25(queries, stores.chunks, s.keyword_k) if stores.postings is None else bm25_postings(queries, stores.postings, *(stores.statistics or (0, 1.0)), s.keyword_k)
     if allowed is not None:  # after the top k, so fewer may remain
         inside = stores.chunks.join(allowed, "document_id", "left_semi").select("chunk_id")
         by_word = by_word.join(inside, "chunk_id", "left_semi")
@@ -62,8 +81,8 @@ def retrieve(queries: DataFrame, stores: Stores, settings: Settings | None = Non
     hits = by_vector.select("query_id", "chunk_id", F.lit(0).alias("part"), "rank", "score", F.lit("vector_search").alias("origin")).unionByName(
         by_word.select("query_id", "chunk_id", F.lit(1).alias("part"), "rank", F.lit(1.0).alias("score"), F.lit("keyword_search").alias("origin"))
     )
-    # A few rows a question that several stages read: kept, and recomputed from their lineage if lost.
-    hits = hits.persist()
+    # A few rows a question that several stages read: written once, so they need no memory and no end.
+    hits = _kept(hits)
     place = [F.col("part"), F.col("rank")]
     seeds = hits.filter(((F.col("part") == 0) & (F.col("rank") <= s.vector_top)) | ((F.col("part") == 1) & (F.col("rank") <= s.keyword_top)))
     seeds = ordered_distinct(seeds, place).select("query_id", F.col("chunk_id").alias("node"), F.col("rank").alias("seed"))
@@ -75,7 +94,8 @@ def retrieve(queries: DataFrame, stores: Stores, settings: Settings | None = Non
     around = around.select("query_id", "chunk_id", F.lit(2).alias("part"), "rank", "score", F.lit("graph_a").alias("origin"))
 
     ranked = ordered_distinct(hits.unionByName(around), place).filter(F.col("rank") <= s.reranked)
-    ranked = ranked.withColumn("origin", F.when(F.col("rank") == 1, "anchor").otherwise(F.col("origin"))).withColumn("part", F.lit(0)).persist()
+    ranked = ranked.withColumn("origin", F.when(F.col("rank") == 1, "anchor").otherwise(F.col("origin"))).withColumn("part", F.lit(0))
+    ranked = _kept(ranked)
     anchor = ranked.filter("rank = 1").select("query_id", "chunk_id")
 
     context = adjacent(anchor, stores.chunks, s.context)

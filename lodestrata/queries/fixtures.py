@@ -105,3 +105,14 @@ def typed(spark: SparkSession, folder: str) -> DataFrame:
 
 def cosine_of(a: Column, b: Column) -> Column:
     return F.round(dot(a, b), 6)
+
+
+def chunk_postings(spark: SparkSession, folder: str) -> tuple[DataFrame, tuple[int, float]]:
+    """The stored postings of a folder's chunks, and its number of texts with their mean length."""
+    from lodestrata.operators.search import corpus_statistics
+    from lodestrata.sources.stores import stored, write_postings
+
+    c = chunks(spark, folder)
+    index = stored(c.select("chunk_id", "text"), "postings", folder, write_postings)
+    size = stored(corpus_statistics(c), "statistics", folder).first()
+    return index, (size["n"], size["avgdl"] or 1.0)

@@ -12,6 +12,7 @@ from lodestrata.operators import graph, search
 from lodestrata.plans.retrieve import Settings, Stores, ordered_distinct, retrieve
 from lodestrata.queries import fixtures as X
 from lodestrata.queries.registry import query
+from lodestrata.sources.stores import stored
 from lodestrata.sources.tables import first_by, multi_get, table
 
 BM25 = """tok AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM chunks),
@@ -32,7 +33,8 @@ def _with(*parts: str) -> str:
 
 @query(_with(X.CHUNKS, X.QUESTIONS, BM25) + "SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM words")
 def j3_bm25_top12(spark: SparkSession, folder: str) -> DataFrame:
-    return search.bm25(X.questions(spark, folder), X.chunks(spark, folder))
+    index, size = X.chunk_postings(spark, folder)
+    return search.bm25_postings(X.questions(spark, folder), index, *size)
 
 
 @query(_with(X.CHUNKS, BM25.split(",\npost")[0]) + "SELECT n, round(avgdl, 6) AS avgdl FROM size")
@@ -42,7 +44,7 @@ def a20_corpus_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_with(X.CHUNKS, BM25.split(",\nasked")[0]) + "SELECT term, df, CAST(sum(tf) AS BIGINT) AS cf FROM tf JOIN df USING (term) GROUP BY term, df")
 def a20_term_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return search.postings(X.chunks(spark, folder)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return X.chunk_postings(spark, folder)[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(_with(X.CHUNKS) + "SELECT chunk_id, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS BIGINT) AS n_tokens, CAST(len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS BIGINT) AS n_distinct FROM chunks")
@@ -85,7 +87,7 @@ def p3_knn_prefiltered(spark: SparkSession, folder: str) -> DataFrame:
 def p5_keyword_postfiltered(spark: SparkSession, folder: str) -> DataFrame:
     allowed = search.metadata_filter(X.metadata(spark, folder), {"language": "en"})
     there = X.chunks(spark, folder).join(allowed, "document_id", "left_semi").select("chunk_id")
-    return search.bm25(X.questions(spark, folder), X.chunks(spark, folder)).join(there, "chunk_id", "left_semi").select("query_id", "chunk_id", "score", "rank")
+    return j3_bm25_top12(spark, folder).join(there, "chunk_id", "left_semi").select("query_id", "chunk_id", "score", "rank")
 
 
 @query(_with(X.METADATA) + "SELECT document_id FROM meta WHERE list_contains(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'), 'src3') AND list_contains(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'), 'volume') AND language = 'en'")
@@ -295,7 +297,10 @@ def _batch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stores(spark: SparkSession, folder: str) -> Stores:
-    return Stores(X.chunks(spark, folder), X.vectors(spark, folder), X.similar(spark, folder), X.typed(spark, folder), X.metadata(spark, folder))
+    """The archive's stored tables: graphs and postings are made once, not by a question's plan."""
+    postings, statistics = X.chunk_postings(spark, folder)
+    similar, typed = stored(X.similar(spark, folder), "similar", folder), stored(X.typed(spark, folder), "typed", folder)
+    return Stores(X.chunks(spark, folder), X.vectors(spark, folder), similar, typed, X.metadata(spark, folder), postings, statistics)
 
 
 MERGED = "firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY part, rank) AS f FROM hits) WHERE f = 1)"
@@ -305,7 +310,8 @@ MERGED = "firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qu
 def u1_merged_hits(spark: SparkSession, folder: str) -> DataFrame:
     q = _batch(spark, folder)
     v = search.knn(q, X.vectors(spark, folder)).select("query_id", "chunk_id", F.lit(0).alias("part"), "rank", F.lit("vector_search").alias("origin"))
-    w = search.bm25(q, X.chunks(spark, folder)).select("query_id", "chunk_id", F.lit(1).alias("part"), "rank", F.lit("keyword_search").alias("origin"))
+    index, size = X.chunk_postings(spark, folder)
+    w = search.bm25_postings(q, index, *size).select("query_id", "chunk_id", F.lit(1).alias("part"), "rank", F.lit("keyword_search").alias("origin"))
     return ordered_distinct(v.unionByName(w), [F.col("part"), F.col("rank")]).select("query_id", "chunk_id", "origin", "rank")
 
 
