@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.answers import verdict
 from lodestrata.functions.vectors import first_best, softmax
 from lodestrata.operators.search import knn, top_k
+from lodestrata.sources.tables import first_by
 
 CANDIDATES, THRESHOLD, TOP_N = 35, 0.6, 10
 TYPES = ("CONTRADICTS", "ELABORATES", "DEPENDS_ON")
@@ -73,6 +74,25 @@ def typed_edges(pairs: DataFrame, least: float, per_type: int) -> DataFrame:
     return top_k(kept, ["src", "type"], per_type, "dst", "confidence")
 
 
+def probe_hits(sources: DataFrame, vectors: DataFrame, probes: dict[str, Callable[[Column], Column]], k: int, least: float) -> DataFrame:
+    """(query_id, probe, o, chunk_id, score, rank): the nearest rows to each probe's form of each source (query_id, embedding)."""
+    out = None
+    for o, (name, form) in enumerate(probes.items()):
+        asked = sources.select("query_id", form(F.col("embedding")).alias("embedding"))
+        hits = knn(asked, vectors, k).filter(F.col("score") >= least).select("query_id", F.lit(name).alias("probe"), F.lit(o).alias("o"), "chunk_id", "score", "rank")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def probe_candidates(hits: DataFrame, documents: DataFrame, own: Column) -> DataFrame:
+    """(query_id, chunk_id, probe, score): hits in other documents than the source's own, each chunk by the first probe that finds it.
+
+    documents: (chunk_id, document_id); own: the source's document, from a hit's columns.
+    """
+    other = hits.join(documents.select("chunk_id", "document_id"), "chunk_id").filter(F.col("document_id") != own)
+    return first_by(other, ["query_id", "chunk_id"], [F.col("o"), F.col("rank")]).select("query_id", "chunk_id", "probe", "score")
+
+
 def with_known_ends(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """Edges whose ends are both stored vertices."""
     known = vertices.select("chunk_id").distinct()

@@ -26,17 +26,15 @@ pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, probe
 
 
 def _moved(o: int):
-    return F.transform("embedding", lambda x, i: x.cast("double") + F.when(i % 3 == o, 0.05).otherwise(0.0))
+    return lambda v: F.transform(v, lambda x, i: x.cast("double") + F.when(i % 3 == o, 0.05).otherwise(0.0))
+
+
+PROBE_FORMS = {name: _moved(o) for o, name in enumerate(("contradiction", "expansion", "dependency"))}
 
 
 def _probed(spark: SparkSession, folder: str) -> DataFrame:
     """The probes' three variants against all vectors: (query_id, probe, o, chunk_id, score, rank)."""
-    p, out = X.probes(spark, folder), None
-    for o, name in enumerate(("contradiction", "expansion", "dependency")):
-        moved = p.withColumn("embedding", _moved(o))
-        hits = search.knn(moved, X.vectors(spark, folder), 20).filter("score >= 0.2").select("query_id", F.lit(name).alias("probe"), F.lit(o).alias("o"), "chunk_id", "score", "rank")
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    return graph.probe_hits(X.probes(spark, folder), X.vectors(spark, folder), PROBE_FORMS, 20, 0.2)
 
 
 @query(_with(X.VECTORS, X.PROBES, PROBED) + "SELECT query_id, probe, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM pk")
@@ -44,12 +42,34 @@ def j11_probe_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     return _probed(spark, folder).select("query_id", "probe", "chunk_id", "score", "rank")
 
 
-@query(_with(X.VECTORS, X.PROBES, PROBED) + "SELECT query_id, chunk_id, probe, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY o, rank) AS f FROM pk WHERE document_id <> printf('DOC_%d', query_id // 5)) WHERE f = 1")
+CANDIDATES = (
+    "u5 AS (SELECT query_id, chunk_id, probe, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY o, rank) AS f FROM pk WHERE document_id <> printf('DOC_%d', query_id // 5)) WHERE f = 1)"
+)
+
+
+@query(_with(X.VECTORS, X.PROBES, PROBED, CANDIDATES) + "SELECT query_id, chunk_id, probe, score FROM u5")
 def u5_probe_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Between documents only, each chunk by the first probe that finds it."""
-    found = _probed(spark, folder).join(X.vectors(spark, folder).select("chunk_id", "document_id"), "chunk_id")
-    other = found.filter(F.col("document_id") != F.format_string("DOC_%d", F.floor(F.col("query_id") / 5)))
-    return first_by(other, ["query_id", "chunk_id"], [F.col("o"), F.col("rank")]).select("query_id", "chunk_id", "probe", "score")
+    own = F.format_string("DOC_%d", F.floor(F.col("query_id") / 5))
+    return graph.probe_candidates(_probed(spark, folder), X.vectors(spark, folder), own)
+
+
+@query(
+    _with(X.VECTORS, X.PROBES, PROBED, CANDIDATES)
+    + """, pairs AS (SELECT query_id AS src, u5.chunk_id AS dst, score, query_id AS a, d.seq AS b FROM u5 JOIN vectors d ON d.chunk_id = u5.chunk_id),
+logit AS (SELECT src, dst, [4 * score + (a + b) % 3, 3 * score + (a + b) % 5 * 0.5, 5 * score + (a % 4) * 0.5, 1.5]::DOUBLE[] AS l FROM pairs),
+soft AS (SELECT src, dst, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM logit),
+judged AS (SELECT src, dst, ['contradicts', 'elaborates', 'depends_on', 'unrelated'][list_position(e, list_max(e))] AS relation, round(list_max(e) / list_sum(e), 6) AS confidence FROM soft)
+SELECT src, dst, type, confidence, CAST(rank AS INTEGER) AS rank FROM (SELECT src, dst, upper(relation) AS type, confidence, row_number() OVER (PARTITION BY src, relation ORDER BY confidence DESC, dst) AS rank
+  FROM judged WHERE relation <> 'unrelated' AND confidence >= 0.5) WHERE rank <= 5"""
+)
+def m7_probe_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Graph B as it is built: probe hits, candidates, classification, gate, the best of each type."""
+    c = u5_probe_candidates(spark, folder).join(X.vectors(spark, folder).select("chunk_id", F.col("seq").alias("b")), "chunk_id")
+    score, a, b = F.col("score"), F.col("query_id"), F.col("b")
+    pairs = c.select(a.alias("src"), F.col("chunk_id").alias("dst"), "score", a.alias("query_id"), "b")
+    logits = F.array(4 * score + (a + b) % 3, 3 * score + (a + b) % 5 * 0.5, 5 * score + (a % 4) * 0.5, F.lit(1.5))
+    return graph.typed_edges(graph.classified(pairs, logits), 0.5, 5)
 
 
 @query(_with(X.VECTORS, X.PROBES, PROBED) + "SELECT probe, count(*) AS n, count(DISTINCT query_id) AS n_queries, round(avg(score), 6) AS avg_score FROM pk GROUP BY probe")
