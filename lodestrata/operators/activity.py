@@ -19,6 +19,19 @@ def session_titles(messages: DataFrame, session: str, order: str, text: str, rol
     return first.select(session, F.when(F.length("t") > most, F.concat(F.substring("t", 1, most), F.lit("..."))).otherwise(F.col("t")).alias("title"))
 
 
+def appended(stored: DataFrame, new: DataFrame, role: str = "role") -> DataFrame:
+    """Stored messages and new ones, without those of the system role."""
+    return stored.unionByName(new.filter(F.col(role).isNull() | (F.col(role) != "system")))
+
+
+def answer_events(deltas: DataFrame, by: str, order: str, kind: str, text: str) -> DataFrame:
+    """(by, answer, n_citations, state) of streamed answer events: the tokens in order, and how the stream ended."""
+    token = F.when(F.col(kind) == "token", F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t")))
+    listed = F.transform(F.array_sort(F.collect_list(token)), lambda x: x["t"])
+    state = F.when(F.bool_or(F.col(kind) == "error"), "error").when(F.bool_or(F.col(kind) == "done"), "done").otherwise("open")
+    return deltas.groupBy(by).agg(F.array_join(listed, "").alias("answer"), F.count_if(F.col(kind) == "citation").alias("n_citations"), state.alias("state"))
+
+
 def latest_status(events: DataFrame, keys: list[str], status: str, order: list[str]) -> DataFrame:
     """Last status of each key, with its number of events."""
     return events.groupBy(*keys).agg(F.max_by(status, F.struct(*order)).alias("status"), F.count("*").alias("n_events"))

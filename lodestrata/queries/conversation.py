@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import answers
-from lodestrata.operators.activity import session_titles
+from lodestrata.operators.activity import answer_events, appended, session_titles
 from lodestrata.queries.registry import query
 from lodestrata.sources.tables import table
 
@@ -94,3 +94,24 @@ def f34_script_and_words(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT role, count(*) AS n, count(DISTINCT conv_id) AS n_sessions, round(avg(length(text)), 6) AS avg_chars, CAST(max(length(text)) AS BIGINT) AS max_chars FROM conversations GROUP BY role")
 def a2_store_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return _messages(spark, folder).groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("n_sessions"), F.round(F.avg(F.length("text")), 6).alias("avg_chars"), F.max(F.length("text")).cast("long").alias("max_chars"))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT conv_id, turn, role, text FROM conversations WHERE conv_id % 2 = 1 AND role <> 'system'")
+def k16_appended_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions of odd number are appended to the stored ones; their system turns are dropped."""
+    m = _messages(spark, folder).select("conv_id", "turn", "role", "text")
+    return appended(m.filter("conv_id % 2 = 0"), m.filter("conv_id % 2 = 1"))
+
+
+@query(
+    "WITH w AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS answer, max(turn) AS last FROM conversations GROUP BY conv_id) "
+    "SELECT conv_id, answer, CAST(1 AS BIGINT) AS n_citations, CASE WHEN conv_id % 3 = 0 THEN 'error' WHEN conv_id % 3 = 1 THEN 'done' ELSE 'open' END AS state FROM w"
+)
+def r11_streamed_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns as token events, with a citation and an end for each conversation; the answer is put together again."""
+    m = _messages(spark, folder)
+    tokens = m.select("conv_id", "turn", F.lit("token").alias("kind"), "text")
+    ends = m.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn")).withColumn("kind", F.when(F.col("conv_id") % 3 == 0, "error").when(F.col("conv_id") % 3 == 1, "done").otherwise("keepalive"))
+    cited = ends.withColumn("kind", F.lit("citation"))
+    every = tokens.unionByName(ends.unionByName(cited).withColumn("text", F.lit(None).cast("string")))
+    return answer_events(every, "conv_id", "turn", "kind", "text")

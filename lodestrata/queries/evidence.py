@@ -285,3 +285,26 @@ def k9_typed_edge_upsert(spark: SparkSession, folder: str) -> DataFrame:
 def a9_edge_statistics(spark: SparkSession, folder: str) -> DataFrame:
     e = X.similar(spark, folder)
     return e.agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_sources"), F.round(F.avg("score"), 6).alias("avg_score"), F.max("score").alias("max_score"), F.round(F.try_divide(F.count("*"), F.countDistinct("src")), 6).alias("edges_a_source"))
+
+
+@query("SELECT item_id, text AS vector_query, lower(text) AS keyword_query, CASE WHEN item_id % 2 = 0 THEN 'en' END AS language FROM benchmark WHERE item_id % 5 <> 0")
+def f56_commands(spark: SparkSession, folder: str) -> DataFrame:
+    """Commands to JSON and back, with words around the JSON; those without a keyword query are no commands."""
+    q = table(spark, folder, "benchmark")
+    filters = F.when(F.col("item_id") % 2 == 0, F.create_map(F.lit("language"), F.lit("en")))
+    made = F.struct(F.col("text").alias("vector_query"), F.when(F.col("item_id") % 5 != 0, F.lower("text")).alias("keyword_query"), filters.alias("metadata_filter"), F.lit(5).alias("max_chunks"))
+    read = answers.parsed_command(F.concat(F.lit("So: "), answers.command_json(made), F.lit(" - done")))
+    return q.select("item_id", read.alias("c")).filter("c is not null").select("item_id", "c.vector_query", "c.keyword_query", F.col("c.metadata_filter")["language"].alias("language"))
+
+
+@query(
+    "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'missing page_number' WHEN doc_id % 3 = 0 THEN 'origin' WHEN doc_id % 5 = 0 THEN 'confidence' END AS problem, text FROM documents"
+)
+def f57_parsed_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    n = F.col("doc_id")
+    made = F.struct(
+        F.concat(F.lit("c"), n).alias("chunk_id"), F.lit("d").alias("document_id"), F.when(n % 4 != 0, 3).alias("page_number"), F.lit("/p").alias("document_path"), "text",
+        F.when(n % 3 == 0, "elsewhere").otherwise("anchor").alias("origin"), F.when(n % 5 == 0, 1.5).otherwise(0.5).alias("confidence"),
+    )
+    read = answers.parsed_chunk(F.to_json(made))
+    return table(spark, folder, "documents").select("doc_id", read.alias("r")).select("doc_id", "r.problem", "r.chunk.text")

@@ -137,6 +137,18 @@ def m6_similarity_edges(spark: SparkSession, folder: str) -> DataFrame:
     return X.similar(spark, folder)
 
 
+@query(_with(X.VECTORS, X.SIMILAR) + "SELECT count(*) AS n_edges, true AS enough FROM alike")
+def m6_index_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether nine in ten similarity edges are found when older chunks are searched through the index, all by all."""
+    from lodestrata.operators import vector_index as V
+
+    cells, centres = _index(spark, folder)
+    nearest = lambda q, k: V.index_join(q, cells, centres, k, older_only=True)
+    found = graph.similarity_edges(X.vectors(spark, folder), X.EDGE_CANDIDATES, X.EDGE_THRESHOLD, 10, nearest).select("src", "dst", F.lit(1).alias("hit"))
+    met = X.similar(spark, folder).join(found, ["src", "dst"], "left")
+    return met.agg(F.count("*").alias("n_edges"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough"))
+
+
 @query(_with(X.VECTORS, X.SIMILAR, X.PAIRS) + "SELECT src, dst, relation, confidence FROM judged")
 def m3_classified_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return X.judged_pairs(spark, folder)

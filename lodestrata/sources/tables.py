@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import mimetypes
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.functions.text import extension
+from lodestrata.functions.text import extension, file_size
 
 TEXT, LONG, INT = T.StringType(), T.LongType(), T.IntegerType()
 
@@ -130,6 +131,24 @@ def source_type(name: Column) -> Column:
     return _by_extension(name, SOURCE_TYPES, "unknown")
 
 
+SEGMENTS = "filename string, duration_seconds double, language string, segments array<struct<start double, end double, text string>>"
+
+
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    """(file, language, start, end, text) of recognised speech: a JSON file a recording, a row a segment."""
+    raw = spark.read.schema(SEGMENTS).option("multiLine", True).json(path)
+    rows = raw.select(F.coalesce("filename", F.col("_metadata.file_name")).alias("file"), F.coalesce("language", F.lit("en")).alias("language"), F.inline("segments"))
+    return rows.select("file", "language", "start", "end", F.trim("text").alias("text"))
+
+
+def read_images(spark: SparkSession, path: str, describe: Callable[[Column], Column]) -> DataFrame:
+    """(path, markdown) of a folder's images: a model's description of each one's bytes under its name and size."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(category(F.col("path")) == "image")
+    name = F.substring_index("path", "/", -1)
+    head = F.concat(F.lit("# "), name, F.lit("\n\n![Image]("), F.col("path"), F.lit(")\n\n**Size:** "), file_size(F.col("length")), F.lit("\n\n"))
+    return files.select("path", F.concat(head, F.coalesce(describe(F.col("content")), F.lit(""))).alias("markdown"))
+
+
 def uploadable(name: Column) -> Column:
     """Whether an upload of this name is taken: a known extension and no way out of its folder."""
     return extension(name).isin(*UPLOADS) & ~F.contains(name, F.lit(".."))
