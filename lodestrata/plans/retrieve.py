@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.ids import chunk_document, chunk_page
 from lodestrata.operators.graph import TYPES, adjacent, neighbours, undirected
+from lodestrata.operators.models import command
 from lodestrata.operators.search import bm25, bm25_postings, knn, metadata_filter, top_k
+from lodestrata.operators.tools import checked_parameters
 from lodestrata.sources.stores import shared_folder
 from lodestrata.sources.tables import first_by
 
@@ -120,3 +122,16 @@ def retrieve(queries: DataFrame, stores: Stores, settings: Settings | None = Non
         "query_id", "rank", "chunk_id", "document_id", F.coalesce(F.nullif("page_number", F.lit(0)), chunk_page(F.col("chunk_id")), F.lit(1)).alias("page_number"),
         F.coalesce("document_path", F.lit("")).alias("document_path"), F.coalesce("text", missing).alias("text"), "origin", F.round("score", 6).alias("confidence"),
     )
+
+
+def answer_question(parameters: dict, stores: Stores, embed: Callable[[DataFrame], DataFrame], settings: Settings | None = None) -> DataFrame:
+    """The retrieval tool: checked parameters of one question to its chunks. max_chunks is checked, but the plan's own
+    limits hold, as they do for every question.
+
+    embed: (query_id, text) -> (query_id, embedding).
+    """
+    given = checked_parameters(parameters)
+    spark = stores.chunks.sparkSession
+    asked = command(spark.createDataFrame([(0, given["query"])], "query_id long, text string"))
+    vectors = embed(asked.select("query_id", F.col("vector_query").alias("text")))
+    return retrieve(asked.join(vectors, "query_id").select("query_id", "embedding", "terms"), stores, settings)

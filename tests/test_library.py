@@ -86,7 +86,7 @@ def test_metadata_rules(spark):
     assert one(spark, metadata.title(F.lit("short"), F.lit(None).cast("string"))) == "Untitled Document"
     assert one(spark, metadata.tags(F.array(F.lit(" B"), F.lit("b"), F.lit(""), F.lit("a")))) == ["b", "a"]
     assert one(spark, text.language(F.lit(" der die das und "))) == "de" and one(spark, text.language(F.lit(""))) == "en"
-    assert one(spark, text.first_words(F.lit("a b c"), 2)) == "a b..."
+    assert one(spark, text.first_words(F.lit(" a b  c "), 2)) == "a b" and one(spark, text.first_words(F.lit(" a  b "), 2)) == "a  b"
 
 
 def test_answers(spark):
@@ -105,7 +105,7 @@ def test_answers(spark):
     assert one(spark, answers.rescued_json(F.lit('say {"a": 1} ok'))) == '{"a": 1}' and one(spark, answers.rescued_json(F.lit("none"))) is None
     assert one(spark, answers.verdict(F.lit('```json\n{"relation": "Elaborates"}```'), F.lit("unrelated"))) == "elaborates"
     assert one(spark, answers.verdict(F.lit("maybe"), F.lit("unrelated"))) == "unrelated"
-    assert one(spark, answers.linked_images(F.lit("<link>a.PNG</link> [x](b.jpg) <link>a.PNG</link> <link>c.bin</link>"))) == ["a.PNG", "b.jpg"]
+    assert one(spark, answers.linked_images(F.lit("<link>a.PNG</link> ![x](b.jpg) [y](n.png) <link>a.PNG</link> <link>c.svg</link>"))) == ["a.PNG", "b.jpg"]
 
 
 @given(st.lists(st.floats(-800, 800), min_size=4, max_size=4))
@@ -171,7 +171,9 @@ def test_sources(spark, tmp_path):
     valid, rejected = tables.validated(tables.read_documents(spark, str(tmp_path / "*.json")).cache())
     assert [r.document_metadata.total_pages for r in valid.collect()] == ["7"]
     assert {r.file.rsplit("/", 1)[1]: r.reason for r in rejected.collect()} == {"b.json": "not a document object", "c.json": "no chunks", "d.json": "invalid chunk"}
-    assert tables.scan_files(spark, str(tmp_path)).filter("category = 'unknown'").count() == 4
+    found = tables.scan_files(spark, str(tmp_path)).collect()
+    assert [f.path.rsplit("/", 1)[1] for f in found] == ["a.json", "b.json", "c.json", "d.json"]
+    assert {(f.category, f.folder_type, f.mime_type) for f in found} == {("unknown", "OTHER", "application/json")}
 
 
 def test_upsert_keeps_the_newest(spark):
@@ -343,3 +345,139 @@ def test_index_recall(spark):
     found = {(r.query_id, r.chunk_id) for r in V.search_index(q, index, centres).collect()}
     assert len(exact & found) / len(exact) >= 0.9
     assert V.search_index(q.limit(0), index, centres).count() == 0
+
+
+def test_file_rules(spark):
+    """Examples of the rules on names, sizes, kinds, captions, origins and errors."""
+    L = F.lit
+    for name, kind, folder, source in (("a.PPT", "document", "PPT", "pptx"), ("a.csv", "document", "EXCEL", "xlsx"), ("a.htm", "document", "HTML", "web"), ("a.flac", "audio", "AUDIO", "audio"), ("a.webp", "image", "IMAGES", "image"), ("a.md", "unknown", "OTHER", "unknown"), ("a.mp4", "unknown", "OTHER", "unknown")):
+        assert (one(spark, tables.category(L(name))), one(spark, tables.folder_type(L(name))), one(spark, tables.source_type(L(name)))) == (kind, folder, source)
+    assert one(spark, tables.category(L("x.bin"), L("audio/x-m4a"))) == "audio" and one(spark, tables.category(L("x.bin"), L("video/mp4"))) == "unknown"
+    assert one(spark, tables.uploadable(L("a.xlsx"))) and not one(spark, tables.uploadable(L("a.txt"))) and not one(spark, tables.uploadable(L("../a.pdf")))
+    sizes = {512: "512.0 B", 1536: "1.5 KB", 5 << 20: "5.0 MB", 3 << 30: "3.0 GB", 2 << 40: "2.0 TB", 5000 << 40: "5000.0 TB"}
+    assert all(one(spark, text.file_size(L(n).cast("long"))) == shown for n, shown in sizes.items())
+    assert [one(spark, text.duration(L(n))) for n in (59.9, 61.0, 3723.0)] == ["59s", "1m 1s", "1h 2m 3s"]
+    assert [one(spark, tables.archive_kind(L(n))) for n in ("a.MKV", "b.jpeg", "c.wav")] == ["video", "photo", "report"]
+    from lodestrata.functions import images
+
+    assert [one(spark, images.image_type(L(c).cast("string"))) for c in ("Graph of a chart", "Diagram table", "Photo", None)] == ["chart", "table", "figure", "figure"]
+    assert [one(spark, answers.relation(L(o))) for o in ("probe_contradicts", "context", "context_wide", "anchor")] == ["contradicts", "context", "supports", "supports"]
+    assert [one(spark, activity.severity(L(e), L(s).cast("string"))) for e, s in (("OSError", None), ("KeyError", "final_assembly"), ("IngestionError", "x"), ("KeyError", None))] == ["critical", "high", "medium", "low"]
+    limits = [one(spark, activity.tier_limits(L(t).cast("string"))) for t in ("free", "premium", "enterprise", "gold", None)]
+    assert [(x.per_minute, x.burst) for x in limits] == [(60, 5), (300, 30), (1000, 100), (60, 5), (60, 5)]
+
+
+def test_queue_on_tables_and_streams(spark, tmp_path):
+    """The queue in front of a bucket: the same decisions from a log, from a stream, and from a plain loop."""
+    from lodestrata.streaming import limits
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(c, i, start + datetime.timedelta(seconds=i * s)) for c, s in (("a", 0.4), ("b", 3)) for i in range(60)]
+    events = spark.createDataFrame(rows, "client string, event long, ts timestamp")
+    got = {(r.client, r.event): (r.decision, r.waited) for r in activity.queued_requests(events, "client", "ts", "event", 20, 2, 3, 9).collect()}
+    model = {}
+    for c in "ab":
+        bucket = activity.QueuedBucket(20, 2, 3, 9)
+        for who, i, t in rows:
+            if who == c:
+                decision, waited = bucket.take_or_wait(t.replace(tzinfo=datetime.timezone.utc).timestamp())
+                model[c, i] = (decision, round(waited, 6))
+    assert got == model and {"allowed", "burst", "queued", "rejected"} <= {d for d, _ in got.values()}
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    q = limits.queued(stream, "client", "ts", "event", 20, 2, 3, 9).writeStream.format("memory").queryName("queued").outputMode("append").trigger(once=True).start()
+    assert q.awaitTermination(60)
+    assert {(r.client, r.event): (r.decision, r.waited) for r in spark.table("queued").collect()} == model
+
+
+def test_rejudged_pairs(spark):
+    """Only weak pairs go to the judge, with 400 characters of each text; a reply without a relation changes nothing."""
+    pairs = spark.createDataFrame([(3, "x" * 500, "b", "unrelated", 0.4), (1, "a", "b", "elaborates", 0.9), (2, "silent", "b", "depends_on", 0.3)], "id long, text_a string, text_b string, relation string, confidence double")
+    judge = lambda a, b: F.when(a == "silent", "no idea").otherwise(F.concat(F.lit('<think>{}</think>{"relation": "contradicts", "n": '), F.length(a), F.lit("}")))
+    got = [tuple(r)[:1] + (r.relation, r.confidence) for r in graph.rejudged(pairs, 0.5, judge).collect()]
+    assert got == [(1, "elaborates", 0.9), (2, "depends_on", 0.3), (3, "contradicts", 0.99)]
+
+
+def test_checked_upsert_fails_as_a_whole(spark):
+    a = spark.createDataFrame([(1, "x", 1)], "k int, v string, n int")
+    good, bad = spark.createDataFrame([(1, "z", 2)], a.schema), spark.createDataFrame([(2, None, 2)], a.schema)
+    assert [tuple(r) for r in tables.checked_upsert(a, good, ["k"], "n", ["v"]).collect()] == [(1, "z", 2)]
+    with pytest.raises(Exception, match="required value"):
+        tables.checked_upsert(a, bad, ["k"], "n", ["v"]).collect()
+
+
+def test_phases_resume_and_graphs_fail_alone(spark, tmp_path):
+    from lodestrata.plans.ingest import run_phases, write_graphs
+
+    ran = []
+
+    def broken():
+        raise RuntimeError("lost")
+
+    phases = [("read", lambda: ran.append("read")), ("chunk", broken), ("embed", lambda: ran.append("embed"))]
+    path = str(tmp_path / "progress")
+    assert run_phases(spark, phases, path, "b1") == {"read": "completed", "chunk": "failed", "embed": "pending"}
+    phases[1] = ("chunk", lambda: ran.append("chunk"))
+    assert run_phases(spark, phases, path, "b1") == {"read": "skipped", "chunk": "completed", "embed": "completed"}
+    assert ran == ["read", "chunk", "embed"]
+    failed = write_graphs({"a": lambda: spark.range(3), "b": broken}, str(tmp_path))
+    assert failed["a"] is None and "lost" in failed["b"] and spark.read.parquet(str(tmp_path / "a")).count() == 3
+
+
+def test_embedding_cache(spark):
+    from lodestrata.operators import models
+
+    chunks = spark.createDataFrame([("a", "ant bee"), ("b", "cat"), ("c", "ant bee")], "chunk_id string, text string")
+    cache = models.cache_rows(models.embed(chunks.filter("chunk_id = 'a'")).join(chunks, "chunk_id"))
+    both, grown = models.embed_cached(chunks, cache)
+    assert {r.chunk_id: r.embedding for r in both.collect()} == {r.chunk_id: r.embedding for r in models.embed(chunks).collect()}
+    assert cache.count() == 1 and grown.count() == 2
+
+
+def test_segments_and_images(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"filename": "a.wav", "segments": [{"start": 0.5, "end": 1.0, "text": " hi "}, {"start": 4.0, "end": 5.0, "text": "there"}]}))
+    rows = tables.read_segments(spark, str(tmp_path / "*.json"))
+    assert [tuple(r) for r in rows.orderBy("start").collect()] == [("a.wav", "en", 0.5, 1.0, "hi"), ("a.wav", "en", 4.0, 5.0, "there")]
+    shown = activity.transcripts(rows, "file", "start", "end", "text").first().markdown
+    assert shown == "# Audio Transcription: a.wav\n\n**Duration:** 5s\n**Language:** en\n**Model:** whisper\n\n---\n\n\n**Speaker 1:**\n\n[00:00:00] hi\n\n**Speaker 2:**\n\n[00:00:04] there"
+    (tmp_path / "b.png").write_bytes(b"1234")
+    made = tables.read_images(spark, str(tmp_path), lambda content: F.concat(F.lit("bytes "), F.octet_length(content))).collect()
+    assert len(made) == 1 and made[0].markdown.startswith("# b.png") and made[0].markdown.endswith("**Size:** 4.0 B\n\nbytes 4")
+
+
+def test_one_question_through_the_tool(spark):
+    from lodestrata.plans.retrieve import answer_question
+
+    chunks = spark.createDataFrame([(f"DOC_0_P01_C{i:02d}", "DOC_0", 1, i, t) for i, t in enumerate(("ant bee", "cat dog", "ant ant"), 1)], "chunk_id string, document_id string, page_number int, chunk_index int, text string")
+    vectors_ = spark.createDataFrame([(f"DOC_0_P01_C{i:02d}", "DOC_0", [1.0, float(i)]) for i in (1, 2, 3)], "chunk_id string, document_id string, embedding array<float>")
+    edges = spark.createDataFrame([], "src string, dst string, score double")
+    typed = spark.createDataFrame([], "src string, dst string, type string, confidence double")
+    meta = spark.createDataFrame([("DOC_0", "/p", "f")], "document_id string, path string, file_name string")
+    stores = Stores(chunks, vectors_, edges, typed, meta)
+    embed = lambda q: q.select("query_id", F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("embedding"))
+    found = answer_question({"query": "ant", "max_chunks": 1}, stores, embed).orderBy("rank").collect()
+    assert len(found) == 3 and found[0].origin == "anchor"
+    with pytest.raises(ValueError):
+        answer_question({"query": "ant", "max_chunks": 99}, stores, embed)
+
+
+def test_tool_calls_are_cut_out_whole(spark):
+    a = '{"name": "rag_retrieval", "arguments": {"q": {"x": "} {"}}}'
+    b = '{"name": "other", "arguments": {"k": 1}}'
+    keep = '{"name": "other", "value": {"k": 1}}'
+    assert answers._without_calls(f"one {a} two {b} three {keep} {{") == f"one  two  three {keep} {{"
+    assert answers._without_calls('{"name": "rag_retrieval", "arguments": {') == '{"name": "rag_retrieval", "arguments": {'
+    assert answers._without_calls(None) is None
+
+
+def test_library_without_the_optional_part(tmp_path):
+    """The rest of the package and its own tests stand without the llm folders and the pipeline."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
+    run = subprocess.run([sys.executable, "-m", "pytest", "tests/test_library.py", "-x", "-q", "-k", "ids or dates or bucket or tools or tool_calls_are"], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=600, check=False)
+    assert run.returncode == 0, run.stdout[-2000:]
