@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
 as the next stage's docs. All but the last return the columns of documents.
+
+Every stage takes null ids, texts and sources, empty and very long texts, repeated rows, further columns of any name
+and empty tables, as its operator defines them: a null text is scored as the empty one, is no near-duplicate and not
+contaminated, counts as a row of its source and has a slot in its shard.
 """
 
 from __future__ import annotations
@@ -14,17 +18,17 @@ from lodestrata.llm.common import stage, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts; each row is judged by its own text, ties at the threshold stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class, that of the smallest id; null texts all stay, of repeated rows one."""
     return weighted_minhash.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that do not repeat the benchmark."""
+    """Documents that do not repeat the benchmark; wordless ones stay, rows of one id are judged by their own texts."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -34,7 +38,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns with shard and slot."""
+    """The documents' columns with shard and slot; equal texts share a shard, and every row has a slot of its own."""
     return sharding.assign_shards(docs).select("row.*", F.col("shard"), F.col("slot"))
 
 
