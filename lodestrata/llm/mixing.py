@@ -14,8 +14,12 @@ Ranks inside a source come from cells of about `cell_rows` rows by the id's hash
 of all rows is split. Each cell gets the slots of its blocks as one list. Only a row a source (at most
 MAX_SOURCES) reaches the driver.
 
-Defined cases: a null source is a source of its own; empty texts are rows like others; repeated rows each
-get a place; sources of weight 0 or without a weight are not placed. An empty table gives no rows.
+Defined cases: a null source is a source of its own; null, empty and very long texts are rows like others, as texts
+are not read; repeated rows each get a place; null ids are ranked like others. Sources of weight 0 or without a weight
+are not placed. Blocks due at the same slot go by the source's name, rows of equal hash by id (equal in both: either
+order). More than MAX_SOURCES sources are an error: the schedule is one sequence in which every source takes part, made
+by one task whose memory grows with them. An empty table gives no rows. Columns of the caller are kept whatever they
+are called, as they live in one struct.
 """
 
 from __future__ import annotations

@@ -124,3 +124,23 @@ def test_sharding_stage(steps):
 def test_run_repeats(spark, steps):
     digest = lambda rows: hashlib.sha256(repr(sorted((r.doc_id, r.shard, r.slot) for r in rows)).encode()).hexdigest()
     assert digest(corpus_pipeline.run(spark, FOLDER).collect()) == digest(steps[-1].collect())
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, __doc string, row string, score double, label long, term long"
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls, empty texts, repeated rows, clashing columns and an empty table pass every stage."""
+    good = " ".join(f"the quiet river number {i} runs along the green hill and the old town" for i in range(9))
+    rows = [(1, good), (1, good), (2, good + " now"), (3, None), (None, good.replace("river", "lake")), (4, ""), (5, "one two"), (None, None), (6, "wort " * 40_000)]
+    docs = spark.createDataFrame([(i, t, "en", None if i == 5 else "s", None, "d", "r", 0.1, 7, 8) for i, t in rows], ODD).repartition(3)
+    for table in (docs, docs.limit(0)):
+        for name, function in corpus_pipeline.STAGES:
+            out = function(spark, table, FOLDER)
+            if function is not corpus_pipeline.sharding_stage:
+                assert out.columns == table.columns, name
+            n = out.count()
+            assert n <= table.count() and (table is docs or n == 0), name
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, FOLDER).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 3), (False, 4), (False, 5), (False, 6), (True, 0), (True, 0)]
+    assert corpus_pipeline.sharding_stage(spark, docs, FOLDER).count() == len(rows)

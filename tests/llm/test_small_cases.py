@@ -666,3 +666,30 @@ def test_shared_folder_is_no_local_one_on_a_cluster():
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError):
         common.shared_dir(cluster)
+
+
+def test_fingerprints_against_brute_force(spark):
+    """Edited texts, sketches' likeness and counts against the sets of all shingles, on the whole small table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
+
+    def grams(text):
+        w = WORD.findall(low(text))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    likeness = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    found = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs).collect()}
+    off = []
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        n = len(t) // 3
+        edited = t[: len(t) - n] + after[:n]
+        own, r = grams(t), found[i]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        for got, other in ((r.near_edited, grams(edited)), (r.near_next, grams(after))):
+            want = likeness(own, other)
+            if len(own | other) <= fingerprints.K:
+                assert abs(got - want) < 1e-9
+            else:
+                off.append(abs(got - want))
+        assert r.n_shingles == len(own) if len(own) < fingerprints.K else abs(r.n_shingles / len(own) - 1) < 0.35
+    assert off and max(off) < 0.15 and sum(off) / len(off) < 0.03
