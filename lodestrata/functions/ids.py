@@ -34,7 +34,9 @@ def chunk_index(chunk: Column) -> Column:
 def prefixed(text: Column, query: bool) -> Column:
     """Embedding prefix: added once, and switched where the other one is there (F8)."""
     own, other = ("search_query: ", "search_document: ") if query else ("search_document: ", "search_query: ")
-    return F.when(text.startswith(own), text).when(text.startswith(other), F.concat(F.lit(own), F.substring(text, F.lit(len(other) + 1), F.length(text)))).otherwise(F.concat(F.lit(own), text))
+    return F.when(text.startswith(own), text).when(
+        text.startswith(other), F.concat(F.lit(own), F.substring(text, F.lit(len(other) + 1), F.length(text))),
+    ).otherwise(F.concat(F.lit(own), text))
 
 
 def cache_key(text: Column, query: bool) -> Column:

@@ -15,7 +15,9 @@ def with_images(markdown: Column, images: Column) -> Column:
 
     def joined(held: Column, i: Column) -> Column:
         image = F.get(images, i - 1)
-        mark = F.when(image.isNull(), F.lit(PLACEHOLDER)).otherwise(F.concat(F.lit("!["), F.coalesce(image["caption"], F.lit("")), F.lit("]("), image["path"], F.lit(")")))
+        mark = F.when(image.isNull(), F.lit(PLACEHOLDER)).otherwise(
+            F.concat(F.lit("!["), F.coalesce(image["caption"], F.lit("")), F.lit("]("), image["path"], F.lit(")"))
+        )
         return F.concat(held, mark, F.get(parts, i))
 
     n = F.size(parts)

@@ -84,7 +84,9 @@ def duration(seconds: Column) -> Column:
     """1h 2m 3s, 2m 3s or 3s."""
     s = F.floor(seconds).cast("long")
     hours, minutes, rest = F.floor(s / 3600), F.floor((s % 3600) / 60), s % 60
-    return F.when(hours > 0, F.format_string("%dh %dm %ds", hours, minutes, rest)).when(minutes > 0, F.format_string("%dm %ds", minutes, rest)).otherwise(F.format_string("%ds", rest))
+    return F.when(
+        hours > 0, F.format_string("%dh %dm %ds", hours, minutes, rest),
+    ).when(minutes > 0, F.format_string("%dm %ds", minutes, rest)).otherwise(F.format_string("%ds", rest))
 
 
 def file_url(path: Column, base: str) -> Column:

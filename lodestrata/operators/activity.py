@@ -39,7 +39,10 @@ def latest_status(events: DataFrame, keys: list[str], status: str, order: list[s
 
 def job_status(results: DataFrame, job: str, success: Column) -> DataFrame:
     """completed where every file of a job succeeded (also without files), else failed."""
-    return results.groupBy(job).agg(F.when(F.coalesce(F.bool_and(success), F.lit(True)), "completed").otherwise("failed").alias("status"), F.count_if(success).alias("succeeded"), F.count("*").alias("n_files"))
+    return results.groupBy(job).agg(
+        F.when(F.coalesce(F.bool_and(success), F.lit(True)), "completed").otherwise("failed").alias("status"),
+        F.count_if(success).alias("succeeded"), F.count("*").alias("n_files"),
+    )
 
 
 def failure_rates(results: DataFrame, by: list[str], failed: Column, alert_share: float = 0.1, least: int = 10) -> DataFrame:
@@ -51,7 +54,10 @@ def failure_rates(results: DataFrame, by: list[str], failed: Column, alert_share
 
 def phase_summary(progress: DataFrame, phase: str, status: str) -> DataFrame:
     """Counts by phase, and the total as phase `total`."""
-    out = progress.rollup(phase).agg(F.count("*").alias("n_total"), F.count_if(F.col(status) == "completed").alias("n_completed"), F.count_if(F.col(status) == "failed").alias("n_failed"))
+    out = progress.rollup(phase).agg(
+        F.count("*").alias("n_total"), F.count_if(F.col(status) == "completed").alias("n_completed"),
+        F.count_if(F.col(status) == "failed").alias("n_failed"),
+    )
     return out.withColumn(phase, F.coalesce(phase, F.lit("total")))
 
 
@@ -146,17 +152,27 @@ def limited_requests(requests: DataFrame, denied: list[str], allowed: list[str],
     """
     access = ip_access(F.col("ip"), denied, allowed)
     by = limiter(F.col("tier"), F.col("client_type"), tiers)
-    rows = requests.withColumn("__by", by).withColumn("__pass", F.when(exempt(F.col("path")), "exempt").when(access == "blocked", "blocked").when(access == "whitelisted", "whitelisted"))
-    free = rows.filter(F.col("__pass").isNotNull()).select("request", F.col("__pass").alias("decision"), *[F.lit(None).cast(t).alias(c) for c, t in (("limit", "int"), ("remaining", "int"), ("reset", "double"), ("retry_after", "int"))])
+    rows = requests.withColumn("__by", by).withColumn(
+        "__pass", F.when(exempt(F.col("path")), "exempt").when(access == "blocked", "blocked").when(access == "whitelisted", "whitelisted"),
+    )
+    free = rows.filter(F.col("__pass").isNotNull()).select(
+        "request", F.col("__pass").alias("decision"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("limit", "int"), ("remaining", "int"), ("reset", "double"), ("retry_after", "int"))],
+    )
     held = rows.filter(F.col("__pass").isNull()).select(
-        F.concat_ws("|", "__by.limiter", F.coalesce("client", F.lit("unknown"))).alias("client"), F.col("request").alias("event"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        F.concat_ws(
+            "|", "__by.limiter", F.coalesce("client", F.lit("unknown")),
+        ).alias("client"), F.col("request").alias("event"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
         F.col("__by.per_minute").alias("per_minute"), F.col("__by.burst").alias("burst"),
     )
     taken = _through_buckets(held, "string")
     remaining = (F.floor("tokens") + F.floor("reserve")).cast("int")
     reset = reset_seconds(F.col("tokens"), F.col("per_minute"))
     wait = F.when(F.col("decision") == "rejected", F.greatest(F.lit(1), F.floor(reset).cast("int"))).when(remaining <= 0, F.floor(reset).cast("int"))
-    counted = taken.select(F.col("event").alias("request"), "decision", F.col("per_minute").cast("int").alias("limit"), remaining.alias("remaining"), F.round(reset, 6).alias("reset"), wait.alias("retry_after"))
+    counted = taken.select(
+        F.col("event").alias("request"), "decision", F.col("per_minute").cast("int").alias("limit"), remaining.alias("remaining"),
+        F.round(reset, 6).alias("reset"), wait.alias("retry_after"),
+    )
     return counted.unionByName(free)
 
 
@@ -178,7 +194,9 @@ def builder_statistics(chunks: DataFrame, by: str, candidates: str, score: str,
     seconds = (F.max(us) - F.min(us)) / 1e6
     return chunks.groupBy(by).agg(
         F.count("*").alias("n_chunks"), F.sum(candidates).cast("long").alias("n_candidates"), F.round(F.avg(score), 6).alias("avg_score"),
-        F.round(F.coalesce(F.try_divide(F.count_if(success), F.count("*")), F.lit(0.0)), 6).alias("success_rate"), F.round(F.try_divide(F.count("*"), seconds), 6).alias("per_second"),
+        F.round(
+            F.coalesce(F.try_divide(F.count_if(success), F.count("*")), F.lit(0.0)), 6,
+        ).alias("success_rate"), F.round(F.try_divide(F.count("*"), seconds), 6).alias("per_second"),
     )
 
 
@@ -200,7 +218,9 @@ def job_states(events: DataFrame, job: str, state: str, order: list[str]) -> Dat
     """(job, state, n_events) from (job, state) events: the last state, but an ended job stays as it ended first."""
     place = F.struct(*order)
     ended = F.when(F.col(state).isin("completed", "failed"), place)
-    found = events.filter(F.col(state).isin(*STATES)).groupBy(job).agg(F.min_by(state, ended).alias("__end"), F.max_by(state, place).alias("__last"), F.count("*").alias("n_events"))
+    found = events.filter(F.col(state).isin(*STATES)).groupBy(job).agg(
+        F.min_by(state, ended).alias("__end"), F.max_by(state, place).alias("__last"), F.count("*").alias("n_events"),
+    )
     return found.select(job, F.coalesce("__end", "__last").alias("state"), "n_events")
 
 
@@ -284,7 +304,9 @@ def rate_limited(events: DataFrame, client: str, ts: str, event: str, per_minute
     """
     kind = events.schema[client].dataType.simpleString()
     rows = events.select(
-        F.col(client).alias("client"), F.col(event).cast("long").alias("event"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.lit(float(per_minute)).alias("per_minute"), F.lit(float(burst)).alias("burst")
+        F.col(client).alias("client"), F.col(event).cast("long").alias("event"), F.unix_micros(
+            F.col(ts).cast("timestamp")
+        ).alias("us"), F.lit(float(per_minute)).alias("per_minute"), F.lit(float(burst)).alias("burst")
     )
     return _through_buckets(rows, kind).drop("per_minute")
 
@@ -300,7 +322,12 @@ def _through_buckets(rows: DataFrame, kind: str) -> DataFrame:
                 if bucket is None or who != now:
                     now, bucket = who, Bucket(per_minute, burst)
                 out.append((bucket.take(us / 1e6), round(bucket.tokens, 6), round(bucket.reserve, 6)))
-            yield pd.DataFrame({"client": part["client"], "event": part["event"], "decision": [o[0] for o in out], "tokens": [o[1] for o in out], "reserve": [o[2] for o in out], "per_minute": part["per_minute"]})
+            yield pd.DataFrame(
+                {
+                    "client": part["client"], "event": part["event"], "decision": [o[0] for o in out], "tokens": [o[1] for o in out],
+                    "reserve": [o[2] for o in out], "per_minute": part["per_minute"],
+                }
+            )
 
     schema = f"client {kind}, event long, decision string, tokens double, reserve double, per_minute double"
     return rows.repartition("client").sortWithinPartitions("client", "us", "event").mapInPandas(run, schema)

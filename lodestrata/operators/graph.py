@@ -18,7 +18,10 @@ TYPES = ("CONTRADICTS", "ELABORATES", "DEPENDS_ON")
 RELATIONS = ("contradicts", "elaborates", "depends_on", "unrelated")
 
 
-def similarity_edges(vectors: DataFrame, candidates: int = CANDIDATES, threshold: float = THRESHOLD, top_n: int = TOP_N, nearest: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def similarity_edges(
+    vectors: DataFrame, candidates: int = CANDIDATES, threshold: float = THRESHOLD, top_n: int = TOP_N,
+    nearest: Callable[[DataFrame, int], DataFrame] | None = None,
+) -> DataFrame:
     """(src, dst, score, rank): for each chunk its best older chunks of other documents.
 
     Candidates are the nearest `candidates` older chunks; same-document ones are dropped after that, so they
@@ -29,7 +32,9 @@ def similarity_edges(vectors: DataFrame, candidates: int = CANDIDATES, threshold
     near = knn(asked, vectors, candidates, older_only=True) if nearest is None else nearest(asked, candidates)
     ends = vectors.select("chunk_id", "document_id")
     pairs = near.select(F.col("query_id").alias("src"), F.col("chunk_id").alias("dst"), "score")
-    pairs = pairs.join(ends.select(F.col("chunk_id").alias("src"), F.col("document_id").alias("src_doc")), "src").join(ends.select(F.col("chunk_id").alias("dst"), F.col("document_id").alias("dst_doc")), "dst")
+    pairs = pairs.join(
+        ends.select(F.col("chunk_id").alias("src"), F.col("document_id").alias("src_doc")), "src",
+    ).join(ends.select(F.col("chunk_id").alias("dst"), F.col("document_id").alias("dst_doc")), "dst")
     kept = pairs.filter((F.col("src") != F.col("dst")) & (F.col("src_doc") != F.col("dst_doc")) & (F.col("score") >= threshold))
     return top_k(kept.select("src", "dst", "score"), ["src"], top_n, "dst")
 
@@ -65,7 +70,9 @@ def rejudged(pairs: DataFrame, least: float, judge: Callable[[Column, Column], C
     reply = judge(F.substring("text_a", 1, PROMPT_CHARS), F.substring("text_b", 1, PROMPT_CHARS))
     said = verdict(reply, F.lit(None).cast("string"))
     again = asked.withColumn("__said", said)
-    again = again.withColumn("relation", F.coalesce("__said", "relation")).withColumn("confidence", F.when(F.col("__said").isNotNull(), REJUDGED).otherwise(F.col("confidence"))).drop("__said")
+    again = again.withColumn("relation", F.coalesce("__said", "relation")).withColumn(
+        "confidence", F.when(F.col("__said").isNotNull(), REJUDGED).otherwise(F.col("confidence")),
+    ).drop("__said")
     return pairs.filter(~weak | F.col("confidence").isNull()).unionByName(again).orderBy("id")
 
 
@@ -103,7 +110,9 @@ def with_known_ends(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 def undirected(edges: DataFrame, score: str, also: list[str] | None = None) -> DataFrame:
     """(node, neighbour, *also, score) both ways; where both directions exist the higher score stays."""
     also = also or []
-    ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("neighbour")), F.struct(F.col("dst").alias("node"), F.col("src").alias("neighbour"))))
+    ends = F.explode(
+        F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("neighbour")), F.struct(F.col("dst").alias("node"), F.col("src").alias("neighbour")))
+    )
     both = edges.filter(F.col(score).isNotNull()).select(ends.alias("e"), *also, score).select("e.*", *also, score)
     return both.groupBy("node", "neighbour", *also).agg(F.max(score).alias(score))
 
@@ -128,8 +137,12 @@ def merge_statistics(a: DataFrame, b: DataFrame) -> DataFrame:
     m = merged_graphs(a, b)
     given = a.select("chunk_id").unionByName(b.select("chunk_id")).agg(F.count("*").alias("given"))
     out = m.agg(
-        F.count("*").alias("unique_chunks"), F.count_if(F.col("graph_source") == "graph_a").alias("a_only"), F.count_if(F.col("graph_source") == "graph_b").alias("b_only"),
-        F.count_if(F.col("graph_source") == "both").alias("in_both"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.max("confidence").alias("max_confidence"), F.min("confidence").alias("min_confidence"),
+        F.count("*").alias("unique_chunks"), F.count_if(
+            F.col("graph_source") == "graph_a"
+        ).alias("a_only"), F.count_if(F.col("graph_source") == "graph_b").alias("b_only"),
+        F.count_if(
+            F.col("graph_source") == "both"
+        ).alias("in_both"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.max("confidence").alias("max_confidence"), F.min("confidence").alias("min_confidence"),
     )
     return out.join(given).withColumn("duplicates", F.col("given") - F.col("unique_chunks")).drop("given")
 

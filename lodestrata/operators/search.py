@@ -33,7 +33,10 @@ def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> Da
             terms = coded.dictionary
             pair, times = np.unique(np.repeat(np.arange(len(batch)), length) * len(terms) + coded.indices.to_numpy(), return_counts=True)
             row, code = pair // len(terms), pair % len(terms)
-            yield pa.RecordBatch.from_arrays([terms.take(pa.array(code)), batch.column(0).take(pa.array(row)), pa.array(times.astype(np.int64)), pa.array(length[row].astype(np.int64))], names=["term", key, "tf", "dl"])
+            yield pa.RecordBatch.from_arrays(
+                [terms.take(pa.array(code)), batch.column(0).take(pa.array(row)), pa.array(times.astype(np.int64)), pa.array(length[row].astype(np.int64))],
+                names=["term", key, "tf", "dl"],
+            )
 
     listed = chunks.select(key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("t"))
     return listed.mapInArrow(run, f"term string, `{key}` {kind}, tf long, dl long")
@@ -66,7 +69,9 @@ def bm25_postings(queries: DataFrame, index: DataFrame, n: int, avgdl: float, k:
     blocks = max(1, -(-total // QUERY_BLOCK))
     kind, key_kind = queries.schema["query_id"].dataType.simpleString(), index.schema[key].dataType.simpleString()
     for b in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.array_distinct("terms").alias("terms")).toPandas()  # bounded by the block size
+        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select(  # bounded by the block size
+            "query_id", F.array_distinct("terms").alias("terms"),
+        ).toPandas()
         asking: dict[str, list[int]] = {}
         for q, terms in enumerate(part["terms"]):
             for t in terms if terms is not None else ():
@@ -100,7 +105,9 @@ def bm25_postings(queries: DataFrame, index: DataFrame, n: int, avgdl: float, k:
                 yield _best(held, ids, queries_of, idf, avgdl, k, key)
 
         texts = F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // BLOCK_TEXTS)))).cast("int")
-        rows = lists.select(texts.alias("block"), "at", key, "tf", "dl").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions("block", key)
+        rows = lists.select(texts.alias("block"), "at", key, "tf", "dl").repartition(
+            int(spark.conf.get("spark.sql.shuffle.partitions")), "block",
+        ).sortWithinPartitions("block", key)
         hits = rows.mapInArrow(run, f"query_id {kind}, `{key}` {key_kind}, score double")
         found = hits if found is None else found.unionByName(hits)
     if found is None:

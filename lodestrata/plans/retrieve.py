@@ -75,7 +75,9 @@ def retrieve(queries: DataFrame, stores: Stores, settings: Settings | None = Non
     allowed = metadata_filter(stores.metadata, s.filters)
     vectors = stores.vectors if allowed is None else stores.vectors.join(allowed, "document_id", "left_semi")
     by_vector = knn(queries, vectors, s.vector_k) if stores.nearest is None or allowed is not None else stores.nearest(queries, s.vector_k)
-    by_word = bm25(queries, stores.chunks, s.keyword_k) if stores.postings is None else bm25_postings(queries, stores.postings, *(stores.statistics or (0, 1.0)), s.keyword_k)
+    by_word = bm25(queries, stores.chunks, s.keyword_k) if stores.postings is None else bm25_postings(
+        queries, stores.postings, *(stores.statistics or (0, 1.0)), s.keyword_k,
+    )
     if allowed is not None:  # after the top k, so fewer may remain
         inside = stores.chunks.join(allowed, "document_id", "left_semi").select("chunk_id")
         by_word = by_word.join(inside, "chunk_id", "left_semi")
@@ -101,7 +103,10 @@ def retrieve(queries: DataFrame, stores: Stores, settings: Settings | None = Non
     anchor = ranked.filter("rank = 1").select("query_id", "chunk_id")
 
     context = adjacent(anchor, stores.chunks, s.context)
-    context = context.select("query_id", "chunk_id", F.lit(1).alias("part"), (F.col("offset") + s.context).alias("rank"), F.lit(0.0).alias("score"), F.lit("context").alias("origin"))
+    context = context.select(
+        "query_id", "chunk_id", F.lit(1).alias("part"), (F.col("offset") + s.context).alias("rank"), F.lit(0.0).alias("score"),
+        F.lit("context").alias("origin"),
+    )
     every = ranked.unionByName(context)
     nodes = anchor.select("query_id", F.col("chunk_id").alias("node"))
     # All types at once: the best of each type, then the types in their order.
@@ -110,7 +115,12 @@ def retrieve(queries: DataFrame, stores: Stores, settings: Settings | None = Non
     most = F.create_map(*[F.lit(x) for kind, n in s.graph_b.items() for x in (kind, n)])
     probes = top_k(linked, ["query_id", "type"], max(s.graph_b.values(), default=0), "neighbour", "confidence").filter(F.col("rank") <= F.element_at(most, F.col("type")))
     part = F.array_position(F.array(*map(F.lit, kinds)), F.col("type")).cast("int") + 1
-    every = every.unionByName(probes.select("query_id", F.col("neighbour").alias("chunk_id"), part.alias("part"), "rank", F.col("confidence").alias("score"), F.concat(F.lit("probe_"), F.lower("type")).alias("origin")))
+    every = every.unionByName(
+        probes.select(
+            "query_id", F.col("neighbour").alias("chunk_id"), part.alias("part"), "rank", F.col("confidence").alias("score"),
+            F.concat(F.lit("probe_"), F.lower("type")).alias("origin"),
+        )
+    )
 
     final = ordered_distinct(every, place).filter(F.col("rank") <= s.final)
     texts = stores.chunks.select("chunk_id", "document_id", "page_number", "text")

@@ -19,9 +19,15 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
     return e.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
-@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_clients, round(avg(value), 6) AS avg_value, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+@query(
+    "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_clients, round(avg(value), 6) AS avg_value, round(sum(value), 4) AS total FROM "
+    "events GROUP BY event_type"
+)
 def a17_request_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_clients"), F.round(F.avg("value"), 6).alias("avg_value"), F.round(F.sum("value"), 4).alias("total"))
+    return table(spark, folder, "events").groupBy("event_type").agg(
+        F.count("*").alias("n"), F.countDistinct("user_id").alias("n_clients"), F.round(F.avg("value"), 6).alias("avg_value"),
+        F.round(F.sum("value"), 4).alias("total"),
+    )
 
 
 @query(f"WITH {BASE} SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS recent FROM e")
@@ -35,7 +41,9 @@ def r5_hourly_counts(spark: SparkSession, folder: str) -> DataFrame:
     return e.groupBy("user_id", F.floor(F.col("us") / 3_600_000_000).alias("hour")).agg(F.count("*").alias("n"), F.round(F.max("value"), 6).alias("top"))
 
 
-SESSION = f"WITH {BASE}, g AS (SELECT *, CASE WHEN us - lag(us) OVER w < 43200000000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM g) SELECT user_id, min(us) AS started, count(*) AS n FROM s GROUP BY user_id, k"
+SESSION = f"WITH {
+    BASE
+}, g AS (SELECT *, CASE WHEN us - lag(us) OVER w < 43200000000 THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM g) SELECT user_id, min(us) AS started, count(*) AS n FROM s GROUP BY user_id, k"
 
 
 @query(SESSION)
@@ -61,18 +69,27 @@ def r10_latest_status(spark: SparkSession, folder: str) -> DataFrame:
     return A.latest_status(_events(spark, folder), ["user_id", "event_type"], "value", ["us", "event_id"])
 
 
-@query("SELECT user_id, CASE WHEN bool_and(value > 1) THEN 'completed' ELSE 'failed' END AS status, count(*) FILTER (value > 1) AS succeeded, count(*) AS n_files FROM events GROUP BY user_id")
+@query(
+    "SELECT user_id, CASE WHEN bool_and(value > 1) THEN 'completed' ELSE 'failed' END AS status, count(*) FILTER (value > 1) AS succeeded, count(*) AS "
+    "n_files FROM events GROUP BY user_id"
+)
 def a14_job_status(spark: SparkSession, folder: str) -> DataFrame:
     return A.job_status(table(spark, folder, "events"), "user_id", F.col("value") > 1)
 
 
-@query("SELECT event_type, user_id % 10 AS shard, count(*) AS n, count(*) FILTER (value < 20) AS n_failed, round(count(*) FILTER (value < 20) / count(*), 6) AS failure_rate, count(*) >= 10 AND count(*) FILTER (value < 20) / count(*) > 0.1 AS alert FROM events GROUP BY ALL")
+@query(
+    "SELECT event_type, user_id % 10 AS shard, count(*) AS n, count(*) FILTER (value < 20) AS n_failed, round(count(*) FILTER (value < 20) / count(*), "
+    "6) AS failure_rate, count(*) >= 10 AND count(*) FILTER (value < 20) / count(*) > 0.1 AS alert FROM events GROUP BY ALL"
+)
 def a7_failure_rates(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events").withColumn("shard", F.col("user_id") % 10)
     return A.failure_rates(e, ["event_type", "shard"], F.col("value") < 20)
 
 
-@query("SELECT coalesce(event_type, 'total') AS event_type, count(*) AS n_total, count(*) FILTER (value >= 20) AS n_completed, count(*) FILTER (value < 20) AS n_failed FROM events GROUP BY ROLLUP (event_type)")
+@query(
+    "SELECT coalesce(event_type, 'total') AS event_type, count(*) AS n_total, count(*) FILTER (value >= 20) AS n_completed, count(*) FILTER (value < "
+    "20) AS n_failed FROM events GROUP BY ROLLUP (event_type)"
+)
 def a11_phase_summary(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events").withColumn("state", F.when(F.col("value") < 20, "failed").otherwise("completed"))
     return A.phase_summary(e.select("event_type", "state"), "event_type", "state")
@@ -117,23 +134,36 @@ def j15_shots_at_moments(spark: SparkSession, folder: str) -> DataFrame:
     return A.at_moment(moments, shots, "user_id", "t", "a", "b").select("user_id", F.round("t", 6).alias("t"), "shot")
 
 
-@query("SELECT event_id, CASE WHEN 'u' || user_id IN ('u1', 'u2') THEN 'blocked' WHEN 'u' || user_id IN ('u2', 'u3', 'u4') THEN 'whitelisted' ELSE 'blocked' END AS access FROM events")
+@query(
+    "SELECT event_id, CASE WHEN 'u' || user_id IN ('u1', 'u2') THEN 'blocked' WHEN 'u' || user_id IN ('u2', 'u3', 'u4') THEN 'whitelisted' ELSE "
+    "'blocked' END AS access FROM events"
+)
 def p18_ip_access(spark: SparkSession, folder: str) -> DataFrame:
     ip = F.concat(F.lit("u"), F.col("user_id"))
     return table(spark, folder, "events").select("event_id", A.ip_access(ip, ["u1", "u2"], ["u2", "u3", "u4"]).alias("access"))
 
 
-@query("SELECT event_id, '10.0.0.' || user_id AS by_address, 'session:s' || user_id AS by_session, 'api_key:' || substr('key' || event_id || 'abcdefgh', 1, 8) || '...' AS by_key FROM events")
+@query(
+    "SELECT event_id, '10.0.0.' || user_id AS by_address, 'session:s' || user_id AS by_session, 'api_key:' || substr('key' || event_id || 'abcdefgh', "
+    "1, 8) || '...' AS by_key FROM events"
+)
 def f28_client_ids(spark: SparkSession, folder: str) -> DataFrame:
     u, n = F.col("user_id").cast("string"), F.col("event_id").cast("string")
     parts = (F.lit("9.9.9.9"), F.concat(F.lit("10.0.0."), u, F.lit(", 1.1.1.1")), F.concat(F.lit("s"), u), F.concat(F.lit("key"), n, F.lit("abcdefgh")))
-    return table(spark, folder, "events").select("event_id", *[A.client_id(*parts, kind).alias(name) for kind, name in (("ip", "by_address"), ("session", "by_session"), ("api_key", "by_key"))])
+    return table(spark, folder, "events").select(
+        "event_id",
+        *[A.client_id(*parts, kind).alias(name) for kind, name in (("ip", "by_address"), ("session", "by_session"), ("api_key", "by_key"))],
+    )
 
 
 @query("SELECT event_id, CASE WHEN value >= 100 THEN 0.0 ELSE round((100 - value) / (100 / 60), 6) END AS reset, round(least(100.0, value + 30 * (100.0 / 60)), 6) AS refilled, round(least(30.0, pow(2.0, event_id % 8)), 6) AS wait FROM events".replace("(100 / 60)", "(100.0 / 60)"))
 def f61_limits(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
-    return e.select("event_id", F.round(vectors.reset_seconds(F.col("value"), 100), 6).alias("reset"), F.round(vectors.refilled(F.col("value"), F.lit(30), 100), 6).alias("refilled"), F.round(vectors.backoff(F.col("event_id") % 8), 6).alias("wait"))
+    return e.select(
+        "event_id", F.round(vectors.reset_seconds(F.col("value"), 100), 6).alias("reset"),
+        F.round(vectors.refilled(F.col("value"), F.lit(30), 100), 6).alias("refilled"),
+        F.round(vectors.backoff(F.col("event_id") % 8), 6).alias("wait"),
+    )
 
 
 @query("SELECT event_id, round(1 / (1 + exp(-(value - 50) / 25)), 6) AS p FROM events")
@@ -141,7 +171,10 @@ def f41_sigmoids(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", F.round(vectors.sigmoid((F.col("value") - 50) / 25), 6).alias("p"))
 
 
-@query("WITH f AS (SELECT DISTINCT user_id FROM events), c AS (SELECT DISTINCT user_id FROM events WHERE value > 199), x AS (SELECT DISTINCT user_id FROM events WHERE value < 0.2) SELECT user_id, user_id IN (SELECT user_id FROM x) AS is_failed FROM f WHERE user_id NOT IN (SELECT user_id FROM c)")
+@query(
+    "WITH f AS (SELECT DISTINCT user_id FROM events), c AS (SELECT DISTINCT user_id FROM events WHERE value > 199), x AS (SELECT DISTINCT user_id FROM "
+    "events WHERE value < 0.2) SELECT user_id, user_id IN (SELECT user_id FROM x) AS is_failed FROM f WHERE user_id NOT IN (SELECT user_id FROM c)"
+)
 def j16_pending_files(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     return A.pending(e.select("user_id").distinct(), e.filter("value > 199"), e.filter("value < 0.2"), "user_id", "user_id").select("user_id", "is_failed")
@@ -149,7 +182,9 @@ def j16_pending_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {BASE} SELECT user_id, event_type, min(us) AS started, max(us) AS ended, round((max(us) - min(us)) / 1e6, 6) AS seconds FROM e GROUP BY ALL")
 def w13_stage_durations(spark: SparkSession, folder: str) -> DataFrame:
-    return _events(spark, folder).groupBy("user_id", "event_type").agg(F.min("us").alias("started"), F.max("us").alias("ended"), F.round((F.max("us") - F.min("us")) / 1e6, 6).alias("seconds"))
+    return _events(spark, folder).groupBy("user_id", "event_type").agg(
+        F.min("us").alias("started"), F.max("us").alias("ended"), F.round((F.max("us") - F.min("us")) / 1e6, 6).alias("seconds"),
+    )
 
 
 _ERRORS = (

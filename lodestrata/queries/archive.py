@@ -59,7 +59,10 @@ def _named_pages(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {_NAMED} SELECT page_id, {EXT} AS ext, {_CATEGORY} AS category, {_FOLDER} AS folder_type, {_SOURCE} AS source_type FROM named")
 def s8_page_categories(spark: SparkSession, folder: str) -> DataFrame:
     url = F.col("url")
-    return _named_pages(spark, folder).select("page_id", text.extension(url).alias("ext"), S.category(url).alias("category"), S.folder_type(url).alias("folder_type"), S.source_type(url).alias("source_type"))
+    return _named_pages(spark, folder).select(
+        "page_id", text.extension(url).alias("ext"), S.category(url).alias("category"), S.folder_type(url).alias("folder_type"),
+        S.source_type(url).alias("source_type"),
+    )
 
 
 _MIMES = ("application/msword", "text/html", "text/plain", "audio/x-m4a", "audio/ogg", "video/mp4", "image/webp", "image/gif")
@@ -86,9 +89,16 @@ def s9_upload_check(spark: SparkSession, folder: str) -> DataFrame:
     return _named_pages(spark, folder).select("page_id", S.uploadable(F.col("url")).alias("accepted"))
 
 
-@query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<p[ >]')) AS BIGINT) AS paragraphs, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM pages")
+@query(
+    r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<p[ >]')) AS BIGINT) AS "
+    r"paragraphs, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM pages"
+)
 def f3_page_structure(spark: SparkSession, folder: str) -> DataFrame:
-    return _pages(spark, folder).select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<p[ >]"), F.lit(0))).cast("long").alias("paragraphs"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"))
+    return _pages(spark, folder).select(
+        "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        F.size(F.regexp_extract_all("html", F.lit("<p[ >]"), F.lit(0))).cast("long").alias("paragraphs"),
+        F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"),
+    )
 
 
 # RE2 has no back references: each of the four elements is its own branch.
@@ -112,7 +122,9 @@ _SIZED = "sized AS (SELECT page_id, strlen(html) * CASE page_id % 5 WHEN 0 THEN
 
 
 @query(
-    f"WITH {_SIZED} SELECT page_id, CASE WHEN n < 1024 THEN printf('%.1f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) "
+    f"WITH {
+        _SIZED
+    } SELECT page_id, CASE WHEN n < 1024 THEN printf('%.1f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) "
     "WHEN n < 1099511627776 THEN printf('%.1f GB', n / 1073741824) ELSE printf('%.1f TB', n / 1099511627776) END AS size FROM sized"
 )
 def f36_file_sizes(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,7 +168,10 @@ def k19_cache_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return models.cached(d, known).select("doc_id", F.when(F.col("hit"), "hit").otherwise("miss").alias("cache"))
 
 
-@query("SELECT 'documents' AS store, count(*) AS n FROM documents UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'conversations', count(*) FROM conversations")
+@query(
+    "SELECT 'documents' AS store, count(*) AS n FROM documents UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'pages', "
+    "count(*) FROM pages UNION ALL SELECT 'conversations', count(*) FROM conversations"
+)
 def a2_table_counts(spark: SparkSession, folder: str) -> DataFrame:
     out = None
     for name in ("documents", "embeddings", "pages", "conversations"):
@@ -193,7 +208,10 @@ def k10_deleted_sources(spark: SparkSession, folder: str) -> DataFrame:
     return S.delete(X.metadata(spark, folder), gone, ["document_id"]).select("document_id", "title")
 
 
-@query("SELECT kind, count(*) AS n FROM (SELECT unnest(['data: token', 'data: done']) AS line, page_id FROM pages), (SELECT 1) t, LATERAL (SELECT replace(line, 'data: ', '') AS kind) GROUP BY kind")
+@query(
+    "SELECT kind, count(*) AS n FROM (SELECT unnest(['data: token', 'data: done']) AS line, page_id FROM pages), (SELECT 1) t, LATERAL (SELECT "
+    "replace(line, 'data: ', '') AS kind) GROUP BY kind"
+)
 def r12_event_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Event-stream text cut into lines, each a JSON event."""
     body = F.concat(F.lit('data: {"type": "token", "n": '), F.col("page_id"), F.lit('}\n\ndata: {"type": "done"}\n\n: comment\n'))

@@ -74,7 +74,9 @@ def m7_probe_graph(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_with(X.VECTORS, X.PROBES, PROBED) + "SELECT probe, count(*) AS n, count(DISTINCT query_id) AS n_queries, round(avg(score), 6) AS avg_score FROM pk GROUP BY probe")
 def a4_probe_breakdown(spark: SparkSession, folder: str) -> DataFrame:
-    return _probed(spark, folder).groupBy("probe").agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("n_queries"), F.round(F.avg("score"), 6).alias("avg_score"))
+    return _probed(spark, folder).groupBy("probe").agg(
+        F.count("*").alias("n"), F.countDistinct("query_id").alias("n_queries"), F.round(F.avg("score"), 6).alias("avg_score"),
+    )
 
 
 @query(_with(X.CHUNKS, X.METADATA) + "SELECT seq % 20 AS answer, coalesce(string_agg(DISTINCT file_name, ',' ORDER BY file_name), '') AS sources FROM chunks LEFT JOIN (SELECT * FROM meta WHERE file_name LIKE '%.pdf') m USING (document_id) GROUP BY answer")
@@ -93,7 +95,10 @@ def p17_recovered_pages(spark: SparkSession, folder: str) -> DataFrame:
     c = X.chunks(spark, folder)
     lost = F.when(F.col("seq") % 2 == 0, 0).otherwise(F.col("page_number"))
     origin = F.element_at(F.array(*map(F.lit, ("probe_contradicts", "context", "anchor", "graph_a", "wider context"))), (F.col("seq") % 5 + 1).cast("int"))
-    return c.select("chunk_id", F.coalesce(F.nullif(lost, F.lit(0)), ids.chunk_page(F.col("chunk_id")), F.lit(1)).cast("int").alias("page"), answers.relation(origin).alias("relation"))
+    return c.select(
+        "chunk_id", F.coalesce(F.nullif(lost, F.lit(0)), ids.chunk_page(F.col("chunk_id")), F.lit(1)).cast("int").alias("page"),
+        answers.relation(origin).alias("relation"),
+    )
 
 
 @query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'video' WHEN 1 THEN 'video' WHEN 2 THEN 'photo' WHEN 3 THEN 'photo' ELSE 'report' END AS kind FROM documents")
@@ -123,12 +128,17 @@ _ORIGIN = "['anchor', 'relation', 'probe_supports', 'graph_a', 'probe_depends',
 
 
 @query(
-    f"SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'page' WHEN {_ORIGIN} IS NULL OR {_ORIGIN} = 'graph_a' THEN 'origin' WHEN doc_id % 8 = 7 THEN 'confidence' END AS problem FROM documents"
+    f"SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'page' WHEN {
+        _ORIGIN
+    } IS NULL OR {_ORIGIN} = 'graph_a' THEN 'origin' WHEN doc_id % 8 = 7 THEN 'confidence' END AS problem FROM documents"
 )
 def p13_validated_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """What is wrong with output chunks made from the documents: page, origin or confidence."""
     n = F.col("doc_id")
-    origin = F.element_at(F.array(*[F.lit(x).cast("string") for x in ("anchor", "relation", "probe_supports", "graph_a", "probe_depends", "context", None)]), (n % 7 + 1).cast("int"))
+    origin = F.element_at(
+        F.array(*[F.lit(x).cast("string") for x in ("anchor", "relation", "probe_supports", "graph_a", "probe_depends", "context", None)]),
+        (n % 7 + 1).cast("int"),
+    )
     problem = answers.chunk_problem((n % 10 * -1 + 8).cast("int"), origin, n % 8 / 6.0, F.col("text"))
     return table(spark, folder, "documents").select("doc_id", problem.alias("problem"))
 
@@ -164,7 +174,10 @@ def f58_document_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("SELECT doc_id, i AS chunk_index, coalesce(nullif(p, ''), '') AS paragraph FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)")
+@query(
+    "SELECT doc_id, i AS chunk_index, coalesce(nullif(p, ''), '') AS paragraph FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, "
+    "generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)"
+)
 def f64_positions(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "paragraph"))
     return rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("chunk_index"), "paragraph")
@@ -176,10 +189,17 @@ def f65_fallback_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return rest.select("doc_id", F.substring("text", 1, 1000).alias("paragraph_text"), F.lit(1).alias("page_number"), F.lit(1).alias("chunk_index"))
 
 
-@query("SELECT vec_id, ['entailment', 'neutral', 'contradiction', 'other'][list_position(e, list_max(e))] AS label, round(list_max(e) / list_sum(e), 6) AS p FROM (SELECT vec_id, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM (SELECT vec_id, embedding[1:4]::DOUBLE[] AS l FROM embeddings))")
+@query(
+    "SELECT vec_id, ['entailment', 'neutral', 'contradiction', 'other'][list_position(e, list_max(e))] AS label, round(list_max(e) / list_sum(e), 6) "
+    "AS p FROM (SELECT vec_id, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM (SELECT vec_id, embedding[1:4]::DOUBLE[] AS l FROM "
+    "embeddings))"
+)
 def f43_first_best_labels(spark: SparkSession, folder: str) -> DataFrame:
     p = vectors.softmax(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")))
-    return table(spark, folder, "embeddings").select("vec_id", p.alias("p")).select("vec_id", vectors.first_best(F.col("p"), ["entailment", "neutral", "contradiction", "other"]).alias("label"), F.round(F.array_max("p"), 6).alias("p"))
+    return table(spark, folder, "embeddings").select("vec_id", p.alias("p")).select(
+        "vec_id", vectors.first_best(F.col("p"), ["entailment", "neutral", "contradiction", "other"]).alias("label"),
+        F.round(F.array_max("p"), 6).alias("p"),
+    )
 
 
 @query("SELECT doc_id, ['chart', 'table', 'diagram', 'figure', 'graph', 'table', 'figure'][doc_id % 7 + 1] AS image_type FROM documents")
@@ -206,7 +226,10 @@ def j14_figure_captions(spark: SparkSession, folder: str) -> DataFrame:
 def j18_audio_timestamps(spark: SparkSession, folder: str) -> DataFrame:
     """A chunk's timestamp is the one of its number in the transcript, 00:00:00 where there is none."""
     mark = F.format_string("[%02d:01:05]", F.col("doc_id") % 10)
-    rows = table(spark, folder, "documents").select("doc_id", F.concat(mark, F.lit(" "), F.col("text"), F.lit("\n"), mark).alias("markdown"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("chunk_index"))
+    rows = table(spark, folder, "documents").select(
+        "doc_id", F.concat(mark, F.lit(" "), F.col("text"), F.lit("\n"), mark).alias("markdown"),
+        F.explode(F.sequence(F.lit(1), F.lit(3))).alias("chunk_index"),
+    )
     return rows.select("doc_id", "chunk_index", text.audio_clock(F.col("markdown"), F.col("chunk_index")).alias("clock"))
 
 
@@ -221,16 +244,28 @@ def f35_routed_questions(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "benchmark").select("item_id", F.array_max(scored)["k"].alias("route"))
 
 
-@query("SELECT count(DISTINCT source) AS n_sources, count(*) FILTER (lang = 'fr') AS n_moments, count(*) FILTER (quality = 0) AS n_conflicts FROM documents LEFT JOIN labels USING (doc_id)")
+@query(
+    "SELECT count(DISTINCT source) AS n_sources, count(*) FILTER (lang = 'fr') AS n_moments, count(*) FILTER (quality = 0) AS n_conflicts FROM "
+    "documents LEFT JOIN labels USING (doc_id)"
+)
 def a21_evidence_summary(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
-    return d.agg(F.countDistinct("source").alias("n_sources"), F.count_if(F.col("lang") == "fr").alias("n_moments"), F.count_if(F.col("quality") == 0).alias("n_conflicts"))
+    return d.agg(
+        F.countDistinct("source").alias("n_sources"), F.count_if(F.col("lang") == "fr").alias("n_moments"),
+        F.count_if(F.col("quality") == 0).alias("n_conflicts"),
+    )
 
 
-@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, regexp_matches(text, '\\|[-:]+\\|') AS has_table, regexp_matches(text, '(?m)^#{1,6}\\s+') AS has_heading, regexp_matches(text, '!\\[.*?\\]\\(.*?\\)') AS has_image FROM documents")
+@query(
+    "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, regexp_matches(text, '\\|[-:]+\\|') AS has_table, "
+    "regexp_matches(text, '(?m)^#{1,6}\\s+') AS has_heading, regexp_matches(text, '!\\[.*?\\]\\(.*?\\)') AS has_image FROM documents"
+)
 def f3_structure(spark: SparkSession, folder: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, folder, "documents").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), t.rlike(text.TABLE).alias("has_table"), t.rlike(r"(?m)^#{1,6}\s+").alias("has_heading"), t.rlike(text.IMAGE).alias("has_image"))
+    return table(spark, folder, "documents").select(
+        "doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), t.rlike(text.TABLE).alias("has_table"),
+        t.rlike(r"(?m)^#{1,6}\s+").alias("has_heading"), t.rlike(text.IMAGE).alias("has_image"),
+    )
 
 
 @query("SELECT doc_id, '![c' || doc_id || '](f.png) ' || text || ' <!-- image -->' AS markdown FROM documents")
@@ -246,7 +281,10 @@ def f19_placed_images(spark: SparkSession, folder: str) -> DataFrame:
 def f20_image_analyses(spark: SparkSession, folder: str) -> DataFrame:
     """Three images are known: one by folder and name, one without an analysis, one by ./folder and name."""
     one = lambda path, analysis: F.struct(F.lit(path).alias("path"), analysis.cast("string").alias("analysis"))
-    known = F.array(one("/out/figures/a.png", F.concat(F.lit("cost $1 \\ "), F.col("doc_id"))), one("/out/figures/b.png", F.lit(None)), one("/out/figures/c.png", F.lit("third")))
+    known = F.array(
+        one("/out/figures/a.png", F.concat(F.lit("cost $1 \\ "), F.col("doc_id"))), one("/out/figures/b.png", F.lit(None)),
+        one("/out/figures/c.png", F.lit("third")),
+    )
     body = F.concat(F.lit("![x](figures/a.png) "), F.col("text"), F.lit(" ![y](b.png) ![z](./figures/c.png)"))
     return table(spark, folder, "documents").select("doc_id", images.with_analyses(body, known).alias("markdown"))
 
@@ -263,7 +301,10 @@ def j13_captioned_references(spark: SparkSession, folder: str) -> DataFrame:
     return images.captioned_references(docs, known)
 
 
-@query("SELECT path, min(source) AS source, count(*) AS n FROM (SELECT 'p' || page_id % 40 AS path, 'extracted' AS source FROM pages UNION ALL SELECT 'p' || page_id % 30, 'standalone' FROM pages UNION ALL SELECT 'p' || page_id % 60, 'ocr' FROM pages) GROUP BY path")
+@query(
+    "SELECT path, min(source) AS source, count(*) AS n FROM (SELECT 'p' || page_id % 40 AS path, 'extracted' AS source FROM pages UNION ALL SELECT 'p' "
+    "|| page_id % 30, 'standalone' FROM pages UNION ALL SELECT 'p' || page_id % 60, 'ocr' FROM pages) GROUP BY path"
+)
 def u7_image_sources(spark: SparkSession, folder: str) -> DataFrame:
     p, out = table(spark, folder, "pages"), None
     for n, source in ((40, "extracted"), (30, "standalone"), (60, "ocr")):
@@ -272,11 +313,17 @@ def u7_image_sources(spark: SparkSession, folder: str) -> DataFrame:
     return out.groupBy("path").agg(F.min("source").alias("source"), F.count("*").alias("n"))
 
 
-@query("SELECT src, dst, type, max(confidence) AS confidence FROM (SELECT user_id % 50 AS src, event_id % 50 AS dst, CASE event_type WHEN 'click' THEN 'ELABORATES' WHEN 'view' THEN 'CONTRADICTS' ELSE upper(event_type) END AS type, value AS confidence FROM events) WHERE type IN ('CONTRADICTS', 'ELABORATES', 'DEPENDS_ON') GROUP BY ALL")
+@query(
+    "SELECT src, dst, type, max(confidence) AS confidence FROM (SELECT user_id % 50 AS src, event_id % 50 AS dst, CASE event_type WHEN 'click' THEN "
+    "'ELABORATES' WHEN 'view' THEN 'CONTRADICTS' ELSE upper(event_type) END AS type, value AS confidence FROM events) WHERE type IN ('CONTRADICTS', "
+    "'ELABORATES', 'DEPENDS_ON') GROUP BY ALL"
+)
 def k9_typed_edge_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """Edges of known types only; of repeated ones the highest confidence is kept, here as the version."""
     kind = F.when(F.col("event_type") == "click", "ELABORATES").when(F.col("event_type") == "view", "CONTRADICTS").otherwise(F.upper("event_type"))
-    edges = table(spark, folder, "events").select((F.col("user_id") % 50).alias("src"), (F.col("event_id") % 50).alias("dst"), kind.alias("type"), F.col("value").alias("confidence"))
+    edges = table(spark, folder, "events").select(
+        (F.col("user_id") % 50).alias("src"), (F.col("event_id") % 50).alias("dst"), kind.alias("type"), F.col("value").alias("confidence"),
+    )
     good = edges.filter(F.col("type").isin("CONTRADICTS", "ELABORATES", "DEPENDS_ON")).withColumn("version", F.col("confidence"))
     return upsert(good.limit(0), good, ["src", "dst", "type"], "version").drop("version")
 
@@ -284,7 +331,10 @@ def k9_typed_edge_upsert(spark: SparkSession, folder: str) -> DataFrame:
 @query(_with(X.VECTORS, X.SIMILAR) + "SELECT count(*) AS n_edges, count(DISTINCT src) AS n_sources, round(avg(score), 6) AS avg_score, max(score) AS max_score, round(count(*) / count(DISTINCT src), 6) AS edges_a_source FROM alike")
 def a9_edge_statistics(spark: SparkSession, folder: str) -> DataFrame:
     e = X.similar(spark, folder)
-    return e.agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_sources"), F.round(F.avg("score"), 6).alias("avg_score"), F.max("score").alias("max_score"), F.round(F.try_divide(F.count("*"), F.countDistinct("src")), 6).alias("edges_a_source"))
+    return e.agg(
+        F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_sources"), F.round(F.avg("score"), 6).alias("avg_score"),
+        F.max("score").alias("max_score"), F.round(F.try_divide(F.count("*"), F.countDistinct("src")), 6).alias("edges_a_source"),
+    )
 
 
 @query("SELECT item_id, text AS vector_query, lower(text) AS keyword_query, CASE WHEN item_id % 2 = 0 THEN 'en' END AS language FROM benchmark WHERE item_id % 5 <> 0")
@@ -292,9 +342,14 @@ def f56_commands(spark: SparkSession, folder: str) -> DataFrame:
     """Commands to JSON and back, with words around the JSON; those without a keyword query are no commands."""
     q = table(spark, folder, "benchmark")
     filters = F.when(F.col("item_id") % 2 == 0, F.create_map(F.lit("language"), F.lit("en")))
-    made = F.struct(F.col("text").alias("vector_query"), F.when(F.col("item_id") % 5 != 0, F.lower("text")).alias("keyword_query"), filters.alias("metadata_filter"), F.lit(5).alias("max_chunks"))
+    made = F.struct(
+        F.col("text").alias("vector_query"), F.when(F.col("item_id") % 5 != 0, F.lower("text")).alias("keyword_query"),
+        filters.alias("metadata_filter"), F.lit(5).alias("max_chunks"),
+    )
     read = answers.parsed_command(F.concat(F.lit("So: "), answers.command_json(made), F.lit(" - done")))
-    return q.select("item_id", read.alias("c")).filter("c is not null").select("item_id", "c.vector_query", "c.keyword_query", F.col("c.metadata_filter")["language"].alias("language"))
+    return q.select("item_id", read.alias("c")).filter("c is not null").select(
+        "item_id", "c.vector_query", "c.keyword_query", F.col("c.metadata_filter")["language"].alias("language"),
+    )
 
 
 @query(

@@ -27,7 +27,10 @@ def _numbered(df: DataFrame, key: str) -> DataFrame:
     n = F.col(key)
     document = F.format_string("DOC_%d", F.floor(n / 5))
     page, index = (F.floor((n % 5) / 2) + 1).cast("int"), (n % 5 + 1).cast("int")
-    return df.select(n.alias("seq"), document.alias("document_id"), page.alias("page_number"), index.alias("chunk_index"), chunk_id(document, page, index).alias("chunk_id"), *[c for c in df.columns if c != key])
+    return df.select(
+        n.alias("seq"), document.alias("document_id"), page.alias("page_number"), index.alias("chunk_index"),
+        chunk_id(document, page, index).alias("chunk_id"), *[c for c in df.columns if c != key],
+    )
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,7 +94,9 @@ def judged_pairs(spark: SparkSession, folder: str) -> DataFrame:
     v = vectors(spark, folder)
     near = knn(v.select(F.col("chunk_id").alias("query_id"), "embedding", "seq"), v, EDGE_CANDIDATES, older_only=True)
     pairs = near.select(F.col("query_id").alias("src"), F.col("chunk_id").alias("dst"), "score")
-    pairs = pairs.join(v.select(F.col("chunk_id").alias("src"), F.col("seq").alias("a")), "src").join(v.select(F.col("chunk_id").alias("dst"), F.col("seq").alias("b")), "dst")
+    pairs = pairs.join(
+        v.select(F.col("chunk_id").alias("src"), F.col("seq").alias("a")), "src",
+    ).join(v.select(F.col("chunk_id").alias("dst"), F.col("seq").alias("b")), "dst")
     score, a, b = F.col("score"), F.col("a"), F.col("b")
     logits: Column = F.array(4 * score + (a + b) % 3, 3 * score + (a + b) % 5 * 0.5, 5 * score + (a % 4) * 0.5, F.lit(1.5))
     return classified(pairs, logits).select("src", "dst", "relation", "confidence")

@@ -55,14 +55,23 @@ def a13_failures(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").filter("value < 2").select("user_id", "event_type", F.coalesce(error, F.lit("Unknown error")).alias("error"))
 
 
-@query("SELECT count(*) AS n_total, count(*) FILTER (value > 20) AS n_ok, count(*) FILTER (value <= 20) AS n_failed, round(100 * count(*) FILTER (value > 20) / count(*), 2) AS percent_ok FROM events")
+@query(
+    "SELECT count(*) AS n_total, count(*) FILTER (value > 20) AS n_ok, count(*) FILTER (value <= 20) AS n_failed, round(100 * count(*) FILTER (value > "
+    "20) / count(*), 2) AS percent_ok FROM events"
+)
 def a15_batch_totals(spark: SparkSession, folder: str) -> DataFrame:
     ok = F.count_if(F.col("value") > 20)
-    return table(spark, folder, "events").agg(F.count("*").alias("n_total"), ok.alias("n_ok"), F.count_if(F.col("value") <= 20).alias("n_failed"), F.round(F.try_divide(100 * ok, F.count("*")), 2).alias("percent_ok"))
+    return table(spark, folder, "events").agg(
+        F.count("*").alias("n_total"), ok.alias("n_ok"), F.count_if(F.col("value") <= 20).alias("n_failed"),
+        F.round(F.try_divide(100 * ok, F.count("*")), 2).alias("percent_ok"),
+    )
 
 
 #: The log runs a thousand times faster here, so that a minute holds requests.
-@query("SELECT user_id, count(*) FILTER (epoch_us(ts) // 1000 >= (SELECT max(epoch_us(ts) // 1000) FROM events) - 60000000) AS recent, count(*) AS n FROM events GROUP BY user_id")
+@query(
+    "SELECT user_id, count(*) FILTER (epoch_us(ts) // 1000 >= (SELECT max(epoch_us(ts) // 1000) FROM events) - 60000000) AS recent, count(*) AS n FROM "
+    "events GROUP BY user_id"
+)
 def a18_client_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Requests of each client in the last minute of the log, and all."""
     e = _events(spark, folder).select("user_id", F.floor(F.col("us") / 1000).alias("us"))
@@ -70,7 +79,10 @@ def a18_client_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return A.client_statistics(e, "user_id", "us", now)
 
 
-@query("SELECT event_type, round(avg(CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*) AS n FROM events GROUP BY event_type")
+@query(
+    "SELECT event_type, round(avg(CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*) "
+    "AS n FROM events GROUP BY event_type"
+)
 def a19_cache_hit_rates(spark: SparkSession, folder: str) -> DataFrame:
     hit = F.when(F.get_json_object("props", "$.k").cast("long") % 2 == 0, 1.0).otherwise(0.0)
     return table(spark, folder, "events").groupBy("event_type").agg(F.round(F.avg(hit), 6).alias("hit_rate"), F.count("*").alias("n"))
@@ -91,7 +103,9 @@ one AS (SELECT user_id, CAST(floor(arg_max(s1, s0)) AS BIGINT) AS d, string_agg(
 
 
 @query(
-    f"WITH {_SPOKEN} SELECT user_id, '# Audio Transcription: ' || user_id || chr(10) || chr(10) || '**Duration:** ' || CASE WHEN d >= 3600 THEN printf('%dh %dm %ds', d // 3600, d % 3600 // 60, d % 60) WHEN d >= 60 THEN printf('%dm %ds', d // 60, d % 60) ELSE printf('%ds', d) END "
+    f"WITH {
+        _SPOKEN
+    } SELECT user_id, '# Audio Transcription: ' || user_id || chr(10) || chr(10) || '**Duration:** ' || CASE WHEN d >= 3600 THEN printf('%dh %dm %ds', d // 3600, d % 3600 // 60, d % 60) WHEN d >= 60 THEN printf('%dm %ds', d // 60, d % 60) ELSE printf('%ds', d) END "
     "|| chr(10) || '**Language:** en' || chr(10) || '**Model:** whisper' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || body AS markdown FROM one"
 )
 def f32_event_transcripts(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,7 +132,9 @@ sized AS (SELECT *, CASE limiter WHEN 'tier:free' THEN 60.0 WHEN 'tier:premium'
 def _requests(spark: SparkSession, folder: str) -> DataFrame:
     u = F.col("user_id")
     return _events(spark, folder).select(
-        F.col("event_id").alias("request"), F.timestamp_micros(F.floor(F.col("us") / 100_000)).alias("ts"), F.concat(F.lit("c"), u % 10).alias("client"), F.concat(F.lit("10.0.0."), u % 40).alias("ip"),
+        F.col("event_id").alias("request"), F.timestamp_micros(
+            F.floor(F.col("us") / 100_000)
+        ).alias("ts"), F.concat(F.lit("c"), u % 10).alias("client"), F.concat(F.lit("10.0.0."), u % 40).alias("ip"),
         _tier().alias("tier"), F.when(u % 3 == 0, "ip_based").when(u % 3 == 1, "api_key_based").alias("client_type"), F.when(F.col("event_id") % 11 == 0, "/health/live").otherwise("/api/health").alias("path"),
     )
 
@@ -152,4 +168,6 @@ def r2_queued_requests(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS INTEGER) AS rank FROM events")
 def w12_rank_log(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")).alias("rank"))
+    return table(spark, folder, "events").select(
+        "event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")).alias("rank"),
+    )

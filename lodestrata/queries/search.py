@@ -209,7 +209,9 @@ mg AS (SELECT coalesce(ga.chunk_id, gb.chunk_id) AS chunk_id, greatest(ca, cb) A
 
 
 def _two_graphs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return X.similar(spark, folder).select(F.col("dst").alias("chunk_id"), F.col("score").alias("confidence")), X.typed(spark, folder).select(F.col("dst").alias("chunk_id"), "confidence")
+    return X.similar(spark, folder).select(
+        F.col("dst").alias("chunk_id"), F.col("score").alias("confidence"),
+    ), X.typed(spark, folder).select(F.col("dst").alias("chunk_id"), "confidence")
 
 
 @query(_with(X.VECTORS, X.SIMILAR, X.PAIRS, X.TYPED, MERGE) + "SELECT * FROM mg")
@@ -255,7 +257,10 @@ def j9_adjacent_chunks(spark: SparkSession, folder: str) -> DataFrame:
 @query(_with(X.CHUNKS, PLACED) + "SELECT chunk_id, document_id, CAST(pos AS INTEGER) AS pos, string_agg(chunk_id, ',') OVER (PARTITION BY document_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM placed")
 def w6_windows_of_chunks(spark: SparkSession, folder: str) -> DataFrame:
     order = Window.partitionBy("document_id").orderBy("page_number", "chunk_index", "chunk_id")
-    placed = X.chunks(spark, folder).select("chunk_id", "document_id", F.row_number().over(order).alias("pos"), F.array_join(F.collect_list("chunk_id").over(order.rowsBetween(-2, 2)), ",").alias("around"))
+    placed = X.chunks(spark, folder).select(
+        "chunk_id", "document_id", F.row_number().over(order).alias("pos"),
+        F.array_join(F.collect_list("chunk_id").over(order.rowsBetween(-2, 2)), ",").alias("around"),
+    )
     return placed
 
 
@@ -271,7 +276,10 @@ def f7_parsed_chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("chunk_id", chunk_document(c).alias("document_id"), chunk_page(c).alias("page"), chunk_index(c).alias("idx"))
 
 
-@query("SELECT doc_id, 'DOC_' || substr(sha1(concat(CASE WHEN doc_id % 3 = 0 THEN 'None' ELSE printf('f%d.pdf', doc_id) END, CASE WHEN doc_id % 4 = 0 THEN 'None' ELSE '2024-01-01' END, text)), 1, 16) AS document_id FROM documents")
+@query(
+    "SELECT doc_id, 'DOC_' || substr(sha1(concat(CASE WHEN doc_id % 3 = 0 THEN 'None' ELSE printf('f%d.pdf', doc_id) END, CASE WHEN doc_id % 4 = 0 "
+    "THEN 'None' ELSE '2024-01-01' END, text)), 1, 16) AS document_id FROM documents"
+)
 def f47_document_ids(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents")
     name = F.when(F.col("doc_id") % 3 != 0, F.format_string("f%d.pdf", "doc_id"))
@@ -279,7 +287,10 @@ def f47_document_ids(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", document_id(name, made, F.col("text")).alias("document_id"))
 
 
-@query("SELECT doc_id, 'embedding:query:' || substr(sha256('search_query: ' || text), 1, 16) AS as_query, 'embedding:doc:' || substr(sha256('search_document: ' || text), 1, 16) AS as_document FROM documents")
+@query(
+    "SELECT doc_id, 'embedding:query:' || substr(sha256('search_query: ' || text), 1, 16) AS as_query, 'embedding:doc:' || "
+    "substr(sha256('search_document: ' || text), 1, 16) AS as_document FROM documents"
+)
 def f48_cache_keys(spark: SparkSession, folder: str) -> DataFrame:
     once = prefixed(F.col("text"), query=True)
     return table(spark, folder, "documents").select("doc_id", cache_key(once, query=True).alias("as_query"), cache_key(once, query=False).alias("as_document"))
@@ -304,13 +315,19 @@ def s14_multi_get(spark: SparkSession, folder: str) -> DataFrame:
 @query(_with(X.CHUNKS, X.METADATA) + "SELECT chunk_id, document_id, coalesce(nullif(path, ''), nullif(file_name, ''), '/documents/' || document_id) AS document_path FROM chunks LEFT JOIN meta USING (document_id)")
 def j7_document_paths(spark: SparkSession, folder: str) -> DataFrame:
     joined = X.chunks(spark, folder).join(X.metadata(spark, folder).select("document_id", "path", "file_name"), "document_id", "left")
-    return joined.select("chunk_id", "document_id", F.coalesce(F.nullif("path", F.lit("")), F.nullif("file_name", F.lit("")), F.concat(F.lit("/documents/"), F.col("document_id"))).alias("document_path"))
+    return joined.select(
+        "chunk_id", "document_id",
+        F.coalesce(F.nullif("path", F.lit("")), F.nullif("file_name", F.lit("")), F.concat(F.lit("/documents/"), F.col("document_id"))).alias("document_path"),
+    )
 
 
 @query(_with(X.METADATA) + "SELECT document_id, coalesce(nullif(file_name, ''), nullif(title, ''), document_id) AS name, CAST(0 AS BIGINT) AS size, 'ready' AS status FROM meta")
 def s21_sources_listing(spark: SparkSession, folder: str) -> DataFrame:
     m = X.metadata(spark, folder)
-    return m.select("document_id", F.coalesce(F.nullif("file_name", F.lit("")), F.nullif("title", F.lit("")), F.col("document_id")).alias("name"), F.lit(0).cast("long").alias("size"), F.lit("ready").alias("status"))
+    return m.select(
+        "document_id", F.coalesce(F.nullif("file_name", F.lit("")), F.nullif("title", F.lit("")), F.col("document_id")).alias("name"),
+        F.lit(0).cast("long").alias("size"), F.lit("ready").alias("status"),
+    )
 
 
 HITS = """hits AS (SELECT query_id, chunk_id, 0 AS part, rank, score, 'vector_search' AS origin FROM knn UNION ALL SELECT query_id, chunk_id, 1, rank, 1.0, 'keyword_search' FROM words)"""
@@ -375,7 +392,9 @@ def m12_retrieval(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT origin, count(*) AS n, count(DISTINCT query_id) AS n_queries, round(avg(confidence), 6) AS avg_confidence FROM (" + FLAGSHIP + ") GROUP BY origin")
 def a3_origin_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    return m12_retrieval(spark, folder).groupBy("origin").agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("n_queries"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+    return m12_retrieval(spark, folder).groupBy("origin").agg(
+        F.count("*").alias("n"), F.countDistinct("query_id").alias("n_queries"), F.round(F.avg("confidence"), 6).alias("avg_confidence"),
+    )
 
 
 @query("SELECT query_id, CASE WHEN origin IN ('anchor', 'context', 'retrieval') THEN origin ELSE 'retrieval' END AS origin, count(*) AS n, arg_min(confidence, rank) FILTER (confidence > 0) AS first_confidence FROM (" + FLAGSHIP + ") GROUP BY ALL")
@@ -392,7 +411,10 @@ _SHOWN = (
 
 
 @query(
-    _with("benched AS (SELECT item_id AS query_id, text AS question FROM benchmark)", "found AS (" + FLAGSHIP + ")", "parts AS (SELECT query_id, string_agg(" + _SHOWN + ", chr(10) ORDER BY rank) AS chunks FROM found GROUP BY query_id)")
+    _with(
+        "benched AS (SELECT item_id AS query_id, text AS question FROM benchmark)", "found AS (" + FLAGSHIP + ")",
+        "parts AS (SELECT query_id, string_agg(" + _SHOWN + ", chr(10) ORDER BY rank) AS chunks FROM found GROUP BY query_id)",
+    )
     + "SELECT query_id, 'Base.' || chr(10) || chr(10) || 'User Query: ' || question || chr(10) || chr(10) || 'Retrieved Context:' || coalesce(chr(10) || chunks, '') AS prompt FROM benched JOIN parts USING (query_id)"
 )
 def f23_prompts(spark: SparkSession, folder: str) -> DataFrame:

@@ -44,7 +44,11 @@ def f12_languages(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).select("doc_id", text.language(F.col("text")).alias("language"))
 
 
-@query(r"SELECT doc_id, CASE WHEN len(w) > 30 THEN array_to_string(w[1:30], ' ') WHEN len(w) = 0 THEN '[Summary unavailable]' ELSE t END AS summary FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS t, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents)")
+@query(
+    r"SELECT doc_id, CASE WHEN len(w) > 30 THEN array_to_string(w[1:30], ' ') WHEN len(w) = 0 THEN '[Summary unavailable]' ELSE t END AS summary FROM "
+    r"(SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS t, list_filter(string_split_regex(text, '\s+'), lambda x: x <> "
+    r"'') AS w FROM documents)"
+)
 def f33_summaries(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).select("doc_id", summary(F.col("text")).alias("summary"))
 
@@ -72,7 +76,10 @@ def f4_chunks(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT doc_id, count(*) AS n_chunks, CAST(max(page_number) AS BIGINT) AS n_pages, CAST(max(length(paragraph_text)) AS BIGINT) AS longest FROM (" + CHUNKER + ") GROUP BY doc_id")
 def w10_pages_of_documents(spark: SparkSession, folder: str) -> DataFrame:
     c = f4_chunks(spark, folder)
-    return c.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("page_number").cast("long").alias("n_pages"), F.max(F.length("paragraph_text")).cast("long").alias("longest"))
+    return c.groupBy("doc_id").agg(
+        F.count("*").alias("n_chunks"), F.max("page_number").cast("long").alias("n_pages"),
+        F.max(F.length("paragraph_text")).cast("long").alias("longest"),
+    )
 
 
 def _headed(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,7 +88,10 @@ def _headed(spark: SparkSession, folder: str) -> DataFrame:
     front = F.concat(
         F.when(n % 2 == 0, F.format_string("# Report %d*\n", n)).otherwise("a short line\n"), F.lit("Authors: Ada Byron¹, B. Curie2 and C. Noether (ETH)\n"),
         F.when(n % 3 == 0, F.lit("Published: March 5, 2021\n")).when(n % 3 == 1, F.lit("on 2020-02-03 it\n")).otherwise("Date: circa 1999\n"),
-        F.format_string("DOI: 10.%d/abc.%d\nJournal: Annals of Things \n*Department of Deep Learning\n## Abstract\nGreat Lake Great Lake River\n## Next\nx\n", 1000 + n, n),
+        F.format_string(
+            "DOI: 10.%d/abc.%d\nJournal: Annals of Things \n*Department of Deep Learning\n## Abstract\nGreat Lake Great Lake River\n## Next\nx\n",
+            1000 + n, n,
+        ),
     )
     return _docs(spark, folder).select("doc_id", F.concat(front, F.col("text")).alias("text"))
 
@@ -110,7 +120,10 @@ SELECT doc_id, printf('10.%d/abc.%d', 1000 + doc_id, doc_id) AS doi, 'Annals of
 def f15_extra_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """The made front page of nine lines stands before each whole text; the rules read their fifty lines."""
     h = _headed(spark, folder)
-    return h.select("doc_id", metadata.doi(F.col("text")).alias("doi"), metadata.journal(F.col("text")).alias("journal"), metadata.affiliations(F.col("text")).alias("affiliations"))
+    return h.select(
+        "doc_id", metadata.doi(F.col("text")).alias("doi"), metadata.journal(F.col("text")).alias("journal"),
+        metadata.affiliations(F.col("text")).alias("affiliations"),
+    )
 
 
 @query("SELECT doc_id, 'Great Lake Great Lake River' AS abstract FROM documents")
@@ -147,11 +160,16 @@ def f16_tags(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("doc_id")
     words = F.concat(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 8), F.array(F.lit(" The "), F.lit(""), F.lit("beyond the tenth")))
     raw = F.struct(
-        F.concat(F.lit("Report "), n, F.lit("*†# ")).alias("title"), F.array(F.lit("Ann Bee¹*"), F.lit(" C. Dee 2"), F.lit("§")).alias("authors"), F.when(n % 2 == 0, "March 5, 2021").otherwise("in 1999").alias("created_date"),
+        F.concat(F.lit("Report "), n, F.lit("*†# ")).alias("title"), F.array(
+            F.lit("Ann Bee¹*"), F.lit(" C. Dee 2"), F.lit("§"),
+        ).alias("authors"), F.when(n % 2 == 0, "March 5, 2021").otherwise("in 1999").alias("created_date"),
         F.when(n % 3 == 0, "english").otherwise(F.col("lang")).alias("language"), words.alias("tags"), F.create_map().cast("map<string,string>").alias("extra_metadata"),
     )
     p = metadata.processed(raw, F.lit("f.pdf"))
-    return _docs(spark, folder).select("doc_id", p.alias("p")).select("doc_id", "p.title", F.array_join("p.authors", "; ").alias("authors"), "p.created_date", "p.language", F.array_join("p.tags", ",").alias("tags"))
+    return _docs(spark, folder).select("doc_id", p.alias("p")).select(
+        "doc_id", "p.title", F.array_join("p.authors", "; ").alias("authors"), "p.created_date", "p.language",
+        F.array_join("p.tags", ",").alias("tags"),
+    )
 
 
 @query(
@@ -178,18 +196,27 @@ def f58_document_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """The metadata section of a document record, with its nested defaults."""
     n = F.col("doc_id")
     raw = F.struct(
-        F.when(n % 2 != 0, "Report").alias("title"), F.when(n % 3 != 0, F.array(F.lit("Ann"), F.lit("Bob"))).alias("authors"), F.lit(None).cast("string").alias("created_date"), F.col("lang").alias("language"),
-        F.array().cast("array<string>").alias("tags"), F.when(n % 4 == 0, "12").alias("total_pages"), F.when(n % 4 < 2, F.create_map(F.lit("total_pages"), F.lit("9"))).alias("extra_metadata"),
+        F.when(n % 2 != 0, "Report").alias("title"), F.when(
+            n % 3 != 0, F.array(F.lit("Ann"), F.lit("Bob")),
+        ).alias("authors"), F.lit(None).cast("string").alias("created_date"), F.col("lang").alias("language"),
+        F.array().cast("array<string>").alias("tags"), F.when(n % 4 == 0, "12").alias("total_pages"), F.when(
+            n % 4 < 2, F.create_map(F.lit("total_pages"), F.lit("9")),
+        ).alias("extra_metadata"),
     )
     built = metadata.document_metadata(raw, F.lit("/a/f"), F.lit("pdf"), F.concat(F.lit("f"), n), device="cpu", chunk_count=F.col("n_chars"))
     d = _docs(spark, folder).select("doc_id", built.alias("m"))
-    return d.select("doc_id", "m.title", "m.author", "m.language", "m.total_pages", F.col("m.extra_metadata")["processing_device"].alias("device"), F.col("m.extra_metadata")["chunk_count"].alias("chunk_count"))
+    return d.select(
+        "doc_id", "m.title", "m.author", "m.language", "m.total_pages", F.col("m.extra_metadata")["processing_device"].alias("device"),
+        F.col("m.extra_metadata")["chunk_count"].alias("chunk_count"),
+    )
 
 
 @query("SELECT source, lang, count(*) AS n, count(DISTINCT text) AS n_texts, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY source, lang")
 def s4_documents_by_group(spark: SparkSession, folder: str) -> DataFrame:
     # Distinct texts by hash: the texts themselves need not be shuffled.
-    d = _docs(spark, folder).groupBy("source", "lang").agg(F.count("*").alias("n"), F.countDistinct(F.xxhash64("text")).alias("n_texts"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+    d = _docs(spark, folder).groupBy("source", "lang").agg(
+        F.count("*").alias("n"), F.countDistinct(F.xxhash64("text")).alias("n_texts"), F.sum(F.length("text")).cast("long").alias("n_chars"),
+    )
     return d
 
 
@@ -211,7 +238,10 @@ def f8_prefixes(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).select("doc_id", ids.prefixed(mixed, query=True).alias("q"))
 
 
-@query("SELECT i AS n, d AS found FROM (VALUES (1, '2024-03-05'), (2, '2024-03-05'), (3, '2024-03-05'), (4, '2024-03-05'), (5, '2024-03-05'), (6, '2024-03-05'), (7, '2024-03-05'), (8, '2024-05-13'), (9, '1987-01-01'), (10, '')) t(i, d)")
+@query(
+    "SELECT i AS n, d AS found FROM (VALUES (1, '2024-03-05'), (2, '2024-03-05'), (3, '2024-03-05'), (4, '2024-03-05'), (5, '2024-03-05'), (6, "
+    "'2024-03-05'), (7, '2024-03-05'), (8, '2024-05-13'), (9, '1987-01-01'), (10, '')) t(i, d)"
+)
 def f37_date_formats(spark: SparkSession, folder: str) -> DataFrame:
     texts = ["2024-03-05", "2024/3/5", "March 5, 2024", "Mar 5, 2024", "5 March 2024", "5 Mar 2024", "03/05/2024", "13/05/2024", "spring 1987", "none"]
     rows = F.explode(F.arrays_zip(F.sequence(F.lit(1), F.lit(len(texts))).alias("n"), F.array(*map(F.lit, texts)).alias("t")))

@@ -42,7 +42,9 @@ def new_files(archived: DataFrame, found: DataFrame) -> DataFrame:
     return found.withColumn("name", name).join(archived.select(name.alias("name")).distinct(), "name", "left_anti").drop("name")
 
 
-def job_queue(spark: SparkSession, path: str, schema: StructType | str, process: Callable[[DataFrame, int], None], checkpoint: str, files_a_batch: int = 1) -> StreamingQuery:
+def job_queue(
+    spark: SparkSession, path: str, schema: StructType | str, process: Callable[[DataFrame, int], None], checkpoint: str, files_a_batch: int = 1,
+) -> StreamingQuery:
     """Jobs are files put into a folder; each micro-batch hands the oldest ones to process, in order, once."""
     jobs = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).json(path)
     return jobs.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

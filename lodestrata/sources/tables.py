@@ -14,7 +14,9 @@ from lodestrata.functions.text import extension, file_size
 
 TEXT, LONG, INT = T.StringType(), T.LongType(), T.IntegerType()
 
-CHUNK_INPUT = T.StructType([T.StructField("page_number", INT), T.StructField("chunk_index", INT), T.StructField("paragraph_text", TEXT), T.StructField("timestamp", TEXT)])
+CHUNK_INPUT = T.StructType(
+    [T.StructField("page_number", INT), T.StructField("chunk_index", INT), T.StructField("paragraph_text", TEXT), T.StructField("timestamp", TEXT)]
+)
 METADATA = T.StructType(
     [T.StructField(c, TEXT) for c in ("title", "path", "author", "created_date", "source_type", "language", "total_pages", "file_name")]
     + [T.StructField("tags", T.ArrayType(TEXT)), T.StructField("extra_metadata", T.MapType(TEXT, TEXT))]
@@ -75,7 +77,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def validated(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid documents, and the others with the reason."""
-    chunk_bad = F.exists("chunks", lambda c: c["chunk_index"].isNull() | (c["chunk_index"] < 1) | (F.coalesce(c["page_number"], F.lit(1)) < 1) | (F.length(F.trim(F.coalesce(c["paragraph_text"], F.lit("")))) == 0))
+    chunk_bad = F.exists(
+        "chunks",
+        lambda c: c["chunk_index"].isNull() | (c["chunk_index"] < 1) | (F.coalesce(c["page_number"], F.lit(1)) < 1) | (
+            F.length(F.trim(F.coalesce(c["paragraph_text"], F.lit("")))) == 0
+        ),
+    )
     reason = (
         F.when(F.col("_corrupt_record").isNotNull() | F.col("document_metadata").isNull(), "not a document object")
         .when(F.coalesce(F.size("chunks"), F.lit(0)) < 1, "no chunks")
@@ -93,7 +100,10 @@ def scan_files(spark: SparkSession, path: str, recursive: bool = True, pattern:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).load(path)
     name = F.col("path")
     mime = mime_type(name)
-    return files.select("path", "length", "modificationTime", mime.alias("mime_type"), category(name, mime).alias("category"), folder_type(name).alias("folder_type")).orderBy("path")
+    return files.select(
+        "path", "length", "modificationTime", mime.alias("mime_type"), category(name, mime).alias("category"),
+        folder_type(name).alias("folder_type"),
+    ).orderBy("path")
 
 
 def _by_extension(name: Column, known: dict[str, tuple[str, ...]], other: str) -> Column:

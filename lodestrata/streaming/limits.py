@@ -34,10 +34,16 @@ def limited(stream: DataFrame, client: str, ts: str, event: str, per_minute: flo
         state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"client": [key[0]] * len(part), "event": part["event"].to_numpy(), "decision": decisions})
 
-    return rows.groupBy("client").applyInPandasWithState(step, f"client {kind}, event long, decision string", "tokens double, reserve double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("client").applyInPandasWithState(
+        step, f"client {kind}, event long, decision string", "tokens double, reserve double, last double", "append",
+        GroupStateTimeout.ProcessingTimeTimeout,
+    )
 
 
-def queued(stream: DataFrame, client: str, ts: str, event: str, per_minute: float, burst: float, size: int = 100, timeout: float = 30.0, idle_ms: int = IDLE_MS) -> DataFrame:
+def queued(
+    stream: DataFrame, client: str, ts: str, event: str, per_minute: float, burst: float, size: int = 100, timeout: float = 30.0,
+    idle_ms: int = IDLE_MS,
+) -> DataFrame:
     """(client, event, decision, waited) of a stream: the bucket with its queue, kept as state.
 
     A request's turn follows from those before it, so its wait is known when it arrives and no timer is needed:
@@ -56,10 +62,14 @@ def queued(stream: DataFrame, client: str, ts: str, event: str, per_minute: floa
         found = [bucket.take_or_wait(us / 1e6) for us in part["us"]]
         state.update((bucket.tokens, bucket.reserve, bucket.last, bucket.served))
         state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"client": [key[0]] * len(part), "event": part["event"].to_numpy(), "decision": [d for d, _ in found], "waited": [round(w, 6) for _, w in found]})
+        yield pd.DataFrame(
+            {"client": [key[0]] * len(part), "event": part["event"].to_numpy(), "decision": [d for d, _ in found], "waited": [round(w, 6) for _, w in found]}
+        )
 
     schema = f"client {kind}, event long, decision string, waited double"
-    return rows.groupBy("client").applyInPandasWithState(step, schema, "tokens double, reserve double, last double, served array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("client").applyInPandasWithState(
+        step, schema, "tokens double, reserve double, last double, served array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout,
+    )
 
 
 def window_counts(events: DataFrame, ts: str, by: list[str], width: str = "60 seconds", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -70,7 +80,9 @@ def window_counts(events: DataFrame, ts: str, by: list[str], width: str = "60 se
 
 def sessions(events: DataFrame, ts: str, by: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Runs of events without a pause of `gap`."""
-    return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), by).count().select(by, F.col("w.start").alias("session_start"), F.col("count").alias("n"))
+    return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), by).count().select(
+        by, F.col("w.start").alias("session_start"), F.col("count").alias("n"),
+    )
 
 
 def running_status(events: DataFrame, job: str, status: str, ts: str) -> DataFrame:

@@ -71,7 +71,10 @@ def test_chunk_rows(spark):
 
 @pytest.mark.parametrize(
     ("given_text", "want"),
-    [("Published: March 5, 2021", "2021-03-05"), ("x 2020-02-03 y", "2020-02-03"), ("on July 4 1999", ""), ("Date: 13/05/2024", "2024-05-13"), ("Date: 05/13/2024", "2024-05-13"), ("Created: about 1987", "1987-01-01"), ("nothing", "")],
+    [
+        ("Published: March 5, 2021", "2021-03-05"), ("x 2020-02-03 y", "2020-02-03"), ("on July 4 1999", ""), ("Date: 13/05/2024", "2024-05-13"),
+        ("Date: 05/13/2024", "2024-05-13"), ("Created: about 1987", "1987-01-01"), ("nothing", ""),
+    ],
 )
 def test_dates(spark, given_text, want):
     if given_text == "on July 4 1999":
@@ -143,7 +146,9 @@ def test_rate_limits_and_stream(spark, tmp_path):
 
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    q = limits.window_counts(stream, "ts", ["client"], "60 seconds").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    q = limits.window_counts(
+        stream, "ts", ["client"], "60 seconds",
+    ).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     got = sorted(tuple(r) for r in spark.table("counts").collect())
     assert got == sorted(tuple(r) for r in limits.window_counts(events, "ts", ["client"], "60 seconds").collect())
@@ -165,7 +170,10 @@ def test_streaming_limiter(spark, tmp_path):
 
 def test_sources(spark, tmp_path):
     good = {"document_metadata": {"title": "t", "author": None, "total_pages": 7, "tags": ["a", None]}, "chunks": [{"chunk_index": 1, "paragraph_text": "x", "extra": 1}]}
-    files = {"a": json.dumps(good), "b": "{not json", "c": json.dumps(good | {"chunks": []}), "d": json.dumps(good | {"chunks": [{"chunk_index": 1, "paragraph_text": "  "}]})}
+    files = {
+        "a": json.dumps(good), "b": "{not json", "c": json.dumps(good | {"chunks": []}),
+        "d": json.dumps(good | {"chunks": [{"chunk_index": 1, "paragraph_text": "  "}]}),
+    }
     for k, v in files.items():
         (tmp_path / f"{k}.json").write_text(v)
     valid, rejected = tables.validated(tables.read_documents(spark, str(tmp_path / "*.json")).cache())
@@ -192,7 +200,10 @@ def test_depth_of_neighbours_and_graph_merge(spark):
 
 
 def test_metadata_filters(spark):
-    m = spark.createDataFrame([("1", "The Red Book", "Ann B", "d", "s", "en"), ("2", "Book of red", "Bob", "d", "s", "fr")], "document_id string, title string, author string, created_date string, source_type string, language string")
+    m = spark.createDataFrame(
+        [("1", "The Red Book", "Ann B", "d", "s", "en"), ("2", "Book of red", "Bob", "d", "s", "fr")],
+        "document_id string, title string, author string, created_date string, source_type string, language string",
+    )
     ask = lambda **f: sorted(r.document_id for r in search.metadata_filter(m, f).collect())
     assert ask(title="red BOOK") == ["1", "2"] and ask(title="red", author="b ann") == ["1"] and ask(language="de") == []
     assert search.metadata_filter(m, {"title": None}) is None
@@ -211,7 +222,10 @@ def test_retrieval_follows_the_list_model(spark):
     vec = [[x / math.sqrt(sum(y * y for y in v)) for x in v] for v in vec]
     near = {(a, b): round(r.random(), 3) for a, b in {(r.randrange(n), r.randrange(n)) for _ in range(60)} if a != b}
     kinds = {(a, b, r.choice(graph.TYPES)): round(r.random(), 3) for a, b in {(r.randrange(n), r.randrange(n)) for _ in range(60)} if a != b}
-    chunks = spark.createDataFrame([(name(i), f"DOC_{i // 5}", i % 5 // 2 + 1, i % 5 + 1, body[i]) for i in range(n)], "chunk_id string, document_id string, page_number int, chunk_index int, text string")
+    chunks = spark.createDataFrame(
+        [(name(i), f"DOC_{i // 5}", i % 5 // 2 + 1, i % 5 + 1, body[i]) for i in range(n)],
+        "chunk_id string, document_id string, page_number int, chunk_index int, text string",
+    )
     vectors_ = spark.createDataFrame([(name(i), f"DOC_{i // 5}", vec[i]) for i in range(n)], "chunk_id string, document_id string, embedding array<float>")
     similar = spark.createDataFrame([(name(a), name(b), s) for (a, b), s in near.items()], "src string, dst string, score double")
     typed = spark.createDataFrame([(name(a), name(b), k, s) for (a, b, k), s in kinds.items()], "src string, dst string, type string, confidence double")
@@ -281,7 +295,10 @@ def test_ingest(spark):
 
     r = random.Random(2)
     words = [f"word{i}" for i in range(30)]
-    docs = spark.createDataFrame([(i, f"# Title {i}\nAuthors: Ann B\n\n" + " ".join(r.choice(words) for _ in range(40)) + ".", f"f{i}.pdf") for i in range(6)] + [(9, None, None)], "doc_id long, text string, file_name string")
+    docs = spark.createDataFrame(
+        [(i, f"# Title {i}\nAuthors: Ann B\n\n" + " ".join(r.choice(words) for _ in range(40)) + ".", f"f{i}.pdf") for i in range(6)] + [(9, None, None)],
+        "doc_id long, text string, file_name string",
+    )
     a = ingest(docs, threshold=0.1)
     meta = {m.file_name: m for m in a.metadata.collect()}
     assert meta["f0.pdf"].author == "Ann B" or meta["f0.pdf"].title.startswith("Title")
@@ -290,7 +307,10 @@ def test_ingest(spark):
     edges = a.similar.collect()
     seq = {c.chunk_id: c.seq for c in chunks}
     assert edges and all(seq[e.dst] < seq[e.src] for e in edges)
-    files = spark.createDataFrame([(("t", None, None, None, None, None, None, "f", None, None), [(None, 2, " x ", None)])], "document_metadata struct<title string, path string, author string, created_date string, source_type string, language string, total_pages string, file_name string, tags array<string>, extra_metadata map<string,string>>, chunks array<struct<page_number int, chunk_index int, paragraph_text string, timestamp string>>")
+    files = spark.createDataFrame(
+        [(("t", None, None, None, None, None, None, "f", None, None), [(None, 2, " x ", None)])],
+        "document_metadata struct<title string, path string, author string, created_date string, source_type string, language string, total_pages string, file_name string, tags array<string>, extra_metadata map<string,string>>, chunks array<struct<page_number int, chunk_index int, paragraph_text string, timestamp string>>",
+    )
     row = from_document_files(files).first()
     assert row.chunk_id.endswith("_P01_C02") and row.text == "x"
 
@@ -318,14 +338,19 @@ def test_sinks(spark, tmp_path):
         sinks.append_log(rows, log)
     (tmp_path / "log" / "broken.json").write_text("{oops\n")
     assert sinks.read_log(spark, log, "id int, text string").count() == 4
-    progress = spark.createDataFrame([("b", "p", "f", "failed", "e", 1), ("b", "p", "f", "completed", None, 2), ("b", "p", "g", "failed", "e", 1)], "batch_id string, phase string, file string, status string, error string, ts int")
+    progress = spark.createDataFrame(
+        [("b", "p", "f", "failed", "e", 1), ("b", "p", "f", "completed", None, 2), ("b", "p", "g", "failed", "e", 1)],
+        "batch_id string, phase string, file string, status string, error string, ts int",
+    )
     sinks.mark_progress(spark, str(tmp_path / "progress"), progress)
     assert sorted((r.file, r.status) for r in sinks.read_progress(spark, str(tmp_path / "progress")).collect()) == [("f", "completed"), ("g", "failed")]
     sinks.write_documents(rows, str(tmp_path / "docs"))
     assert spark.read.json(str(tmp_path / "docs")).count() == 2
     seen = []
     rows.repartition(2).write.json(str(tmp_path / "queue"))
-    sinks.job_queue(spark, str(tmp_path / "queue"), "id int, text string", lambda df, n: seen.append([r.id for r in df.collect()]), str(tmp_path / "state")).awaitTermination(60)
+    sinks.job_queue(
+        spark, str(tmp_path / "queue"), "id int, text string", lambda df, n: seen.append([r.id for r in df.collect()]), str(tmp_path / "state"),
+    ).awaitTermination(60)
     assert sorted(x for part in seen for x in part) == [1, 2]
     a = spark.createDataFrame([("/x/one.pdf",)], "path string")
     b = spark.createDataFrame([("/y/one.pdf",), ("/y/two.pdf",)], "path string")
@@ -350,7 +375,11 @@ def test_index_recall(spark):
 def test_file_rules(spark):
     """Examples of the rules on names, sizes, kinds, captions, origins and errors."""
     L = F.lit
-    for name, kind, folder, source in (("a.PPT", "document", "PPT", "pptx"), ("a.csv", "document", "EXCEL", "xlsx"), ("a.htm", "document", "HTML", "web"), ("a.flac", "audio", "AUDIO", "audio"), ("a.webp", "image", "IMAGES", "image"), ("a.md", "unknown", "OTHER", "unknown"), ("a.mp4", "unknown", "OTHER", "unknown")):
+    for name, kind, folder, source in (
+        ("a.PPT", "document", "PPT", "pptx"), ("a.csv", "document", "EXCEL", "xlsx"), ("a.htm", "document", "HTML", "web"),
+        ("a.flac", "audio", "AUDIO", "audio"), ("a.webp", "image", "IMAGES", "image"), ("a.md", "unknown", "OTHER", "unknown"),
+        ("a.mp4", "unknown", "OTHER", "unknown"),
+    ):
         assert (one(spark, tables.category(L(name))), one(spark, tables.folder_type(L(name))), one(spark, tables.source_type(L(name)))) == (kind, folder, source)
     assert one(spark, tables.category(L("x.bin"), L("audio/x-m4a"))) == "audio" and one(spark, tables.category(L("x.bin"), L("video/mp4"))) == "unknown"
     assert one(spark, tables.uploadable(L("a.xlsx"))) and not one(spark, tables.uploadable(L("a.txt"))) and not one(spark, tables.uploadable(L("../a.pdf")))
@@ -392,8 +421,13 @@ def test_queue_on_tables_and_streams(spark, tmp_path):
 
 def test_rejudged_pairs(spark):
     """Only weak pairs go to the judge, with 400 characters of each text; a reply without a relation changes nothing."""
-    pairs = spark.createDataFrame([(3, "x" * 500, "b", "unrelated", 0.4), (1, "a", "b", "elaborates", 0.9), (2, "silent", "b", "depends_on", 0.3)], "id long, text_a string, text_b string, relation string, confidence double")
-    judge = lambda a, b: F.when(a == "silent", "no idea").otherwise(F.concat(F.lit('<think>{}</think>{"relation": "contradicts", "n": '), F.length(a), F.lit("}")))
+    pairs = spark.createDataFrame(
+        [(3, "x" * 500, "b", "unrelated", 0.4), (1, "a", "b", "elaborates", 0.9), (2, "silent", "b", "depends_on", 0.3)],
+        "id long, text_a string, text_b string, relation string, confidence double",
+    )
+    judge = lambda a, b: F.when(a == "silent", "no idea").otherwise(
+        F.concat(F.lit('<think>{}</think>{"relation": "contradicts", "n": '), F.length(a), F.lit("}"))
+    )
     got = [tuple(r)[:1] + (r.relation, r.confidence) for r in graph.rejudged(pairs, 0.5, judge).collect()]
     assert got == [(1, "elaborates", 0.9), (2, "depends_on", 0.3), (3, "contradicts", 0.99)]
 
@@ -435,7 +469,9 @@ def test_embedding_cache(spark):
 
 
 def test_segments_and_images(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps({"filename": "a.wav", "segments": [{"start": 0.5, "end": 1.0, "text": " hi "}, {"start": 4.0, "end": 5.0, "text": "there"}]}))
+    (tmp_path / "a.json").write_text(
+        json.dumps({"filename": "a.wav", "segments": [{"start": 0.5, "end": 1.0, "text": " hi "}, {"start": 4.0, "end": 5.0, "text": "there"}]})
+    )
     rows = tables.read_segments(spark, str(tmp_path / "*.json"))
     assert [tuple(r) for r in rows.orderBy("start").collect()] == [("a.wav", "en", 0.5, 1.0, "hi"), ("a.wav", "en", 4.0, 5.0, "there")]
     shown = activity.transcripts(rows, "file", "start", "end", "text").first().markdown
@@ -448,8 +484,13 @@ def test_segments_and_images(spark, tmp_path):
 def test_one_question_through_the_tool(spark):
     from lodestrata.plans.retrieve import answer_question
 
-    chunks = spark.createDataFrame([(f"DOC_0_P01_C{i:02d}", "DOC_0", 1, i, t) for i, t in enumerate(("ant bee", "cat dog", "ant ant"), 1)], "chunk_id string, document_id string, page_number int, chunk_index int, text string")
-    vectors_ = spark.createDataFrame([(f"DOC_0_P01_C{i:02d}", "DOC_0", [1.0, float(i)]) for i in (1, 2, 3)], "chunk_id string, document_id string, embedding array<float>")
+    chunks = spark.createDataFrame(
+        [(f"DOC_0_P01_C{i:02d}", "DOC_0", 1, i, t) for i, t in enumerate(("ant bee", "cat dog", "ant ant"), 1)],
+        "chunk_id string, document_id string, page_number int, chunk_index int, text string",
+    )
+    vectors_ = spark.createDataFrame(
+        [(f"DOC_0_P01_C{i:02d}", "DOC_0", [1.0, float(i)]) for i in (1, 2, 3)], "chunk_id string, document_id string, embedding array<float>",
+    )
     edges = spark.createDataFrame([], "src string, dst string, score double")
     typed = spark.createDataFrame([], "src string, dst string, type string, confidence double")
     meta = spark.createDataFrame([("DOC_0", "/p", "f")], "document_id string, path string, file_name string")
@@ -479,5 +520,8 @@ def test_library_without_the_optional_part(tmp_path):
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
-    run = subprocess.run([sys.executable, "-m", "pytest", "tests/test_library.py", "-x", "-q", "-k", "ids or dates or bucket or tools or tool_calls_are"], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=600, check=False)
+    run = subprocess.run(
+        [sys.executable, "-m", "pytest", "tests/test_library.py", "-x", "-q", "-k", "ids or dates or bucket or tools or tool_calls_are"],
+        cwd=tmp_path / "copy", capture_output=True, text=True, timeout=600, check=False,
+    )
     assert run.returncode == 0, run.stdout[-2000:]
