@@ -109,12 +109,20 @@ def depths(calls: DataFrame) -> DataFrame:
     single = F.col("n") == 1
     # open: the run has not reached its top yet, a call with no or with several predecessors.
     one = F.coalesce(single, F.lit(False))
-    now = stage(counted.select("key", F.when(one, F.col("p")).otherwise(F.col("key")).alias("top"), one.cast("long").alias("steps"), one.alias("open"), F.coalesce("n", F.lit(0)).alias("n")), "runs")
+    now = stage(
+        counted.select(
+            "key", F.when(one, F.col("p")).otherwise(F.col("key")).alias("top"), one.cast("long").alias("steps"), one.alias("open"),
+            F.coalesce("n", F.lit(0)).alias("n"),
+        ),
+        "runs",
+    )
     for _ in range(max(1, int(now.count()).bit_length()) + 1):
         if now.filter("open").isEmpty():
             break
         ahead = now.select(F.col("key").alias("top"), F.col("top").alias("further"), F.col("steps").alias("more"), F.col("open").alias("still"))
-        moved = now.filter("open").join(ahead, "top").select("key", F.col("further").alias("top"), (F.col("steps") + F.col("more")).alias("steps"), F.col("still").alias("open"), "n")
+        moved = now.filter("open").join(ahead, "top").select(
+            "key", F.col("further").alias("top"), (F.col("steps") + F.col("more")).alias("steps"), F.col("still").alias("open"), "n",
+        )
         now = stage(now.filter("not open").unionByName(moved), "runs")
     ended = now.filter("not open")
     settled = ended.filter("n = 0").select("key", F.lit(0).cast("long").alias("depth"))
@@ -184,8 +192,12 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     listed = F.col("after") if calls.schema["after"].dataType.simpleString().startswith("array") else F.array(F.col("after").cast("string"))
     after = F.array_sort(F.array_distinct(F.filter(F.coalesce(listed, F.array().cast("array<string>")), lambda x: x.isNotNull())))
     kind = calls.schema["conversation"].dataType.simpleString()
-    asked = calls.select("conversation", conv.alias("conv"), F.col("id").cast("string").alias("id"), after.alias("after"), "name", "arguments").withColumn("key", key(F.col("id")))
-    answers = results.select(F.col("conversation").cast(kind).alias("conversation"), conv.alias("conv"), F.col("id").cast("string").alias("id"), "content").withColumn("key", key(F.col("id")))
+    asked = calls.select(
+        "conversation", conv.alias("conv"), F.col("id").cast("string").alias("id"), after.alias("after"), "name", "arguments",
+    ).withColumn("key", key(F.col("id")))
+    answers = results.select(
+        F.col("conversation").cast(kind).alias("conversation"), conv.alias("conv"), F.col("id").cast("string").alias("id"), "content",
+    ).withColumn("key", key(F.col("id")))
     asked, answers = stage(asked, "calls"), stage(answers, "results")
 
     call, more_calls = _once(asked, ["conversation", "conv", "id", "after", "name", "arguments"])
@@ -199,13 +211,18 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     linked = joined.join(other.hint("shuffle_hash"), "key", "full")
     state = F.when(F.col("is_call").isNull(), "orphan").when(F.col("depth").isNull(), "cycle").when(F.col("is_result").isNull(), "missing").otherwise("linked")
     rows = linked.select(
-        F.when(F.col("is_call"), F.col("conversation")).otherwise(F.col("of")).alias("conversation"), F.coalesce("id", "answers").alias("id"), "depth", "position", "name", state.alias("state"), "after", "arguments", "content",
+        F.when(
+            F.col("is_call"), F.col("conversation"),
+        ).otherwise(F.col("of")).alias("conversation"), F.coalesce("id", "answers").alias("id"), "depth", "position", "name", state.alias("state"), "after", "arguments", "content",
         F.coalesce("is_call", F.lit(False)).alias("is_call"),
     )
     none = {"depth": "long", "position": "long", "name": "string", "after": "array<string>", "arguments": "string", "content": "string"}
 
     def apart(part: DataFrame, state: str, is_call: bool) -> DataFrame:
-        return part.select("conversation", "id", *[F.col(c) if c in part.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()], F.lit(state).alias("state"), F.lit(is_call).alias("is_call"))
+        return part.select(
+            "conversation", "id", *[F.col(c) if c in part.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()],
+            F.lit(state).alias("state"), F.lit(is_call).alias("is_call"),
+        )
 
     rows = rows.unionByName(apart(more_calls, "repeat", True)).unionByName(apart(more_answers, "repeat", False))
     rows = rows.unionByName(apart(asked.filter("id is null"), "missing", True)).unionByName(apart(answers.filter("id is null"), "orphan", False))
@@ -215,7 +232,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
         for batch in batches:
             made = [formatted(r, schemas) for r in batch.to_pylist()]
             columns = [pa.array([m[0] for m in made], pa.bool_()), pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), *columns], names=["conversation", "id", "depth", "position", "name", "state", "valid", "problems", "line"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(6)), *columns],
+                names=["conversation", "id", "depth", "position", "name", "state", "valid", "problems", "line"],
+            )
 
     return rows.mapInArrow(run, f"conversation {kind}, id string, depth long, position long, name string, state string, valid boolean, problems string, line string")
 
@@ -238,13 +258,19 @@ def formatted(r: dict, schemas: dict[str, dict]) -> tuple[bool, str, str]:
         wrong = ["no call"]
     elif r["state"] == "repeat":
         wrong.append("repeated identifier")
-    body = {"id": r["id"], "depth": r["depth"], "position": r["position"], "state": r["state"], "after": r["after"], "call": {"name": r["name"], "arguments": shown} if r["is_call"] else None, "result": r["content"]}
+    body = {
+        "id": r["id"], "depth": r["depth"], "position": r["position"], "state": r["state"], "after": r["after"],
+        "call": {"name": r["name"], "arguments": shown} if r["is_call"] else None, "result": r["content"],
+    }
     return not wrong, "; ".join(wrong), canonical(body)
 
 
 #: What the turns of a conversation table call: users ask, system turns configure, assistants answer.
 SCHEMAS = {
-    "ask": {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False, "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}},
+    "ask": {
+        "type": "object", "required": ["prompt", "turn"], "additionalProperties": False,
+        "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}},
+    },
     "configure": {"type": "object", "required": ["prompt"], "properties": {"prompt": {"type": "string"}, "turn": {"type": "integer"}}},
 }
 
@@ -264,9 +290,13 @@ def conversation_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     before = F.col("turn") - F.when(F.col("t").isNotNull(), 1).otherwise(2)
     calls = calls.select(
         F.col("conv_id").alias("conversation"), own.alias("id"), F.when(whole & (before >= 0), name(before)).alias("after"),
-        F.when(F.col("role") == "system", "configure").otherwise("ask").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn"))).alias("arguments"),
+        F.when(F.col("role") == "system", "configure").otherwise("ask").alias("name"), F.to_json(
+            F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn"))
+        ).alias("arguments"),
     )
-    answers = messages.filter(~F.col("role").isin("user", "system")).select(F.col("conv_id").alias("conversation"), F.when(whole, name(F.col("turn") - 1)).alias("id"), F.col("text").alias("content"))
+    answers = messages.filter(~F.col("role").isin("user", "system")).select(
+        F.col("conv_id").alias("conversation"), F.when(whole, name(F.col("turn") - 1)).alias("id"), F.col("text").alias("content"),
+    )
     return calls, answers
 
 

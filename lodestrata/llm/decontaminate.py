@@ -62,7 +62,10 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 counts = np.bincount(doc, minlength=hi - lo).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard]), pa.array([None], pa.int64()), pa.array([hi - lo], pa.int32()), pa.array([None], pa.binary()), keys, _binary(counts, np.array([hi - lo]))], names=names
+                    [
+                        pa.array([shard]), pa.array([None], pa.int64()), pa.array([hi - lo], pa.int32()), pa.array([None], pa.binary()), keys,
+                        _binary(counts, np.array([hi - lo])),
+                    ], names=names
                 )
                 if len(word):
                     order = np.argsort(word, kind="stable")
@@ -83,7 +86,10 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
     schema = StructType(
-        [StructField("shard", LongType()), StructField("term", LongType()), StructField("df", IntegerType()), StructField("places", BinaryType()), StructField("keys", ArrayType(kind)), StructField("words", BinaryType())]
+        [
+            StructField("shard", LongType()), StructField("term", LongType()), StructField("df", IntegerType()), StructField("places", BinaryType()),
+            StructField("keys", ArrayType(kind)), StructField("words", BinaryType()),
+        ]
     )
     return whole.mapInArrow(run, schema)
 
@@ -249,7 +255,9 @@ def search(index: DataFrame, query: Windows) -> DataFrame:
             window, place = shard.phrases(windows)
             doc = shard.document_of(place)
             # Words under any occurrence: runs opened and closed along the shard's places.
-            open_ = np.bincount(place, minlength=shard.end + 1) - np.bincount(place + windows.size[window], minlength=shard.end + 1) if len(place) else np.zeros(shard.end + 1, np.int64)
+            open_ = np.bincount(place, minlength=shard.end + 1) - np.bincount(
+                place + windows.size[window], minlength=shard.end + 1,
+            ) if len(place) else np.zeros(shard.end + 1, np.int64)
             hit = np.flatnonzero(np.cumsum(open_) > 0)
             owner = shard.document_of(hit)
             hits = _lists(hit - shard.begin[owner], np.bincount(owner, minlength=m))
@@ -299,7 +307,10 @@ def find_contamination(
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    merged = every.groupBy("key").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
+    merged = every.groupBy("key").agg(
+        F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
+    )
     return merged.select(F.col("key.key").alias(key), "n_words", "items", "hits")
 
 
@@ -325,7 +336,10 @@ def find_near(docs: DataFrame, phrases: dict[str, str], span: int, key: str = "d
                 row += doc.tolist()
                 position += (at - shard.begin[doc]).tolist()
                 phrase += [name] * len(at)
-            yield pa.RecordBatch.from_arrays([shard.keys.take(pa.array(row, pa.int64())), pa.array(phrase, pa.string()), pa.array(position, pa.int64())], names=[key, "phrase", "position"])
+            yield pa.RecordBatch.from_arrays(
+                [shard.keys.take(pa.array(row, pa.int64())), pa.array(phrase, pa.string()), pa.array(position, pa.int64())],
+                names=[key, "phrase", "position"],
+            )
 
     return _gathered(index, query.terms).mapInArrow(run, f"`{key}` {_key_type(index)}, phrase string, position long")
 

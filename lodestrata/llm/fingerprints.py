@@ -91,7 +91,10 @@ def fingerprint(df: DataFrame, text: str = "text", keep: list[str] | None = None
         for batch in batches:
             found = sketches(batch.column(len(keep)), k)
             columns = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([encode(x) for x in found], pa.string()), pa.array([distinct(x, k) for x in found], pa.float64())], names=[*keep, "fingerprint", "n_shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array([encode(x) for x in found], pa.string()), pa.array([distinct(x, k) for x in found], pa.float64())],
+                names=[*keep, "fingerprint", "n_shingles"],
+            )
 
     fields = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep)
     return source.mapInArrow(run, f"{fields}fingerprint string, n_shingles double")

@@ -84,7 +84,10 @@ def _schedule(spark: SparkSession, parts: dict[str, int], total: int, blocks: di
             if batch.num_rows:
                 for rows in itertools.batched(edf(parts, total, blocks), 10_000):
                     columns = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(next(columns), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["s", "block", "at", "release", "due"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(next(columns), pa.string()), *(pa.array(c, pa.int64()) for c in columns)],
+                        names=["s", "block", "at", "release", "due"],
+                    )
 
     return spark.range(0, 1, 1, 1).mapInArrow(run, "s string, block long, at long, release long, due long")
 
@@ -93,7 +96,10 @@ def _name(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("s:"), F.col(source).cast("string")), F.lit("n"))
 
 
-def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", order: str = "doc_id", block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS, length: int | None = None) -> DataFrame:
+def mix(
+    df: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", order: str = "doc_id", block_rows: int = BLOCK_ROWS,
+    cell_rows: int = CELL_ROWS, length: int | None = None,
+) -> DataFrame:
     """df's columns in struct `row`, with block, release, deadline, slot, position and chosen.
 
     weights: by source; by default each source's row count to the power TEMPERATURE. length: slots of the
@@ -121,7 +127,10 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: s
     offsets = narrow.groupBy("s", "cell").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
     blocks = F.sequence(F.floor(F.col("before") / block_rows), F.floor((F.col("before") + F.col("count") - 1) / block_rows))
     timed = offsets.select("s", "cell", "before", F.explode(blocks).alias("block")).join(slots, ["s", "block"])
-    timed = timed.groupBy("s", "cell").agg(F.min("before").alias("before"), F.min("block").alias("first"), F.sort_array(F.collect_list(F.struct("block", "at", "release", "due"))).alias("slots"))
+    timed = timed.groupBy("s", "cell").agg(
+        F.min("before").alias("before"), F.min("block").alias("first"),
+        F.sort_array(F.collect_list(F.struct("block", "at", "release", "due"))).alias("slots"),
+    )
     rows = place(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), _name(source).alias("s"), salt.alias("salt"), F.col(order).alias("order")))
     within = Window.partitionBy("s", "cell").orderBy("salt", "order")
     ranked = rows.withColumn("within", F.row_number().over(within) - 1).join(timed, ["s", "cell"]).withColumn("rank", F.col("before") + F.col("within"))

@@ -162,7 +162,10 @@ class GatedAttention:
         dt, dg = de[:, None] * p["w"] * f["g"], de[:, None] * p["w"] * f["t"]
         dt, dg = dt * (1 - f["t"] ** 2), dg * f["g"] * (1 - f["g"])
         dh = (dh + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
-        return {"W": f["x"].T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ out, "d": out.sum(keepdims=True)}
+        return {
+            "W": f["x"].T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ out,
+            "d": out.sum(keepdims=True),
+        }
 
 
 def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 4e-3, decay: float = 1e-4) -> GatedAttention:
@@ -206,7 +209,10 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     return placed.filter((F.col("__sum") <= passages) & (F.col("__rank") <= sample)).select("__key", "__label")
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, passages: int = PASSAGES) -> GatedAttention | float:
+def train(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE,
+    passages: int = PASSAGES,
+) -> GatedAttention | float:
     """Fit on the sample of labelled documents that are not held out; a constant if there is one label only."""
     chosen = _sample(docs, labels, key, text, label, sample, passages)
     rows = docs.select(F.col(key).cast("string").alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__key")
@@ -243,7 +249,10 @@ def score(docs: DataFrame, net: GatedAttention | float, text: str = "text", keep
             for _, _, data, offsets in S.blocks(batch.column(k)):
                 x, first = encode(data, offsets)
                 scores.append(shared.value.forward(x, first)["score"].astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(k)), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())],
+                names=[*keep, "score"],
+            )
 
     fields = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep)
     return source.mapInArrow(run, f"{fields}score double")

@@ -156,7 +156,10 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
                     n.append(sum(s[1] == kind for s in every))
                 digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
                 spans.append(_joined(every))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), *(pa.array(n, pa.int64()) for n in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=[*keep, "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(k)), *(pa.array(n, pa.int64()) for n in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())],
+                names=[*keep, "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"],
+            )
 
     fields = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep)
     return source.mapInArrow(run, f"{fields}n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")

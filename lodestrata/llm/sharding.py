@@ -37,7 +37,9 @@ def cut_points(sizes: Column, shards: int) -> Column:
 
     def needed(capacity: Column) -> Column:
         start = F.struct(F.lit(1).cast("long").alias("n"), zero.alias("filled"))
-        step = lambda a, s: F.when(a["filled"] + s <= capacity, F.struct(a["n"].alias("n"), (a["filled"] + s).alias("filled"))).otherwise(F.struct((a["n"] + 1).alias("n"), s.alias("filled")))
+        step = lambda a, s: F.when(
+            a["filled"] + s <= capacity, F.struct(a["n"].alias("n"), (a["filled"] + s).alias("filled")),
+        ).otherwise(F.struct((a["n"] + 1).alias("n"), s.alias("filled")))
         return F.aggregate(sizes, start, step, lambda a: a["n"])
 
     total = F.aggregate(sizes, zero, lambda a, s: a + s)
@@ -71,7 +73,10 @@ def latest_starts(sizes: Column, capacity: Column) -> Column:
     begin = F.struct(F.lit(0).cast("long").alias("filled"), F.size(sizes).alias("i"), F.array().cast("array<int>").alias("starts"))
     keep = lambda a, s: F.struct((a["filled"] + s).alias("filled"), (a["i"] - 1).alias("i"), a["starts"].alias("starts"))
     cut = lambda a, s: F.struct(s.alias("filled"), (a["i"] - 1).alias("i"), F.concat(a["starts"], F.array(a["i"])).alias("starts"))
-    return F.aggregate(F.reverse(sizes), begin, lambda a, s: F.when(a["filled"] + s <= capacity, keep(a, s)).otherwise(cut(a, s)), lambda a: F.concat(a["starts"], F.array(a["i"])))
+    return F.aggregate(
+        F.reverse(sizes), begin, lambda a, s: F.when(a["filled"] + s <= capacity, keep(a, s)).otherwise(cut(a, s)),
+        lambda a: F.concat(a["starts"], F.array(a["i"])),
+    )
 
 
 def between(sizes: Column, level: Column) -> Column:
@@ -91,7 +96,9 @@ def cuts_at(sizes: Column, capacity: Column, level: Column, starts: Column, runs
     zero = F.lit(0).cast("long")
     first = F.element_at(runs, 1)
     # A run takes the shards that its bytes are worth; the last one takes all that are left.
-    worth = lambda bytes_, last, left: F.when(last, left).otherwise(F.greatest(F.lit(1), F.least(left, F.round(bytes_ / F.greatest(level, F.lit(1.0))).cast("int"))))
+    worth = lambda bytes_, last, left: F.when(last, left).otherwise(
+        F.greatest(F.lit(1), F.least(left, F.round(bytes_ / F.greatest(level, F.lit(1.0))).cast("int")))
+    )
     begin = F.struct(
         zero.alias("filled"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("cuts"), F.lit(shards - 1).alias("left"), F.lit(False).alias("big"),
         F.lit(1).alias("run"), first.alias("rest"), worth(first, F.size(runs) == 1, F.lit(shards)).alias("n"),
@@ -110,14 +117,19 @@ def cuts_at(sizes: Column, capacity: Column, level: Column, starts: Column, runs
         rest = F.when(fresh, bytes_).when(cut & ~a["big"], a["rest"] - a["filled"]).otherwise(a["rest"])
         n = F.when(fresh, worth(bytes_, run == F.size(runs), left + 1)).when(cut & ~a["big"], a["n"] - 1).otherwise(a["n"])
         return F.struct(
-            F.when(cut, s).otherwise(a["filled"] + s).alias("filled"), (a["i"] + 1).alias("i"), F.when(cut, F.concat(a["cuts"], F.array(a["i"]))).otherwise(a["cuts"]).alias("cuts"),
+            F.when(cut, s).otherwise(a["filled"] + s).alias("filled"), (a["i"] + 1).alias("i"), F.when(
+                cut, F.concat(a["cuts"], F.array(a["i"])),
+            ).otherwise(a["cuts"]).alias("cuts"),
             left.alias("left"), big.alias("big"), run.alias("run"), rest.alias("rest"), n.alias("n"),
         )
 
     return F.aggregate(sizes, begin, step, lambda a: a["cuts"])
 
 
-def assign_shards(df: DataFrame, text: str = "text", order: str = "doc_id", shards: int = SHARDS, atoms: int = ATOMS, overhead: int = OVERHEAD, cell_rows: int = CELL_ROWS) -> DataFrame:
+def assign_shards(
+    df: DataFrame, text: str = "text", order: str = "doc_id", shards: int = SHARDS, atoms: int = ATOMS, overhead: int = OVERHEAD,
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
     """df's columns in struct `row`, with shard, slot (gapless from 0 in a shard), size and text_crc32.
 
     Slots: groups are counted once (a partial aggregate on each task, at most `atoms` rows), large groups are
@@ -126,7 +138,11 @@ def assign_shards(df: DataFrame, text: str = "text", order: str = "doc_id", shar
     """
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long")
     atom = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(atoms)).cast("int")
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), size.alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), atom.alias("atom"), F.xxhash64(F.col(order).cast("string")).alias("salt"), F.col(order).alias("order"))
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), size.alias("size"),
+        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), atom.alias("atom"),
+        F.xxhash64(F.col(order).cast("string")).alias("salt"), F.col(order).alias("order"),
+    )
     groups = df.select(size.alias("size"), atom.alias("atom")).groupBy("atom").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     listed = groups.agg(F.array_sort(F.collect_list(F.struct("atom", "bytes", "n"))).alias("groups"))
     # Staged, as the one row would otherwise be searched anew wherever its capacity is named.
@@ -138,9 +154,13 @@ def assign_shards(df: DataFrame, text: str = "text", order: str = "doc_id", shar
     cut = stage(fixed.withColumn("cuts", cuts_at(sizes, F.col("capacity"), F.col("level"), F.col("starts"), F.col("runs"), shards)), "cuts")
     # One row: the groups again, each with its shard, the number of its cells, and the capacity.
     shard = F.size(F.filter("cuts", lambda c: c <= F.col("i")))
-    plan = cut.select("cuts", "capacity", F.posexplode("groups").alias("i", "g")).select(F.col("g.atom").alias("atom"), shard.alias("shard"), F.ceil(F.col("g.n") / cell_rows).cast("long").alias("cells"))
+    plan = cut.select("cuts", "capacity", F.posexplode("groups").alias("i", "g")).select(
+        F.col("g.atom").alias("atom"), shard.alias("shard"), F.ceil(F.col("g.n") / cell_rows).cast("long").alias("cells"),
+    )
     placed = rows.join(F.broadcast(plan), "atom").withColumn("cell", F.pmod("salt", F.col("cells")).cast("long"))
-    narrow = df.select(atom.alias("atom"), F.xxhash64(F.col(order).cast("string")).alias("salt")).join(F.broadcast(plan), "atom").withColumn("cell", F.pmod("salt", F.col("cells")).cast("long"))
+    narrow = df.select(
+        atom.alias("atom"), F.xxhash64(F.col(order).cast("string")).alias("salt"),
+    ).join(F.broadcast(plan), "atom").withColumn("cell", F.pmod("salt", F.col("cells")).cast("long"))
     counts = narrow.groupBy("shard", "atom", "cell").count()
     before = Window.partitionBy("shard").orderBy("atom", "cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("atom", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
@@ -151,4 +171,7 @@ def assign_shards(df: DataFrame, text: str = "text", order: str = "doc_id", shar
 def sharded_documents(df: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Digest of assign_shards: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     out = assign_shards(df.select("doc_id", "text"), shards=shards)
-    return out.select(F.col("row.doc_id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(
+        F.col("row.doc_id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

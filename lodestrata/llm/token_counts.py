@@ -266,7 +266,10 @@ def _in_chunks(rows: DataFrame, source, keep: list[str], chunk: int) -> DataFram
                 parts = [body[i : i + chunk] for i in range(0, len(body), chunk)]
                 n = len(parts)
                 first = pa.concat_arrays([batch.column(1).slice(r, 1), pa.nulls(n - 1, batch.column(1).type)])
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[r].as_py()] * n, pa.int64()), pa.array(range(n), pa.int64()), first, pa.array(parts, pa.string())], names=["row", "no", "held", "part"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(0)[r].as_py()] * n, pa.int64()), pa.array(range(n), pa.int64()), first, pa.array(parts, pa.string())],
+                    names=["row", "no", "held", "part"],
+                )
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(source.value)
@@ -294,7 +297,9 @@ def _in_chunks(rows: DataFrame, source, keep: list[str], chunk: int) -> DataFram
     maps = dealt.mapInArrow(mapped, schema)
     for _ in range(LEVELS):
         one = F.struct("no", "whole", "head", "count", "tail")
-        near = maps.groupBy("row", F.floor(F.col("no") / FAN).alias("next")).agg(F.first("held", ignorenulls=True).alias("held"), F.array_sort(F.collect_list(one)).alias("maps"))
+        near = maps.groupBy("row", F.floor(F.col("no") / FAN).alias("next")).agg(
+            F.first("held", ignorenulls=True).alias("held"), F.array_sort(F.collect_list(one)).alias("maps"),
+        )
         maps = near.select("row", F.col("next").alias("no"), "held", "maps").mapInArrow(composed, schema)
     out = maps.select("held", "whole", "head", "count", "tail").mapInArrow(finished, f"held {kind}, n_tokens long")
     return out.select(*[F.col(f"held.k{i}").alias(c) for i, c in enumerate(keep)], F.col("held.bytes").alias("n_bytes"), "n_tokens")
@@ -303,7 +308,11 @@ def _in_chunks(rows: DataFrame, source, keep: list[str], chunk: int) -> DataFram
 def _maps(batch: pa.RecordBatch, maps: list[tuple]) -> pa.RecordBatch:
     """Rows (row, no, held) of a batch with their maps."""
     whole = [len(m) == 1 for m in maps]
-    columns = [pa.array(whole), pa.array([m[0] for m in maps], pa.string()), pa.array([0 if w else m[1] for w, m in zip(whole, maps, strict=True)], pa.int64()), pa.array(["" if w else m[2] for w, m in zip(whole, maps, strict=True)], pa.string())]
+    columns = [
+        pa.array(whole), pa.array([m[0] for m in maps], pa.string()),
+        pa.array([0 if w else m[1] for w, m in zip(whole, maps, strict=True)], pa.int64()),
+        pa.array(["" if w else m[2] for w, m in zip(whole, maps, strict=True)], pa.string()),
+    ]
     return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], names=["row", "no", "held", "whole", "head", "count", "tail"])
 
 

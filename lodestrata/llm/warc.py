@@ -56,7 +56,10 @@ def records(pages: DataFrame, page: str = "page_id", url: str = "url", payload:
     BROADCAST_ROWS such groups are broadcast, which leaves the payloads where they are.
     """
     body = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.select(F.col(page).cast("long").alias("page"), F.regexp_replace(F.regexp_replace(F.col(url), "\r", "%0D"), "\n", "%0A").alias("url"), body.alias("body"), F.sha1(body.cast("binary")).alias("sha1"), F.octet_length(body).cast("long").alias("bytes"))
+    rows = pages.select(
+        F.col(page).cast("long").alias("page"), F.regexp_replace(F.regexp_replace(F.col(url), "\r", "%0D"), "\n", "%0A").alias("url"),
+        body.alias("body"), F.sha1(body.cast("binary")).alias("sha1"), F.octet_length(body).cast("long").alias("bytes"),
+    )
     narrow = pages.select(F.col(page).cast("long").alias("page"), F.sha1(body.cast("binary")).alias("sha1"), F.octet_length(body).alias("bytes"))
     groups = narrow.filter(F.col("bytes") >= least).groupBy("sha1").agg(F.max("page").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     groups = stage(groups, "payloads")
@@ -67,10 +70,20 @@ def records(pages: DataFrame, page: str = "page_id", url: str = "url", payload:
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     return rows.select(
         F.concat(
-            F.lit(VERSION), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", _record_id(F.col("page"), digest)), line("WARC-Date", F.lit(DATE)),
+            F.lit(VERSION), line(
+                "WARC-Type", F.when(revisit, "revisit").otherwise("response"),
+            ), line("WARC-Record-ID", _record_id(F.col("page"), digest)), line("WARC-Date", F.lit(DATE)),
             line("WARC-Target-URI", F.col("url")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)), line("Page-ID", F.col("page").cast("string")),
-            F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("first"), digest)), line("Refers-To-Page-ID", F.col("first").cast("string")), line("Payload-Length", F.col("bytes").cast("string")))).otherwise(F.lit("")),
-            line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))), F.lit("\r\n"), F.when(revisit, F.lit("")).otherwise(F.col("body")),
+            F.when(
+                revisit,
+                F.concat(
+                    line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("first"), digest)),
+                    line("Refers-To-Page-ID", F.col("first").cast("string")), line("Payload-Length", F.col("bytes").cast("string")),
+                ),
+            ).otherwise(F.lit("")),
+            line("Content-Type", F.lit("text/html; charset=utf-8")), line(
+                "Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string")),
+            ), F.lit("\r\n"), F.when(revisit, F.lit("")).otherwise(F.col("body")),
         ).alias("value")
     )
 
@@ -91,7 +104,10 @@ def _offsets(pieces: DataFrame, extra: list[str]) -> DataFrame:
     within = Window.partitionBy("file", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     run = pieces.withColumn("inside", F.coalesce(F.sum(F.col("length") + size).over(within), F.lit(0)))
     blocks = pieces.groupBy("file", "block").agg(F.sum(F.col("length") + size).alias("bytes"))
-    base = blocks.select("file", "block", F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    base = blocks.select(
+        "file", "block",
+        F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
+    )
     return run.join(base, ["file", "block"]).select("file", (F.col("base") + F.col("inside") - size).alias("start"), "length", *extra)
 
 
@@ -123,7 +139,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     parsed = parsed.withColumn("head_bytes", (F.octet_length("head") + 4).cast("long")).withColumn("content", field("Content-Length").try_cast("long"))
     whole = F.col("head_bytes") + F.col("content") <= F.col("length")
     body = F.substring(F.col("value").cast("binary"), (F.col("head_bytes") + 1).cast("int"), F.col("content").cast("int"))
-    fields = {"type": field("WARC-Type"), "page": field("Page-ID").try_cast("long"), "url": field("WARC-Target-URI"), "digest": F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", ""), "refers": field("Refers-To-Page-ID").try_cast("long"), "original": field("Payload-Length").try_cast("long"), "sha1": F.when(whole, F.sha1(body))}
+    fields = {
+        "type": field("WARC-Type"), "page": field("Page-ID").try_cast("long"), "url": field("WARC-Target-URI"),
+        "digest": F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", ""), "refers": field("Refers-To-Page-ID").try_cast("long"),
+        "original": field("Payload-Length").try_cast("long"), "sha1": F.when(whole, F.sha1(body)),
+    }
     narrow = parsed.select("file", "block", "n", "length", "head_bytes", "content", *[v.alias(k) for k, v in fields.items()])
     found = stage(_offsets(narrow, ["head_bytes", "content", *fields]), "pieces")
 

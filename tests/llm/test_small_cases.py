@@ -352,14 +352,21 @@ def test_secrets(spark, docs, empty):
     r = random.Random(9)
     key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
     cases = [
-        ('é password = "abcdefabcdef12"', 1, 0, 0), ("API_KEY:'short' token: abcdefghijkl", 1, 0, 0), ("AKIAABCDEFGHIJKLMN and AKIA12", 0, 1, 0), ("x0123456789abcdef0123y deadbeef", 0, 0, 1),
+        ('é password = "abcdefabcdef12"', 1, 0, 0), (
+            "API_KEY:'short' token: abcdefghijkl", 1, 0, 0,
+        ), ("AKIAABCDEFGHIJKLMN and AKIA12", 0, 1, 0), ("x0123456789abcdef0123y deadbeef", 0, 0, 1),
         (None, 0, 0, 0), ("", 0, 0, 0), ("ſecret: abcdefghijkl", 0, 0, 0), ("TOKEN=0123456789abcdef", 1, 0, 1), (f"the auth header was {key} then", 0, 0, 0), ("the auth header was document.getElementById2 then", 0, 0, 0),
     ]
     d = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
     for row, c in zip(secrets.scan(d, keep=["doc_id"]).orderBy("doc_id").collect(), cases, strict=True):
         assert (row.n_assign, row.n_access, row.n_hex) == c[1:]
         text, found = c[0] or "", []
-        for k, (name, p, least) in enumerate((("assign", r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12), ("access", "AKIA[A-Z0-9]+", 18), ("hex", "[0-9a-f]+", 16))):
+        for k, (name, p, least) in enumerate(
+            (
+                ("assign", r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12),
+                ("access", "AKIA[A-Z0-9]+", 18), ("hex", "[0-9a-f]+", 16),
+            )
+        ):
             found += [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for m in re.finditer(p, text) if len(m.group(2 if k == 0 else 0)) >= least]
         assert row.base_sha256 == hashlib.sha256(",".join(x[2] for x in sorted(found)).encode()).hexdigest()
         if c[0] and key in c[0]:
@@ -386,7 +393,10 @@ def test_novel_strings_against_brute_force():
     r = random.Random(2)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
     key = lambda n, of: "".join(r.choice(of) for _ in range(n))
-    made = ["the", "auth", "token", "credential", "is", "=", "\n", "# api key", "straightforwardly", "é", "Bearer", "secret: abcdefabcdef12", "document.getElementById2", "x" * 70]
+    made = [
+        "the", "auth", "token", "credential", "is", "=", "\n", "# api key", "straightforwardly", "é", "Bearer", "secret: abcdefabcdef12",
+        "document.getElementById2", "x" * 70,
+    ]
     for _ in range(150):
         text = " ".join(r.choice([*made, key(40, letters + "0123456789"), key(60, letters), "my_token/" + key(30, letters + "0123456789")]) for _ in range(r.randrange(1, 14)))
         base = secrets.base_spans(text)
@@ -414,7 +424,9 @@ def test_long_and_lettered_secrets():
     forty = long[:40]
     for text, spans in (
         (f"credential is {long} end", [(14, 5014)]), (f"auth placeholder-word {forty} x", [(22, 62)]), (f"bearer {alone}", [(7, 67)]), (f'x = "{forty}"  # api key', []),
-        (f'x = "{forty}"  # api_key', [(5, 45)]), ("notwithstanding token straightforwardly tokenization of internationalization", []), (f'credential_rotation_policy = "{forty}"', [(30, 70)]),
+        (f'x = "{forty}"  # api_key', [(5, 45)]), (
+            "notwithstanding token straightforwardly tokenization of internationalization", [],
+        ), (f'credential_rotation_policy = "{forty}"', [(30, 70)]),
     ):
         assert [(a, b) for a, _, b in secrets.novel_spans(text, secrets.base_spans(text))] == spans
 
@@ -460,7 +472,10 @@ def test_warc(spark):
     import base64
 
     trap = "<p>WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n</p>"
-    pages = [(1, "http://a", "same"), (2, "http://b\r\nX: y", "same"), (3, None, trap), (4, "u", None), (5, "u", ""), (6, "u", "é" * 50_000), (7, "u", trap), (8, "u", "WARC/1.1\r\n"), (2, "http://b", "same"), (None, "u", "same")]
+    pages = [
+        (1, "http://a", "same"), (2, "http://b\r\nX: y", "same"), (3, None, trap), (4, "u", None), (5, "u", ""), (6, "u", "é" * 50_000),
+        (7, "u", trap), (8, "u", "WARC/1.1\r\n"), (2, "http://b", "same"), (None, "u", "same"),
+    ]
     d = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
     rows = warc.archive_round_trip(d).collect()
     assert len(rows) == len(pages)
@@ -479,7 +494,10 @@ def test_warc(spark):
 
 
 def test_warc_chain_across_splits(spark, tmp_path):
-    pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.repeat(F.lit("x"), (F.col("id") * 7 % 900).cast("int")), F.lit("WARC/1.1\r\n"), F.col("id").cast("string")).alias("html"))
+    pages = spark.range(300).select(
+        F.col("id").alias("page_id"), F.lit("u").alias("url"),
+        F.concat(F.repeat(F.lit("x"), (F.col("id") * 7 % 900).cast("int")), F.lit("WARC/1.1\r\n"), F.col("id").cast("string")).alias("html"),
+    )
     warc.write_archives(pages.coalesce(1), str(tmp_path / "w"))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
@@ -495,17 +513,26 @@ RESULTS = "conversation long, id string, content string"
 
 
 def test_chat(spark):
-    calls = [(1, "a", None, "ask", '{"turn": 1, "prompt": "x"}'), (1, "b", "a", "ask", '{"prompt": "", "turn": 1.0}'), (1, "c", "b", "ask", "{bad"), (2, "p", "q", "ask", None), (2, "q", "p", "other", "{}"), (2, "r", "q", "ask", "{}"), (3, None, None, "ask", "{}"), (1, "a", None, "ask", '{"turn": 1, "prompt": "x"}')]
+    calls = [
+        (1, "a", None, "ask", '{"turn": 1, "prompt": "x"}'), (1, "b", "a", "ask", '{"prompt": "", "turn": 1.0}'), (1, "c", "b", "ask", "{bad"),
+        (2, "p", "q", "ask", None), (2, "q", "p", "other", "{}"), (2, "r", "q", "ask", "{}"), (3, None, None, "ask", "{}"),
+        (1, "a", None, "ask", '{"turn": 1, "prompt": "x"}'),
+    ]
     results = [(1, "a", "done"), (1, "zz", "lost"), (1, "b", None), (1, "a", "done")]
     rows = chat.link_tool_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), chat.SCHEMAS).collect()
     out = {x.id: x for x in rows if x.state != "repeat"}
     assert len(rows) == 10 and len(out) == 8
     assert [x.id for x in rows if x.state == "repeat"] == ["a", "a"]
     assert [out[k].depth for k in "abc"] == [0, 1, 2] and out["p"].depth is None
-    assert {k: x.state for k, x in out.items()} == {"a": "linked", "b": "linked", "c": "missing", "p": "cycle", "q": "cycle", "r": "cycle", None: "missing", "zz": "orphan"}
+    assert {k: x.state for k, x in out.items()} == {
+        "a": "linked", "b": "linked", "c": "missing", "p": "cycle", "q": "cycle", "r": "cycle", None: "missing", "zz": "orphan",
+    }
     assert out["a"].valid and out["b"].problems == "$.prompt: length 0" and out["c"].problems == "not JSON" and out["q"].problems == "unknown tool"
     assert out["a"].line == '{"after":[],"call":{"arguments":{"prompt":"x","turn":1},"name":"ask"},"depth":0,"id":"a","position":0,"result":"done","state":"linked"}'
-    deep = spark.range(500).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.expr("if(id % 2 = 0, 'user', 'assistant')").alias("role"), F.col("id").cast("string").alias("text"), F.lit("x").alias("state"), F.lit(1).alias("key"))
+    deep = spark.range(500).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.expr("if(id % 2 = 0, 'user', 'assistant')").alias("role"),
+        F.col("id").cast("string").alias("text"), F.lit("x").alias("state"), F.lit(1).alias("key"),
+    )
     found = {x.id: x for x in chat.format_conversations(deep).collect()}
     assert len(found) == 250 and all(x.state == "linked" and x.depth == x.position == int(k.split("-")[1]) // 2 for k, x in found.items())
     assert chat.format_conversations(deep.limit(0)).count() == 0
@@ -513,7 +540,10 @@ def test_chat(spark):
 
 def test_chat_takes_any_arguments(spark):
     """Text that is not JSON, too deep, too large or not Unicode neither ends the job nor is lost."""
-    given_ = ['{"a": NaN}', '{"a": 1e400}', '{"a": -Infinity}', '{"prompt": "\\ud800", "turn": 1}', "[" * 200_000, "", '"' + "x" * 2_000_000 + '"', "1" * 5000, '{"turn": 1' + "0" * 400 + ', "prompt": "x"}', "[" * 900 + "]" * 900]
+    given_ = [
+        '{"a": NaN}', '{"a": 1e400}', '{"a": -Infinity}', '{"prompt": "\\ud800", "turn": 1}', "[" * 200_000, "", '"' + "x" * 2_000_000 + '"',
+        "1" * 5000, '{"turn": 1' + "0" * 400 + ', "prompt": "x"}', "[" * 900 + "]" * 900,
+    ]
     calls = [(1, str(i), None, "ask", a) for i, a in enumerate(given_)]
     results = [(1, "0", "x" * 1_000_000), (None, "0", "of no conversation"), (2, None, None), (1, "1", "")]
     rows = chat.link_tool_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), chat.SCHEMAS).collect()
@@ -633,7 +663,10 @@ def test_quality_learns_from_every_passage_and_any_id(spark):
     good = "The whole river and lake were calm, and the small boats came home before night. "
     bad = "BUY!!! NOW$$$ ***CHEAP*** ### "
     rows = [(f"id-{i}", (good * 13 * 100 if i == 4 else good * 6) if i % 2 else bad * 20, i % 2) for i in range(200)]
-    d = spark.createDataFrame([(i, t, 0.5, "x") for i, t, _ in rows] + [("long", (bad * 35 + good) * 100, 0.5, "x")], "doc_id string, text string, score double, __label string")
+    d = spark.createDataFrame(
+        [(i, t, 0.5, "x") for i, t, _ in rows] + [("long", (bad * 35 + good) * 100, 0.5, "x")],
+        "doc_id string, text string, score double, __label string",
+    )
     labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id string, quality int")
     out = {r.doc_id: r for r in quality.score_documents(d, labels).collect()}
     held = [i for i, _, _ in rows if out[i].held_out]
