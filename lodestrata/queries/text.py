@@ -126,9 +126,15 @@ def f15_extra_metadata(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("SELECT doc_id, 'Great Lake Great Lake River' AS abstract FROM documents")
+@query(
+    r"""WITH l AS (SELECT doc_id, list_concat(string_split(text, chr(10)), ['## Next', 'x']) AS ls FROM documents),
+h AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda x: regexp_matches(x, '^#{1,6}\s+')), true) AS stop FROM l)
+SELECT doc_id, array_to_string(ls[1:stop - 1], chr(10)) AS abstract FROM h"""
+)
 def f14_sections(spark: SparkSession, folder: str) -> DataFrame:
-    return _headed(spark, folder).select("doc_id", metadata.section(F.col("text"), "Abstract").alias("abstract"))
+    """The whole text under a heading, to the next one."""
+    body = F.concat(F.lit("# Report\nfront\n## Abstract of it\n"), F.col("text"), F.lit("\n## Next\nx"))
+    return _docs(spark, folder).select("doc_id", metadata.section(body, "Abstract").alias("abstract"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in metadata.STOP_WORDS)
