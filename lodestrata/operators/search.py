@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,22 +57,36 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 12, key: str = "chunk_i
     return bm25_postings(queries, postings(chunks, key, text), size["n"], size["avgdl"] or 1.0, k, key)
 
 
-def bm25_postings(queries: DataFrame, index: DataFrame, n: int, avgdl: float, k: int = 12, key: str = "chunk_id") -> DataFrame:
+def query_blocks(queries: DataFrame, *columns) -> Iterator[pd.DataFrame]:
+    """The queries' columns in blocks of at most about QUERY_BLOCK rows, one read where they are one block."""
+    asked = queries.select("query_id", *columns)
+    first = asked.limit(QUERY_BLOCK + 1).toPandas()
+    if len(first) <= QUERY_BLOCK:
+        if len(first):
+            yield first
+        return
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    for b in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
+        if len(part):
+            yield part
+
+
+def bm25_postings(
+    queries: DataFrame, index: DataFrame, n: int, avgdl: float, k: int = 12, key: str = "chunk_id", frequencies: DataFrame | None = None
+) -> DataFrame:
     """Top k texts for each query, from postings (term, key, tf, dl[, bucket]): (query_id, key, score, rank).
 
     Only the asked terms' lists are read (those of their buckets, where the index has them), and each goes once to
     the tasks of its texts, however many queries ask for the term. A task holds BLOCK_TEXTS texts' scores for all
     queries of a block as a matrix and gives out the best k a query. Queries come in blocks of QUERY_BLOCK. Scores
-    are rounded to six decimals and ties go by key.
+    are rounded to six decimals and ties go by key. frequencies: stored document frequencies (term, df[, bucket]);
+    without them they are counted over the asked lists.
     """
     spark = index.sparkSession
-    total, found = queries.count(), None
-    blocks = max(1, -(-total // QUERY_BLOCK))
+    found = None
     kind, key_kind = queries.schema["query_id"].dataType.simpleString(), index.schema[key].dataType.simpleString()
-    for b in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select(  # bounded by the block size
-            "query_id", F.array_distinct("terms").alias("terms"),
-        ).toPandas()
+    for part in query_blocks(queries, F.array_distinct("terms").alias("terms")):
         asking: dict[str, list[int]] = {}
         for q, terms in enumerate(part["terms"]):
             for t in terms if terms is not None else ():
@@ -80,12 +95,13 @@ def bm25_postings(queries: DataFrame, index: DataFrame, n: int, avgdl: float, k:
             continue
         names = sorted(asking)
         asked = spark.createDataFrame(pa.table({"term": names, "at": pa.array(range(len(names)), pa.int32())}))
-        lists = index
+        wanted = None
         if "bucket" in index.columns:
-            wanted = asked.select(F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")).distinct().collect()
-            lists = lists.filter(F.col("bucket").isin([r[0] for r in wanted]))
-        lists = lists.select("term", key, "tf", "dl").join(F.broadcast(asked), "term")
-        df = {r["at"]: r["df"] for r in lists.groupBy("at").agg(F.count("*").alias("df")).collect()}  # a row an asked term
+            wanted = [r[0] for r in asked.select(F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")).distinct().collect()]
+        near = lambda table, wanted=wanted, asked=asked: (table if wanted is None else table.filter(F.col("bucket").isin(wanted))).join(F.broadcast(asked), "term")
+        lists = near(index).select("at", key, "tf", "dl")
+        counted = lists.groupBy("at").agg(F.count("*").alias("df")) if frequencies is None else near(frequencies).select("at", "df")
+        df = {r["at"]: r["df"] for r in counted.collect()}  # a row an asked term
         idf = np.array([np.log(1 + (n - df.get(i, 0) + 0.5) / (df.get(i, 0) + 0.5)) for i in range(len(names))])
         shared = spark.sparkContext.broadcast((pa.array(part["query_id"]), [np.array(asking[t]) for t in names], idf))
 
@@ -184,16 +200,12 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 12, older_only: bool = F
     time, and gives out the best k a query. older_only: a query sees only rows of smaller seq. threshold: a least score, if above 0.
     """
     spark = corpus.sparkSession
-    asked = ["query_id", "embedding", *(["seq"] if older_only else [])]
     there = ["chunk_id", "embedding", *(["seq"] if older_only else [])]
-    n = queries.count()
+    kind = queries.schema["query_id"].dataType.simpleString()
     found = None
-    for b in range(max(1, -(-n // QUERY_BLOCK))):
-        part = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // QUERY_BLOCK)))) == b
-        block = queries.filter(part).select(*asked).toPandas()  # bounded by the block size
-        names = pa.array(block["query_id"]) if len(block) else pa.array([], pa.string())
-        matrix = np.stack(block["embedding"].to_numpy()).astype(np.float64) if len(block) else np.zeros((0, 1))
-        shared = spark.sparkContext.broadcast((names, matrix, block["seq"].to_numpy() if older_only and len(block) else None))
+    for block in query_blocks(queries, *there[1:]):
+        names, matrix = pa.array(block["query_id"]), np.stack(block["embedding"].to_numpy()).astype(np.float64)
+        shared = spark.sparkContext.broadcast((names, matrix, block["seq"].to_numpy() if older_only else None))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, matrix, age = shared.value
@@ -210,9 +222,10 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 12, older_only: bool = F
                     best.add(np.arange(len(names)), scores, piece.column(0))
             yield from best.rows(names)
 
-        kind = queries.schema["query_id"].dataType.simpleString()
         hits = corpus.select(*there).mapInArrow(run, f"query_id {kind}, chunk_id string, score double")
         found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return spark.createDataFrame([], f"query_id {kind}, chunk_id string, score double, rank int")
     return top_k(found, ["query_id"], k, "chunk_id")
 
 

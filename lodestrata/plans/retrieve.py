@@ -41,7 +41,7 @@ class Stores:
     """chunks(chunk_id, document_id, page_number, chunk_index, text), vectors(chunk_id, document_id, embedding),
     similar(src, dst, score), typed(src, dst, type, confidence), metadata(document_id, path, file_name, ...).
 
-    postings(term, chunk_id, tf, dl[, bucket]) and statistics (texts, mean length): where they are stored, keyword
+    postings(term, chunk_id, tf, dl[, bucket]), frequencies(term, df[, bucket]) and statistics (texts, mean length): where they are stored, keyword
     search reads the asked terms' lists, else it counts the texts. nearest: a search through an index in place of
     the exact one, (queries, k) -> (query_id, chunk_id, score, rank); questions with filters are searched exactly.
     """
@@ -52,6 +52,7 @@ class Stores:
     typed: DataFrame
     metadata: DataFrame
     postings: DataFrame | None = None
+    frequencies: DataFrame | None = None
     statistics: tuple[int, float] | None = None
     nearest: Callable[[DataFrame, int], DataFrame] | None = None
 

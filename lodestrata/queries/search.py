@@ -33,8 +33,7 @@ def _with(*parts: str) -> str:
 
 @query(_with(X.CHUNKS, X.QUESTIONS, BM25) + "SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM words")
 def j3_bm25_top12(spark: SparkSession, folder: str) -> DataFrame:
-    index, size = X.chunk_postings(spark, folder)
-    return search.bm25_postings(X.questions(spark, folder), index, *size)
+    return X.keyword_hits(spark, folder, X.questions(spark, folder))
 
 
 @query(_with(X.CHUNKS, BM25.split(",\npost")[0]) + "SELECT n, round(avgdl, 6) AS avgdl FROM size")
@@ -44,7 +43,7 @@ def a20_corpus_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_with(X.CHUNKS, BM25.split(",\nasked")[0]) + "SELECT term, df, CAST(sum(tf) AS BIGINT) AS cf FROM tf JOIN df USING (term) GROUP BY term, df")
 def a20_term_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return X.chunk_postings(spark, folder)[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return X.chunk_postings(spark, folder)[1].select("term", "df", "cf")
 
 
 @query(_with(X.CHUNKS) + "SELECT chunk_id, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS BIGINT) AS n_tokens, CAST(len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS BIGINT) AS n_distinct FROM chunks")
@@ -343,9 +342,9 @@ def _batch(spark: SparkSession, folder: str) -> DataFrame:
 
 def _stores(spark: SparkSession, folder: str) -> Stores:
     """The archive's stored tables: graphs and postings are made once, not by a question's plan."""
-    postings, statistics = X.chunk_postings(spark, folder)
+    postings, frequencies, statistics = X.chunk_postings(spark, folder)
     similar, typed = stored(X.similar(spark, folder), "similar", folder), stored(X.typed(spark, folder), "typed", folder)
-    return Stores(X.chunks(spark, folder), X.vectors(spark, folder), similar, typed, X.metadata(spark, folder), postings, statistics)
+    return Stores(X.chunks(spark, folder), X.vectors(spark, folder), similar, typed, X.metadata(spark, folder), postings, frequencies, statistics)
 
 
 MERGED = "firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY part, rank) AS f FROM hits) WHERE f = 1)"
@@ -355,8 +354,7 @@ MERGED = "firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qu
 def u1_merged_hits(spark: SparkSession, folder: str) -> DataFrame:
     q = _batch(spark, folder)
     v = search.knn(q, X.vectors(spark, folder)).select("query_id", "chunk_id", F.lit(0).alias("part"), "rank", F.lit("vector_search").alias("origin"))
-    index, size = X.chunk_postings(spark, folder)
-    w = search.bm25_postings(q, index, *size).select("query_id", "chunk_id", F.lit(1).alias("part"), "rank", F.lit("keyword_search").alias("origin"))
+    w = X.keyword_hits(spark, folder, q).select("query_id", "chunk_id", F.lit(1).alias("part"), "rank", F.lit("keyword_search").alias("origin"))
     return ordered_distinct(v.unionByName(w), [F.col("part"), F.col("rank")]).select("query_id", "chunk_id", "origin", "rank")
 
 

@@ -58,3 +58,9 @@ def write_postings(chunks: DataFrame, path: str) -> None:
     """
     rows = postings(chunks).withColumn("bucket", term_bucket(F.col("term")))
     rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(CHUNK_GROUPS))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+
+
+def write_frequencies(index: DataFrame, path: str) -> None:
+    """(term, df, cf, bucket) of stored postings, in the folders of their buckets."""
+    counted = index.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    counted.repartition("bucket").write.partitionBy("bucket").parquet(path)
