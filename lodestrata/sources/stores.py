@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lodestrata.operators.search import TERM_BUCKETS, postings
 
 CHUNK_GROUPS = 4
-_made: dict[tuple[str, str], str] = {}
+_made: dict[tuple[str, str], DataFrame] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,8 +43,8 @@ def stored(df: DataFrame, name: str, of: str, build: Callable[[DataFrame, str],
             df.write.parquet(path)
         else:
             build(df, path)
-        _made[known] = path
-    return spark.read.parquet(_made[known])
+        _made[known] = spark.read.parquet(path)
+    return _made[known]
 
 
 def term_bucket(term: Column) -> Column:
