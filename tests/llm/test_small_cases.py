@@ -726,3 +726,16 @@ def test_fingerprints_against_brute_force(spark):
                 off.append(abs(got - want))
         assert r.n_shingles == len(own) if len(own) < fingerprints.K else abs(r.n_shingles / len(own) - 1) < 0.35
     assert off and max(off) < 0.15 and sum(off) / len(off) < 0.03
+
+
+def test_staged_tables_can_be_cleared(spark, tmp_path):
+    from lodestrata.llm import common
+
+    was = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        assert common.stage(spark.range(3), "x").count() == 3 and (tmp_path / "lodestrata").exists()
+        common.clear_staged(spark)
+        assert not (tmp_path / "lodestrata").exists() and tmp_path.exists()
+    finally:
+        spark.conf.set("spark.checkpoint.dir", was)
