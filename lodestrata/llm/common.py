@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_temporary: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,9 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError(f"spark.checkpoint.dir is not set: staged tables need a folder that all executors of {master} share")
-        path = tempfile.mkdtemp(prefix="lodestrata-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        known = spark.sparkContext.applicationId
+        if known not in _temporary:
+            _temporary[known] = tempfile.mkdtemp(prefix="lodestrata-")
+            atexit.register(shutil.rmtree, _temporary[known], ignore_errors=True)
+        path = _temporary[known]
     return path.rstrip("/")
 
 

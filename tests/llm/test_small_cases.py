@@ -729,13 +729,20 @@ def test_fingerprints_against_brute_force(spark):
 
 
 def test_staged_tables_can_be_cleared(spark, tmp_path):
+    from types import SimpleNamespace
+
     from lodestrata.llm import common
 
-    was = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert common.stage(spark.range(3), "x").count() == 3 and (tmp_path / "lodestrata").exists()
-        common.clear_staged(spark)
-        assert not (tmp_path / "lodestrata").exists() and tmp_path.exists()
-    finally:
-        spark.conf.set("spark.checkpoint.dir", was)
+    (tmp_path / "lodestrata" / "x").mkdir(parents=True)
+    common.clear_staged(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: str(tmp_path)), sparkContext=spark.sparkContext))
+    assert not (tmp_path / "lodestrata").exists() and tmp_path.exists()
+
+
+def test_unset_shared_folder_is_one_temporary_folder_on_a_local_master():
+    import os
+    from types import SimpleNamespace
+
+    from lodestrata.llm import common
+
+    local = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="local[2]", applicationId="x"))
+    assert common.shared_dir(local) == common.shared_dir(local) and os.path.isdir(common.shared_dir(local))
