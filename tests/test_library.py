@@ -511,6 +511,18 @@ def test_tool_calls_are_cut_out_whole(spark):
     assert answers._without_calls(None) is None
 
 
+def test_stored_tables_need_a_shared_folder_on_a_cluster():
+    import os
+    from types import SimpleNamespace
+
+    from lodestrata.sources import stores
+
+    unset = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="x"))
+    with pytest.raises(ValueError):
+        stores.shared_folder(unset("spark://host:7077"))
+    assert os.path.isdir(stores.shared_folder(unset("local[2]")))
+
+
 def test_library_without_the_optional_part(tmp_path):
     """The rest of the package and its own tests stand without the llm folders and the pipeline."""
     import os
