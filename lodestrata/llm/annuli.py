@@ -122,8 +122,8 @@ def search(
 ) -> DataFrame | None:
     """The best rows of every ask, exactly, by widening rounds.
 
-    asks: (ask, vector, extra, low, high): the least and largest distance of interest. answer: see metric.meet; best cuts
-    all rows found so far to those that count; limits gives (ask, bound): the distance beyond which
+    asks: (ask, vector, extra, low, high): the least and largest distance of interest. answer: see metric.meet, the distance beyond
+    which nothing counts any more being the last of its extra numbers; best cuts all rows found so far to those that count; limits gives (ask, bound): the distance beyond which
     nothing counts any more, where what is found tells it.
     """
     spark = store.pages.sparkSession
@@ -160,13 +160,14 @@ def search(
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = shared.value[1]
         for batch in batches:
-            low, seen, reach = (batch.column(i).to_numpy() for i in (3, 5, 7))
+            low, seen, limit, reach = (batch.column(i).to_numpy() for i in (3, 5, 6, 7))
+            extra = metric.lists(np.c_[metric.matrix(batch.column(2), extras), limit])
             for a in range(0, len(batch), piece):
                 part = batch.slice(a, piece)
                 bound = bounds(metric.matrix(part.column(1), width), low[a : a + piece])
                 row, page = np.nonzero(np.isfinite(bound) & (bound > seen[a : a + piece, None]) & (bound <= reach[a : a + piece, None]))
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(shard[page]), part.column(0).take(at), part.column(1).take(at), part.column(2).take(at)], names=["shard", "ask", "vector", "extra"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[page]), part.column(0).take(at), part.column(1).take(at), extra.slice(a, piece).take(at)], names=["shard", "ask", "vector", "extra"])
 
     state_names = ["ask", "vector", "extra", "low", "high", "seen", "limit"]
     kind = "ask long, vector array<double>, extra array<double>, low double, high double, seen double, limit double"
@@ -176,7 +177,7 @@ def search(
         state = stage(state.mapInArrow(advance(goal), kind + ", reach double"), "annuli-state")
         if state.isEmpty():
             return found
-        hits = metric.meet(store.pages.select("shard", "body"), state.mapInArrow(route, "shard long, ask long, vector array<double>, extra array<double>"), answer, found_kind, width, extras)
+        hits = metric.meet(store.pages.select("shard", "body"), state.mapInArrow(route, "shard long, ask long, vector array<double>, extra array<double>"), answer, found_kind, width, extras + 1)
         found = stage(best(hits if found is None else hits.unionByName(found)), "annuli-found")
         state = state.join(limits(found), "ask", "left").select("ask", "vector", "extra", "low", "high", F.col("reach").alias("seen"), F.least("high", F.coalesce("bound", "high")).alias("limit"))
         state = state.filter((F.col("seen") < F.col("limit")) & (F.col("seen") < F.lit(float("inf"))))
@@ -213,11 +214,17 @@ def hard_negatives(
     asked = stage(anchors.select("id", "label", "vector").dropDuplicates().select(F.monotonically_increasing_id().alias("ask"), "id", "label", "vector", (size + F.lit(longest)).alias("base")), "annuli-anchors")
     own = asked.select("ask", F.col("id").alias("own"), "base")
 
+    def floor(vectors: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """The score of a row at the limit, a little loosened."""
+        length = (vectors * vectors).sum(1) + longest
+        with np.errstate(invalid="ignore"):
+            return np.where(np.isfinite(limit), (length - limit * limit) / 2 - SLACK * length, -np.inf)[:, None]
+
     def same(shard, ask, vectors, extra) -> pa.RecordBatch:
         """The first rows of the ask's label, one more than asked for, as the anchor itself is among them."""
         x, label, ids, offsets = shard
         score = vectors @ x.T
-        score[label[None, :] != extra[:, :1]] = -np.inf
+        score[(label[None, :] != extra[:, :1]) | (score < floor(vectors, extra[:, -1]))] = -np.inf
         need = positives + 1
         least = np.partition(score, -need, axis=1)[:, -need] if score.shape[1] > need else np.full(len(score), -np.inf)
         who, row = np.nonzero((score >= least[:, None]) & (score > -np.inf))
@@ -249,9 +256,9 @@ def hard_negatives(
         """The first rows of other labels in each band of each ask."""
         x, label, ids, offsets = shard
         score = (vectors @ x.T).astype(np.int64)
-        apart = label[None, :] != extra[:, :1]
+        apart = (label[None, :] != extra[:, :1]) & (score >= floor(vectors, extra[:, -1]))
         parts = []
-        for band in range(extra.shape[1] - 1):
+        for band in range(positives):
             mark = extra[:, band + 1]
             has = ~np.isnan(mark)
             goal = np.where(has, mark, 0).astype(np.int64)[:, None]
