@@ -20,21 +20,25 @@ RELATIONS = ("contradicts", "elaborates", "depends_on", "unrelated")
 
 def similarity_edges(
     vectors: DataFrame, candidates: int = CANDIDATES, threshold: float = THRESHOLD, top_n: int = TOP_N,
-    nearest: Callable[[DataFrame, int], DataFrame] | None = None,
+    nearest: Callable[[DataFrame, int], DataFrame] | None = None, document: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """(src, dst, score, rank): for each chunk its best older chunks of other documents.
 
     Candidates are the nearest `candidates` older chunks; same-document ones are dropped after that, so they
     use up candidate places. The search is exact, quadratic in the chunks; for whole archives give `nearest`, a
-    search of older rows through an index: (queries, k) -> (query_id, chunk_id, score, rank).
+    search of older rows through an index: (queries, k) -> (query_id, chunk_id, score, rank). document: the document of a
+    chunk id, where ids tell it; else vectors hold both ends, with their document_id.
     """
     asked = vectors.select(F.col("chunk_id").alias("query_id"), "embedding", "seq")
     near = knn(asked, vectors, candidates, older_only=True) if nearest is None else nearest(asked, candidates)
-    ends = vectors.select("chunk_id", "document_id")
     pairs = near.select(F.col("query_id").alias("src"), F.col("chunk_id").alias("dst"), "score")
-    pairs = pairs.join(
-        ends.select(F.col("chunk_id").alias("src"), F.col("document_id").alias("src_doc")), "src",
-    ).join(ends.select(F.col("chunk_id").alias("dst"), F.col("document_id").alias("dst_doc")), "dst")
+    if document is not None:
+        pairs = pairs.withColumns({"src_doc": document(F.col("src")), "dst_doc": document(F.col("dst"))})
+    else:
+        ends = vectors.select("chunk_id", "document_id")
+        pairs = pairs.join(
+            ends.select(F.col("chunk_id").alias("src"), F.col("document_id").alias("src_doc")), "src",
+        ).join(ends.select(F.col("chunk_id").alias("dst"), F.col("document_id").alias("dst_doc")), "dst")
     kept = pairs.filter((F.col("src") != F.col("dst")) & (F.col("src_doc") != F.col("dst_doc")) & (F.col("score") >= threshold))
     return top_k(kept.select("src", "dst", "score"), ["src"], top_n, "dst")
 

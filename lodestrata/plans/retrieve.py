@@ -6,7 +6,6 @@ implied by row order. The whole plan is one DataFrame until its caller acts on i
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -18,7 +17,7 @@ from lodestrata.operators.graph import TYPES, adjacent, neighbours, undirected
 from lodestrata.operators.models import command
 from lodestrata.operators.search import bm25, bm25_postings, knn, metadata_filter, top_k
 from lodestrata.operators.tools import checked_parameters
-from lodestrata.sources.stores import shared_folder
+from lodestrata.sources.stores import kept
 from lodestrata.sources.tables import first_by
 
 
@@ -63,13 +62,6 @@ def ordered_distinct(rows: DataFrame, order: list[Column]) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """rows, written to the shared folder and read again."""
-    path = f"{shared_folder(rows.sparkSession)}/lodestrata/hits-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def retrieve(queries: DataFrame, stores: Stores, settings: Settings | None = None) -> DataFrame:
     """queries (query_id, embedding, terms) -> (query_id, rank, chunk_id, document_id, page_number, document_path, text, origin, confidence)."""
     s = settings or Settings()
@@ -87,7 +79,7 @@ def retrieve(queries: DataFrame, stores: Stores, settings: Settings | None = Non
         by_word.select("query_id", "chunk_id", F.lit(1).alias("part"), "rank", F.lit(1.0).alias("score"), F.lit("keyword_search").alias("origin"))
     )
     # A few rows a question that several stages read: written once, so they need no memory and no end.
-    hits = _kept(hits)
+    hits = kept(hits, "hits")
     place = [F.col("part"), F.col("rank")]
     seeds = hits.filter(((F.col("part") == 0) & (F.col("rank") <= s.vector_top)) | ((F.col("part") == 1) & (F.col("rank") <= s.keyword_top)))
     seeds = ordered_distinct(seeds, place).select("query_id", F.col("chunk_id").alias("node"), F.col("rank").alias("seed"))
@@ -100,7 +92,7 @@ def retrieve(queries: DataFrame, stores: Stores, settings: Settings | None = Non
 
     ranked = ordered_distinct(hits.unionByName(around), place).filter(F.col("rank") <= s.reranked)
     ranked = ranked.withColumn("origin", F.when(F.col("rank") == 1, "anchor").otherwise(F.col("origin"))).withColumn("part", F.lit(0))
-    ranked = _kept(ranked)
+    ranked = kept(ranked, "ranked")
     anchor = ranked.filter("rank = 1").select("query_id", "chunk_id")
 
     context = adjacent(anchor, stores.chunks, s.context)

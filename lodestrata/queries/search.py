@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,12 @@ from lodestrata.functions.answers import prompts
 from lodestrata.functions.ids import cache_key, chunk_document, chunk_id, chunk_index, chunk_page, document_id, point_id, prefixed
 from lodestrata.functions.vectors import normalised, sigmoid
 from lodestrata.operators import graph, search
+from lodestrata.operators.vector_index import VectorIndex
+from lodestrata.plans.incremental import Folder, added_edges
 from lodestrata.plans.retrieve import Settings, Stores, ordered_distinct, retrieve
 from lodestrata.queries import fixtures as X
 from lodestrata.queries.registry import query
-from lodestrata.sources.stores import stored
+from lodestrata.sources.stores import kept, shared_folder, stored, stored_folder
 from lodestrata.sources.tables import first_by, multi_get, table
 
 BM25 = """tok AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM chunks),
@@ -62,22 +66,20 @@ def p6_knn_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return search.knn(X.probes(spark, folder), X.vectors(spark, folder), threshold=0.3)
 
 
-def _index(spark: SparkSession, folder: str):
-    """The folder's vector index: its centres, and the vectors stored by cell."""
-    from lodestrata.operators import vector_index as V
+def _index(spark: SparkSession, folder: str) -> VectorIndex:
+    """The folder's vectors in a stored index."""
 
-    v = X.vectors(spark, folder)
-    centres = V.centres_table(v)
-    known = stored(centres, "centres", folder)
-    return stored(v, "cells", folder, lambda df, path: V.write_index(df, V.centres_of(known), path)), V.centres_of(known)
+    def build(df: DataFrame, path: str) -> None:
+        VectorIndex.create(df, path).append(df, "all")
+
+    return VectorIndex(spark, stored_folder(X.vectors(spark, folder), "cells", folder, build))
 
 
 @query()
 def j1_knn_indexed(spark: SparkSession, folder: str) -> DataFrame:
-    """The same search through an index; j1_index_recall measures it."""
-    from lodestrata.operators import vector_index as V
-
-    return V.search_index(X.probes(spark, folder), *_index(spark, folder))
+    """The same search through an index, wide because these vectors have no structure; j1_index_recall measures it."""
+    index = _index(spark, folder)
+    return index.nearest(X.probes(spark, folder), probes=round(0.8 * len(index.centres.fine)), rescored=24)
 
 
 @query("SELECT count(*) AS n_probes, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
@@ -136,18 +138,66 @@ def m6_similarity_edges(spark: SparkSession, folder: str) -> DataFrame:
     return X.similar(spark, folder)
 
 
+@query(_with(X.VECTORS, X.SIMILAR) + "SELECT src, dst, score, CAST(rank AS INTEGER) AS rank FROM alike")
+def m6_edges_through_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The same edges with older chunks searched through the index, all by all: the cells that can hold a score above the threshold, exactly."""
+    index = _index(spark, folder)
+    nearest = lambda q, k: index.above(q, X.EDGE_THRESHOLD, k, older_only=True)
+    return graph.similarity_edges(X.vectors(spark, folder), X.EDGE_CANDIDATES, X.EDGE_THRESHOLD, 10, nearest)
+
+
+@query(_with(X.VECTORS, X.SIMILAR) + "SELECT src, dst, score, CAST(rank AS INTEGER) AS rank FROM alike")
+def r13_edges_of_two_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The older half of the vectors, then the younger one: each batch's chunks search what is stored, nothing is built anew."""
+    v = X.vectors(spark, folder)
+    middle = v.agg(F.percentile_approx("seq", 0.5)).first()[0] or 0
+    index = VectorIndex.create(v.filter(F.col("seq") <= middle), f"{shared_folder(spark)}/lodestrata/batches-{uuid.uuid4().hex}")
+    halves = (("first", v.filter(F.col("seq") <= middle)), ("second", v.filter(F.col("seq") > middle)))
+    one, two = (kept(added_edges(index, rows, name, X.EDGE_THRESHOLD, X.EDGE_CANDIDATES), "edges") for name, rows in halves)
+    return one.unionByName(two)
+
+
+def _measured(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines as unit vectors of their measures: vectors with structure."""
+    rows = table(spark, folder, "lineitem")
+    parts = (F.lit(1.0), F.col("l_quantity") / 50, F.col("l_extendedprice") / 100_000, F.col("l_discount") * 10, F.col("l_tax") * 12, F.month("l_shipdate") / 12)
+    return rows.select(F.concat_ws("_", "l_orderkey", "l_linenumber").alias("chunk_id"), "l_orderkey", normalised(F.array(*parts)).cast("array<float>").alias("embedding"))
+
+
+@query("SELECT count(DISTINCT concat_ws('_', l_orderkey, l_linenumber)) AS n_probes, true AS enough, true AS few FROM lineitem WHERE l_orderkey % 200 = 0")
+def j1_recall_in_few_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether a search of one cell in twenty finds nine in ten of the nearest twelve, over vectors with structure."""
+    v = _measured(spark, folder)
+    index = VectorIndex(spark, stored_folder(v, "measures", folder, lambda df, path: VectorIndex.create(df, path).append(df, "all")))
+    asked = v.filter("l_orderkey % 200 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    least = search.knn(asked, v).filter("rank = 12").select("query_id", F.col("score").alias("least"))
+    cells = int((index.limits()[1] > 0).sum())
+    probes = max(1, cells // 20)
+    met = index.nearest(asked, probes=probes).join(least, "query_id").filter(F.col("score") >= F.col("least"))
+    return met.agg(F.countDistinct("query_id").alias("n_probes"), (F.count("*") >= 0.9 * 12 * F.countDistinct("query_id")).alias("enough"), F.lit(20 * probes <= max(cells, 20)).alias("few"))
+
+
 @query(_with(X.VECTORS, X.SIMILAR) + "SELECT count(*) AS n_edges, true AS enough FROM alike")
 def m6_index_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether nine in ten similarity edges are found when older chunks are searched through the index, all by all."""
-    from lodestrata.operators import vector_index as V
-
-    cells, centres = _index(spark, folder)
-    nearest = lambda q, k: V.index_join(q, cells, centres, k, older_only=True)
+    """Whether nine in ten similarity edges are found when the nearest cells alone are asked, all by all."""
+    index = _index(spark, folder)
+    nearest = lambda q, k: index.nearest(q, k, round(0.8 * len(index.centres.fine)), 24, older_only=True)
     found = graph.similarity_edges(X.vectors(spark, folder), X.EDGE_CANDIDATES, X.EDGE_THRESHOLD, 10, nearest).select("src", "dst", F.lit(1).alias("hit"))
     met = X.similar(spark, folder).join(found, ["src", "dst"], "left")
     return met.agg(F.count("*").alias("n_edges"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough"))
 
 
+@query()
+def r13_ingested_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents ingested in two batches: the archive's edges. The tests hold them against one batch and all by all."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.format_string("f%d.txt", "doc_id").alias("file_name"))
+    middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0] or 0
+    archive = Folder(spark, f"{shared_folder(spark)}/lodestrata/archive-{uuid.uuid4().hex}")
+    archive.add(docs.filter(F.col("doc_id") <= middle), "first")
+    archive.add(docs.filter(F.col("doc_id") > middle), "second")
+    return archive.table("similar").select("src", "dst", "score", "rank")
+
+
 @query(_with(X.VECTORS, X.SIMILAR, X.PAIRS) + "SELECT src, dst, relation, confidence FROM judged")
 def m3_classified_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return X.judged_pairs(spark, folder)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lodestrata.operators.search import TERM_BUCKETS, postings
 
 CHUNK_GROUPS = 4
-_made: dict[tuple[str, str], DataFrame] = {}
+_made: dict[tuple[str, str], str] = {}
 _temporary: dict[str, str] = {}
 
 
@@ -37,20 +37,34 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, of: str, build: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
-    """df's table, written when it is first asked for in a session (name it by what it is made `of`), then read."""
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written to the shared folder and read again: cuts the lineage, and a lost executor costs only its running tasks."""
+    path = f"{shared_folder(rows.sparkSession)}/lodestrata/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def stored_folder(df: DataFrame, name: str, of: str, build: Callable[[DataFrame, str], None]) -> str:
+    """The folder of a store made of df, written when it is first asked for in a session (name it by what it is made `of`)."""
     spark = df.sparkSession
     known = (spark.sparkContext.applicationId, f"{name}|{of}")
     if known not in _made:
         path = f"{shared_folder(spark)}/lodestrata/store-{name}-{uuid.uuid4().hex}"
-        if build is None:
-            df.write.parquet(path)
-        else:
-            build(df, path)
-        _made[known] = spark.read.parquet(path)
+        build(df, path)
+        _made[known] = path
     return _made[known]
 
 
+def stored(df: DataFrame, name: str, of: str, build: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
+    """df's table, written when it is first asked for in a session, then read."""
+    return df.sparkSession.read.parquet(stored_folder(df, name, of, build or (lambda df, path: df.write.parquet(path))))
+
+
+def forget_stored() -> None:
+    """The next time each store is asked for, it is made anew: call it where the data of a folder have changed."""
+    _made.clear()
+
+
 def term_bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
 

@@ -357,21 +357,6 @@ def test_sinks(spark, tmp_path):
     assert [r.path for r in sinks.new_files(a, b).collect()] == ["/y/two.pdf"]
 
 
-def test_index_recall(spark):
-    from lodestrata.operators import vector_index as V
-    from lodestrata.queries import fixtures as X
-
-    folder = "/root/testdata/sf0.1"
-    v, q = X.vectors(spark, folder), X.probes(spark, folder)
-    centres = V.cell_centres(v)
-    index = V.indexed(v, centres)
-    assert index.count() == v.count()
-    exact = {(r.query_id, r.chunk_id) for r in search.knn(q, v).collect()}
-    found = {(r.query_id, r.chunk_id) for r in V.search_index(q, index, centres).collect()}
-    assert len(exact & found) / len(exact) >= 0.9
-    assert V.search_index(q.limit(0), index, centres).count() == 0
-
-
 def test_file_rules(spark):
     """Examples of the rules on names, sizes, kinds, captions, origins and errors."""
     L = F.lit
