@@ -15,7 +15,6 @@ from lodestrata.functions.text import tokens
 K1, B = 1.2, 0.75
 QUERY_BLOCK = 4096
 BLOCK_TEXTS = 1000
-TERM_BUCKETS = 64
 PIECE_ROWS = 1000
 
 
@@ -73,15 +72,13 @@ def query_blocks(queries: DataFrame, *columns) -> Iterator[pd.DataFrame]:
 
 
 def bm25_postings(
-    queries: DataFrame, index: DataFrame, n: int, avgdl: float, k: int = 12, key: str = "chunk_id", frequencies: DataFrame | None = None
+    queries: DataFrame, index: DataFrame, n: int, avgdl: float, k: int = 12, key: str = "chunk_id",
 ) -> DataFrame:
-    """Top k texts for each query, from postings (term, key, tf, dl[, bucket]): (query_id, key, score, rank).
+    """Top k texts for each query, from postings (term, key, tf, dl): (query_id, key, score, rank).
 
-    Only the asked terms' lists are read (those of their buckets, where the index has them), and each goes once to
-    the tasks of its texts, however many queries ask for the term. A task holds BLOCK_TEXTS texts' scores for all
+    The asked terms' lists go once to the tasks of their texts, however many queries ask for the term. A task holds BLOCK_TEXTS texts' scores for all
     queries of a block as a matrix and gives out the best k a query. Queries come in blocks of QUERY_BLOCK. Scores
-    are rounded to six decimals and ties go by key. frequencies: stored document frequencies (term, df[, bucket]);
-    without them they are counted over the asked lists.
+    are rounded to six decimals and ties go by key. Stored postings are searched by `impacts`.
     """
     spark = index.sparkSession
     found = None
@@ -95,12 +92,8 @@ def bm25_postings(
             continue
         names = sorted(asking)
         asked = spark.createDataFrame(pa.table({"term": names, "at": pa.array(range(len(names)), pa.int32())}))
-        wanted = None
-        if "bucket" in index.columns:
-            wanted = [r[0] for r in asked.select(F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")).distinct().collect()]
-        near = lambda table, wanted=wanted, asked=asked: (table if wanted is None else table.filter(F.col("bucket").isin(wanted))).join(F.broadcast(asked), "term")
-        lists = near(index).select("at", key, "tf", "dl")
-        counted = lists.groupBy("at").agg(F.count("*").alias("df")) if frequencies is None else near(frequencies).select("at", "df")
+        lists = index.join(F.broadcast(asked), "term").select("at", key, "tf", "dl")
+        counted = lists.groupBy("at").agg(F.count("*").alias("df"))
         df = {r["at"]: r["df"] for r in counted.collect()}  # a row an asked term
         idf = np.array([np.log(1 + (n - df.get(i, 0) + 0.5) / (df.get(i, 0) + 0.5)) for i in range(len(names))])
         shared = spark.sparkContext.broadcast((pa.array(part["query_id"]), [np.array(asking[t]) for t in names], idf))

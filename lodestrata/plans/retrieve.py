@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.ids import chunk_document, chunk_page
 from lodestrata.operators.graph import TYPES, adjacent, neighbours, undirected
+from lodestrata.operators.impacts import Keywords
 from lodestrata.operators.models import command
-from lodestrata.operators.search import bm25, bm25_postings, knn, metadata_filter, top_k
+from lodestrata.operators.search import bm25, knn, metadata_filter, top_k
 from lodestrata.operators.tools import checked_parameters
 from lodestrata.sources.stores import kept
 from lodestrata.sources.tables import first_by
@@ -40,8 +41,7 @@ class Stores:
     """chunks(chunk_id, document_id, page_number, chunk_index, text), vectors(chunk_id, document_id, embedding),
     similar(src, dst, score), typed(src, dst, type, confidence), metadata(document_id, path, file_name, ...).
 
-    postings(term, chunk_id, tf, dl[, bucket]), frequencies(term, df[, bucket]) and statistics (texts, mean length): where they are stored, keyword
-    search reads the asked terms' lists, else it counts the texts. nearest: a search through an index in place of
+    keywords: stored postings for keyword search; without them every batch of questions counts all texts. nearest: a search through an index in place of
     the exact one, (queries, k) -> (query_id, chunk_id, score, rank); questions with filters are searched exactly.
     """
 
@@ -50,9 +50,7 @@ class Stores:
     similar: DataFrame
     typed: DataFrame
     metadata: DataFrame
-    postings: DataFrame | None = None
-    frequencies: DataFrame | None = None
-    statistics: tuple[int, float] | None = None
+    keywords: Keywords | None = None
     nearest: Callable[[DataFrame, int], DataFrame] | None = None
 
 
@@ -68,9 +66,7 @@ def retrieve(queries: DataFrame, stores: Stores, settings: Settings | None = Non
     allowed = metadata_filter(stores.metadata, s.filters)
     vectors = stores.vectors if allowed is None else stores.vectors.join(allowed, "document_id", "left_semi")
     by_vector = knn(queries, vectors, s.vector_k) if stores.nearest is None or allowed is not None else stores.nearest(queries, s.vector_k)
-    by_word = bm25(queries, stores.chunks, s.keyword_k) if stores.postings is None else bm25_postings(
-        queries, stores.postings, *(stores.statistics or (0, 1.0)), s.keyword_k,
-    )
+    by_word = bm25(queries, stores.chunks, s.keyword_k) if stores.keywords is None else stores.keywords.search(queries, s.keyword_k)
     if allowed is not None:  # after the top k, so fewer may remain
         inside = stores.chunks.join(allowed, "document_id", "left_semi").select("chunk_id")
         by_word = by_word.join(inside, "chunk_id", "left_semi")

@@ -112,21 +112,14 @@ def cosine_of(a: Column, b: Column) -> Column:
     return F.round(dot(a, b), 6)
 
 
-def chunk_postings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, tuple[int, float]]:
-    """The stored postings of a folder's chunks, their document frequencies, and the number of texts with their mean length."""
-    from lodestrata.operators.search import corpus_statistics
-    from lodestrata.sources.stores import stored, write_frequencies, write_postings
+def keywords(spark: SparkSession, folder: str):
+    """The stored, impact-ordered postings of a folder's chunks."""
+    from lodestrata.operators.impacts import Keywords, write_impacts
+    from lodestrata.sources.stores import stored_folder
 
-    c = chunks(spark, folder)
-    index = stored(c.select("chunk_id", "text"), "postings", folder, write_postings)
-    frequencies = stored(index, "frequencies", folder, write_frequencies)
-    size = stored(corpus_statistics(c), "statistics", folder).first()
-    return index, frequencies, (size["n"], size["avgdl"] or 1.0)
+    return Keywords(spark, stored_folder(chunks(spark, folder).select("chunk_id", "text"), "impacts", folder, write_impacts))
 
 
 def keyword_hits(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
     """The best twelve chunks for each question, from the stored postings."""
-    from lodestrata.operators.search import bm25_postings
-
-    index, frequencies, size = chunk_postings(spark, folder)
-    return bm25_postings(asked, index, *size, frequencies=frequencies)
+    return keywords(spark, folder).search(asked)

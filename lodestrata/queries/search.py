@@ -40,6 +40,16 @@ def j3_bm25_top12(spark: SparkSession, folder: str) -> DataFrame:
     return X.keyword_hits(spark, folder, X.questions(spark, folder))
 
 
+@query(
+    _with(X.CHUNKS, X.QUESTIONS, BM25.split(",\nbm ")[0])
+    + "SELECT count(DISTINCT term) AS terms, CAST(sum(df) AS BIGINT) AS postings, true AS fewer FROM df WHERE term IN (SELECT term FROM asked)"
+)
+def j3_postings_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Asked terms, the postings of their lists, and whether the search reads fewer."""
+    found = X.keywords(spark, folder).reading(X.questions(spark, folder))
+    return found.agg(F.count("*").alias("terms"), F.sum("df").alias("postings"), (F.sum("read") < F.sum("df")).alias("fewer"))
+
+
 @query(_with(X.CHUNKS, BM25.split(",\npost")[0]) + "SELECT n, round(avgdl, 6) AS avgdl FROM size")
 def a20_corpus_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return search.corpus_statistics(X.chunks(spark, folder)).select("n", F.round("avgdl", 6).alias("avgdl"))
@@ -47,7 +57,7 @@ def a20_corpus_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_with(X.CHUNKS, BM25.split(",\nasked")[0]) + "SELECT term, df, CAST(sum(tf) AS BIGINT) AS cf FROM tf JOIN df USING (term) GROUP BY term, df")
 def a20_term_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return X.chunk_postings(spark, folder)[1].select("term", "df", "cf")
+    return X.keywords(spark, folder).statistics()
 
 
 @query(_with(X.CHUNKS) + "SELECT chunk_id, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS BIGINT) AS n_tokens, CAST(len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS BIGINT) AS n_distinct FROM chunks")
@@ -392,9 +402,8 @@ def _batch(spark: SparkSession, folder: str) -> DataFrame:
 
 def _stores(spark: SparkSession, folder: str) -> Stores:
     """The archive's stored tables: graphs and postings are made once, not by a question's plan."""
-    postings, frequencies, statistics = X.chunk_postings(spark, folder)
     similar, typed = stored(X.similar(spark, folder), "similar", folder), stored(X.typed(spark, folder), "typed", folder)
-    return Stores(X.chunks(spark, folder), X.vectors(spark, folder), similar, typed, X.metadata(spark, folder), postings, frequencies, statistics)
+    return Stores(X.chunks(spark, folder), X.vectors(spark, folder), similar, typed, X.metadata(spark, folder), X.keywords(spark, folder))
 
 
 MERGED = "firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY part, rank) AS f FROM hits) WHERE f = 1)"
