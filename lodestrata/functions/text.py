@@ -7,8 +7,25 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns of tokens, running lines, headings, tables and images.
-TOKEN = r"[\p{L}\p{N}]+"
+# Character classes of the published word-break rules (Unicode Standard Annex 29).
+_BY_CHARACTER = r"\p{IsHan}\p{IsHiragana}"
+_KATAKANA = r"\p{IsKatakana}\u3031-\u3035\u30a0\u30fc\uff70"
+_UNSPACED = r"\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}"
+_LETTER = rf"[\p{{L}}\p{{Nl}}&&[^{_BY_CHARACTER}{_KATAKANA}{_UNSPACED}]]"
+_MARK = r"[\p{M}\p{Cf}&&[^\u200b]]"
+_CONNECTOR = r"[\p{Pc}\u202f]"
+_IN_LETTERS = r"[:\u00b7\u0387\u055f\u05f4\u2027\ufe13\ufe55\uff1a.\u2018\u2019\u2024\ufe52\uff07\uff0e']"
+_IN_NUMBERS = r"[,;\u037e\u0589\u060c\u060d\u066c\u07f8\u2044\ufe10\ufe14\ufe50\ufe54\uff0c\uff1b.\u2018\u2019\u2024\ufe52\uff07\uff0e']"
+LONGEST_TOKEN = 255
+
+# A word is a run of letters, digits and connectors with a letter or a digit in it, carried on by a sign between two letters or two
+# digits. Runs and their continuations are bounded, so no text makes the matcher recurse far; longer ones are cut, as by the rule.
+_RUN = rf"[{_LETTER}{_MARK}{_CONNECTOR}\p{{Nd}}]"
+_BETWEEN = rf"(?<=[{_LETTER}{_MARK}]){_IN_LETTERS}(?={_LETTER})|(?<=\p{{Nd}}){_IN_NUMBERS}(?=\p{{Nd}})"
+_WORD = rf"{_CONNECTOR}{{0,{LONGEST_TOKEN - 1}}}[{_LETTER}\p{{Nd}}]{_RUN}{{0,{LONGEST_TOKEN - 1}}}(?:(?:{_BETWEEN}){_RUN}{{1,{LONGEST_TOKEN}}}){{0,{LONGEST_TOKEN // 2}}}"
+TOKEN = rf"[{_BY_CHARACTER}]{_MARK}*|[{_KATAKANA}][{_KATAKANA}{_MARK}]{{0,{LONGEST_TOKEN - 1}}}|[{_UNSPACED}][{_UNSPACED}{_MARK}]{{0,{LONGEST_TOKEN - 1}}}|{_WORD}"
+
+# Patterns of running lines, headings, tables and images.
 NOISE = (r"(?m)^Page \d+ of \d+$", r"(?m)^\d+$", r"(?m)^-\s*\d+\s*-$")
 HEADING = r"(?m)^(#{1,6})\s+(.+)$"
 TABLE = r"\|[-:]+\|"
@@ -24,7 +41,11 @@ LANGUAGE_WORDS = {
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits; no stop words are removed."""
+    """Standard analysis: the words between Unicode word boundaries in lower case, none left out.
+
+    "don't", "3.14" and "foo_bar" are one word each, "a-b" is two, an ideograph or a hiragana is a word alone; signs and emoji are none. A
+    word of more than 255 characters is cut into pieces of as many.
+    """
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 

@@ -15,7 +15,7 @@ from lodestrata.queries.search import _with
 from lodestrata.sources.tables import archive_kind, first_by, table, upsert
 
 
-@query(_with(X.CHUNKS, "tok AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS t FROM chunks), c AS (SELECT chunk_id, CAST(CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64 AS INTEGER) AS bucket, count(*) AS n FROM tok GROUP BY ALL)") + "SELECT chunk_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)), 6) AS weight FROM c")
+@query(_with(X.CHUNKS, "tok AS (SELECT chunk_id, unnest(" + X.words_sql("text") + ") AS t FROM chunks), c AS (SELECT chunk_id, CAST(CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64 AS INTEGER) AS bucket, count(*) AS n FROM tok GROUP BY ALL)") + "SELECT chunk_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)), 6) AS weight FROM c")
 def m1_hashed_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return models.hashed_weights(X.chunks(spark, folder))
 

@@ -14,12 +14,25 @@ from lodestrata.sources.tables import table
 
 _NUMBERS = "printf('DOC_%d', {0} // 5) AS document_id, CAST(({0} % 5) // 2 + 1 AS INTEGER) AS page_number, CAST({0} % 5 + 1 AS INTEGER) AS chunk_index, printf('DOC_%d_P%02d_C%02d', {0} // 5, ({0} % 5) // 2 + 1, {0} % 5 + 1) AS chunk_id"
 
+# Words between Unicode word boundaries, for DuckDB: its patterns lack subtraction and look-around, so letters are listed by script.
+_LETTER = r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Armenian}\p{Hebrew}\p{Arabic}\p{Devanagari}\p{Bengali}\p{Tamil}\p{Georgian}\p{Ethiopic}\p{Hangul}\x{b5}][\p{M}]*"
+_MID = r"[:\x{b7}\x{387}\x{2027}.\x{2018}\x{2019}\x{2024}'']"
+_DIGITS = r"\p{Nd}\p{M}*(?:[,;.\x{2018}\x{2019}\x{2024}'']\p{Nd}\p{M}*)*"
+_PART = f"{_LETTER}(?:{_MID}{_LETTER})*|{_DIGITS}"
+_PATTERN = rf"[\p{{Han}}\p{{Hiragana}}]\p{{M}}*|[\p{{Katakana}}\x{{30fc}}]+|\p{{Pc}}*(?:{_PART})(?:{_PART}|\p{{Pc}})*"
+
+
+def words_sql(text: str) -> str:
+    """The words of a text, in SQL."""
+    return f"flatten(list_transform(regexp_extract_all(lower({text}), '{_PATTERN}'), lambda w: regexp_extract_all(w, '(?s).{{1,255}}')))"
+
+
 CHUNKS = f"chunks AS (SELECT doc_id AS seq, {_NUMBERS.format('doc_id')}, text, lang AS language, source AS source_type FROM documents)"
 VECTORS = f"vectors AS (SELECT vec_id AS seq, {_NUMBERS.format('vec_id')}, embedding, label FROM embeddings)"
 METADATA = """meta AS (SELECT printf('DOC_%d', n) AS document_id, printf('Volume %d of %s', n, source) AS title, CASE WHEN n % 7 = 0 THEN NULL ELSE printf('/archive/%s/DOC_%d.md', source, n) END AS path,
   printf('Author %d', n % 11) AS author, printf('2024-%02d-%02d', n % 12 + 1, n % 28 + 1) AS created_date, source AS source_type, lang AS language, CASE WHEN n % 3 = 0 THEN '' ELSE printf('DOC_%d.pdf', n) END AS file_name
   FROM (SELECT doc_id // 5 AS n, arg_min(source, doc_id) AS source, arg_min(lang, doc_id) AS lang FROM documents GROUP BY ALL))"""
-QUESTIONS = "questions AS (SELECT item_id AS query_id, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS terms FROM benchmark)"
+QUESTIONS = f"questions AS (SELECT item_id AS query_id, text, {words_sql('text')} AS terms FROM benchmark)"
 PROBES = "probes AS (SELECT vec_id AS query_id, vec_id AS seq, embedding FROM embeddings WHERE vec_id % 20 = 0)"
 
 

@@ -19,7 +19,7 @@ from lodestrata.queries.registry import query
 from lodestrata.sources.stores import kept, shared_folder, stored, stored_folder
 from lodestrata.sources.tables import first_by, multi_get, table
 
-BM25 = """tok AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM chunks),
+BM25 = f"""tok AS (SELECT chunk_id, {X.words_sql('text')} AS t FROM chunks),
 size AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
 post AS (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM tok),
 tf AS (SELECT term, chunk_id, dl, count(*) AS tf FROM post GROUP BY ALL),
@@ -60,7 +60,7 @@ def a20_term_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return X.keywords(spark, folder).statistics()
 
 
-@query(_with(X.CHUNKS) + "SELECT chunk_id, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS BIGINT) AS n_tokens, CAST(len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS BIGINT) AS n_distinct FROM chunks")
+@query(_with(X.CHUNKS) + "SELECT chunk_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT chunk_id, " + X.words_sql("text") + " AS t FROM chunks)")
 def f30_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     t = search.tokens(F.col("text"))
     return X.chunks(spark, folder).select("chunk_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
@@ -117,7 +117,7 @@ def p5_keyword_postfiltered(spark: SparkSession, folder: str) -> DataFrame:
     return j3_bm25_top12(spark, folder).join(there, "chunk_id", "left_semi").select("query_id", "chunk_id", "score", "rank")
 
 
-@query(_with(X.METADATA) + "SELECT document_id FROM meta WHERE list_contains(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'), 'src3') AND list_contains(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'), 'volume') AND language = 'en'")
+@query(_with(X.METADATA) + "SELECT document_id FROM meta WHERE list_contains(" + X.words_sql("title") + ", 'src3') AND list_contains(" + X.words_sql("title") + ", 'volume') AND language = 'en'")
 def p1_metadata_filter(spark: SparkSession, folder: str) -> DataFrame:
     return search.metadata_filter(X.metadata(spark, folder), {"title": "src3 Volume", "language": "en", "author": None})
 

@@ -109,3 +109,34 @@ def test_retrieval_with_and_without_stored_postings(spark, tmp_path):
     with_ = retrieve(asked, Stores(chunks, vectors, similar, typed, meta, Keywords(spark, str(tmp_path / "k"))), few).collect()
     without = retrieve(asked, Stores(chunks, vectors, similar, typed, meta), few).collect()
     assert sorted(map(str, with_)) == sorted(map(str, without)) and any(r.origin == "keyword_search" for r in with_)
+
+
+WORDS = {
+    "Don't panic": ["don't", "panic"],
+    "pi is 3.14, not 1,000.5": ["pi", "is", "3.14", "not", "1,000.5"],
+    "foo_bar _x __ a-b": ["foo_bar", "_x", "a", "b"],
+    "U.S.A. e.g. end.Start": ["u.s.a", "e.g", "end.start"],
+    "user@example.com http://x.org/a": ["user", "example.com", "http", "x.org", "a"],
+    "漢字ひら カタカナー 한국어": ["漢", "字", "ひ", "ら", "カタカナー", "한국어"],
+    "a1 1a 1.a a.1": ["a1", "1a", "1", "a", "a", "1"],
+    "it’s naïve café STRASSE": ["it’s", "naïve", "café", "strasse"],
+    "x" * 600: ["x" * 255, "x" * 255, "x" * 90],
+    "'quoted' \"text\" -- 🎉": ["quoted", "text"],
+    "": [],
+}
+
+
+def test_words_follow_the_published_boundaries(spark):
+    from lodestrata.functions.text import tokens
+
+    got = spark.createDataFrame([(k,) for k in WORDS], "t string").select("t", tokens(F.col("t")).alias("w")).collect()
+    assert {r.t: r.w for r in got} == WORDS
+    assert spark.createDataFrame([(None,)], "t string").select(tokens(F.col("t")).alias("w")).first().w is None
+
+
+def test_words_of_long_runs(spark):
+    from lodestrata.functions.text import tokens
+
+    for text in ("aB3." * 50_000, "a." * 100_000, "1," * 50_000, "_" * 100_000 + "a", "'" * 100_000):
+        got = spark.createDataFrame([(text,)], "t string").select(tokens(F.col("t")).alias("w")).first().w
+        assert sum(map(len, got)) <= len(text) and all(w for w in got)
