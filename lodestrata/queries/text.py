@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import ids, metadata, text
 from lodestrata.operators.chunking import chunked
+from lodestrata.operators.markdown import to_markdown
 from lodestrata.operators.models import summary
 from lodestrata.queries.registry import query
 from lodestrata.sources.tables import table
@@ -252,3 +253,59 @@ def f37_date_formats(spark: SparkSession, folder: str) -> DataFrame:
     texts = ["2024-03-05", "2024/3/5", "March 5, 2024", "Mar 5, 2024", "5 March 2024", "5 Mar 2024", "03/05/2024", "13/05/2024", "spring 1987", "none"]
     rows = F.explode(F.arrays_zip(F.sequence(F.lit(1), F.lit(len(texts))).alias("n"), F.array(*map(F.lit, texts)).alias("t")))
     return spark.range(1).select(rows.alias("r")).select(F.col("r.n").alias("n"), metadata.parsed_date(F.col("r.t")).alias("found"))
+
+
+# Pages hold one heading, paragraphs, line breaks and emphasis; the rest of them is left out.
+_MARKDOWN = r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(replace(html, chr(10), ' '), '(?is)<!doctype[^>]*>|<head\b.*?</head>|<script\b.*?</script>|<!--.*?-->', '', 'g'), '(?is)<(nav|footer)\b.*?</(nav|footer)>', chr(10) || chr(10), 'g'),
+    '(?i)<h1>', chr(10) || chr(10) || '# ', 'g'), '(?i)<br>', chr(10), 'g'), '(?i)</?(p|div|article|body|html|h1)\b[^>]*>', chr(10) || chr(10), 'g') , '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'),
+  '</?b>', '', 'g'), '[ \t]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS markdown FROM pages"""
+
+
+@query("SELECT page_id, regexp_replace(markdown, '^\\s+|\\s+$', '', 'g') AS markdown FROM (" + _MARKDOWN + ")")
+def s10_page_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as markdown, headings kept."""
+    return to_markdown(table(spark, folder, "pages"))
+
+
+def _reports(spark: SparkSession, folder: str) -> DataFrame:
+    """A page for each customer with orders: a heading, a sentence, and a table of the order lines, some longer than a chunk."""
+    cell = lambda tag, *values: F.concat(*[F.concat(F.lit(f"<{tag}>"), v, F.lit(f"</{tag}>")) for v in values])
+    row = F.concat(F.lit("<tr>"), cell("td", F.concat_ws("-", "l_orderkey", "l_linenumber"), F.col("o_orderpriority"), F.col("l_returnflag")), F.lit("</tr>"))
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").distinct()
+    lines = table(spark, folder, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    orders = lines.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_returnflag", row.alias("row")))).alias("rows"))
+    head = F.lit("<tr><th>Line</th><th>Priority</th><th>Flag</th></tr>")
+    body = F.concat(
+        F.lit("<html><head><title>x</title></head><body><h1>Customer "), F.col("c_custkey").cast("string"), F.lit("</h1><p>Of the "), F.lower("c_mktsegment"), F.lit(" segment.</p><nav>menu</nav><h2>Orders</h2><table>"),
+        head, F.array_join(F.transform("rows", lambda r: r["row"]), ""), F.lit("</table></body></html>"),
+    )
+    return table(spark, folder, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", body.alias("html"))
+
+
+_REPORT = """lines AS (SELECT o_custkey, string_agg('| ' || l_orderkey || '-' || l_linenumber || ' | ' || o_orderpriority || ' | ' || l_returnflag || ' |', chr(10) ORDER BY l_orderkey, l_linenumber, l_returnflag) AS body FROM orders JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem) ON l_orderkey = o_orderkey GROUP BY o_custkey),
+parts AS (SELECT c_custkey, '# Customer ' || c_custkey AS head, 'Of the ' || lower(c_mktsegment) || ' segment.' AS said, '| Line | Priority | Flag |' || chr(10) || '|---|---|---|' || chr(10) || body AS orders FROM customer JOIN lines ON o_custkey = c_custkey)"""
+
+
+@query(f"WITH {_REPORT} SELECT c_custkey, concat_ws(chr(10) || chr(10), head, said, '## Orders', orders) AS markdown FROM parts")
+def s10_report_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with headings and tables as markdown."""
+    return to_markdown(_reports(spark, folder), "c_custkey")
+
+
+@query(
+    f"""WITH {_REPORT}, sized AS (SELECT *, len(string_split_regex(trim(orders), '\\s+')) AS n, len(string_split_regex(said, '\\s+')) AS m FROM parts),
+split AS (SELECT c_custkey, 1 AS chunk_index, head || chr(10) || said AS paragraph_text FROM sized WHERE 5 + m + n > 250 UNION ALL SELECT c_custkey, 2, '## Orders' || chr(10) || chr(10) || orders FROM sized WHERE 5 + m + n > 250
+  UNION ALL SELECT c_custkey, 1, head || chr(10) || said || chr(10) || chr(10) || orders FROM sized WHERE 5 + m + n <= 250)
+SELECT c_custkey, CAST(1 AS INTEGER) AS page_number, CAST(chunk_index AS INTEGER) AS chunk_index, paragraph_text FROM split"""
+)
+def f4_report_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of those pages: a heading stays with what follows, a table that is too long is a chunk alone, whole."""
+    return chunked(s10_report_markdown(spark, folder), "c_custkey", "markdown")
+
+
+@query()
+def f4_page_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of the pages as markdown: the heading stays with its first paragraph."""
+    return chunked(s10_page_markdown(spark, folder), "page_id", "markdown")
