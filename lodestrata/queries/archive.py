@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text
-from lodestrata.operators import models
+from lodestrata.operators import events, models
 from lodestrata.queries import fixtures as X
 from lodestrata.queries.registry import query
 from lodestrata.sources import tables as S
+from lodestrata.sources.keyed import KeyedTable
+from lodestrata.sources.stores import shared_folder
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,6 +155,45 @@ def k1_upserted_documents(spark: SparkSession, folder: str) -> DataFrame:
     return S.upsert(*_stored(spark, folder), ["doc_id"], "version")
 
 
+@query(f"WITH {UPSERT} SELECT doc_id, lang, source, version FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY version DESC, n DESC) AS r FROM (SELECT *, 0 AS n FROM stored UNION ALL SELECT *, 1 FROM fresh)) WHERE r = 1")
+def k1_upserted_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """The same upsert into a keyed table, which rewrites the buckets of the new keys."""
+    stored, fresh = _stored(spark, folder)
+    return _keyed(stored, ["doc_id"], fresh).read()
+
+
+def _keyed(stored: DataFrame, keys: list[str], fresh: DataFrame, version: str = "version", buckets: int | None = None) -> KeyedTable:
+    path = f"{shared_folder(stored.sparkSession)}/lodestrata/keyed-{uuid.uuid4().hex}"
+    table = KeyedTable.create(stored, path, keys, version, buckets)
+    table.upsert(fresh)
+    return table
+
+
+@query(f"WITH {X.METADATA} SELECT document_id, CASE WHEN document_id LIKE '%7' THEN NULL ELSE title END AS title, path, file_name, CASE WHEN document_id LIKE '%7' THEN 2 ELSE 1 END AS version FROM meta")
+def k3_metadata_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata put in again whole: a null in the new row is kept as a null."""
+    meta = X.metadata(spark, folder).select("document_id", "title", "path", "file_name", F.lit(1).alias("version"))
+    fresh = meta.filter("document_id like '%7'").withColumns({"title": F.lit(None).cast("string"), "version": F.lit(2)})
+    return _keyed(meta, ["document_id"], fresh).read()
+
+
+@query("SELECT count(*) AS n_keys, true AS only_theirs, true AS fewer FROM documents WHERE doc_id % 100 = 0")
+def k1_buckets_rewritten(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether an upsert of one row in a hundred writes the buckets of its keys and no other."""
+    docs = S.table(spark, folder, "documents").select("doc_id", "lang", F.lit(1).alias("version"))
+    buckets = max(64, docs.count() // 5)
+    path = f"{shared_folder(spark)}/lodestrata/keyed-{uuid.uuid4().hex}"
+    table = KeyedTable.create(docs, path, ["doc_id"], "version", buckets)
+    before = table.folders()
+    fresh = docs.filter("doc_id % 100 = 0").withColumn("version", F.lit(2))
+    written = table.upsert(fresh)
+    after = table.folders()
+    changed = {b for b in after if before.get(b) != after[b]}
+    theirs = {r[0] for r in fresh.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).distinct().collect()}  # at most a row a bucket
+    same = spark.range(1).select(F.lit(changed == theirs and written == len(theirs)).alias("only_theirs"), F.lit(len(changed) < len(after)).alias("fewer"))
+    return table.read().filter("version = 2").agg(F.count("*").alias("n_keys")).join(same)
+
+
 @query(f"WITH {UPSERT} SELECT * FROM stored WHERE doc_id NOT IN (SELECT doc_id FROM fresh)")
 def k10_deleted_documents(spark: SparkSession, folder: str) -> DataFrame:
     stored, fresh = _stored(spark, folder)
@@ -216,5 +259,19 @@ def r12_event_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Event-stream text cut into lines, each a JSON event."""
     body = F.concat(F.lit('data: {"type": "token", "n": '), F.col("page_id"), F.lit('}\n\ndata: {"type": "done"}\n\n: comment\n'))
     lines = _pages(spark, folder).select(F.explode(F.split(body, "\n")).alias("line")).filter("line like 'data: %'")
-    event = F.from_json(F.substring("line", 7, 10_000), "type string, n long")
+    event = F.from_json(F.substr(F.col("line"), F.lit(7)), "type string, n long")
     return lines.groupBy(event["type"].alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, count(*) AS n_tokens, sha256(string_agg(text, '' ORDER BY turn)) AS content FROM conversations WHERE text <> '' GROUP BY conv_id")
+def r12_streamed_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Each conversation as a stream of events, cut into pieces of 61 bytes, and read back."""
+    talk = S.table(spark, folder, "conversations").filter("text <> ''")
+    event = F.concat(F.lit("data: "), F.to_json(F.struct(F.lit("token").alias("type"), F.col("text").alias("content"))), F.lit("\n\n"))
+    whole = talk.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", event.alias("e")))), lambda x: x["e"]), "").alias("body"))
+    body = F.concat(F.col("body"), F.lit('data: {"type": "done"}\n\n: comment\n\ndata: {"type": "tok')).cast("binary")
+    starts = F.sequence(F.lit(0), F.floor((F.octet_length(body) - 1) / 61).cast("int"))
+    cut = whole.select("conv_id", body.alias("body"), F.posexplode(starts).alias("seq", "n")).select("conv_id", "seq", F.substr("body", F.col("n") * 61 + 1, F.lit(61)).alias("body"))
+    found = events.events(events.lines(cut, "conv_id"), "type string, content string").filter("event.type = 'token'")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "event.content"))), lambda x: x["content"])
+    return found.groupBy("conv_id").agg(F.count("*").alias("n_tokens"), F.sha2(F.array_join(parts, ""), 256).alias("content"))
