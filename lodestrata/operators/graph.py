@@ -86,14 +86,20 @@ def typed_edges(pairs: DataFrame, least: float, per_type: int) -> DataFrame:
     return top_k(kept, ["src", "type"], per_type, "dst", "confidence")
 
 
-def probe_hits(sources: DataFrame, vectors: DataFrame, probes: dict[str, Callable[[Column], Column]], k: int, least: float) -> DataFrame:
-    """(query_id, probe, o, chunk_id, score, rank): the nearest rows to each probe's form of each source (query_id, embedding)."""
-    out = None
-    for o, (name, form) in enumerate(probes.items()):
-        asked = sources.select("query_id", form(F.col("embedding")).alias("embedding"))
-        hits = knn(asked, vectors, k).filter(F.col("score") >= least).select("query_id", F.lit(name).alias("probe"), F.lit(o).alias("o"), "chunk_id", "score", "rank")
-        out = hits if out is None else out.unionByName(hits)
-    return out
+def probe_hits(
+    sources: DataFrame, vectors: DataFrame, probes: dict[str, Callable[[Column], Column]], k: int, least: float, nearest: Callable[[DataFrame, int], DataFrame] | None = None
+) -> DataFrame:
+    """(query_id, probe, o, chunk_id, score, rank): the nearest rows to each probe's form of each source (query_id, embedding).
+
+    All forms are queries of one search, keyed by source and probe: the vectors are read once whatever the number of probes.
+    nearest: a search through an index in place of the exact one, (queries, k) -> (query_id, chunk_id, score, rank).
+    """
+    names = F.array(*map(F.lit, probes))
+    forms = F.array(*[form(F.col("embedding")).cast("array<double>") for form in probes.values()])
+    asked = sources.select("query_id", F.posexplode(forms).alias("o", "embedding")).select(F.struct("query_id", "o").alias("query_id"), "embedding")
+    hits = (knn(asked, vectors, k, threshold=least) if nearest is None else nearest(asked, k)).filter(F.col("score") >= least)
+    o = F.col("query_id.o")
+    return hits.select("query_id.query_id", F.element_at(names, o + 1).alias("probe"), o.alias("o"), "chunk_id", "score", "rank")
 
 
 def probe_candidates(hits: DataFrame, documents: DataFrame, own: Column) -> DataFrame:
@@ -121,9 +127,17 @@ def undirected(edges: DataFrame, score: str, also: list[str] | None = None) -> D
     return both.groupBy("node", "neighbour", *also).agg(F.max(score).alias(score))
 
 
+def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with an end among nodes (node): what a few questions need of a graph that is not stored by node."""
+    known = nodes.distinct()
+    by_src = edges.join(known.withColumnRenamed("node", "src"), "src", "left_semi").select(*edges.columns)
+    by_dst = edges.join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*edges.columns)
+    return by_src.unionByName(by_dst)
+
+
 def neighbours(anchors: DataFrame, edges: DataFrame, n: int, score: str = "score", least: float = 0.0) -> DataFrame:
     """(query_id, node, neighbour, score, rank): the best neighbours of each anchor (query_id, node)."""
-    linked = anchors.join(undirected(edges, score), "node").filter(F.col(score) >= least)
+    linked = anchors.join(undirected(touching(edges, anchors.select("node")), score), "node").filter(F.col(score) >= least)
     return top_k(linked, ["query_id", "node"], n, "neighbour", score)
 
 

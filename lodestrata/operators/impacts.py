@@ -16,13 +16,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import tokens
-from lodestrata.operators.search import BLOCK_TEXTS, K1, B, corpus_statistics, query_blocks, top_k
+from lodestrata.operators.search import BLOCK_TEXTS, K1, B, _whole, corpus_statistics, query_blocks, top_k
 from lodestrata.sources.stores import kept
 
 #: Postings of a block; of a write task; texts of a share of a list; texts of a folder of texts' terms.
@@ -141,10 +140,10 @@ class Keywords:
         """(term, df, cf) of all terms."""
         return self.terms.select("term", "df", "cf") if self.postings else self.spark.createDataFrame([], "term string, df long, cf long")
 
-    def _asked(self, part: pd.DataFrame) -> tuple[Asked, list[int], DataFrame] | None:
+    def _asked(self, part: pa.Table) -> tuple[Asked, list[int], DataFrame] | None:
         asking: dict[str, list[int]] = {}
-        for q, terms in enumerate(part["terms"]):
-            for t in terms if terms is not None else ():
+        for q, terms in enumerate(part["terms"].to_pylist()):
+            for t in terms or ():
                 asking.setdefault(t, []).append(q)
         if not asking or not self.postings:
             return None
@@ -157,7 +156,7 @@ class Keywords:
         df = np.array([r["df"] for r in found], float)
         idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
         names = [r["term"] for r in found]
-        asked = Asked(pa.array(part["query_id"]), names, [np.array(asking[t]) for t in names], idf, idf * np.array([r["most"] for r in found]), df)
+        asked = Asked(_whole(part["query_id"]), names, [np.array(asking[t]) for t in names], idf, idf * np.array([r["most"] for r in found]), df)
         numbers = self.spark.createDataFrame(pa.table({"term": names, "number": pa.array(range(len(names)), pa.int32()), "idf": idf}))
         return asked, wanted, numbers.withColumn("bucket", term_bucket(F.col("term"), self.buckets))
 

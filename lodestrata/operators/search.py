@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import tokens
+from lodestrata.sources.stores import kept
 
 K1, B = 1.2, 0.75
 QUERY_BLOCK = 4096
@@ -56,19 +56,27 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = 12, key: str = "chunk_i
     return bm25_postings(queries, postings(chunks, key, text), size["n"], size["avgdl"] or 1.0, k, key)
 
 
-def query_blocks(queries: DataFrame, *columns) -> Iterator[pd.DataFrame]:
-    """The queries' columns in blocks of at most about QUERY_BLOCK rows, one read where they are one block."""
+def query_blocks(queries: DataFrame, *columns) -> Iterator[pa.Table]:
+    """The queries' columns in blocks of at most about QUERY_BLOCK rows, one read where they are one block.
+
+    More are written to the shared folder first, so what they come from is not worked out again for each block.
+    """
     asked = queries.select("query_id", *columns)
-    first = asked.limit(QUERY_BLOCK + 1).toPandas()
+    first = asked.limit(QUERY_BLOCK + 1).toArrow()
     if len(first) <= QUERY_BLOCK:
         if len(first):
-            yield first
+            yield first.combine_chunks()
         return
-    blocks = -(-queries.count() // QUERY_BLOCK)
+    asked = kept(asked, "queries")
+    blocks = -(-asked.count() // QUERY_BLOCK)
     for b in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
         if len(part):
-            yield part
+            yield part.combine_chunks()
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) and column.num_chunks != 1 else column.chunk(0)
 
 
 def bm25_postings(
@@ -85,8 +93,8 @@ def bm25_postings(
     kind, key_kind = queries.schema["query_id"].dataType.simpleString(), index.schema[key].dataType.simpleString()
     for part in query_blocks(queries, F.array_distinct("terms").alias("terms")):
         asking: dict[str, list[int]] = {}
-        for q, terms in enumerate(part["terms"]):
-            for t in terms if terms is not None else ():
+        for q, terms in enumerate(part["terms"].to_pylist()):
+            for t in terms or ():
                 asking.setdefault(t, []).append(q)
         if not asking:
             continue
@@ -96,7 +104,7 @@ def bm25_postings(
         counted = lists.groupBy("at").agg(F.count("*").alias("df"))
         df = {r["at"]: r["df"] for r in counted.collect()}  # a row an asked term
         idf = np.array([np.log(1 + (n - df.get(i, 0) + 0.5) / (df.get(i, 0) + 0.5)) for i in range(len(names))])
-        shared = spark.sparkContext.broadcast((pa.array(part["query_id"]), [np.array(asking[t]) for t in names], idf))
+        shared = spark.sparkContext.broadcast((_whole(part["query_id"]), [np.array(asking[t]) for t in names], idf))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, queries_of, idf = shared.value
@@ -197,7 +205,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 12, older_only: bool = F
     kind = queries.schema["query_id"].dataType.simpleString()
     found = None
     for block in query_blocks(queries, *there[1:]):
-        names, matrix = pa.array(block["query_id"]), np.stack(block["embedding"].to_numpy()).astype(np.float64)
+        vectors = _whole(block["embedding"])
+        names, matrix = _whole(block["query_id"]), vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(block), -1)
         shared = spark.sparkContext.broadcast((names, matrix, block["seq"].to_numpy() if older_only else None))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.ids import chunk_document, chunk_page
-from lodestrata.operators.graph import TYPES, adjacent, neighbours, undirected
+from lodestrata.operators.adjacency import Adjacency
+from lodestrata.operators.graph import TYPES, adjacent, neighbours, touching, undirected
 from lodestrata.operators.impacts import Keywords
 from lodestrata.operators.models import command
 from lodestrata.operators.search import bm25, knn, metadata_filter, top_k
@@ -41,14 +42,15 @@ class Stores:
     """chunks(chunk_id, document_id, page_number, chunk_index, text), vectors(chunk_id, document_id, embedding),
     similar(src, dst, score), typed(src, dst, type, confidence), metadata(document_id, path, file_name, ...).
 
-    keywords: stored postings for keyword search; without them every batch of questions counts all texts. nearest: a search through an index in place of
+    keywords: stored postings for keyword search; without them every batch of questions counts all texts. similar and typed may be
+    stored adjacency: then a question's nodes read their own lists, else every batch looks through all edges. nearest: a search through an index in place of
     the exact one, (queries, k) -> (query_id, chunk_id, score, rank); questions with filters are searched exactly.
     """
 
     chunks: DataFrame
     vectors: DataFrame
-    similar: DataFrame
-    typed: DataFrame
+    similar: DataFrame | Adjacency
+    typed: DataFrame | Adjacency
     metadata: DataFrame
     keywords: Keywords | None = None
     nearest: Callable[[DataFrame, int], DataFrame] | None = None
@@ -80,7 +82,9 @@ def retrieve(queries: DataFrame, stores: Stores, settings: Settings | None = Non
     seeds = hits.filter(((F.col("part") == 0) & (F.col("rank") <= s.vector_top)) | ((F.col("part") == 1) & (F.col("rank") <= s.keyword_top)))
     seeds = ordered_distinct(seeds, place).select("query_id", F.col("chunk_id").alias("node"), F.col("rank").alias("seed"))
 
-    around = neighbours(seeds.select("query_id", "node"), stores.similar, s.graph_a).join(seeds, ["query_id", "node"])
+    asked = seeds.select("query_id", "node")
+    near = stores.similar.neighbours(asked, s.graph_a) if isinstance(stores.similar, Adjacency) else neighbours(asked, stores.similar, s.graph_a)
+    around = near.join(seeds, ["query_id", "node"])
     around = around.select("query_id", F.col("neighbour").alias("chunk_id"), "seed", F.col("rank").alias("near"), "score")
     known = stores.chunks.select("chunk_id")
     around = ordered_distinct(around.join(known, "chunk_id", "left_semi"), [F.col("seed"), F.col("near")]).filter(F.col("rank") <= s.graph_a)
@@ -100,9 +104,13 @@ def retrieve(queries: DataFrame, stores: Stores, settings: Settings | None = Non
     nodes = anchor.select("query_id", F.col("chunk_id").alias("node"))
     # All types at once: the best of each type, then the types in their order.
     kinds = list(s.graph_b)
-    linked = nodes.join(undirected(stores.typed.filter(F.col("type").isin(kinds)), "confidence", ["type"]), "node")
-    most = F.create_map(*[F.lit(x) for kind, n in s.graph_b.items() for x in (kind, n)])
-    probes = top_k(linked, ["query_id", "type"], max(s.graph_b.values(), default=0), "neighbour", "confidence").filter(F.col("rank") <= F.element_at(most, F.col("type")))
+    if isinstance(stores.typed, Adjacency):
+        probes = stores.typed.by_kind(nodes, s.graph_b).select("query_id", F.col("kind").alias("type"), "neighbour", F.col("score").alias("confidence"), "rank")
+    else:
+        edges = stores.typed.filter(F.col("type").isin(kinds))
+        linked = nodes.join(undirected(touching(edges, nodes.select("node")), "confidence", ["type"]), "node")
+        most = F.create_map(*[F.lit(x) for kind, n in s.graph_b.items() for x in (kind, n)])
+        probes = top_k(linked, ["query_id", "type"], max(s.graph_b.values(), default=0), "neighbour", "confidence").filter(F.col("rank") <= F.element_at(most, F.col("type")))
     part = F.array_position(F.array(*map(F.lit, kinds)), F.col("type")).cast("int") + 1
     every = every.unionByName(
         probes.select(

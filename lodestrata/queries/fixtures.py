@@ -136,3 +136,42 @@ def keywords(spark: SparkSession, folder: str):
 def keyword_hits(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
     """The best twelve chunks for each question, from the stored postings."""
     return keywords(spark, folder).search(asked)
+
+
+def stored_similar(spark: SparkSession, folder: str) -> DataFrame:
+    """Similarity edges, made once."""
+    from lodestrata.sources.stores import stored
+
+    return stored(similar(spark, folder), "similar", folder)
+
+
+def stored_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Classified pairs, made once."""
+    from lodestrata.sources.stores import stored
+
+    return stored(judged_pairs(spark, folder), "pairs", folder)
+
+
+def stored_typed(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed edges of the stored pairs, made once."""
+    from lodestrata.operators.graph import typed_edges
+    from lodestrata.sources.stores import stored
+
+    return stored(typed_edges(stored_pairs(spark, folder), 0.5, 5), "typed", folder)
+
+
+def similar_lists(spark: SparkSession, folder: str):
+    """Similarity edges by node."""
+    from lodestrata.operators.adjacency import Adjacency, write_adjacency
+    from lodestrata.sources.stores import stored_folder
+
+    return Adjacency(spark, stored_folder(stored_similar(spark, folder), "similar-lists", folder, write_adjacency))
+
+
+def typed_lists(spark: SparkSession, folder: str):
+    """Typed edges by node."""
+    from lodestrata.operators.adjacency import Adjacency, write_adjacency
+    from lodestrata.sources.stores import stored_folder
+
+    write = lambda df, path: write_adjacency(df, path, "confidence", "type")
+    return Adjacency(spark, stored_folder(stored_typed(spark, folder), "typed-lists", folder, write))

@@ -16,7 +16,7 @@ from lodestrata.plans.incremental import Folder, added_edges
 from lodestrata.plans.retrieve import Settings, Stores, ordered_distinct, retrieve
 from lodestrata.queries import fixtures as X
 from lodestrata.queries.registry import query
-from lodestrata.sources.stores import kept, shared_folder, stored, stored_folder
+from lodestrata.sources.stores import kept, shared_folder, stored_folder
 from lodestrata.sources.tables import first_by, multi_get, table
 
 BM25 = f"""tok AS (SELECT chunk_id, {X.words_sql('text')} AS t FROM chunks),
@@ -220,12 +220,12 @@ def m7_typed_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_with(X.VECTORS, X.SIMILAR, X.PAIRS) + "SELECT relation, count(*) AS n, count(*) FILTER (confidence >= 0.5) AS confident FROM judged GROUP BY relation")
 def a5_relation_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return X.judged_pairs(spark, folder).groupBy("relation").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") >= 0.5).alias("confident"))
+    return X.stored_pairs(spark, folder).groupBy("relation").agg(F.count("*").alias("n"), F.count_if(F.col("confidence") >= 0.5).alias("confident"))
 
 
 @query(_with(X.VECTORS, X.SIMILAR, X.PAIRS) + "SELECT src, dst, relation, confidence FROM judged WHERE relation <> 'unrelated' AND confidence >= 0.45")
 def m5_gated_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.gated(X.judged_pairs(spark, folder), 0.45)
+    return graph.gated(X.stored_pairs(spark, folder), 0.45)
 
 
 BOTH = "both_ways AS (SELECT src AS node, dst AS neighbour, score FROM alike UNION ALL SELECT dst, src, score FROM alike), nb AS (SELECT node, neighbour, max(score) AS score FROM both_ways GROUP BY ALL)"
@@ -237,7 +237,7 @@ BOTH = "both_ways AS (SELECT src AS node, dst AS neighbour, score FROM alike UNI
 )
 def j4_graph_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     anchors = X.vectors(spark, folder).filter("seq % 20 = 0").select(F.col("seq").alias("query_id"), F.col("chunk_id").alias("node"))
-    return graph.neighbours(anchors, X.similar(spark, folder), 10).select("query_id", "node", "neighbour", "score", "rank")
+    return X.similar_lists(spark, folder).neighbours(anchors, 10).select("query_id", "node", "neighbour", "score", "rank")
 
 
 @query(
@@ -247,20 +247,20 @@ SELECT query_id, node, neighbour, confidence, CAST(rank AS INTEGER) AS rank FROM
 )
 def j5_typed_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     anchors = X.vectors(spark, folder).filter("seq % 20 = 0").select(F.col("seq").alias("query_id"), F.col("chunk_id").alias("node"))
-    kinds = X.typed(spark, folder).filter(F.col("type").isin("CONTRADICTS", "ELABORATES"))
-    return graph.neighbours(anchors, kinds, 5, "confidence", 0.6).select("query_id", "node", "neighbour", "confidence", "rank")
+    found = X.typed_lists(spark, folder).neighbours(anchors, 5, 0.6, ["CONTRADICTS", "ELABORATES"])
+    return found.select("query_id", "node", "neighbour", F.col("score").alias("confidence"), "rank")
 
 
 @query(_with(X.VECTORS, X.SIMILAR, BOTH) + "SELECT v.chunk_id, coalesce(string_agg(neighbour, ',' ORDER BY neighbour), '') AS related, count(neighbour) AS n FROM vectors v LEFT JOIN nb ON v.chunk_id = nb.node WHERE v.seq % 20 = 0 GROUP BY v.chunk_id")
 def j6_related_lists(spark: SparkSession, folder: str) -> DataFrame:
     anchors = X.vectors(spark, folder).filter("seq % 20 = 0").select("chunk_id")
-    linked = anchors.join(graph.undirected(X.similar(spark, folder), "score").withColumnRenamed("node", "chunk_id"), "chunk_id", "left")
+    linked = anchors.join(graph.undirected(X.stored_similar(spark, folder), "score").withColumnRenamed("node", "chunk_id"), "chunk_id", "left")
     return linked.groupBy("chunk_id").agg(F.array_join(F.array_sort(F.collect_list("neighbour")), ",").alias("related"), F.count("neighbour").alias("n"))
 
 
 @query(_with(X.VECTORS, X.SIMILAR) + "SELECT (SELECT count(*) FROM vectors) AS vertices, (SELECT count(*) FROM alike) AS edges, round((SELECT count(*) FROM alike) / (SELECT count(*) FROM vectors), 2) AS avg_degree")
 def a1_graph_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.graph_statistics(X.vectors(spark, folder), X.similar(spark, folder))
+    return graph.graph_statistics(X.vectors(spark, folder), X.stored_similar(spark, folder))
 
 
 MERGE = """ga AS (SELECT dst AS chunk_id, max(score) AS ca FROM alike GROUP BY dst), gb AS (SELECT dst AS chunk_id, max(confidence) AS cb FROM typed GROUP BY dst),
@@ -268,9 +268,9 @@ mg AS (SELECT coalesce(ga.chunk_id, gb.chunk_id) AS chunk_id, greatest(ca, cb) A
 
 
 def _two_graphs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return X.similar(spark, folder).select(
+    return X.stored_similar(spark, folder).select(
         F.col("dst").alias("chunk_id"), F.col("score").alias("confidence"),
-    ), X.typed(spark, folder).select(F.col("dst").alias("chunk_id"), "confidence")
+    ), X.stored_typed(spark, folder).select(F.col("dst").alias("chunk_id"), "confidence")
 
 
 @query(_with(X.VECTORS, X.SIMILAR, X.PAIRS, X.TYPED, MERGE) + "SELECT * FROM mg")
@@ -301,7 +301,7 @@ def u6_difference(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_with(X.VECTORS, X.SIMILAR, X.CHUNKS) + "SELECT src, dst, score FROM alike WHERE src IN (SELECT chunk_id FROM vectors WHERE label < 5) AND dst IN (SELECT chunk_id FROM vectors WHERE label < 5)")
 def k7_edges_with_known_ends(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.with_known_ends(X.similar(spark, folder), X.vectors(spark, folder).filter("label < 5")).select("src", "dst", "score")
+    return graph.with_known_ends(X.stored_similar(spark, folder), X.vectors(spark, folder).filter("label < 5")).select("src", "dst", "score")
 
 
 PLACED = "placed AS (SELECT chunk_id, document_id, row_number() OVER (PARTITION BY document_id ORDER BY page_number, chunk_index, chunk_id) AS pos FROM chunks)"
@@ -402,8 +402,7 @@ def _batch(spark: SparkSession, folder: str) -> DataFrame:
 
 def _stores(spark: SparkSession, folder: str) -> Stores:
     """The archive's stored tables: graphs and postings are made once, not by a question's plan."""
-    similar, typed = stored(X.similar(spark, folder), "similar", folder), stored(X.typed(spark, folder), "typed", folder)
-    return Stores(X.chunks(spark, folder), X.vectors(spark, folder), similar, typed, X.metadata(spark, folder), X.keywords(spark, folder))
+    return Stores(X.chunks(spark, folder), X.vectors(spark, folder), X.similar_lists(spark, folder), X.typed_lists(spark, folder), X.metadata(spark, folder), X.keywords(spark, folder))
 
 
 MERGED = "firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY part, rank) AS f FROM hits) WHERE f = 1)"
