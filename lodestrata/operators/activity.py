@@ -205,9 +205,15 @@ def client_statistics(requests: DataFrame, client: str, us: str, now: Column, wi
     return requests.groupBy(client).agg(F.count_if(F.col(us) >= now - window_seconds * 1_000_000).alias("recent"), F.count("*").alias("n"))
 
 
-def failure_report(progress: DataFrame, phase: str, file: str, error: Column) -> DataFrame:
-    """(phase, file, error): a row a failed file of each phase, its last error."""
-    return progress.groupBy(F.col(phase).alias("phase"), F.col(file).cast("string").alias("file")).agg(F.max(error).alias("error"))
+# Fixed value: the error of a failure that has none.
+NO_ERROR = "Unknown error"
+
+
+def failure_report(progress: DataFrame, phase: str, file: str, error: Column, order: list[str]) -> DataFrame:
+    """(phase, file, error): a row a failed file of each phase, its last error in the order of time, of those that say something."""
+    said = F.when(F.coalesce(error, F.lit("")) != "", F.struct(*order))
+    last = F.coalesce(F.max_by(error, said), F.lit(NO_ERROR))
+    return progress.groupBy(F.col(phase).alias("phase"), F.col(file).cast("string").alias("file")).agg(last.alias("error"))
 
 
 # A job's states, ended ones last.
@@ -268,30 +274,6 @@ class Bucket:
         return "rejected"
 
 
-class QueuedBucket(Bucket):
-    """A bucket with a first-in, first-out queue: a request waits for its tokens if that ends within `timeout`
-    seconds and fewer than `size` requests wait."""
-
-    def __init__(self, per_minute: float, burst: float, size: int = 100, timeout: float = 30.0, *held, served: list[float] | None = None) -> None:
-        super().__init__(per_minute, burst, *held)
-        self.size, self.timeout, self.served = size, timeout, served or []
-
-    def take_or_wait(self, now: float, weight: float = 1.0) -> tuple[str, float]:
-        """Decision and the seconds waited: allowed, burst, queued, timeout or rejected."""
-        self.served = [t for t in self.served if t > now]
-        if not self.served and (taken := self.take(now, weight)) != "rejected":
-            return taken, 0.0
-        if len(self.served) >= self.size:
-            return "rejected", 0.0
-        ready = max(now, self.last or now) + max(0.0, weight - self.tokens) / (self.per_minute / 60)
-        if ready - now > self.timeout:
-            return "timeout", 0.0
-        # The tokens that arrive until then are spent; later requests wait behind this one.
-        self.tokens, self.last = 0.0, ready
-        self.served.append(ready)
-        return "queued", ready - now
-
-
 def exempt(path: Column, prefixes: tuple[str, ...] = EXEMPT) -> Column:
     """Paths that no limit applies to."""
     return reduce(lambda a, b: a | b, [path.startswith(p) for p in prefixes])
@@ -333,26 +315,6 @@ def _through_buckets(rows: DataFrame, kind: str) -> DataFrame:
     return rows.repartition("client").sortWithinPartitions("client", "us", "event").mapInPandas(run, schema)
 
 
-def queued_requests(events: DataFrame, client: str, ts: str, event: str, per_minute: float, burst: float, size: int = 100, timeout: float = 30.0) -> DataFrame:
-    """(client, event, decision, waited) of a stored log with a queue in front of the bucket: a request that finds no
-    token waits behind the earlier ones, if its turn comes within `timeout` seconds and fewer than `size` wait."""
-    kind = events.schema[client].dataType.simpleString()
-    rows = events.select(F.col(client).alias("client"), F.col(event).cast("long").alias("event"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, bucket = None, None
-        for part in parts:
-            out = []
-            for who, us in zip(part["client"], part["us"], strict=True):
-                if bucket is None or who != now:
-                    now, bucket = who, QueuedBucket(per_minute, burst, size, timeout)
-                out.append(bucket.take_or_wait(us / 1e6))
-            yield pd.DataFrame({"client": part["client"], "event": part["event"], "decision": [o[0] for o in out], "waited": [round(o[1], 6) for o in out]})
-
-    ordered = rows.repartition("client").sortWithinPartitions("client", "us", "event")
-    return ordered.mapInPandas(run, f"client {kind}, event long, decision string, waited double")
-
-
 def recent_requests(events: DataFrame, client: str, ts: str, seconds: int = 60) -> DataFrame:
     """Each request with the client's number of requests in the window that ends with it."""
     w = Window.partitionBy(client).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)

@@ -23,6 +23,10 @@ from lodestrata.sources.stores import kept
 from lodestrata.sources.tables import first_by
 
 
+# Fixed value: the chunks that the tool gives an answerer.
+TOOL_CHUNKS = 20
+
+
 @dataclass
 class Settings:
     vector_k: int = 12
@@ -132,8 +136,8 @@ def retrieve(queries: DataFrame, stores: Stores, settings: Settings | None = Non
 
 
 def answer_question(parameters: dict, stores: Stores, embed: Callable[[DataFrame], DataFrame], settings: Settings | None = None) -> DataFrame:
-    """The retrieval tool: checked parameters of one question to its chunks. max_chunks is checked, but the plan's own
-    limits hold, as they do for every question.
+    """The retrieval tool: checked parameters of one question to its first chunks, TOOL_CHUNKS of them. max_chunks is checked, but the
+    tool's own limit holds, as it does for every question.
 
     embed: (query_id, text) -> (query_id, embedding).
     """
@@ -141,4 +145,4 @@ def answer_question(parameters: dict, stores: Stores, embed: Callable[[DataFrame
     spark = stores.chunks.sparkSession
     asked = command(spark.createDataFrame([(0, given["query"])], "query_id long, text string"))
     vectors = embed(asked.select("query_id", F.col("vector_query").alias("text")))
-    return retrieve(asked.join(vectors, "query_id").select("query_id", "embedding", "terms"), stores, settings)
+    return retrieve(asked.join(vectors, "query_id").select("query_id", "embedding", "terms"), stores, settings).filter(F.col("rank") <= TOOL_CHUNKS)

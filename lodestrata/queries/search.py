@@ -11,6 +11,7 @@ from lodestrata.functions.answers import prompts
 from lodestrata.functions.ids import cache_key, chunk_document, chunk_id, chunk_index, chunk_page, document_id, point_id, prefixed
 from lodestrata.functions.vectors import normalised, sigmoid
 from lodestrata.operators import graph, search
+from lodestrata.operators.models import predicted
 from lodestrata.operators.vector_index import VectorIndex
 from lodestrata.plans.incremental import Folder, added_edges
 from lodestrata.plans.retrieve import Settings, Stores, ordered_distinct, retrieve
@@ -213,6 +214,24 @@ def m3_classified_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return X.judged_pairs(spark, folder)
 
 
+def _stand_in():
+    """A classifier in NumPy: four logits for each pair from its similarity and the numbers of its ends."""
+    import numpy as np
+
+    return lambda score, a, b: np.stack([4 * score + (a + b) % 3, 3 * score + (a + b) % 5 * 0.5, 5 * score + (a % 4) * 0.5, np.full(len(score), 1.5)], 1)
+
+
+@query(_with(X.VECTORS, X.SIMILAR, X.PAIRS) + "SELECT src, dst, relation, confidence FROM judged")
+def m4_batched_classification(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs classified by a model that each worker loads once, thirty pairs at a time."""
+    v = X.vectors(spark, folder)
+    near = search.knn(v.select(F.col("chunk_id").alias("query_id"), "embedding", "seq"), v, X.EDGE_CANDIDATES, older_only=True)
+    numbered = lambda name, as_: v.select(F.col("chunk_id").alias(name), F.col("seq").alias(as_))
+    pairs = near.select(F.col("query_id").alias("src"), F.col("chunk_id").alias("dst"), "score").join(numbered("src", "a"), "src").join(numbered("dst", "b"), "dst")
+    judged = predicted(pairs, ["score", "a", "b"], "relations stand-in", _stand_in, "logits")
+    return graph.classified(judged, F.col("logits")).select("src", "dst", "relation", "confidence")
+
+
 @query(_with(X.VECTORS, X.SIMILAR, X.PAIRS, X.TYPED) + "SELECT src, dst, type, confidence, CAST(rank AS INTEGER) AS rank FROM typed")
 def m7_typed_edges(spark: SparkSession, folder: str) -> DataFrame:
     return X.typed(spark, folder)

@@ -1,4 +1,4 @@
-"""Streaming forms: rate limiting with state, event-time windows, sessions, job states."""
+"""Streaming forms: rate limiting with state and event-time timers, event-time windows, sessions, job states."""
 
 from __future__ import annotations
 
@@ -7,69 +7,65 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from lodestrata.operators.activity import Bucket, QueuedBucket
-
-IDLE_MS = 600_000
-
-
-def limited(stream: DataFrame, client: str, ts: str, event: str, per_minute: float, burst: float, idle_ms: int = IDLE_MS) -> DataFrame:
-    """(client, event, decision) of a stream of requests: one token bucket a client, kept as state.
-
-    A trigger's requests of a client are taken in time order. State that has been idle for idle_ms goes, which
-    a full bucket does not notice.
-    """
-    kind = stream.schema[client].dataType.simpleString()
-    rows = stream.select(F.col(client).alias("client"), F.col(event).cast("long").alias("event"), F.unix_micros(ts).alias("us"))
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        bucket = Bucket(per_minute, burst, *state.get) if state.exists else Bucket(per_minute, burst)
-        part = pd.concat(list(parts)).sort_values(["us", "event"])
-        decisions = [bucket.take(us / 1e6) for us in part["us"]]
-        state.update((bucket.tokens, bucket.reserve, bucket.last))
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"client": [key[0]] * len(part), "event": part["event"].to_numpy(), "decision": decisions})
-
-    return rows.groupBy("client").applyInPandasWithState(
-        step, f"client {kind}, event long, decision string", "tokens double, reserve double, last double", "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
-    )
-
-
-def queued(
-    stream: DataFrame, client: str, ts: str, event: str, per_minute: float, burst: float, size: int = 100, timeout: float = 30.0,
-    idle_ms: int = IDLE_MS,
-) -> DataFrame:
-    """(client, event, decision, waited) of a stream: the bucket with its queue, kept as state.
-
-    A request's turn follows from those before it, so its wait is known when it arrives and no timer is needed:
-    the state holds the turns that are still to come.
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from lodestrata.operators.activity import Bucket
+
+#: A client without requests for this long is forgotten; requests that come later than LATE after the newest are left out.
+IDLE_MS, LATE, RECENT_MS = 600_000, "10 minutes", 60_000
+
+
+class _Limiter(StatefulProcessor):
+    """A token bucket and the requests of the last minute for each client. A timer at the client's last request plus idle_ms clears
+    both when the watermark passes it."""
+
+    def __init__(self, per_minute: float, burst: float, idle_ms: int) -> None:
+        self.per_minute, self.burst, self.idle_ms = per_minute, burst, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bucket = handle.getValueState("bucket", "tokens double, reserve double, last double")
+        self.recent = handle.getListState("recent", "ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        part = pd.concat(list(rows)).sort_values(["us", "event"])
+        bucket = Bucket(self.per_minute, self.burst, *self.bucket.get()) if self.bucket.exists() else Bucket(self.per_minute, self.burst)
+        known = [ms for (ms,) in self.recent.get()]
+        fresh = known == []
+        decisions, counts = [], []
+        for us in part["us"]:
+            decisions.append(bucket.take(us / 1e6))
+            now = us // 1000
+            known = [ms for ms in known if ms >= now - RECENT_MS] + [now]
+            counts.append(len(known))
+        self.bucket.update((float(bucket.tokens), float(bucket.reserve), float(bucket.last)))
+        self.recent.put([(int(ms),) for ms in known])
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(int(max(known)) + self.idle_ms)
+        yield pd.DataFrame({"client": [key[0]] * len(part), "event": part["event"].to_numpy(), "decision": decisions, "recent": counts, "first": [fresh] + [False] * (len(part) - 1)})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.bucket.clear()
+        self.recent.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def limited(stream: DataFrame, client: str, ts: str, event: str, per_minute: float, burst: float, idle_ms: int = IDLE_MS, late: str = LATE) -> DataFrame:
+    """(client, event, decision, recent, first) of a stream of requests: one token bucket a client, kept as state.
+
+    recent: the client's requests in the last minute; first: whether nothing was known of the client. A trigger's requests of a
+    client are taken in time order. All times are those of the requests: the watermark stands `late` behind the
+    newest one, what is older is left out, and a client idle for idle_ms is forgotten once the watermark says so, which a
+    full bucket does not notice. Needs the RocksDB state store.
     """
     kind = stream.schema[client].dataType.simpleString()
-    rows = stream.select(F.col(client).alias("client"), F.col(event).cast("long").alias("event"), F.unix_micros(ts).alias("us"))
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tokens, reserve, last, served = state.get if state.exists else (None, None, None, [])
-        bucket = QueuedBucket(per_minute, burst, size, timeout, tokens, reserve, last, served=list(served))
-        part = pd.concat(list(parts)).sort_values(["us", "event"])
-        found = [bucket.take_or_wait(us / 1e6) for us in part["us"]]
-        state.update((bucket.tokens, bucket.reserve, bucket.last, bucket.served))
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(
-            {"client": [key[0]] * len(part), "event": part["event"].to_numpy(), "decision": [d for d, _ in found], "waited": [round(w, 6) for _, w in found]}
-        )
-
-    schema = f"client {kind}, event long, decision string, waited double"
-    return rows.groupBy("client").applyInPandasWithState(
-        step, schema, "tokens double, reserve double, last double, served array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout,
-    )
+    rows = stream.withWatermark(ts, late).select(F.col(client).alias("client"), F.col(event).cast("long").alias("event"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us"))
+    schema = f"client {kind}, event long, decision string, recent long, first boolean"
+    return rows.groupBy("client").transformWithStateInPandas(_Limiter(per_minute, burst, idle_ms), schema, "Append", "EventTime")
 
 
 def window_counts(events: DataFrame, ts: str, by: list[str], width: str = "60 seconds", slide: str | None = None, late: str = "10 minutes") -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime
 import json
 import math
+import os
 import random
 import uuid
 
@@ -155,17 +156,58 @@ def test_rate_limits_and_stream(spark, tmp_path):
     assert limits.sessions(events, "ts", "client", "5 seconds").count() == 60 and limits.sessions(events, "ts", "client", "8 seconds").count() == 2
 
 
-def test_streaming_limiter(spark, tmp_path):
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name)
+
+
+START = datetime.datetime(2024, 1, 1)
+
+
+def requests(spark, *rows):
+    return spark.createDataFrame([(c, i, START + datetime.timedelta(seconds=s)) for c, i, s in rows], "client string, event long, ts timestamp")
+
+
+def test_streaming_limiter(spark, tmp_path, rocks):
     from lodestrata.streaming import limits
 
-    start = datetime.datetime(2024, 1, 1)
-    events = spark.createDataFrame([("a", i, start + datetime.timedelta(seconds=i * 7)) for i in range(30)], "client string, event long, ts timestamp")
+    events = requests(spark, *[("a", i, i * 7) for i in range(30)])
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    q = limits.limited(stream, "client", "ts", "event", 4, 2).writeStream.format("memory").queryName("limited").outputMode("append").trigger(once=True).start()
-    assert q.awaitTermination(60)
+    q = limits.limited(stream, "client", "ts", "event", 4, 2).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     batch = {(r.client, r.event, r.decision) for r in activity.rate_limited(events, "client", "ts", "event", 4, 2).collect()}
-    assert {tuple(r) for r in spark.table("limited").collect()} == batch
+    got = spark.table("limited").collect()
+    assert {(r.client, r.event, r.decision) for r in got} == batch
+    assert {r.event: r.recent for r in got} == {i: min(i, 8) + 1 for i in range(30)}  # the last 60 seconds
+
+
+def test_idle_and_late_clients_leave_by_the_watermark(spark, tmp_path, rocks):
+    """Files one by one: state goes when the watermark has passed a client's last request and its idle time, whatever the clock says."""
+    from lodestrata.streaming import limits
+
+    parts = (
+        [("idle", 0, 0), ("busy", 1, 0)], [("busy", 2, 400)], [("busy", 3, 900)], [("busy", 4, 910)],
+        [("idle", 5, 920), ("late", 6, 100), ("busy", 7, 920)], [("busy", 8, 930)],
+    )
+    for n, rows in enumerate(parts):
+        requests(spark, *rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"part{n}"))
+        for f in (tmp_path / "in" / f"part{n}").glob("*.parquet"):
+            (tmp_path / "files").mkdir(exist_ok=True)
+            f.rename(tmp_path / "files" / f"{n}.parquet")
+            os.utime(tmp_path / "files" / f"{n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    schema = requests(spark, ("x", 0, 0)).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "files"))
+    found = limits.limited(stream, "client", "ts", "event", 1, 0, idle_ms=600_000, late="1 minute")
+    q = found.writeStream.format("memory").queryName("evicted").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    assert q.awaitTermination(180)
+    got = {r.event: (r.client, r.decision, r.first) for r in spark.table("evicted").collect()}
+    assert 6 not in got  # its minute was over
+    assert got[0] == ("idle", "allowed", True) and got[5] == ("idle", "allowed", True)  # forgotten in between, so new again
+    assert [got[i][2] for i in (1, 2, 3, 4, 7, 8)] == [True, False, False, False, False, False]
 
 
 def test_sources(spark, tmp_path):
@@ -315,20 +357,6 @@ def test_ingest(spark):
     assert row.chunk_id.endswith("_P01_C02") and row.text == "x"
 
 
-@given(st.lists(st.floats(0, 20), max_size=80), st.integers(1, 5), st.floats(1, 60))
-@LOOSE
-def test_queue_serves_in_order_within_limits(steps, size, timeout):
-    b, now, last, held = activity.QueuedBucket(6, 1, size, timeout), 0.0, 0.0, []
-    for wait in steps:
-        now += wait
-        decision, waited = b.take_or_wait(now)
-        assert decision in ("allowed", "burst", "queued", "timeout", "rejected") and 0 <= waited <= timeout + 1e-9
-        if decision == "queued":
-            held = [t for t in held if t > now] + [now + waited]
-            assert now + waited >= last - 1e-9 and len(held) <= size
-            last = now + waited
-
-
 def test_sinks(spark, tmp_path):
     from lodestrata.sources import sinks
 
@@ -357,6 +385,61 @@ def test_sinks(spark, tmp_path):
     assert [r.path for r in sinks.new_files(a, b).collect()] == ["/y/two.pdf"]
 
 
+def test_logs_are_cut_by_bytes(spark, tmp_path):
+    from lodestrata.sources import sinks
+
+    r = random.Random(6)
+    rows = [(i, r.choice(["x", "é"]) * r.randrange(0, 400)) for i in range(500)] + [(999, "y" * 9_000), (1_000, None)]
+    entries = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    path = str(tmp_path / "log")
+    for _ in range(2):
+        sinks.append_log(entries, path, 4_000)
+    files = [f for f in (tmp_path / "log").rglob("part-*") if f.is_file()]
+    for f in files:
+        assert f.stat().st_size <= 4_000 or len(f.read_text().splitlines()) == 1
+    assert sum(f.stat().st_size > 4_000 for f in files) == 2  # the entry that is larger by itself
+    assert len(files) < 2.2 * sum(f.stat().st_size for f in files) / 4_000
+    got = sinks.read_log(spark, path, "id int, text string").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows + rows))
+    sinks.append_log(entries.limit(0), path)
+
+
+def test_models_are_loaded_once_a_worker_and_asked_in_batches(spark, tmp_path):
+    import numpy as np
+
+    from lodestrata.operators import models
+
+    marks = str(tmp_path)
+
+    def load():
+        with open(f"{marks}/loaded-{os.getpid()}-{uuid.uuid4().hex}", "w"):
+            pass
+
+        def model(x, t):
+            with open(f"{marks}/sizes-{uuid.uuid4().hex}", "w") as f:
+                f.write(str(len(x)))
+            return np.stack([x * 2.0, np.array([len(v or "") for v in t])], 1)
+
+        return model
+
+    rows = spark.range(0, 250, 1, 2).select(F.col("id").alias("x"), F.when(F.col("id") % 7 != 0, F.repeat(F.lit("a"), (F.col("id") % 5).cast("int"))).alias("t"), F.lit("kept").alias("other"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")  # batches of the model do not follow Arrow's
+    try:
+        got = {r.x: r for r in models.predicted(rows, ["x", "t"], "test model", load, "out").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(r.out == [2.0 * x, 0.0 if x % 7 == 0 else float(x % 5)] and r.other == "kept" for x, r in got.items()) and len(got) == 250
+    sizes = sorted(int(f.read_text()) for f in tmp_path.glob("sizes-*"))
+    assert sizes == [5, 5] + [30] * 8
+    models.predicted(rows, ["x", "t"], "test model", load, "out").count()
+    models.predicted(rows, ["x", "t"], "test model", load, "out").collect()
+    by_worker = [f.name.split("-")[1] for f in tmp_path.glob("loaded-*")]
+    assert len(by_worker) == len(set(by_worker))  # each worker loaded it once, over all jobs
+    assert models.predicted(rows.limit(0), ["x", "t"], "test model", load, "out").count() == 0
+    with pytest.raises(Exception, match="gave 1 rows"):
+        models.predicted(rows, ["x"], "short model", lambda: lambda x: np.array([1.0]), "out", "double").collect()
+
+
 def test_file_rules(spark):
     """Examples of the rules on names, sizes, kinds, captions, origins and errors."""
     L = F.lit
@@ -381,29 +464,6 @@ def test_file_rules(spark):
     assert [(x.per_minute, x.burst) for x in limits] == [(60, 5), (300, 30), (1000, 100), (60, 5), (60, 5)]
 
 
-def test_queue_on_tables_and_streams(spark, tmp_path):
-    """The queue in front of a bucket: the same decisions from a log, from a stream, and from a plain loop."""
-    from lodestrata.streaming import limits
-
-    start = datetime.datetime(2024, 1, 1)
-    rows = [(c, i, start + datetime.timedelta(seconds=i * s)) for c, s in (("a", 0.4), ("b", 3)) for i in range(60)]
-    events = spark.createDataFrame(rows, "client string, event long, ts timestamp")
-    got = {(r.client, r.event): (r.decision, r.waited) for r in activity.queued_requests(events, "client", "ts", "event", 20, 2, 3, 9).collect()}
-    model = {}
-    for c in "ab":
-        bucket = activity.QueuedBucket(20, 2, 3, 9)
-        for who, i, t in rows:
-            if who == c:
-                decision, waited = bucket.take_or_wait(t.replace(tzinfo=datetime.timezone.utc).timestamp())
-                model[c, i] = (decision, round(waited, 6))
-    assert got == model and {"allowed", "burst", "queued", "rejected"} <= {d for d, _ in got.values()}
-    events.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    q = limits.queued(stream, "client", "ts", "event", 20, 2, 3, 9).writeStream.format("memory").queryName("queued").outputMode("append").trigger(once=True).start()
-    assert q.awaitTermination(60)
-    assert {(r.client, r.event): (r.decision, r.waited) for r in spark.table("queued").collect()} == model
-
-
 def test_rejudged_pairs(spark):
     """Only weak pairs go to the judge, with 400 characters of each text; a reply without a relation changes nothing."""
     pairs = spark.createDataFrame(
