@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as the next stage's docs. All but the last return the columns of documents.
 
 Every stage takes null ids, texts and sources, empty and very long texts, repeated rows, further columns of any name
-and empty tables, as its operator defines them: a null text is scored as the empty one, is no near-duplicate and not
+(but for shard and slot, which the last stage makes anew) and empty tables, as its operator defines them: a null text is scored as the empty one, is no near-duplicate and not
 contaminated, counts as a row of its source and has a slot in its shard.
 """
 
@@ -38,8 +38,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns with shard and slot; equal texts share a shard, and every row has a slot of its own."""
-    return sharding.assign_shards(docs).select("row.*", F.col("shard"), F.col("slot"))
+    """The documents' columns with shard and slot, which replace columns of these names; equal texts share a shard, and every row has a
+    slot of its own."""
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return sharding.assign_shards(docs).select(*kept, F.col("shard"), F.col("slot"))
 
 
 STAGES = [
