@@ -7,8 +7,10 @@ cost little; keys do not compress. The context is a credential word that ends at
 string or begins at most REACH after it on the same line. A string without such a word around it that holds
 credential words itself is cut at them, and its parts are measured. So each character is measured at most twice.
 
-Strings whose marginal bytes reach NOVELTY a character are reported as `novel` if they have a digit or LETTERS
-letters in a row; rare words of prose reach it too, so shorter strings of letters alone are left out.
+Strings whose marginal bytes reach NOVELTY a character are reported as `novel` if they have a digit, LETTERS letters in a
+row, or letters that change between the cases as in random ones: CHANGES of the pairs of neighbouring letters or more.
+Rare words of prose reach the measure too, so shorter strings of letters that keep to one case, or change as words and
+joined names do, are left out. Surroundings are SURROUNDING characters on either side.
 
 Spans are in code points, end exclusive. Defined cases: null counts as the empty text, which has no spans; an empty
 table gives no rows; repeated rows each get a row. Equal texts have equal spans; spans of one start are ordered by
@@ -40,8 +42,9 @@ LEAST = 12
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST},}}")
 CONTEXT = re.compile(r"pass(?:word|wd|phrase)?|secret|token|api_?key|credential|private_?key|bearer|auth", re.IGNORECASE | re.ASCII)
 REACH = 40
-LETTERS = 32
+LETTERS, CHANGES = 32, 0.3
 _TELLING = re.compile(rf"[0-9]|[A-Za-z]{{{LETTERS}}}")
+_PAIR, _CHANGE = re.compile(r"(?=[A-Za-z]{2})"), re.compile(r"(?=[a-z][A-Z]|[A-Z][a-z])")
 
 # Identifiers that are common in code and configuration next to credentials.
 IDENTIFIERS = (
@@ -76,6 +79,15 @@ def novelty(text: str, start: int, end: int) -> float:
     return (size(before + text[start:end] + after) - size(before + after)) / (end - start)
 
 
+def telling(text: str, start: int, end: int) -> bool:
+    """Whether a string looks other than words and names do."""
+    if _TELLING.search(text, start, end):
+        return True
+    own = text[start:end]
+    pairs, changes = len(_PAIR.findall(own)), len(_CHANGE.findall(own))
+    return pairs >= LEAST - 1 and changes >= CHANGES * pairs
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the fixed patterns, by start, then kind as listed."""
     found = []
@@ -131,7 +143,7 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
 def novel_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """Incompressible strings in a sensitive context, apart from the base spans."""
     clear = _clear_of(base)
-    return [(a, "novel", b) for a, b in candidates(text) if clear(a, b) and _TELLING.search(text, a, b) and novelty(text, a, b) >= NOVELTY]
+    return [(a, "novel", b) for a, b in candidates(text) if clear(a, b) and telling(text, a, b) and novelty(text, a, b) >= NOVELTY]
 
 
 def _joined(spans: list[tuple[int, str, int]]) -> str:
