@@ -14,7 +14,8 @@ equal rows, either); the others keep rows of their own with state repeat. A call
 cycle and neither depth nor position; a predecessor that does not exist is none. A null identifier links with
 nothing; rows of null conversation are one conversation. Null arguments fail the schema. Arguments that are no JSON,
 hold NaN or an infinity, have numbers beyond a double, or nest too deeply to be read stay a string in the line and
-are reported; lone surrogates stay escaped. Empty and very long texts are kept whole. Empty tables give no rows.
+are reported; lone surrogates stay escaped; of a name that an object repeats the last value counts. A schema with keywords that are not checked
+is refused before anything runs. Empty and very long texts are kept whole. Empty tables give no rows.
 Further columns of either table, whatever their names, are not read.
 """
 
@@ -24,6 +25,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -65,38 +67,111 @@ def read_json(text: str):
     return json.loads(text, parse_constant=_refuse, parse_float=_finite)
 
 
-def violations(value, schema: dict, at: str = "$") -> list[str]:
-    """What breaks the schema: type, enum, const, required, properties, additionalProperties, items, length, range."""
+#: Keywords that are checked, those that only describe, and the kinds of their values.
+CHECKED = {
+    "type": (str, list), "enum": list, "const": object, "minLength": int, "maxLength": int, "pattern": str, "minimum": (int, float), "maximum": (int, float),
+    "exclusiveMinimum": (int, float), "exclusiveMaximum": (int, float), "multipleOf": (int, float), "items": (dict, bool), "minItems": int, "maxItems": int, "uniqueItems": bool,
+    "properties": dict, "required": list, "additionalProperties": (dict, bool), "minProperties": int, "maxProperties": int, "allOf": list, "anyOf": list, "oneOf": list, "not": (dict, bool),
+}
+DESCRIBING = frozenset("title description default examples $schema $id $comment deprecated readOnly writeOnly format".split())
+
+
+def checked_schema(schema, at: str = "#") -> None:
+    """ValueError for a schema with keywords, types or patterns that are not checked: a schema that looks stricter than it is, is refused."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: not a schema")
+    for word, value in schema.items():
+        if word in DESCRIBING:
+            continue
+        if word not in CHECKED:
+            raise ValueError(f"{at}: {word} is not checked")
+        if not isinstance(value, CHECKED[word]) or isinstance(value, bool) and CHECKED[word] not in (bool, object, (dict, bool)):
+            raise ValueError(f"{at}: {word} cannot be {value!r}")
+    kinds = schema.get("type", [])
+    for kind in [kinds] if isinstance(kinds, str) else kinds:
+        if kind not in (*TYPES, "number", "integer"):
+            raise ValueError(f"{at}: there is no type {kind!r}")
+    if schema.get("multipleOf", 1) <= 0:
+        raise ValueError(f"{at}: multipleOf must be above 0")
+    try:
+        re.compile(schema.get("pattern", ""))
+    except re.error as e:
+        raise ValueError(f"{at}: pattern: {e}") from e
+    for word in ("items", "additionalProperties", "not"):
+        checked_schema(schema.get(word, True), f"{at}/{word}")
+    for word in ("allOf", "anyOf", "oneOf"):
+        for i, part in enumerate(schema.get(word, [])):
+            checked_schema(part, f"{at}/{word}/{i}")
+    for name, part in schema.get("properties", {}).items():
+        checked_schema(part, f"{at}/properties/{name}")
+
+
+def same(a, b) -> bool:
+    """Equal as JSON: a number equals a number of its value, true and false are no numbers."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(same(v, b[k]) for k, v in a.items())
+    return a == b
+
+
+def _is(value, kind: str) -> bool:
+    if kind in ("number", "integer"):
+        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or isinstance(value, int) or value.is_integer())
+    return isinstance(value, TYPES[kind])
+
+
+def violations(value, schema, at: str = "$") -> list[str]:
+    """What breaks a checked schema; the keywords are CHECKED, with the meaning of the published draft of 2020, patterns as Python's."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
     found: list[str] = []
-    kinds = schema.get("type")
-    if kinds is not None:
-        kinds = kinds if isinstance(kinds, list) else [kinds]
-        number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        if not any(number and (k == "number" or k == "integer" and (isinstance(value, int) or value.is_integer())) if k in ("number", "integer") else isinstance(value, TYPES[k]) for k in kinds):
+    if "type" in schema:
+        kinds = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
+        if not any(_is(value, k) for k in kinds):
             return [f"{at}: not {' or '.join(kinds)}"]
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(same(value, x) for x in schema["enum"]):
         found.append(f"{at}: not in enum")
-    if "const" in schema and value != schema["const"]:
+    if "const" in schema and not same(value, schema["const"]):
         found.append(f"{at}: not the constant")
     if isinstance(value, str):
         if len(value) < schema.get("minLength", 0) or len(value) > schema.get("maxLength", math.inf):
             found.append(f"{at}: length {len(value)}")
-    elif isinstance(value, (int, float)) and not isinstance(value, bool):
+        if "pattern" in schema and not re.search(schema["pattern"], value):
+            found.append(f"{at}: not of the pattern")
+    elif _is(value, "number"):
         if value < schema.get("minimum", -math.inf) or value > schema.get("maximum", math.inf):
             found.append(f"{at}: out of range")
+        elif value <= schema.get("exclusiveMinimum", -math.inf) or value >= schema.get("exclusiveMaximum", math.inf):
+            found.append(f"{at}: out of range")
+        if "multipleOf" in schema and Fraction(str(value)) % Fraction(str(schema["multipleOf"])):
+            found.append(f"{at}: not a multiple")
     elif isinstance(value, list):
         if len(value) < schema.get("minItems", 0) or len(value) > schema.get("maxItems", math.inf):
             found.append(f"{at}: {len(value)} items")
+        if schema.get("uniqueItems") and len({canonical([x]) for x in value}) < len(value):
+            found.append(f"{at}: repeated items")
         for i, x in enumerate(value if "items" in schema else ()):
             found += violations(x, schema["items"], f"{at}[{i}]")
     elif isinstance(value, dict):
-        known = schema.get("properties", {})
+        if len(value) < schema.get("minProperties", 0) or len(value) > schema.get("maxProperties", math.inf):
+            found.append(f"{at}: {len(value)} properties")
+        known, other = schema.get("properties", {}), schema.get("additionalProperties", True)
         found += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
         for k in sorted(value):
-            if k in known:
-                found += violations(value[k], known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties", True) is False:
-                found.append(f"{at}.{k}: not allowed")
+            found += violations(value[k], known[k] if k in known else other, f"{at}.{k}")
+    for part in schema.get("allOf", []):
+        found += violations(value, part, at)
+    if "anyOf" in schema and all(violations(value, part, at) for part in schema["anyOf"]):
+        found.append(f"{at}: none of the choices")
+    if "oneOf" in schema and sum(not violations(value, part, at) for part in schema["oneOf"]) != 1:
+        found.append(f"{at}: not exactly one of the choices")
+    if "not" in schema and not violations(value, schema["not"], at):
+        found.append(f"{at}: what it must not be")
     return found
 
 
@@ -187,6 +262,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     after: an identifier or an array of them. Returns conversation, id, depth, position, name, state (linked,
     missing, orphan, cycle, repeat), valid, problems, line.
     """
+    for name, schema in schemas.items():
+        checked_schema(schema, name)
     conv = F.coalesce(F.concat(F.lit("c"), F.col("conversation").cast("string")), F.lit("n"))
     key = lambda i: F.concat(F.length("conv").cast("string"), F.lit(":"), F.col("conv"), i)  # noqa: E731  null for a null identifier
     listed = F.col("after") if calls.schema["after"].dataType.simpleString().startswith("array") else F.array(F.col("after").cast("string"))
