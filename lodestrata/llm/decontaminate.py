@@ -292,6 +292,7 @@ def find_contamination(
 
     A document word inside any occurrence of a window is hit.
     """
+    items = items.select(item_key, item_text).dropDuplicates()  # equal rows would all be in one block
     n = item_blocks(items, item_text, block_words)
     part = F.pmod(F.xxhash64(F.col(item_key).cast("string"), F.col(item_text)), F.lit(n))
     row = F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"))
