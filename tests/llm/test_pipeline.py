@@ -144,3 +144,12 @@ def test_stages_take_odd_rows(spark):
     kept = corpus_pipeline.near_dedup_stage(spark, docs, FOLDER).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 3), (False, 4), (False, 5), (False, 6), (True, 0), (True, 0)]
     assert corpus_pipeline.sharding_stage(spark, docs, FOLDER).count() == len(rows)
+
+
+def test_columns_named_as_the_results_are_replaced(spark):
+    rows = [(i, f"text number {i} of the hill", "en", "s", 1, 40 + i, "old", 0.5) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, shard int, SLOT string, row double")
+    out = corpus_pipeline.sharding_stage(spark, docs, FOLDER)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "row", "shard", "slot"]
+    assert out.count() == 9 and out.filter("shard >= 40").count() == 0
+    assert corpus_pipeline.sharding_stage(spark, docs.limit(0), FOLDER).count() == 0

@@ -395,7 +395,7 @@ def test_novel_strings_against_brute_force():
     key = lambda n, of: "".join(r.choice(of) for _ in range(n))
     made = [
         "the", "auth", "token", "credential", "is", "=", "\n", "# api key", "straightforwardly", "é", "Bearer", "secret: abcdefabcdef12",
-        "document.getElementById2", "x" * 70,
+        "document.getElementById2", "x" * 70, "getElementByIdAndClassName", "AbCdEfGhIjKlMnOp",
     ]
     for _ in range(150):
         text = " ".join(r.choice([*made, key(40, letters + "0123456789"), key(60, letters), "my_token/" + key(30, letters + "0123456789")]) for _ in range(r.randrange(1, 14)))
@@ -412,7 +412,9 @@ def test_novel_strings_against_brute_force():
                 spans = [(x, y) for x, y in zip(edges[::2], edges[1::2], strict=True) if y - x >= 12] if cut else []
             for x, y in spans:
                 free = not any(p < y and x < q for p, _, q in base)
-                if free and re.search("[0-9]|[A-Za-z]{32}", text[x:y]) and secrets.novelty(text, x, y) >= secrets.NOVELTY:
+                pairs = [(c, d) for c, d in zip(text[x:y], text[x + 1 : y], strict=False) if c.isalpha() and d.isalpha()]
+                mixed = len(pairs) >= 11 and sum(c.islower() != d.islower() for c, d in pairs) >= 0.3 * len(pairs)
+                if free and (mixed or re.search("[0-9]|[A-Za-z]{32}", text[x:y])) and secrets.novelty(text, x, y) >= secrets.NOVELTY:
                     want.append((x, "novel", y))
         assert secrets.novel_spans(text, base) == want
 
@@ -424,6 +426,8 @@ def test_long_and_lettered_secrets():
     forty = long[:40]
     for text, spans in (
         (f"credential is {long} end", [(14, 5014)]), (f"auth placeholder-word {forty} x", [(22, 62)]), (f"bearer {alone}", [(7, 67)]), (f'x = "{forty}"  # api key', []),
+        ("auth AbCdEfGhIjKlMnOpQrStUvWxYz", [(5, 31)]), ("bearer abC/dEfGhQwRtY+uIoPasDfGhJkLzXcVbNmQwErTyUiOpAsDfGh/jK", [(7, 61)]),
+        ("the token document.getElementByIdAndClassName and auth docs/Authentication/OverviewPage.html", []),
         (f'x = "{forty}"  # api_key', [(5, 45)]), (
             "notwithstanding token straightforwardly tokenization of internationalization", [],
         ), (f'credential_rotation_policy = "{forty}"', [(30, 70)]),
@@ -746,3 +750,77 @@ def test_unset_shared_folder_is_one_temporary_folder_on_a_local_master():
 
     local = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="local[2]", applicationId="x"))
     assert common.shared_dir(local) == common.shared_dir(local) and os.path.isdir(common.shared_dir(local))
+
+
+SCHEMA_CASES = [
+    ({"enum": [1]}, [1, 1.0], [True, "1", [1]]),
+    ({"const": 0}, [0, 0.0], [False, None]),
+    ({"const": {"a": [1, {"b": True}]}}, [{"a": [1, {"b": True}]}], [{"a": [1, {"b": 1}]}, {"a": [True, {"b": True}]}, {}]),
+    ({"pattern": "^a$"}, ["a", 5], ["zz", "ba"]),
+    ({"minimum": 1, "maximum": 3}, [1, 3, "x"], [0, 3.5]),
+    ({"exclusiveMinimum": 1, "exclusiveMaximum": 3}, [2, 1.1], [1, 3, 5]),
+    ({"multipleOf": 0.1}, [0.3, 1, 0], [0.25]),
+    ({"multipleOf": 3}, [9, 0, "x"], [10]),
+    ({"uniqueItems": True}, [[1, "1", True], []], [[1, 1.0], [{"a": 1}, {"a": 1}]]),
+    ({"items": {"type": "integer"}, "minItems": 1, "maxItems": 2}, [[1], [1, 2.0]], [[], [1, 2, 3], [1.5], [True]]),
+    ({"type": ["null", "number"]}, [None, 1, 2.5], [True, "1"]),
+    ({"type": "integer"}, [1, 2.0], [True, 1.5, "1"]),
+    ({"minLength": 2, "maxLength": 3}, ["ab", "äöü"], ["a", "abcd"]),
+    ({"required": ["a"], "properties": {"a": {"type": "string"}}, "additionalProperties": {"type": "boolean"}}, [{"a": "x"}, {"a": "x", "b": False}], [{}, {"a": 1}, {"a": "x", "b": 1}]),
+    ({"additionalProperties": False, "minProperties": 0, "maxProperties": 1}, [{}], [{"a": 1}]),
+    ({"minProperties": 1}, [{"a": 1}], [{}]),
+    ({"allOf": [{"minimum": 1}, {"maximum": 2}]}, [1, 2], [0, 3]),
+    ({"anyOf": [{"type": "string"}, {"minimum": 5, "type": "number"}]}, ["x", 6], [4, None]),
+    ({"oneOf": [{"multipleOf": 2}, {"multipleOf": 3}]}, [2, 3, 4], [6, 5]),
+    ({"not": {"type": "null"}}, [1], [None]),
+    ({"items": False}, [[]], [[1]]),
+    (True, [1, None], []),
+    (False, [], [1, None]),
+    ({"title": "t", "format": "email", "description": "x"}, ["nothing"], []),
+]
+
+
+@pytest.mark.parametrize(("schema", "good", "bad"), SCHEMA_CASES)
+def test_schema_keywords(schema, good, bad):
+    chat.checked_schema(schema)
+    assert [v for v in good if chat.violations(v, schema)] == []
+    assert [v for v in bad if not chat.violations(v, schema)] == []
+
+
+@pytest.mark.parametrize(
+    "schema",
+    [
+        {"type": "date"}, {"$ref": "#/x"}, {"properties": {"a": {"typ": "string"}}}, {"items": [{"type": "string"}]}, {"pattern": "("}, {"multipleOf": 0}, {"minimum": "1"}, {"minLength": True},
+        {"anyOf": [{"dependentRequired": {}}]}, 5, {"additionalProperties": {"if": {}}}, {"type": ["string", "integr"]},
+    ],
+)
+def test_schemas_that_are_not_checked_are_refused(spark, schema):
+    with pytest.raises(ValueError):
+        chat.checked_schema(schema)
+    calls = spark.createDataFrame([("c", "1", None, "tool", "{}")], "conversation string, id string, after string, name string, arguments string")
+    with pytest.raises(ValueError):
+        chat.link_tool_calls(calls, spark.createDataFrame([], "conversation string, id string, content string"), {"tool": schema})
+
+
+def test_proposals_do_not_grow_with_the_parts(spark):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(5_000)]
+    common = "these very common words stand in many of all the texts"
+    texts = [" ".join(r.choices(words, k=60)) + (" " + common if i % 4 == 0 else "") for i in range(1_000)]
+    made = {}
+    for parts in (1, 100, 1_000):
+        df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts)
+        found, docs = weighted_minhash.proposed(df, 0.05)
+        made[parts] = {x.value for x in found.collect()}
+        assert docs == 1_000 and len(made[parts]) < 300
+        idf = weighted_minhash._frequent(df, 0.05)
+        assert len(idf.values) == 7 and (idf.weights < 1).all()
+    assert made[1] <= made[100] <= made[1_000]
+    assert weighted_minhash.proposed(df.limit(0), 0.05)[1] == 0
+
+
+def test_equal_benchmark_rows_count_once(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta end"), (2, "other words")], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "beta gamma delta")] * 2_000 + [("b", "nothing of it")], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.find_contamination(docs, items, block_words=60).collect()}
+    assert got[1]["items"] == ["a"] and got[2]["items"] == [] and sorted(got[1].hits) == [1, 2, 3]
