@@ -245,14 +245,49 @@ def f8_prefixes(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).select("doc_id", ids.prefixed(mixed, query=True).alias("q"))
 
 
+# Order dates as the eight formats write them, and one that only names the year.
+_DATE_FORMATS = ("yyyy-MM-dd", "yyyy/M/d", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "MM/dd/yyyy")
+
+
+def _written(date, number):
+    forms = [F.date_format(date, f) for f in _DATE_FORMATS]
+    return F.element_at(F.array(*forms, F.concat(F.lit("some time in "), F.date_format(date, "yyyy"))), (number % (len(forms) + 1) + 1).cast("int"))
+
+
+_READ = "CASE WHEN o_orderkey % 8 = 7 THEN strftime(o_orderdate, '%Y-01-01') ELSE strftime(o_orderdate, '%Y-%m-%d') END"
+
+
+@query(f"SELECT o_orderkey, {_READ} AS found FROM orders")
+def f37_order_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Order dates, each read back from one of the formats."""
+    return table(spark, folder, "orders").select("o_orderkey", metadata.parsed_date(_written(F.col("o_orderdate"), F.col("o_orderkey"))).alias("found"))
+
+
 @query(
-    "SELECT i AS n, d AS found FROM (VALUES (1, '2024-03-05'), (2, '2024-03-05'), (3, '2024-03-05'), (4, '2024-03-05'), (5, '2024-03-05'), (6, "
-    "'2024-03-05'), (7, '2024-03-05'), (8, '2024-05-13'), (9, '1987-01-01'), (10, '')) t(i, d)"
+    f"SELECT o_orderkey, n_name || ' order ' || o_orderkey AS title, c_mktsegment || '; ' || regexp_replace(n_name, '[0-9]', '', 'g') || '; ' || r_name AS authors, {_READ} AS found, printf('10.%d/ord.%d', 1000 + c_custkey, o_orderkey) AS doi, r_name || ' Journal' AS journal "
+    "FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"
 )
-def f37_date_formats(spark: SparkSession, folder: str) -> DataFrame:
-    texts = ["2024-03-05", "2024/3/5", "March 5, 2024", "Mar 5, 2024", "5 March 2024", "5 Mar 2024", "03/05/2024", "13/05/2024", "spring 1987", "none"]
-    rows = F.explode(F.arrays_zip(F.sequence(F.lit(1), F.lit(len(texts))).alias("n"), F.array(*map(F.lit, texts)).alias("t")))
-    return spark.range(1).select(rows.alias("r")).select(F.col("r.n").alias("n"), metadata.parsed_date(F.col("r.t")).alias("found"))
+def f9_front_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Title, authors, date, identifier and journal of a front page written from an order, its customer, nation and region."""
+    t = lambda name: table(spark, folder, name)
+    rows = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    page = F.concat(
+        F.lit("\n# "), "n_name", F.lit(" order "), "o_orderkey", F.lit("*\n\nAuthors: "), "c_mktsegment", F.lit("¹, "), "n_name", F.lit("2 and "), "r_name", F.lit(" (r@x.org)\nPublished: "),
+        _written(F.col("o_orderdate"), F.col("o_orderkey")), F.lit("\nDOI: 10."), F.col("c_custkey") + 1000, F.lit("/ord."), "o_orderkey", F.lit("\nJournal: "), "r_name", F.lit(" Journal \n## Abstract\nNone.\n"),
+    )
+    p = rows.select("o_orderkey", page.alias("p"))
+    c = F.col("p")
+    return p.select(
+        "o_orderkey", metadata.title(c, F.lit("f.pdf")).alias("title"), F.array_join(metadata.authors(c), "; ").alias("authors"), metadata.found_date(c).alias("found"), metadata.doi(c).alias("doi"),
+        metadata.journal(c).alias("journal"),
+    )
+
+
+@query("SELECT page_id, array_to_string(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), ' ') AS images FROM pages")
+def f17_page_images(spark: SparkSession, folder: str) -> DataFrame:
+    """The targets of markdown images in whole pages whose links were made images."""
+    marked = F.regexp_replace("html", r'<a href="([^"]*)">([^<]*)</a>', "![$2]($1)")
+    return table(spark, folder, "pages").select("page_id", F.array_join(text.image_paths(marked), " ").alias("images"))
 
 
 # Pages hold one heading, paragraphs, line breaks and emphasis; the rest of them is left out.
