@@ -20,10 +20,10 @@ LONGEST_TOKEN = 255
 
 # A word is a run of letters, digits and connectors with a letter or a digit in it, carried on by a sign between two letters or two
 # digits. Runs and their continuations are bounded, so no text makes the matcher recurse far; longer ones are cut, as by the rule.
-_RUN = rf"[{_LETTER}{_MARK}{_CONNECTOR}\p{{Nd}}]"
+_RUN = rf"[a-z0-9[{_LETTER}{_MARK}{_CONNECTOR}\p{{Nd}}]]"
 _BETWEEN = rf"(?<=[{_LETTER}{_MARK}]){_IN_LETTERS}(?={_LETTER})|(?<=\p{{Nd}}){_IN_NUMBERS}(?=\p{{Nd}})"
-_WORD = rf"{_CONNECTOR}{{0,{LONGEST_TOKEN - 1}}}[{_LETTER}\p{{Nd}}]{_RUN}{{0,{LONGEST_TOKEN - 1}}}(?:(?:{_BETWEEN}){_RUN}{{1,{LONGEST_TOKEN}}}){{0,{LONGEST_TOKEN // 2}}}"
-TOKEN = rf"[{_BY_CHARACTER}]{_MARK}*|[{_KATAKANA}][{_KATAKANA}{_MARK}]{{0,{LONGEST_TOKEN - 1}}}|[{_UNSPACED}][{_UNSPACED}{_MARK}]{{0,{LONGEST_TOKEN - 1}}}|{_WORD}"
+_WORD = rf"{_CONNECTOR}{{0,{LONGEST_TOKEN - 1}}}[a-z0-9[{_LETTER}\p{{Nd}}]]{_RUN}{{0,{LONGEST_TOKEN - 1}}}(?:(?:{_BETWEEN}){_RUN}{{1,{LONGEST_TOKEN}}}){{0,{LONGEST_TOKEN // 2}}}"
+TOKEN = rf"{_WORD}|[{_BY_CHARACTER}]{_MARK}*|[{_KATAKANA}][{_KATAKANA}{_MARK}]{{0,{LONGEST_TOKEN - 1}}}|[{_UNSPACED}][{_UNSPACED}{_MARK}]{{0,{LONGEST_TOKEN - 1}}}"
 
 # Patterns of running lines, headings, tables and images.
 NOISE = (r"(?m)^Page \d+ of \d+$", r"(?m)^\d+$", r"(?m)^-\s*\d+\s*-$")

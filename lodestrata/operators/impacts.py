@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import tokens
-from lodestrata.operators.search import BLOCK_TEXTS, K1, B, _whole, corpus_statistics, query_blocks, top_k
+from lodestrata.operators.search import BLOCK_TEXTS, K1, B, _whole, query_blocks, top_k
 from lodestrata.sources.stores import kept
 
 #: Postings of a block; of a write task; texts of a share of a list; texts of a folder of texts' terms.
@@ -40,16 +40,18 @@ def impact(tf: Column, dl: Column, avgdl: float) -> Column:
 def write_impacts(chunks: DataFrame, path: str, text: str = "text", block: int = BLOCK) -> None:
     """Write chunks (chunk_id, text) as texts, blocks, terms and about below path."""
     spark = chunks.sparkSession
-    about = corpus_statistics(chunks, text).first()
-    n, avgdl = about["n"], about["avgdl"] or 1.0
+    n = chunks.count()
     slots = max(LEAST_SLOTS, n // SLOT_TEXTS)
-    listed = chunks.select("chunk_id", F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("t"))
+    words = tokens(F.col(text))
+    listed = chunks.select("chunk_id", F.coalesce(words, F.array().cast("array<string>")).alias("t"), F.col(text).isNotNull().alias("there"))
     key = chunks.schema["chunk_id"].dataType.simpleString()
     slot = F.pmod(F.xxhash64("chunk_id"), F.lit(slots)).cast("int")
     counted = listed.mapInArrow(_counted, f"chunk_id {key}, dl long, terms array<string>, tf array<long>").withColumn("slot", slot)
     counted.repartition("slot").sortWithinPartitions("slot", "chunk_id").write.partitionBy("slot").parquet(f"{path}/texts")
     texts = spark.read.schema(counted.schema).parquet(f"{path}/texts")
-    total = texts.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+    # The mean length is that of the texts that are not null, as in corpus_statistics.
+    about = texts.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("total"), F.avg("dl").alias("avgdl")).first()
+    total, avgdl = about["total"], about["avgdl"] or 1.0
     shares = max(1, n // SHARE_TEXTS)
     buckets = max(LEAST_BUCKETS, total // (shares * TASK_POSTINGS))
     posted = texts.select("chunk_id", "dl", F.explode(F.arrays_zip("terms", "tf")).alias("p")).select(F.col("p.terms").alias("term"), "chunk_id", F.col("p.tf").alias("tf"), "dl")
@@ -69,7 +71,7 @@ def term_bucket(term: Column, buckets: int) -> Column:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts' terms once each, with their numbers."""
+    """Texts' terms once each, with their numbers; a null text has no length."""
     for batch in batches:
         listed = batch.column(1)
         ends = listed.offsets.to_numpy()
@@ -80,7 +82,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = pair // size
         offsets = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32))
         terms = pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(pair % size)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(length.astype(np.int64)), terms, pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64)))], names=["chunk_id", "dl", "terms", "tf"])
+        absent = ~batch.column(2).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(length.astype(np.int64), mask=absent), terms, pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64)))], names=["chunk_id", "dl", "terms", "tf"])
 
 
 def _cut(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
