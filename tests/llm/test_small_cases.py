@@ -472,6 +472,49 @@ def test_mixing_keeps_target_weights_over_many_slots(spark):
     assert done == {"a": 2000, "b": 2000, "c": 2000, "d": 1}
 
 
+def test_segments_of_a_mixture_are_the_whole_schedule():
+    """What has run before any cut is what one pass over all slots has run; segments from there make the same slots."""
+    import random
+
+    rnd = random.Random(3)
+    for _ in range(25):
+        weights = {f"s{i}": rnd.choice((rnd.random(), rnd.randint(1, 9) / 10, 0.02 + rnd.random() ** 4)) for i in range(rnd.randint(1, 15))}
+        parts, total = mixing.shares(weights)
+        blocks = {s: rnd.randint(0, 15) for s in parts}
+        whole = list(mixing.edf(parts, total, dict.fromkeys(parts, 10**9), 0, 900))
+        for cut in rnd.sample(range(900), 12):
+            done = Counter(s for s, *_ in whole[:cut])
+            assert mixing.run_before(parts, total, cut) == {s: done[s] for s in parts}
+        own = list(mixing.edf(parts, total, blocks))
+        size = rnd.randint(20, 200)
+        end = max((r[2] for r in own), default=-1) + 1
+        assert own == [r for t in range(0, end, size) for r in mixing.edf(parts, total, blocks, t, t + size)]
+        many, slots = mixing.segments(parts, total, blocks, None, 7)
+        assert many * slots >= end and (not many or slots >= total / min(parts.values()))
+        assert sum(blocks.values()) == len(own)
+
+
+def test_mixture_of_many_segments(spark):
+    d = spark.range(5000).select(F.col("id").alias("doc_id"), F.expr("elt(id % 8 + 1, 'a','a','a','a','b','b','c',null)").alias("source"))
+    weights = {"a": 0.2, "b": 0.3, "c": 0.15, None: 0.05}
+    options = {"weights": weights, "block_rows": 4, "cell_rows": 100}
+    placed = lambda **more: sorted((r.position, r.row.doc_id, r.chosen) for r in mixing.mix(d, **options, **more).filter("slot is not null").collect())
+    whole = placed(segment_slots=10**9)
+    assert placed(segment_slots=1) == whole and len(whole) == 5000
+    kept = [x for x in whole if x[2]]
+    assert placed(segment_slots=50, whole=False) == kept and 0 < len(kept) < 5000
+    assert sorted(r.doc_id for r in mixing.mixture(d, **options, segment_slots=50).collect()) == sorted(x[1] for x in kept)
+
+
+def test_a_tiny_weight_with_many_rows(spark):
+    """Two million slots before the last block; the mixture makes its own 26 alone."""
+    d = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("if(id < 320, 'a', 'b')").alias("source"))
+    weights = {"a": 1.0, "b": 0.000001}
+    parts, total = mixing.shares({"s:a": 1.0, "s:b": 0.000001})
+    assert mixing.segments(parts, total, {"s:a": 20, "s:b": 5}, 25)[0] == 1
+    assert {r.source for r in mixing.mixture(d, weights=weights).collect()} == {"a"}
+
+
 def test_warc(spark):
     import base64
 
