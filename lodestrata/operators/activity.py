@@ -45,6 +45,36 @@ def job_status(results: DataFrame, job: str, success: Column) -> DataFrame:
     )
 
 
+def failures(results: DataFrame, keep: list[str], failed: Column, error: Column, unknown: str = "Unknown error") -> DataFrame:
+    """The failed results with their error; one without an error gets `unknown`. A null `failed` is no failure."""
+    return results.filter(failed).select(*keep, F.coalesce(error, F.lit(unknown)).alias("error"))
+
+
+def batch_totals(results: DataFrame, success: Column) -> DataFrame:
+    """One row: results, successes, the others (null is none), and the percentage of successes (null without results)."""
+    ok = F.count_if(success)
+    return results.agg(
+        F.count("*").alias("n_total"), ok.alias("n_ok"), (F.count("*") - ok).alias("n_failed"),
+        F.round(F.try_divide(100 * ok, F.count("*")), 2).alias("percent_ok"),
+    )
+
+
+def hit_rates(lookups: DataFrame, by: str, hit: Column) -> DataFrame:
+    """Share of lookups that hit, by group; a null hit is a miss."""
+    rate = F.avg(F.when(hit, 1.0).otherwise(0.0))
+    return lookups.groupBy(by).agg(F.round(rate, 6).alias("hit_rate"), F.count("*").alias("n"))
+
+
+def stage_durations(events: DataFrame, keys: list[str], us: str) -> DataFrame:
+    """First and last event of each key in microseconds, and the seconds between them; null times are left out."""
+    return events.groupBy(*keys).agg(F.min(us).alias("started"), F.max(us).alias("ended"), F.round((F.max(us) - F.min(us)) / 1e6, 6).alias("seconds"))
+
+
+def recording_durations(segments: DataFrame, file: str, start: str, end: str) -> DataFrame:
+    """A recording lasts until the end of the segment that starts last."""
+    return segments.groupBy(file).agg(F.round(F.max_by(end, start), 6).alias("duration"))
+
+
 def failure_rates(results: DataFrame, by: list[str], failed: Column, alert_share: float = 0.1, least: int = 10) -> DataFrame:
     """Failure rate by group; the alert needs `least` results."""
     out = results.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(failed).alias("n_failed"))

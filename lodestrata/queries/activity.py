@@ -120,7 +120,7 @@ def f31_clocks(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {SEGMENTS} SELECT user_id, round(arg_max(s1, s0), 6) AS duration FROM seg GROUP BY user_id")
 def f63_durations(spark: SparkSession, folder: str) -> DataFrame:
-    return _segments(spark, folder).groupBy("user_id").agg(F.round(F.max_by("s1", "s0"), 6).alias("duration"))
+    return A.recording_durations(_segments(spark, folder), "user_id", "s0", "s1")
 
 
 SHOTS = "shots AS (SELECT user_id, event_id AS shot, s0 AS a, lead(s0) OVER (PARTITION BY user_id ORDER BY s0) AS b FROM seg)"
@@ -182,9 +182,7 @@ def j16_pending_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {BASE} SELECT user_id, event_type, min(us) AS started, max(us) AS ended, round((max(us) - min(us)) / 1e6, 6) AS seconds FROM e GROUP BY ALL")
 def w13_stage_durations(spark: SparkSession, folder: str) -> DataFrame:
-    return _events(spark, folder).groupBy("user_id", "event_type").agg(
-        F.min("us").alias("started"), F.max("us").alias("ended"), F.round((F.max("us") - F.min("us")) / 1e6, 6).alias("seconds"),
-    )
+    return A.stage_durations(_events(spark, folder), ["user_id", "event_type"], "us")
 
 
 _ERRORS = (

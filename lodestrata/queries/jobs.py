@@ -52,7 +52,7 @@ def a6_builder_statistics(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT user_id, event_type, CASE WHEN event_id % 2 = 0 THEN 'Unknown error' ELSE 'code ' || event_id END AS error FROM events WHERE value < 2")
 def a13_failures(spark: SparkSession, folder: str) -> DataFrame:
     error = F.when(F.col("event_id") % 2 != 0, F.concat(F.lit("code "), F.col("event_id")))
-    return table(spark, folder, "events").filter("value < 2").select("user_id", "event_type", F.coalesce(error, F.lit("Unknown error")).alias("error"))
+    return A.failures(table(spark, folder, "events"), ["user_id", "event_type"], F.col("value") < 2, error)
 
 
 @query(
@@ -60,11 +60,7 @@ def a13_failures(spark: SparkSession, folder: str) -> DataFrame:
     "20) / count(*), 2) AS percent_ok FROM events"
 )
 def a15_batch_totals(spark: SparkSession, folder: str) -> DataFrame:
-    ok = F.count_if(F.col("value") > 20)
-    return table(spark, folder, "events").agg(
-        F.count("*").alias("n_total"), ok.alias("n_ok"), F.count_if(F.col("value") <= 20).alias("n_failed"),
-        F.round(F.try_divide(100 * ok, F.count("*")), 2).alias("percent_ok"),
-    )
+    return A.batch_totals(table(spark, folder, "events"), F.col("value") > 20)
 
 
 #: The log runs a thousand times faster here, so that a minute holds requests.
@@ -84,8 +80,7 @@ def a18_client_statistics(spark: SparkSession, folder: str) -> DataFrame:
     "AS n FROM events GROUP BY event_type"
 )
 def a19_cache_hit_rates(spark: SparkSession, folder: str) -> DataFrame:
-    hit = F.when(F.get_json_object("props", "$.k").cast("long") % 2 == 0, 1.0).otherwise(0.0)
-    return table(spark, folder, "events").groupBy("event_type").agg(F.round(F.avg(hit), 6).alias("hit_rate"), F.count("*").alias("n"))
+    return A.hit_rates(table(spark, folder, "events"), "event_type", F.get_json_object("props", "$.k").cast("long") % 2 == 0)
 
 
 @query("SELECT user_id, max(epoch_us(ts)) AS updated FROM events GROUP BY user_id ORDER BY updated DESC, user_id LIMIT 25")

@@ -513,6 +513,19 @@ def test_embedding_cache(spark):
     assert cache.count() == 1 and grown.count() == 2
 
 
+def test_totals_over_odd_results(spark):
+    rows = [("a", True, None, 1), ("a", False, "lost", 5), ("a", None, None, None), ("b", False, None, 7)]
+    d = spark.createDataFrame(rows, "k string, ok boolean, error string, us long")
+    plain = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert plain(activity.batch_totals(d, F.col("ok"))) == [(4, 1, 3, 25.0)]
+    assert plain(activity.batch_totals(d.limit(0), F.col("ok"))) == [(0, 0, 0, None)]
+    assert plain(activity.failures(d, ["k"], ~F.col("ok"), F.col("error"))) == [("a", "lost"), ("b", "Unknown error")]
+    assert plain(activity.hit_rates(d, "k", F.col("ok"))) == [("a", 0.333333, 3), ("b", 0.0, 1)]
+    assert plain(activity.stage_durations(d, ["k"], "us")) == [("a", 1, 5, 0.000004), ("b", 7, 7, 0.0)]
+    spoken = spark.createDataFrame([("x", 0.0, 9.0), ("x", 4.0, 6.5)], "file string, s double, e double")
+    assert plain(activity.recording_durations(spoken, "file", "s", "e")) == [("x", 6.5)]
+
+
 def test_segments_and_images(spark, tmp_path):
     (tmp_path / "a.json").write_text(
         json.dumps({"filename": "a.wav", "segments": [{"start": 0.5, "end": 1.0, "text": " hi "}, {"start": 4.0, "end": 5.0, "text": "there"}]})
