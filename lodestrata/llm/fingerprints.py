@@ -5,7 +5,7 @@ of the whole, and two sketches estimate resemblance, containment and the number
 
 Defined cases: null counts as the empty text, whose sketch is empty; two empty sketches resemble each other fully, an
 empty and a filled one not at all. Equal texts have equal sketches. Repeated rows each get a row; rows of one id follow
-each other by their texts. Null ids come last, all in one range. Very long texts are sketched whole, in one piece. An
+each other by their texts. Ids must be whole numbers; others are an error. Null ids come last, all in one range. Very long texts are sketched whole, in one piece. An
 empty table gives no rows. Further columns, whatever their names, are not read.
 """
 
