@@ -169,3 +169,15 @@ def test_numbers_without_gaps(spark):
     assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.seq)] == want
     assert sorted(r.seq for r in got) == list(range(10, 210))
     assert numbered(rows.limit(0), ["a"]).count() == 0
+
+
+def test_exact_search_and_what_it_moves(spark, tmp_path):
+    v = clustered(spark, 500, same=0.3)
+    index = V.VectorIndex.create(v, str(tmp_path / "i"), cells=30)
+    index.append(v, "all")
+    asked = v.filter("seq % 10 = 0").select(F.col("chunk_id").alias("query_id"), "embedding", "seq")
+    assert found(index.exact(asked, 7)) == found(search.knn(asked, v, 7))
+    radius, n, norm = index._limits()
+    # Every cell is asked, all in one block, which gives out the best k a query: no row a query and cell.
+    met = index._meet(asked, V.Reach(n, radius, norm, probes=30), 7, 60, False)
+    assert met.groupBy("query_id").count().agg(F.max("count")).first()[0] == 7
