@@ -15,9 +15,11 @@ an empty result. Other columns are not read, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from lodestrata.llm.common import stage
 
 #: Bytes of text that are tokenized and aligned at once, and that share a list of pairs.
 PIECE_BYTES, BLOCK_BYTES = 1 << 19, 16 << 20
+#: Words whose tokens a worker keeps, the longest of them in characters, and how many new ones are encoded in a row.
+MEMO_WORDS, MEMO_CHARS, RUN_WORDS = 500_000, 40, 256
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
 _loaded: dict[str, tuple] = {}
@@ -42,6 +46,81 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def cut_at_spaces(tokenizer) -> bool:
+    """Whether a space between two characters that are no white space always begins a new word of the tokenizer, as the byte-level pattern has it."""
+    own = json.loads(tokenizer.to_str())
+    cut, model = own["pre_tokenizer"] or {}, own["model"]
+    byte_level = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    return byte_level and model["type"] == "BPE" and not model.get("dropout") and own["normalizer"] is None and all(t["special"] for t in own["added_tokens"])
+
+
+def _edge(c: str) -> bool:
+    return "!" <= c <= "~" or c.isalnum()
+
+
+class Words:
+    """The ids of a space and each text, where the tokenizer cuts at spaces: a word that was met before is not encoded again.
+
+    A word with white space or anything uncommon at an end, or an empty one (two spaces), is encoded together with its neighbours. New
+    words are encoded RUN_WORDS at a time; the tokens' bytes tell where each ends.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], length: np.ndarray) -> None:
+        self.encode, self.length = encode, length
+        self.memo: dict[str, list[int]] = {}
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        if len(self.memo) > MEMO_WORDS:
+            self.memo = {}
+        known = self.memo
+        laid = [t.split(" ") for t in texts]
+        fresh = {w for w in chain.from_iterable(laid) if w not in known}
+        plain = [w for w in fresh if w and len(w) <= MEMO_CHARS and _edge(w[0]) and _edge(w[-1])]
+        known.update(zip(plain, self._apart(plain), strict=True))
+        rare = fresh.difference(plain)
+        if rare:  # not kept: long words, and runs of words
+            laid = [_with_neighbours(words, rare) if not rare.isdisjoint(words) else words for words in laid]
+            runs = list({w for w in chain.from_iterable(laid) if w not in known})
+            known = _Both(zip(runs, self.encode([" " + w for w in runs]), strict=True), known)
+        return [list(chain.from_iterable([known[w] for w in words])) for words in laid]
+
+    def _apart(self, words: list[str]) -> Iterator[list[int]]:
+        """The ids of each word."""
+        groups = [words[i : i + RUN_WORDS] for i in range(0, len(words), RUN_WORDS)]
+        for group, ids in zip(groups, self.encode(["".join([" " + w for w in group]) for group in groups]), strict=True):
+            ends = np.cumsum(self.length[ids])
+            wanted = np.cumsum([1 + len(w.encode()) for w in group])
+            at = np.searchsorted(ends, wanted)
+            if at[-1] < len(ends) and np.array_equal(ends[at], wanted):
+                cuts = (at + 1).tolist()
+                yield from (ids[lo:hi] for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True))
+            else:  # a token that stands for other bytes
+                yield from self.encode([" " + w for w in group])
+
+
+class _Both(dict):
+    """Those of some texts, and else the kept ones."""
+
+    def __init__(self, own, kept: dict) -> None:
+        super().__init__(own)
+        self.kept = kept
+
+    def __missing__(self, word: str) -> list[int]:
+        return self.kept[word]
+
+
+def _with_neighbours(words: list[str], joined: set[str]) -> list[str]:
+    """The words, but those of `joined` in one run with the words on both sides."""
+    out, open_ = [], False
+    for w in words:
+        if out and (open_ or w in joined):
+            out[-1].append(w)
+        else:
+            out.append([w])
+        open_ = w in joined
+    return [" ".join(run) for run in out]
+
+
 class Tokens:
     """A tokenizer as a list of ids a text, and the bytes of each id."""
 
@@ -58,7 +137,9 @@ class Tokens:
             self.bytes = [b""] * (max(known.values()) + 1)
             for token, i in known.items():
                 self.bytes[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
-            self.encode = lambda texts: [e.ids for e in own.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+            encode = lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+            length = np.array([len(b) for b in self.bytes], np.int64)
+            self.encode = Words(encode, length) if cut_at_spaces(own) else lambda texts: encode([" " + t for t in texts])
         else:
             import sentencepiece
 
