@@ -1,9 +1,13 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
-Each text is a weighted set of five-word shingles, weight = tf * idf. The idf is 1 for a shingle in fewer
-than COMMON of all documents and falls with the logarithm of the document frequency above that; frequencies
-are exact counts over all rows. Consistent weighted samples, banded, propose candidates; every candidate is
-verified by the exact weighted Jaccard similarity of the whole texts (at least `similarity`).
+Each text is a weighted set of five-word shingles, weight = tf * idf. The idf is the root of ln(1 + documents / document
+frequency), so it falls with every further document that has the shingle; frequencies are exact counts of all shingles
+over all rows. Consistent weighted samples, banded, propose candidates; every candidate is verified by the exact
+weighted Jaccard similarity of the whole texts (at least `similarity`).
+
+Frequencies are counted in blocks of texts: a block sends each shingle that it has once, with its number of documents, to
+one of COUNTERS counters, which sends back the sum over all blocks. No shingle is a row, and a frequent one is as many
+numbers as there are blocks.
 
 Work stays linear in a group's size: copies of one text are one node; a bucket's members are compared with
 the bucket's leader only, and those that are not in its class after that go on with a new leader; leaders
@@ -44,6 +48,8 @@ COMMON = 0.05
 ROUNDS = 2
 BLOCK_WEIGHT, BLOCK_ROWS = 1_000_000, 256
 SALT_ROWS = 256
+#: Bytes of text in a block that asks for its shingles' frequencies, and the counters that the shingles are dealt to by their leading bits.
+ASKED_BYTES, COUNTERS = 2 << 20, 1 << 10
 BUCKET_ROWS = 250
 CANDIDATES = 1_000_000
 CELLS = 1 << 17
@@ -67,6 +73,8 @@ class Sampler:
         self.bands, self.rows = bands, rows
         # For weight 1, t is 0 and ln a = ln c - r (1 - beta).
         self.unit = self._rank(self.ln_c - self.r * (1 - self.beta))
+        # t is 0, and the sample that of weight 1, for all ln w from low up to high.
+        self.low, self.high = (-self.r * self.beta).astype(np.float32), (self.r * (1 - self.beta)).astype(np.float32)
 
     @staticmethod
     def _rank(ln_a: np.ndarray) -> np.ndarray:
@@ -74,16 +82,19 @@ class Sampler:
 
     def signatures(self, first: np.ndarray, value: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """A row of band keys for each set; first: where the sets begin (none is empty)."""
-        other = np.flatnonzero(weight != 1)
-        ln_w = np.log(weight[other])
+        ln_w = np.log(weight)
+        below, above = np.flatnonzero(weight < 1), np.flatnonzero(weight > 1)
+        ln_below, ln_above = ln_w[below].astype(np.float32), ln_w[above].astype(np.float32)
         name = value >> np.uint64(S.HASH_BITS - 48)
+        folded = value ^ (value >> np.uint64(23))
         samples = np.empty((len(first), self.bands * self.rows), np.uint64)
         for k, odd in enumerate(self.odd):
-            at = ((value ^ (value >> np.uint64(23))) * odd) >> np.uint64(48)
+            at = (folded * odd) >> np.uint64(48)
             key = self.unit[at] | name
+            other = np.concatenate((below[ln_below < self.low[at[below]]], above[ln_above >= self.high[at[above]]]))
             if len(other):
                 i = at[other]
-                t = np.floor(ln_w / self.r[i] + self.beta[i])
+                t = np.floor(ln_w[other] / self.r[i] + self.beta[i])
                 ln_a = self.ln_c[i] - self.r[i] * (t - self.beta[i]) - self.r[i]
                 moved = S.mix(value[other] + t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
                 key[other] = self._rank(ln_a) | np.where(t == 0, name[other], moved)
@@ -96,7 +107,7 @@ class Sampler:
 
 
 class Idf:
-    """Weights of the common shingles; all others weigh 1."""
+    """Weights of some shingles, as idf_weight gives them; _frequent makes one of a table's common shingles."""
 
     def __init__(self, values: np.ndarray, weights: np.ndarray) -> None:
         order = np.argsort(values)
@@ -109,9 +120,13 @@ class Idf:
         return np.where(self.values[i] == value, self.weights[i], 1.0)
 
 
-def idf_weight(frequency: float, common: float = COMMON) -> float:
-    """1 up to the share `common` of the documents, then falling to about a quarter for a shingle in all."""
-    return min(1.0, math.log(1 + 1 / frequency) / math.log(1 + 1 / common))
+def idf_weight(frequency: float | np.ndarray, common: float = COMMON) -> float | np.ndarray:
+    """Falls with every frequency: above 1 below the share `common` of the documents, about a half for a shingle in all.
+
+    The root damps it: of two copies of one text the shared shingles are in more documents than those of the edit, so an
+    undamped logarithm weighs edits against copies.
+    """
+    return np.sqrt(np.log1p(1 / frequency) / math.log1p(1 / common))
 
 
 def proposed(texts: DataFrame, common: float) -> tuple[DataFrame, int]:
@@ -189,34 +204,85 @@ def _frequent(texts: DataFrame, common: float) -> Idf:
     return Idf(np.array([v for v, _ in kept], np.uint64), np.array([idf_weight(n / docs, common) for _, n in kept], np.float64))
 
 
+def _shingles_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, shingle, times) of all the texts, by text, then shingle."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for lo, _, data, offsets in S.blocks(texts):
+        doc, value, times = S.shingles(data, offsets)
+        found.append((doc + lo, value, times))
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+
+
+def frequencies(homes: DataFrame) -> DataFrame:
+    """(block, counter, seen): for the texts of homes (block, text and others), the document frequencies of each block's distinct shingles in ascending order.
+
+    Shingles of one counter share their leading bits; the 40 bits below go there as 8 and 32.
+    """
+    rest = S.HASH_BITS - (COUNTERS.bit_length() - 1)
+
+    def ask(key: tuple, texts: pa.Table) -> pa.Table:
+        value, n = np.unique(_shingles_of(texts.column("text"))[1], return_counts=True)
+        ends = np.searchsorted(value, np.arange(COUNTERS + 1, dtype=np.uint64) << np.uint64(rest))
+        some = np.flatnonzero(np.diff(ends))
+        ends = np.append(ends[some], len(value))
+        return pa.table({
+            "counter": pa.array(some.astype(np.int32)),
+            "block": pa.array(np.full(len(some), key[0].as_py(), np.int64)),
+            "high": _lists((value >> np.uint64(32)).astype(np.uint8).view(np.int8), ends),
+            "low": _lists(value.astype(np.uint32).view(np.int32), ends),
+            "n": _lists(n.astype(np.int32), ends),
+        })
+
+    def count(asked: pa.Table) -> pa.Table:
+        flat = lambda c: asked.column(c).combine_chunks().flatten().to_numpy()
+        value = (flat("high").view(np.uint8).astype(np.uint64) << np.uint64(32)) | flat("low").view(np.uint32)
+        _, at = np.unique(value, return_inverse=True)
+        seen = np.bincount(at, flat("n")).astype(np.int32)[at]
+        ends = np.append(0, np.cumsum(asked.column("low").combine_chunks().value_lengths().to_numpy()))
+        return pa.table({"block": asked.column("block"), "counter": asked.column("counter"), "seen": _lists(seen, ends)})
+
+    # All columns go along, as the caller reads them in the same way: the texts are shuffled once for both.
+    asked = homes.groupBy("block").applyInArrow(ask, "counter int, block long, high array<byte>, low array<int>, n array<int>")
+    return asked.groupBy("counter").applyInArrow(count, "block long, counter int, seen array<int>")
+
+
 def _sign(rows: DataFrame, idf, bands: int, rows_: int) -> DataFrame:
-    """(node, doc, bands, weight) for rows (node, doc, text); no bands for a text without words."""
+    """(node, doc, bands, weight, weights) for rows (node, doc, text); no bands for a text without words.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, weigh = Sampler(bands, rows_), idf.value
-        for batch in batches:
-            keys, weights = [], []
-            for lo, hi, data, offsets in S.blocks(batch.column(2)):
-                total = np.zeros(hi - lo)
-                has = np.zeros(hi - lo, bool)
-                sets: list[np.ndarray] = []
-                doc, value, times = S.shingles(data, offsets)
-                weight = times * weigh(value)
-                if len(doc):
-                    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-                    has[doc[first]] = True
-                    total = np.bincount(doc, weight, hi - lo)
-                    sets = _in_slices(sampler, first, value, weight)
-                found = iter(np.concatenate(sets).view(np.int64) if sets else ())
-                keys += [next(found).tolist() if x else [] for x in has]
-                weights.append(total)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(np.concatenate(weights) if weights else np.zeros(0))],
-                names=["node", "doc", "bands", "weight"],
-            )
+    weights: of the text's shingles, in the order of S.shingles; weight: their sum. A shingle weighs what idf says, or by its
+    frequency in these rows if idf does not know it, in units of the weight of a shingle that one document has.
+    """
+    size = rows.agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    docs, blocks = size["docs"], max(1, -(-(size["bytes"] or 0) // ASKED_BYTES))
+    block = F.pmod(F.xxhash64("node", "doc"), F.lit(blocks))
+    homes = rows.filter("text is not null").select(block.alias("block"), "node", "doc", "text").repartition(max(partitions(rows.sparkSession), blocks // 16), "block")
+
+    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        sampler = Sampler(bands, rows_)
+        doc, value, times = _shingles_of(texts.column("text"))
+        seen = counts.sort_by("counter").column("seen").combine_chunks().flatten().to_numpy()
+        known, idf_of = idf.value, idf_weight(seen / docs)
+        distinct = np.unique(value)
+        if len(known.values):
+            common = np.isin(distinct, known.values)
+            idf_of[common] = known(distinct[common])
+        weight = times * (idf_of / idf_weight(1 / docs))[np.searchsorted(distinct, value)]
+        ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+        has = np.diff(ends) > 0
+        keys = np.concatenate(_in_slices(sampler, ends[:-1][has], value, weight)) if has.any() else np.zeros((0, bands), np.uint64)
+        return pa.table({
+            "node": texts.column("node"), "doc": texts.column("doc"), "bands": _lists(keys.view(np.int64).ravel(), np.append(0, np.cumsum(has * bands))),
+            "weight": pa.array(np.bincount(doc, weight, len(texts))), "weights": _lists(weight, ends),
+        })
 
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(run, f"node long, doc {kind}, bands array<long>, weight double")
+    signed = homes.groupBy("block").cogroup(frequencies(homes).groupBy("block")).applyInArrow(run, f"node long, doc {kind}, bands array<long>, weight double, weights array<double>")
+    without = rows.filter("text is null").select("node", "doc", F.array().cast("array<long>").alias("bands"), F.lit(0.0).alias("weight"), F.array().cast("array<double>").alias("weights"))
+    return signed.unionByName(without)
 
 
 def _in_slices(sampler: Sampler, first: np.ndarray, value: np.ndarray, weight: np.ndarray, most: int = 1 << 16) -> list[np.ndarray]:
@@ -242,7 +308,16 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(least / (total - least))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
+def _weighted_sets(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(shingles, weights) of each row of a batch with columns text and weights."""
+    _, value, _ = _shingles_of(batch.column("text"))
+    weights = batch.column("weights")
+    ends = np.append(0, np.cumsum(weights.value_lengths().to_numpy()))
+    flat = weights.flatten().to_numpy()
+    return [(value[a:b], flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (leader, member) whose texts are similar enough.
 
     A leader's text is sent once to each of its shares of SALT_ROWS members, ahead of the members' texts.
@@ -250,24 +325,18 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataF
     spark = pairs.sparkSession
     shares = pairs.groupBy("leader").agg(F.ceil(F.count("*") / SALT_ROWS).alias("shares"))
     salted = pairs.join(shares, "leader").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("shares")).cast("int"))
-    members = salted.join(texts, F.col("member") == F.col("node")).select("leader", "salt", F.lit(1).alias("part"), "member", "text")
+    members = salted.join(texts, F.col("member") == F.col("node")).select("leader", "salt", F.lit(1).alias("part"), "member", "text", "weights")
     heads = shares.withColumn("salt", F.explode(F.sequence(F.lit(0), (F.col("shares") - 1).cast("int")))).join(texts, F.col("leader") == F.col("node"))
-    heads = heads.select("leader", "salt", F.lit(0).alias("part"), F.col("leader").alias("member"), "text")
+    heads = heads.select("leader", "salt", F.lit(0).alias("part"), F.col("leader").alias("member"), "text", "weights")
     both = heads.unionByName(members).repartition(partitions(spark), "leader", "salt").sortWithinPartitions("leader", "salt", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, weigh = None, idf.value
+        head = None
         for batch in batches:
             leaders, members = batch.column(0).to_pylist(), batch.column(3).to_pylist()
             parts = batch.column(2).to_pylist()
-            sets: list[tuple[np.ndarray, np.ndarray]] = []
-            for lo, hi, data, offsets in S.blocks(batch.column(4)):
-                doc, value, times = S.shingles(data, offsets)
-                weight = times * weigh(value)
-                ends = np.searchsorted(doc, np.arange(hi - lo + 1))
-                sets += [(value[a:b], weight[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             a, b = [], []
-            for leader, member, part, own in zip(leaders, members, parts, sets, strict=True):
+            for leader, member, part, own in zip(leaders, members, parts, _weighted_sets(batch), strict=True):
                 if not part:
                     head = own
                 elif weighted_jaccard(head, own) >= similarity:
@@ -297,16 +366,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, idf: Idf | None = None) -> DataFrame:
     """One row a document: (doc_id, node, label, class_id).
 
+    All shingles weigh by their frequency in df, but for those that idf names (frequent ones of a larger table, say).
+
     node: hash of the text; label: smallest node of the class (both null for a null text). class_id: smallest
     doc_id of the class; where an id is repeated with other texts, two classes may have the same.
     """
     spark = df.sparkSession
     source = df.select(F.when(F.col(text).isNotNull(), F.xxhash64(text)).alias("node"), F.col(key).alias("doc"), F.col(text).alias("text"))
-    idf = spark.sparkContext.broadcast(_frequent(source.select("text"), COMMON))
-    signed = stage(_sign(source, idf, bands, rows), "signatures")
+    known = spark.sparkContext.broadcast(idf or Idf(np.zeros(0, np.uint64), np.zeros(0)))
+    signed = stage(_sign(source, known, bands, rows), "signatures")
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("bands", "weight")).alias("s")).select("node", "s.bands", "s.weight")
     spots = nodes.filter("size(bands) > 0").select(
         "node", "weight", F.posexplode("bands").alias("band", "key"),
@@ -316,10 +387,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     dealt = spots.join(shared, "bucket").withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
     whole = left = stage(dealt.withColumn("label", F.col("node")), "buckets")
     # One row of each text, by its smallest id: copies of a text, however many, are not sent to its node's task.
-    chosen = signed.groupBy("node").agg(F.min("doc").alias("doc")).join(left.select("node").distinct(), "node", "left_semi")
+    chosen = signed.groupBy("node").agg(F.min(F.struct("doc", "weights")).alias("s")).join(left.select("node").distinct(), "node", "left_semi")
     owned = lambda rows: rows.withColumn("owner", F.xxhash64("node", "doc"))  # noqa: E731  a null id has a hash too
-    texts = owned(source).join(owned(chosen).select("owner", "node"), ["owner", "node"], "left_semi").dropDuplicates(["owner", "node"])
-    texts = stage(texts.select("node", "text"), "candidates")
+    weights = owned(chosen.select("node", "s.doc", "s.weights")).select("owner", "node", "weights")
+    texts = owned(source).join(weights, ["owner", "node"]).dropDuplicates(["owner", "node"])
+    texts = stage(texts.select("node", "text", "weights"), "candidates")
 
     found: DataFrame | None = None
     labels: DataFrame | None = None
@@ -328,7 +400,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
             break
         # The smallest node leads; the rest of the bucket, but for what is in its class by now, is held against it.
         led = left.join(_each_share(left, F.min("node").alias("leader")), ["bucket", "share"]).filter("node != leader")
-        links = _verify(stage(led.select("leader", F.col("node").alias("member")).distinct(), "pairs"), texts, idf, similarity)
+        links = _verify(stage(led.select("leader", F.col("node").alias("member")).distinct(), "pairs"), texts, similarity)
         found = stage(links if found is None else found.unionByName(links), "links")
         labels = components(found.select(F.col("leader").alias("a"), F.col("member").alias("b")))
         named = _named(left, labels)
@@ -338,7 +410,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
         # Leaders judged only their own pairs: every member of a bucket of two classes or more is compared.
         mixed = stage(_open(_named(whole, labels)), "buckets")
         if not mixed.isEmpty():
-            found = stage(found.unionByName(_rest(mixed, texts, idf, similarity)), "links")
+            found = stage(found.unionByName(_rest(mixed, texts, similarity)), "links")
             labels = components(found.select(F.col("leader").alias("a"), F.col("member").alias("b")))
 
     rows_out = signed.select("node", "doc")
@@ -407,7 +479,7 @@ def spanning_links(sets: list[tuple[np.ndarray, np.ndarray]], labels: list[int],
     return out
 
 
-def _rest(left: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
+def _rest(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Links (leader, member) that join the classes in the buckets, whatever the leaders' rounds missed.
 
     A bucket's members are compared with each other inside a task, so pairs are never rows. A bucket's largest
@@ -432,7 +504,7 @@ def _rest(left: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFram
     rows = units.join(texts, "node").repartition(partitions(left.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh, unit = idf.value, None
+        unit = None
         nodes, labels, sets = [], [], []
 
         def close() -> pa.RecordBatch:
@@ -442,14 +514,8 @@ def _rest(left: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFram
             )
 
         for batch in batches:
-            fresh: list[tuple[np.ndarray, np.ndarray]] = []
-            for lo, hi, data, offsets in S.blocks(batch.column("text")):
-                doc, value, times = S.shingles(data, offsets)
-                weight = times * weigh(value)
-                ends = np.searchsorted(doc, np.arange(hi - lo + 1))
-                fresh += [(value[a:b], weight[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             keys = zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "label")), strict=True)
-            for (bucket, i, j, node, label), own in zip(keys, fresh, strict=True):
+            for (bucket, i, j, node, label), own in zip(keys, _weighted_sets(batch), strict=True):
                 if (bucket, i, j) != unit:
                     if sets:
                         yield close()
