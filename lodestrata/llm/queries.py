@@ -23,7 +23,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weighted_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return weighted_minhash.near_duplicates(table(spark, sf_dir, "documents"), copies_once=True).select("doc_id", "class_id")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

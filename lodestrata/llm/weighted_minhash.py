@@ -2,13 +2,18 @@
 
 Each text is a weighted set of five-word shingles, weight = tf * idf. The idf is the root of ln(1 + documents / document
 frequency), so it falls with every further document that has the shingle; frequencies are exact counts of all shingles
-over all rows. Consistent weighted samples, banded, propose candidates; every candidate is verified by the exact
-weighted Jaccard similarity of the whole texts (at least `similarity`).
+over all rows, or, with copies_once, over groups of copies. Consistent weighted samples, banded, propose candidates; every candidate
+is verified by the exact weighted Jaccard similarity of the whole texts (at least `similarity`).
 
 Frequencies are counted in blocks of texts: a block sends each shingle that it has once, with its number of documents, to
 one of COUNTERS counters, which sends back the sum over all blocks. No shingle is a row, and a frequent one is as many
 numbers as there are blocks.
 
+Where rows count, the copies of a text make what they share common and so weigh their edits against them: the larger a group, the
+fewer of its near copies are found. With copies_once a group counts as one document: what its members share weighs as in one text, and
+passages that different texts repeat still weigh less. Groups (see copy_groups) come from short sketches; a block sends a shingle with
+the groups of its copies, and a counter counts each group once.
+
 Work stays linear in a group's size: copies of one text are one node; a bucket's members are compared with
 the bucket's leader only, and those that are not in its class after that go on with a new leader; leaders
 with many members are salted. A bucket that still holds more than one class after ROUNDS leaders is compared
@@ -51,6 +56,8 @@ SALT_ROWS = 256
 #: Bytes of text in a block that asks for its shingles' frequencies, and the counters that the shingles are dealt to by their leading bits.
 ASKED_BYTES, COUNTERS = 2 << 20, 1 << 10
 BUCKET_ROWS = 250
+#: Minima of a sketch, those of a band, and the share of them that members of a group have in common with its leader, at least.
+MINIMA, BAND_MINIMA, GROUPED = 64, 4, 0.5
 CANDIDATES = 1_000_000
 CELLS = 1 << 17
 #: Shingles that a task holds before it proposes from them.
@@ -217,48 +224,124 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
 
-def frequencies(homes: DataFrame) -> DataFrame:
+def copy_groups(rows: DataFrame) -> DataFrame:
+    """(node, label): the group of each text in rows (node, text) that has copies or near copies; other texts are not listed.
+
+    A sketch holds the minima of MINIMA hashes of a text's shingles. Texts that share a band of them are held against the smallest node
+    there and join it where the share GROUPED of the minima agree; groups are the connected components. No text is shuffled.
+    """
+    odd = np.random.default_rng(20_240_608).integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in S.blocks(batch.column(1)):
+                doc, value, _ = S.shingles(data, offsets)
+                first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+                least = np.empty((len(first), MINIMA), np.uint64)
+                folded = S.mix(value)
+                for k, by in enumerate(odd if len(first) else ()):
+                    least[:, k] = np.minimum.reduceat(folded * by, first)
+                ends = np.arange(len(first) + 1) * MINIMA
+                nodes = batch.column(0).slice(lo, hi - lo).take(pa.array(doc[first]))
+                yield pa.RecordBatch.from_arrays([nodes, _lists(S.mix(least).astype(np.uint16).view(np.int16).ravel(), ends)], names=["node", "sketch"])
+
+    # A sketch follows from its text, so of a node's rows any one will do.
+    sketched = rows.filter("text is not null").select("node", "text").mapInArrow(run, "node long, sketch array<short>")
+    sketches = stage(sketched.groupBy("node").agg(F.count("*").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+    bands = F.array(*[F.xxhash64(F.lit(i), F.slice("sketch", i + 1, BAND_MINIMA)) for i in range(0, MINIMA, BAND_MINIMA)])
+    spots = sketches.select("node", F.explode(bands).alias("bucket"))
+    heads = spots.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    pairs = stage(spots.join(heads, "bucket").filter("node != leader").select("leader", F.col("node").alias("member")).distinct(), "sketch-pairs")
+    # A leader's sketch goes once to each share of its members.
+    shares = pairs.groupBy("leader").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("shares"))
+    led = shares.join(sketches.select(F.col("node").alias("leader"), F.col("sketch").alias("own")), "leader")
+    led = led.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    salted = pairs.join(shares, "leader").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("shares")).cast("int")).drop("shares")
+    met = salted.join(sketches.select(F.col("node").alias("member"), "sketch"), "member").join(led, ["leader", "salt"])
+    agree = F.size(F.filter(F.zip_with("own", "sketch", lambda a, b: a == b), lambda x: x))
+    labels = components(met.filter(agree >= math.ceil(GROUPED * MINIMA)).select(F.col("leader").alias("a"), F.col("member").alias("b")))
+    return stage(sketches.select("node", "n").join(labels, "node", "left").filter("n > 1 or label is not null").select("node", F.coalesce("label", "node").alias("label")), "copy-groups")
+
+
+def frequencies(homes: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     """(block, counter, seen): for the texts of homes (block, text and others), the document frequencies of each block's distinct shingles in ascending order.
 
+    copies (block, node, label): texts of homes that count as one document for each label, in whatever blocks they are.
     Shingles of one counter share their leading bits; the 40 bits below go there as 8 and 32.
     """
     rest = S.HASH_BITS - (COUNTERS.bit_length() - 1)
 
-    def ask(key: tuple, texts: pa.Table) -> pa.Table:
-        value, n = np.unique(_shingles_of(texts.column("text"))[1], return_counts=True)
+    def ask(block: int, texts: pa.Table, copies: pa.Table | None) -> pa.Table:
+        doc, shingle, _ = _shingles_of(texts.column("text"))
+        value, at = np.unique(shingle, return_inverse=True)
+        counts, grouped = np.ones(len(texts), bool), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if copies is not None and len(copies):
+            known, first = np.unique(copies.column("node").to_numpy(), return_index=True)
+            node = texts.column("node").to_numpy()
+            place = np.minimum(np.searchsorted(known, node), len(known) - 1)
+            counts = known[place] != node
+            label = copies.column("label").to_numpy()[first][place]
+            theirs = ~counts[doc]
+            pair = np.stack((at[theirs], label[doc[theirs]]), 1)
+            pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
+            grouped = pair[np.r_[True, (pair[1:] != pair[:-1]).any(1)][: len(pair)]].T
+        n = np.bincount(at, counts[doc], len(value)).astype(np.int32)
         ends = np.searchsorted(value, np.arange(COUNTERS + 1, dtype=np.uint64) << np.uint64(rest))
         some = np.flatnonzero(np.diff(ends))
         ends = np.append(ends[some], len(value))
-        return pa.table({
+        of = np.searchsorted(grouped[0], ends)
+        out = {
             "counter": pa.array(some.astype(np.int32)),
-            "block": pa.array(np.full(len(some), key[0].as_py(), np.int64)),
+            "block": pa.array(np.full(len(some), block, np.int64)),
             "high": _lists((value >> np.uint64(32)).astype(np.uint8).view(np.int8), ends),
             "low": _lists(value.astype(np.uint32).view(np.int32), ends),
-            "n": _lists(n.astype(np.int32), ends),
-        })
+            "n": _lists(n, ends),
+        }
+        if copies is not None:
+            out |= {"at": _lists((grouped[0] - np.repeat(ends[:-1], np.diff(of))).astype(np.int32), of), "label": _lists(grouped[1], of)}
+        return pa.table(out)
 
     def count(asked: pa.Table) -> pa.Table:
         flat = lambda c: asked.column(c).combine_chunks().flatten().to_numpy()
         value = (flat("high").view(np.uint8).astype(np.uint64) << np.uint64(32)) | flat("low").view(np.uint32)
-        _, at = np.unique(value, return_inverse=True)
-        seen = np.bincount(at, flat("n")).astype(np.int32)[at]
+        distinct, at = np.unique(value, return_inverse=True)
+        total = np.bincount(at, flat("n"), len(distinct)).astype(np.int64)
         ends = np.append(0, np.cumsum(asked.column("low").combine_chunks().value_lengths().to_numpy()))
-        return pa.table({"block": asked.column("block"), "counter": asked.column("counter"), "seen": _lists(seen, ends)})
+        if "label" in asked.column_names:
+            place = at[flat("at") + np.repeat(ends[:-1], asked.column("at").combine_chunks().value_lengths().to_numpy())]
+            label = flat("label")
+            order = np.lexsort((label, place))
+            place, label = place[order], label[order]
+            once = np.r_[True, (place[1:] != place[:-1]) | (label[1:] != label[:-1])][: len(place)]
+            total += np.bincount(place[once], minlength=len(distinct))
+        return pa.table({"block": asked.column("block"), "counter": asked.column("counter"), "seen": _lists(total.astype(np.int32)[at], ends)})
 
     # All columns go along, as the caller reads them in the same way: the texts are shuffled once for both.
-    asked = homes.groupBy("block").applyInArrow(ask, "counter int, block long, high array<byte>, low array<int>, n array<int>")
+    kind = "counter int, block long, high array<byte>, low array<int>, n array<int>"
+    if copies is None:
+        alone = lambda key, texts: ask(key[0].as_py(), texts, None)
+        asked = homes.groupBy("block").applyInArrow(alone, kind)
+    else:
+        beside = lambda key, texts, copies: ask(key[0].as_py(), texts, copies)
+        asked = homes.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(beside, f"{kind}, at array<int>, label array<long>")
     return asked.groupBy("counter").applyInArrow(count, "block long, counter int, seen array<int>")
 
 
-def _sign(rows: DataFrame, idf, bands: int, rows_: int) -> DataFrame:
+def _sign(rows: DataFrame, idf, bands: int, rows_: int, groups: DataFrame | None = None) -> DataFrame:
     """(node, doc, bands, weight, weights) for rows (node, doc, text); no bands for a text without words.
 
     weights: of the text's shingles, in the order of S.shingles; weight: their sum. A shingle weighs what idf says, or by its
-    frequency in these rows if idf does not know it, in units of the weight of a shingle that one document has.
+    frequency in these rows if idf does not know it, in units of the weight of a shingle that one document has. groups (node, label):
+    texts that count as one document for each label.
     """
     size = rows.agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).alias("bytes")).first()
     docs, blocks = size["docs"], max(1, -(-(size["bytes"] or 0) // ASKED_BYTES))
     block = F.pmod(F.xxhash64("node", "doc"), F.lit(blocks))
+    copies = None
+    if groups is not None:
+        theirs = stage(rows.filter("text is not null").select("node", block.alias("block")).join(groups, "node"), "copies")
+        many = theirs.agg(F.count("*").alias("rows"), F.count_distinct("label").alias("groups")).first()
+        docs, copies = docs - many["rows"] + many["groups"], theirs.distinct()
     homes = rows.filter("text is not null").select(block.alias("block"), "node", "doc", "text").repartition(max(partitions(rows.sparkSession), blocks // 16), "block")
 
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
@@ -280,7 +363,7 @@ def _sign(rows: DataFrame, idf, bands: int, rows_: int) -> DataFrame:
         })
 
     kind = rows.schema["doc"].dataType.simpleString()
-    signed = homes.groupBy("block").cogroup(frequencies(homes).groupBy("block")).applyInArrow(run, f"node long, doc {kind}, bands array<long>, weight double, weights array<double>")
+    signed = homes.groupBy("block").cogroup(frequencies(homes, copies).groupBy("block")).applyInArrow(run, f"node long, doc {kind}, bands array<long>, weight double, weights array<double>")
     without = rows.filter("text is null").select("node", "doc", F.array().cast("array<long>").alias("bands"), F.lit(0.0).alias("weight"), F.array().cast("array<double>").alias("weights"))
     return signed.unionByName(without)
 
@@ -366,10 +449,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, idf: Idf | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, idf: Idf | None = None, copies_once: bool = False) -> DataFrame:
     """One row a document: (doc_id, node, label, class_id).
 
-    All shingles weigh by their frequency in df, but for those that idf names (frequent ones of a larger table, say).
+    All shingles weigh by their frequency in df, but for those that idf names (frequent ones of a larger table, say). copies_once: a
+    group of copies and near copies counts as one document in it.
 
     node: hash of the text; label: smallest node of the class (both null for a null text). class_id: smallest
     doc_id of the class; where an id is repeated with other texts, two classes may have the same.
@@ -377,7 +461,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     spark = df.sparkSession
     source = df.select(F.when(F.col(text).isNotNull(), F.xxhash64(text)).alias("node"), F.col(key).alias("doc"), F.col(text).alias("text"))
     known = spark.sparkContext.broadcast(idf or Idf(np.zeros(0, np.uint64), np.zeros(0)))
-    signed = stage(_sign(source, known, bands, rows), "signatures")
+    signed = stage(_sign(source, known, bands, rows, copy_groups(source) if copies_once else None), "signatures")
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("bands", "weight")).alias("s")).select("node", "s.bands", "s.weight")
     spots = nodes.filter("size(bands) > 0").select(
         "node", "weight", F.posexplode("bands").alias("band", "key"),
@@ -529,9 +613,9 @@ def _rest(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "leader long, member long")
 
 
-def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", copies_once: bool = False) -> DataFrame:
     """df with one row of each class: that of its smallest doc_id. Columns unchanged; null texts all stay."""
-    found = near_duplicates(df, key, text).filter("label is not null").groupBy("label", F.col(key).alias("id"), "node").agg(F.count("*").alias("n"))
+    found = near_duplicates(df, key, text, copies_once=copies_once).filter("label is not null").groupBy("label", F.col(key).alias("id"), "node").agg(F.count("*").alias("n"))
     first = F.struct(F.col("id").isNull(), "id", "node", "n")
     kept = stage(found.groupBy("label").agg(F.min(first).alias("k")).select("k.id", "k.node", "k.n"), "kept")
     whole = df.select(
